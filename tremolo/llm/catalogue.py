@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .packing import pack
 
 ORACLES: dict[str, str] = {}
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,7 +30,27 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
   FROM (SELECT doc_id, {LOWER_AZ} AS t FROM documents))
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_exact_dedup": op5_exact_dedup}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150% of all words takes from each document."""
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def tokenizer_spec(path: str | None = None) -> str:
+    """The JSON of the byte-level BPE tokenizer; ``path`` is a parameter, its default the installed public file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1,024 ids, in the sources' own proportions."""
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_spec())
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_exact_dedup, op7_mixing, op8_packing)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
