@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack
 
 ORACLES: dict[str, str] = {}
@@ -50,7 +52,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_spec())
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_exact_dedup, op7_mixing, op8_packing)}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the ids whose crc32 mod 5 isn't 0."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return identify(_read(spark, sf_dir, "documents")).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles are 85% alike."""
+    return near_dedup(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_exact_dedup, op7_mixing, op8_packing, op10_near_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
