@@ -70,16 +70,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_substring_dedup"] = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM p),
 f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM g),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM f WHERE m < doc_id),
 r AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(coalesce(gone, []))::BIGINT AS n_removed,
-  sha256(array_to_string(list_filter(w, (x, n) -> NOT list_contains(coalesce(gone, []), n)), ' ')) AS kept_sha256
+  sha256(array_to_string(list_filter(w, lambda x, n: NOT list_contains(coalesce(gone, []), n)), ' ')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)
-""".replace("\\", "\\")
+"""
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_exact_dedup, op6_substring_dedup, op7_mixing, op8_packing, op10_near_dedup)}

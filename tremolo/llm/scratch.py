@@ -10,6 +10,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,10 @@ class Scratch:
         # Python gets batches bounded by bytes and by rows, so long texts can't fill a worker.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        # Python workers import this package from where the driver has it (a cluster may install it instead).
+        home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        if home not in env.get("PYTHONPATH", "").split(":"):
+            env["PYTHONPATH"] = ":".join(filter(None, [home, env.get("PYTHONPATH", "")]))
         _OPEN.append(self)
 
     def table(self, df: DataFrame, free: bool = False) -> DataFrame:
