@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .pii import find_pii, pii_digest
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
+from .topk_search import top_k
 
 ORACLES: dict[str, str] = {}
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,7 +86,52 @@ FROM d LEFT JOIN r USING (doc_id)
 """
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_exact_dedup, op6_substring_dedup, op7_mixing, op8_packing, op10_near_dedup)}
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best integer inner products of every hundredth vector against all others."""
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+ORACLES["op2_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that alignment with earlier documents removes, and a digest of what stays."""
+    return line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans and those that learned contexts add."""
+    return pii_digest(find_pii(_read(spark, sf_dir, "documents")))
+
+
+def unigram_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
+    """Pieces and scores of a SentencePiece model; ``path`` is a parameter, its default the installed public file."""
+    import sentencepiece
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every whole text."""
+    return token_counts(_read(spark, sf_dir, "documents"), unigram_vocabulary())
+
+
+_ALL = (
+    op1_language_id, op2_topk_search, op3_line_dedup, op4_pii, op5_exact_dedup, op6_substring_dedup,
+    op7_mixing, op8_packing, op9_token_counts, op10_near_dedup,
+)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
