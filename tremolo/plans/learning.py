@@ -226,7 +226,7 @@ def mdl_probe(spark, sf):
 
 
 _PROBE = """pr AS (SELECT r_name AS dataset, s_nationkey AS class, d.unnest AS domain, 1 + s_nationkey % 5 AS n_groups, 40.0 + s_nationkey AS majority_chance,
-  round(avg(s_acctbal) / CASE d.unnest WHEN 'spatial' THEN 150 ELSE 400 END, 4) AS above_chance_pp FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, unnest(['time', 'freq', 'spatial']) d GROUP BY ALL),
+  round(avg(s_acctbal) / CASE d.unnest WHEN 'spatial' THEN 150 ELSE 400 END, 4) AS above_chance_pp FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, unnest(['time', 'freq', 'spatial']) d GROUP BY 1, 2, 3, 4, 5),
 co AS (SELECT r_name AS dataset, r_regionkey * 1.5 AS spatial_cost FROM region),
 e AS (SELECT dataset, class, max(above_chance_pp) FILTER (domain = 'spatial') AS s, max(above_chance_pp) FILTER (domain <> 'spatial') AS o FROM pr WHERE n_groups >= 3 AND majority_chance <= 70 GROUP BY 1, 2),
 m AS (SELECT dataset, count(*) AS usable, avg(s) AS spatial, avg(o) AS best_other, avg(s - o) AS differential FROM e GROUP BY 1)"""
