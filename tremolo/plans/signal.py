@@ -297,3 +297,88 @@ def f_pre(spark, sf):
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "x"])
 
     return signals(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, x array<double>")
+
+
+def _kernel(spark, sf, f):
+    """``f`` (samples to a list of numbers) over every window, tiled to 2,048 samples."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = [np.asarray(f(np.tile(np.array(x), 32)), float).ravel() for x in b.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "y"])
+
+    return signals(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, y array<double>")
+
+
+@query()
+def f_rdft(spark, sf):
+    """Redundant spectrum of the baseline network."""
+    from ..functions import baselines
+
+    return _kernel(spark, sf, lambda x: baselines.redundant_spectrum(x, 10_000.0))
+
+
+@query()
+def f_dwt3(spark, sf):
+    """Three wavelet levels, concatenated."""
+    from ..functions import baselines
+
+    return _kernel(spark, sf, lambda x: baselines.wavelet_coefficients(x, 10_000.0))
+
+
+@query()
+def f_mfcc(spark, sf):
+    """Mel cepstra."""
+    from ..functions import baselines
+
+    return _kernel(spark, sf, lambda x: baselines.mel_cepstrum(x, 10_000.0))
+
+
+@query()
+def f_hilbert(spark, sf):
+    """Envelope."""
+    from ..functions import dsp
+
+    return _kernel(spark, sf, lambda x: dsp.envelope(x)[:64])
+
+
+@query()
+def f_stft(spark, sf):
+    """Mean spectrum over short frames."""
+    import numpy as np
+
+    from ..functions import dsp
+
+    return _kernel(spark, sf, lambda x: np.abs(dsp.stft(x, 10_000.0, 512, 128)[1]).mean(axis=1))
+
+
+@query()
+def f_wpt(spark, sf):
+    """Energies of the sixteen wavelet packet nodes."""
+    from ..functions import dsp
+
+    return _kernel(spark, sf, lambda x: [(c * c).sum() for c in dsp.packet(x, 4)])
+
+
+@query()
+def f_lbp(spark, sf):
+    """Shares of local binary patterns of each 8 x 8 window in grey levels."""
+    import numpy as np
+
+    from ..functions import dsp
+
+    def shares(x):
+        g = np.floor((x[:64] - x[:64].min()) / (np.ptp(x[:64]) + dsp.EPS) * 31).reshape(8, 8)
+        return dsp.histogram(dsp.local_binary(g), 32, 0, 256)
+
+    return _kernel(spark, sf, shares)
+
+
+@query(f"WITH {SAMPLES}, g AS (SELECT vec_id, (lead(v) OVER w - lag(v) OVER w) / 2 AS g FROM v WINDOW w AS (PARTITION BY vec_id, i // 8 ORDER BY i)) SELECT vec_id, round(sum(abs(g)), 6) AS total, count(*) FILTER (g > 0) AS rising FROM g WHERE g IS NOT NULL GROUP BY 1")
+def f_hog(spark, sf):
+    """Central differences along the rows of each 8 x 8 window."""
+    w = Window.partitionBy("vec_id", F.floor(F.col("i") / 8)).orderBy("i")
+    g = samples(spark, sf).withColumn("g", (F.lead("v").over(w) - F.lag("v").over(w)) / 2).filter("g is not null")
+    return g.groupBy("vec_id").agg(_r(F.sum(F.abs("g"))).alias("total"), F.count_if(F.col("g") > 0).alias("rising"))
