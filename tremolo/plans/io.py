@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -123,5 +123,16 @@ def src_official(spark, sf):
     return r.join(both, "session_id", "left_semi").groupBy("official_split").count()
 
 
-def tables(spark: SparkSession, sf: str) -> DataFrame:
-    return files.listing(spark, sf)
+@query("SELECT n_nationkey, n_name FROM nation")
+def src_csv(spark, sf):
+    """A CSV report, read with a given schema."""
+    path = _scratch(spark)
+    n = read(spark, sf, "nation").select("n_nationkey", "n_name")
+    n.write.csv(path, header=True)
+    return spark.read.schema(n.schema).csv(path, header=True)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def srt_generic(spark, sf):
+    """The head of a sorted report."""
+    return read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)

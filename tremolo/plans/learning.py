@@ -9,13 +9,22 @@ from ..operators import balancing, evaluation, models, selection, splits, statis
 from .registry import query
 from .tables import GRID, PREDICTIONS, SAMPLES, grid, predictions, read, windows
 
-N = F.count(F.lit(1))
+
+
+def _n():
+    """Rows."""
+    return F.count(F.lit(1))
+
 
 
 def _r(c, digits=6):
     return F.round(c, digits)
 
 
+def _every(column: str, step: int):
+    return F.filter(column, lambda v, i: i % step == 0)
+
+
 def labelled(spark, sf) -> DataFrame:
     """(id, y, features of 64 values, group)."""
     e = read(spark, sf, "embeddings")
@@ -160,7 +169,7 @@ def bal_effect(spark, sf):
 for _s in ("none", "smote", "borderline_smote", "smote_tomek"):
     _register(
         {"none": "bal_none", "smote": "bal_smote", "borderline_smote": "bal_bsmote", "smote_tomek": "bal_smotetomek"}[_s],
-        lambda spark, sf, s=_s: balancing.SAMPLERS[s](_uneven(spark, sf)).groupBy("y").agg(N.alias("n")), f"Class sizes after {_s}.",
+        lambda spark, sf, s=_s: balancing.SAMPLERS[s](_uneven(spark, sf)).groupBy("y").agg(_n().alias("n")), f"Class sizes after {_s}.",
     )
 
 
@@ -339,3 +348,52 @@ def agg_classmean(spark, sf):
 def smp_seeded(spark, sf):
     """A seeded sample of 40 windows per label: reruns agree."""
     return splits.per_group(windows(spark, sf), ["label"], F.lit(40), splits.seeded("sample_id")).select("sample_id", "label")
+
+
+@query()
+def bal_pipe(spark, sf):
+    """Scaler, sampler and classifier: the sampler sees training rows only, so every test row is predicted once."""
+    r = small(spark, sf)
+    pred, _ = models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic", "smote")
+    return pred.select("id", "y_true", "y_pred")
+
+
+@query()
+def mdl_fitpred(spark, sf):
+    """Metrics of one fit on val and test."""
+    r = small(spark, sf)
+    model, labels = models.fit(r.filter("split = 'train'"), "tree")
+    out = None
+    for s in ("val", "test"):
+        row = evaluation.scores(models.predict(model, labels, r.filter(F.col("split") == s))).select(F.lit(s).alias("split"), "*")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query()
+def mdl_fssens(spark, sf):
+    """Scores under alternative sampling rates: features of resampled windows."""
+    out = None
+    for step in (1, 2):
+        r = small(spark, sf).withColumn("features", _every("features", step))
+        row = evaluation.scores(models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic")[0]).select(F.lit(step).alias("step"), "*")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query()
+def mdl_cnn1d(spark, sf):
+    """A perceptron over the redundant spectrum, in place of the convolutional baseline."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions import baselines
+
+    def run(batches):
+        for b in batches:
+            x = [baselines.redundant_spectrum(np.array(v), 10_000.0)[:96].astype(float) for v in b.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "features"])
+
+    r = labelled(spark, sf).filter("y < 4").select("id", "y", "features").mapInArrow(run, "id long, y int, features array<double>")
+    pred, _ = models.fit_predict(r.filter("id % 10 < 8"), r.filter("id % 10 >= 8"), "perceptron")
+    return pred.select("id", "y_true", "y_pred")

@@ -9,7 +9,12 @@ from ..operators import audits, splits, statistics
 from .registry import query
 from .tables import GRID, RECORDS, SPLIT, WINDOWS, grid, read, records, split_windows, windows
 
-N = F.count(F.lit(1))
+
+
+def _n():
+    """Rows."""
+    return F.count(F.lit(1))
+
 
 
 def _r(c, digits: int = 6):
@@ -81,7 +86,7 @@ def src_h5patch(spark, sf):
     w = windows(spark, sf)
     p = w.filter("event_id % 50 = 0").select("sample_id", "recording_id", F.greatest(F.lit(0), F.least(F.col("locus") - 8, F.lit(134))).alias("c0"), F.explode(F.sequence(F.col("block"), F.col("block") + 3)).alias("block"))
     cells = p.join(w.select("recording_id", "block", "locus", "value"), ["recording_id", "block"]).filter("locus between c0 and c0 + 15")
-    return cells.groupBy("sample_id").agg(N.alias("n_cells"), F.round(F.sum("value"), 4).alias("total"))
+    return cells.groupBy("sample_id").agg(_n().alias("n_cells"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT vec_id, CAST(embedding[33] AS DOUBLE) AS centre FROM embeddings")
@@ -108,7 +113,7 @@ def src_shard(spark, sf):
 @query(f"WITH {WINDOWS} SELECT recording_id, count(*) AS n_rows, count(DISTINCT sample_id) AS n_ids, count(*) - count(DISTINCT sample_id) AS n_duplicates FROM w GROUP BY 1")
 def src_assemble(spark, sf):
     """Row and id counts of each shard, before shards are put together."""
-    return windows(spark, sf).groupBy("recording_id").agg(N.alias("n_rows"), F.countDistinct("sample_id").alias("n_ids"), (N - F.countDistinct("sample_id")).alias("n_duplicates"))
+    return windows(spark, sf).groupBy("recording_id").agg(_n().alias("n_rows"), F.countDistinct("sample_id").alias("n_ids"), (_n() - F.countDistinct("sample_id")).alias("n_duplicates"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -296,25 +301,25 @@ def jn_grid(spark, sf):
 # ---------------------------------------------------------------- aggregates
 @query(f"WITH {WINDOWS} SELECT label, count(*) AS n_windows, count(DISTINCT zone_id) AS n_groups, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM w GROUP BY 1")
 def agg_summary(spark, sf):
-    g = windows(spark, sf).groupBy("label").agg(N.alias("n_windows"), F.countDistinct("zone_id").alias("n_groups"))
+    g = windows(spark, sf).groupBy("label").agg(_n().alias("n_windows"), F.countDistinct("zone_id").alias("n_groups"))
     return g.crossJoin(F.broadcast(g.agg(F.sum("n_windows").alias("t")))).select("label", "n_windows", "n_groups", _r(100.0 * F.col("n_windows") / F.col("t")).alias("pct"))
 
 
 @query(f"WITH {WINDOWS} SELECT label, recording_id, count(*) AS windows, count(DISTINCT block) AS blocks, count(DISTINCT locus) AS loci, count(DISTINCT zone) AS zones FROM w GROUP BY 1, 2")
 def agg_recsum(spark, sf):
-    return windows(spark, sf).groupBy("label", "recording_id").agg(N.alias("windows"), *[F.countDistinct(c).alias(a) for c, a in (("block", "blocks"), ("locus", "loci"), ("zone", "zones"))])
+    return windows(spark, sf).groupBy("label", "recording_id").agg(_n().alias("windows"), *[F.countDistinct(c).alias(a) for c, a in (("block", "blocks"), ("locus", "loci"), ("zone", "zones"))])
 
 
 @query(f"WITH {RECORDS} SELECT date, count(*) AS n, count(DISTINCT label) AS labels, count(DISTINCT session_id) AS sessions FROM r GROUP BY 1")
 def agg_bydate(spark, sf):
-    return records(spark, sf).groupBy("date").agg(N.alias("n"), F.countDistinct("label").alias("labels"), F.countDistinct("session_id").alias("sessions"))
+    return records(spark, sf).groupBy("date").agg(_n().alias("n"), F.countDistinct("label").alias("labels"), F.countDistinct("session_id").alias("sessions"))
 
 
 @query(f"WITH {WINDOWS}, c AS (SELECT count(*) AS n FROM w GROUP BY label) SELECT (SELECT count(DISTINCT label) FROM w) AS labels, (SELECT count(DISTINCT recording_id) FROM w) AS recordings, (SELECT count(DISTINCT zone_id) FROM w) AS zones, (SELECT count(DISTINCT locus) FROM w) AS loci, round((SELECT max(n) / min(n) FROM c), 6) AS imbalance")
 def agg_globalnd(spark, sf):
     w = windows(spark, sf)
     d = w.agg(*[F.countDistinct(c).alias(a) for c, a in (("label", "labels"), ("recording_id", "recordings"), ("zone_id", "zones"), ("locus", "loci"))])
-    return d.crossJoin(w.groupBy("label").agg(N.alias("n")).agg(_r(F.max("n") / F.min("n")).alias("imbalance")))
+    return d.crossJoin(w.groupBy("label").agg(_n().alias("n")).agg(_r(F.max("n") / F.min("n")).alias("imbalance")))
 
 
 @query(f"WITH {WINDOWS} SELECT label, zone, count(DISTINCT recording_id) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT recording_id) = 1")
@@ -325,7 +330,7 @@ def agg_singleton(spark, sf):
 @query(f"WITH {SPLIT} SELECT coalesce(label, 'All') AS label, coalesce(split, 'All') AS split, count(*) AS n FROM s GROUP BY CUBE (label, split)")
 def agg_crosstab(spark, sf):
     """Class x split counts with margins."""
-    return split_windows(spark, sf).cube("label", "split").agg(N.alias("n")).na.fill("All", ["label", "split"])
+    return split_windows(spark, sf).cube("label", "split").agg(_n().alias("n")).na.fill("All", ["label", "split"])
 
 
 @query(f"WITH {SPLIT} SELECT label, " + ", ".join(f"count(DISTINCT CASE WHEN split = '{x}' THEN zone_id END) AS {x}_groups" for x in splits.SPLITS) + " FROM s GROUP BY 1")
@@ -335,18 +340,18 @@ def agg_grouppivot(spark, sf):
 
 @query(f"WITH {WINDOWS} SELECT coalesce(recording_id, 'TOTAL') AS recording_id, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ROLLUP (recording_id)")
 def agg_total(spark, sf):
-    return windows(spark, sf).rollup("recording_id").agg(N.alias("n"), F.round(F.sum("value"), 4).alias("total")).na.fill("TOTAL", ["recording_id"])
+    return windows(spark, sf).rollup("recording_id").agg(_n().alias("n"), F.round(F.sum("value"), 4).alias("total")).na.fill("TOTAL", ["recording_id"])
 
 
 @query(f"WITH {WINDOWS} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM w GROUP BY 1")
 def agg_valuecounts(spark, sf):
-    g = windows(spark, sf).groupBy("label").agg(N.alias("n"))
+    g = windows(spark, sf).groupBy("label").agg(_n().alias("n"))
     return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("label", "n", _r(F.col("n") / F.col("t")).alias("share"))
 
 
 @query(f"WITH {WINDOWS}, c AS (SELECT recording_id, label, count(*) AS n FROM w GROUP BY 1, 2) SELECT recording_id, round(max(n) / sum(n), 6) AS chance FROM c GROUP BY 1")
 def agg_majority(spark, sf):
-    c = windows(spark, sf).groupBy("recording_id", "label").agg(N.alias("n"))
+    c = windows(spark, sf).groupBy("recording_id", "label").agg(_n().alias("n"))
     return c.groupBy("recording_id").agg(_r(F.max("n") / F.sum("n")).alias("chance"))
 
 
@@ -439,22 +444,22 @@ def agg_describe(spark, sf):
 # ---------------------------------------------------------------- windows, sorts, samples, sets, pivots
 @query(f"WITH {SPLIT} SELECT recording_id, segment, count(*) AS n, min(block) AS first_block, max(block) AS last_block FROM s GROUP BY 1, 2")
 def win_segment(spark, sf):
-    return split_windows(spark, sf).groupBy("recording_id", "segment").agg(N.alias("n"), F.min("block").alias("first_block"), F.max("block").alias("last_block"))
+    return split_windows(spark, sf).groupBy("recording_id", "segment").agg(_n().alias("n"), F.min("block").alias("first_block"), F.max("block").alias("last_block"))
 
 
 @query(f"WITH {SPLIT} SELECT recording_id, split, count(*) AS n, count(DISTINCT segment) AS segments FROM s GROUP BY 1, 2")
 def win_rotate(spark, sf):
-    return split_windows(spark, sf).groupBy("recording_id", "split").agg(N.alias("n"), F.countDistinct("segment").alias("segments"))
+    return split_windows(spark, sf).groupBy("recording_id", "split").agg(_n().alias("n"), F.countDistinct("segment").alias("segments"))
 
 
 @query(f"WITH {SPLIT} SELECT recording_id, split, count(*) AS n, count(*) FILTER (keep) AS kept FROM g0 GROUP BY 1, 2")
 def win_guard(spark, sf):
-    return splits.guard(split_windows(spark, sf)).groupBy("recording_id", "split").agg(N.alias("n"), F.count_if("keep").alias("kept"))
+    return splits.guard(split_windows(spark, sf)).groupBy("recording_id", "split").agg(_n().alias("n"), F.count_if("keep").alias("kept"))
 
 
 @query(f"WITH {SPLIT}, c AS (SELECT recording_id, EXISTS (SELECT 1 FROM s t WHERE t.split = 'train' AND t.recording_id = s.recording_id AND t.block BETWEEN s.block - 3 AND s.block + 3) AS hit FROM s WHERE split = 'test') SELECT recording_id, count(*) AS n, count(*) FILTER (hit) AS contaminated FROM c GROUP BY 1")
 def win_contam(spark, sf):
-    return splits.contaminated(split_windows(spark, sf)).groupBy("recording_id").agg(N.alias("n"), F.count_if("contaminated").alias("contaminated"))
+    return splits.contaminated(split_windows(spark, sf)).groupBy("recording_id").agg(_n().alias("n"), F.count_if("contaminated").alias("contaminated"))
 
 
 @query(f"WITH {SPLIT}, c AS (SELECT recording_id, EXISTS (SELECT 1 FROM s t WHERE t.split = 'train' AND t.recording_id = s.recording_id AND t.block BETWEEN s.block - 3 AND s.block + 3) AS hit FROM s WHERE split = 'test'), d AS (SELECT EXISTS (SELECT 1 FROM g t WHERE t.split = 'train' AND t.recording_id = g.recording_id AND t.block BETWEEN g.block - 3 AND g.block + 3) AS hit FROM g WHERE split = 'test') SELECT 'blocked' AS protocol, count(*) AS n_test, count(*) FILTER (hit) AS n_contaminated, round(100.0 * count(*) FILTER (hit) / count(*), 4) AS pct FROM c UNION ALL SELECT 'blocked with guard', count(*), count(*) FILTER (hit), round(100.0 * count(*) FILTER (hit) / count(*), 4) FROM d")
@@ -463,7 +468,7 @@ def met_leaktab(spark, sf):
     s = split_windows(spark, sf)
     out = None
     for name, df in (("blocked", s), ("blocked with guard", splits.guard(s).filter("keep"))):
-        row = splits.contaminated(df).agg(N.alias("n_test"), F.count_if("contaminated").alias("n_contaminated"))
+        row = splits.contaminated(df).agg(_n().alias("n_test"), F.count_if("contaminated").alias("n_contaminated"))
         row = row.select(F.lit(name).alias("protocol"), "n_test", "n_contaminated", F.round(100.0 * F.col("n_contaminated") / F.col("n_test"), 4).alias("pct"))
         out = row if out is None else out.union(row)
     return out
@@ -477,7 +482,7 @@ def win_avgrank(spark, sf):
 @query("WITH c AS (SELECT p_size AS votes, count(*) AS n FROM part GROUP BY 1) SELECT votes, n, sum(n) OVER (ORDER BY votes DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS kept, round(100.0 - 100.0 * sum(n) OVER (ORDER BY votes DESC ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS reduction_pct FROM c")
 def win_cumsum(spark, sf):
     """Features kept at each vote threshold (one row per threshold)."""
-    c = read(spark, sf, "part").groupBy(F.col("p_size").alias("votes")).agg(N.alias("n"))
+    c = read(spark, sf, "part").groupBy(F.col("p_size").alias("votes")).agg(_n().alias("n"))
     run = F.sum("n").over(Window.orderBy(F.desc("votes")).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return c.select("votes", "n", run.alias("kept"), _r(100.0 - 100.0 * run / total).alias("reduction_pct"))
@@ -502,7 +507,7 @@ def win_runs(spark, sf):
     e = read(spark, sf, "events").select("user_id", "event_id", (F.col("value") > 10).alias("flag"))
     e = e.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
     e = e.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("user_id", "flag").orderBy("i")))
-    return e.filter("flag").groupBy("user_id", "island").agg(F.min("i").alias("start"), N.alias("length")).drop("island")
+    return e.filter("flag").groupBy("user_id", "island").agg(F.min("i").alias("start"), _n().alias("length")).drop("island")
 
 
 @query("WITH o AS (SELECT value, unnest([0, 1, 2, 3]) AS j, CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS h FROM events) SELECT h - j AS first_hour, count(*) AS n, round(sum(value), 4) AS total FROM o GROUP BY 1")
@@ -510,12 +515,12 @@ def win_hop(spark, sf):
     """Sliding windows of four hours every hour, each event in the four that hold it."""
     h = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("int")
     e = read(spark, sf, "events").select("value", F.explode(F.sequence(h - 3, h)).alias("first_hour"))
-    return e.groupBy("first_hour").agg(N.alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.groupBy("first_hour").agg(_n().alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH {WINDOWS} SELECT zone, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1")
 def win_tumble(spark, sf):
-    return windows(spark, sf).groupBy("zone").agg(N.alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return windows(spark, sf).groupBy("zone").agg(_n().alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH {GRID} SELECT model, strategy, f1, row_number() OVER (ORDER BY strategy DESC, f1, model) AS pos FROM b")
@@ -591,10 +596,10 @@ def pvt_long(spark, sf):
 
 @query(f"WITH {WINDOWS}, h AS (SELECT DISTINCT recording_id AS held_out FROM w) SELECT held_out, CASE WHEN recording_id = held_out THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM w, h GROUP BY 1, 2")
 def spl_logo(spark, sf):
-    return splits.leave_one_group_out(windows(spark, sf), "recording_id").groupBy("held_out", "role").agg(N.alias("n"))
+    return splits.leave_one_group_out(windows(spark, sf), "recording_id").groupBy("held_out", "role").agg(_n().alias("n"))
 
 
 @query()
 def spl_group3(spark, sf):
     """Whole sessions to train, val and test."""
-    return splits.grouped_three_way(records(spark, sf), "session_id", "label").groupBy("split", "label").agg(N.alias("n"), F.countDistinct("session_id").alias("sessions"))
+    return splits.grouped_three_way(records(spark, sf), "session_id", "label").groupBy("split", "label").agg(_n().alias("n"), F.countDistinct("session_id").alias("sessions"))

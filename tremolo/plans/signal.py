@@ -12,10 +12,23 @@ from ..operators import extraction
 from .registry import query
 from .tables import SAMPLES, samples, signals
 
-N = F.count(F.lit(1))
+
+
+def _n():
+    """Rows."""
+    return F.count(F.lit(1))
+
 EPS = 1e-12
-BY = Window.partitionBy("vec_id")
-ORD = BY.orderBy("i")
+
+
+def _by():
+    return Window.partitionBy("vec_id")
+
+
+
+def _ord():
+    return _by().orderBy("i")
+
 
 
 def _r(c, digits=6):
@@ -34,7 +47,7 @@ def f_zscore(spark, sf):
 
 def _shares(spark, sf):
     v = samples(spark, sf).withColumn("p", F.col("v") * F.col("v"))
-    return v.withColumn("p", F.col("p") / (F.sum("p").over(BY) + EPS)).filter("p > 0")
+    return v.withColumn("p", F.col("p") / (F.sum("p").over(_by()) + EPS)).filter("p > 0")
 
 
 _SHARES = SAMPLES + ", p AS (SELECT vec_id, v * v / (sum(v * v) OVER (PARTITION BY vec_id) + 1e-12) AS p FROM v)"
@@ -92,13 +105,13 @@ def f_shape(spark, sf):
 
 @query(f"WITH {SAMPLES}, t AS (SELECT vec_id, v * v - lag(v) OVER w * lead(v) OVER w AS t FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY i)) SELECT vec_id, round(avg(t), 6) AS tkeo_mean, round(stddev_pop(t), 6) AS tkeo_std FROM t WHERE t IS NOT NULL GROUP BY 1")
 def f_tkeo(spark, sf):
-    t = samples(spark, sf).withColumn("t", F.col("v") ** 2 - F.lag("v").over(ORD) * F.lead("v").over(ORD))
+    t = samples(spark, sf).withColumn("t", F.col("v") ** 2 - F.lag("v").over(_ord()) * F.lead("v").over(_ord()))
     return t.filter("t is not null").groupBy("vec_id").agg(_r(F.avg("t")).alias("tkeo_mean"), _r(F.stddev_pop("t")).alias("tkeo_std"))
 
 
 @query(f"WITH {SAMPLES}, d AS (SELECT vec_id, abs(v - lag(v) OVER w) AS d, abs(v - first_value(v) OVER w) AS r FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY i)) SELECT vec_id, round(log10(63) / (log10(63) + log10(max(r) / sum(d))), 6) AS katz FROM d GROUP BY 1")
 def f_katz(spark, sf):
-    d = samples(spark, sf).select("vec_id", F.abs(F.col("v") - F.lag("v").over(ORD)).alias("d"), F.abs(F.col("v") - F.first("v").over(ORD)).alias("r"))
+    d = samples(spark, sf).select("vec_id", F.abs(F.col("v") - F.lag("v").over(_ord())).alias("d"), F.abs(F.col("v") - F.first("v").over(_ord())).alias("r"))
     n = F.log10(F.lit(63.0))
     return d.groupBy("vec_id").agg(_r(n / (n + F.log10(F.max("r") / F.sum("d")))).alias("katz"))
 
@@ -108,7 +121,7 @@ def f_higuchi(spark, sf):
     """Curve lengths at eight strides: each window's samples meet their k-th successor by key."""
     v = samples(spark, sf).select("vec_id", "i", "v")
     a = v.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).select("vec_id", (F.col("i") + F.col("k")).alias("i"), "k", F.col("v").alias("w"))
-    length = a.join(v, ["vec_id", "i"]).groupBy("vec_id", "k", (F.col("i") % F.col("k")).alias("m")).agg((F.sum(F.abs(F.col("v") - F.col("w"))) * 63 / (N * F.col("k"))).alias("l"))
+    length = a.join(v, ["vec_id", "i"]).groupBy("vec_id", "k", (F.col("i") % F.col("k")).alias("m")).agg((F.sum(F.abs(F.col("v") - F.col("w"))) * 63 / (_n() * F.col("k"))).alias("l"))
     h = length.groupBy("vec_id", "k").agg(F.log(F.avg("l") + EPS).alias("y")).withColumn("x", F.log(1.0 / F.col("k")))
     return h.groupBy("vec_id").agg(_r(F.regr_slope("y", "x")).alias("higuchi"))
 
@@ -116,7 +129,7 @@ def f_higuchi(spark, sf):
 @query(f"WITH {SAMPLES}, m AS (SELECT vec_id, median(v) AS md FROM v GROUP BY 1) SELECT v.vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(any_value(md), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(median(abs(v - md)), 6) AS mad, round(sum(v * v), 6) AS energy, round(sqrt(avg(v * v)), 6) AS rms FROM v JOIN m USING (vec_id) GROUP BY 1")
 def f_coef20(spark, sf):
     """Statistics of a coefficient vector."""
-    v = samples(spark, sf).withColumn("md", F.median("v").over(BY))
+    v = samples(spark, sf).withColumn("md", F.median("v").over(_by()))
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
     g = v.groupBy("vec_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.first("md").alias("median"), q.alias("q"), F.median(F.abs(F.col("v") - F.col("md"))).alias("mad"), F.sum(F.col("v") ** 2).alias("energy"), F.sqrt(F.avg(F.col("v") ** 2)).alias("rms"))
     return g.withColumn("iqr", F.col("q")[1] - F.col("q")[0]).select("vec_id", *[_r(c).alias(c) for c in ("mean", "std", "min", "max", "median", "iqr", "mad", "energy", "rms")])
@@ -135,20 +148,20 @@ def f_skew(spark, sf):
 
 @query(f"WITH {SAMPLES}, m AS (SELECT vec_id, median(v) AS md FROM v GROUP BY 1) SELECT vec_id, round(median(abs(v - md)), 6) AS mad FROM v JOIN m USING (vec_id) GROUP BY 1")
 def f_mad(spark, sf):
-    v = samples(spark, sf).withColumn("md", F.median("v").over(BY))
+    v = samples(spark, sf).withColumn("md", F.median("v").over(_by()))
     return v.groupBy("vec_id").agg(_r(F.median(F.abs(F.col("v") - F.col("md")))).alias("mad"))
 
 
 @query(f"WITH {SAMPLES}, b AS (SELECT vec_id, CAST(least(floor((v - min(v) OVER w) / (max(v) OVER w + 1e-12 - min(v) OVER w) * 16), 15) AS INT) AS bin FROM v WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, bin, count(*) AS n FROM b GROUP BY 1, 2")
 def f_hist(spark, sf):
-    lo, hi = F.min("v").over(BY), F.max("v").over(BY)
+    lo, hi = F.min("v").over(_by()), F.max("v").over(_by())
     b = samples(spark, sf).withColumn("bin", F.least(F.floor((F.col("v") - lo) / (hi + EPS - lo) * 16), F.lit(15)).cast("int"))
-    return b.groupBy("vec_id", "bin").agg(N.alias("n"))
+    return b.groupBy("vec_id", "bin").agg(_n().alias("n"))
 
 
 @query(f"WITH {SAMPLES}, p AS (SELECT vec_id, i, v, lag(v) OVER w AS a, lead(v) OVER w AS b, stddev_pop(v) OVER (PARTITION BY vec_id) AS sd FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY i)) SELECT vec_id, i FROM p WHERE v > a AND v > b AND v >= sd")
 def f_peaks(spark, sf):
-    p = samples(spark, sf).withColumns({"a": F.lag("v").over(ORD), "b": F.lead("v").over(ORD), "sd": F.stddev_pop("v").over(BY)})
+    p = samples(spark, sf).withColumns({"a": F.lag("v").over(_ord()), "b": F.lead("v").over(_ord()), "sd": F.stddev_pop("v").over(_by())})
     return p.filter("v > a and v > b and v >= sd").select("vec_id", "i")
 
 
@@ -166,7 +179,7 @@ _GREY = SAMPLES + ", q AS (SELECT vec_id, i, i // 8 AS r, i % 8 AS c, CAST(floor
 
 
 def _grey(spark, sf):
-    lo, hi = F.min("v").over(BY), F.max("v").over(BY)
+    lo, hi = F.min("v").over(_by()), F.max("v").over(_by())
     g = F.floor((F.col("v") - lo) / (hi - lo + EPS) * 7).cast("int")
     return samples(spark, sf).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).alias("c"), g.alias("g"), "i")
 
@@ -181,7 +194,7 @@ def f_glcm(spark, sf):
     """Co-occurrence of grey levels with the pixel to the right, both ways."""
     w = Window.partitionBy("vec_id", "r").orderBy("c")
     n = _grey(spark, sf).withColumn("b", F.lead("g").over(w)).filter("b is not null").select("vec_id", F.col("g").alias("a"), "b")
-    p = n.union(n.select("vec_id", "b", "a")).groupBy("vec_id", "a", "b").agg((N / 112.0).alias("p"))
+    p = n.union(n.select("vec_id", "b", "a")).groupBy("vec_id", "a", "b").agg((_n() / 112.0).alias("p"))
     gap = (F.col("a") - F.col("b")) ** 2
     return p.groupBy("vec_id").agg(_r(F.sum(F.col("p") * gap)).alias("contrast"), _r(F.sqrt(F.sum(F.col("p") ** 2))).alias("energy"), _r(F.sum(F.col("p") / (1 + gap))).alias("homogeneity"))
 
@@ -194,7 +207,7 @@ def f_polyfit1(spark, sf):
 @query(f"WITH {SAMPLES}, n AS (SELECT *, ntile(10) OVER (PARTITION BY vec_id ORDER BY i) AS part FROM v) SELECT vec_id, part, round(sum(v * v), 6) AS energy FROM n GROUP BY 1, 2")
 def f_split(spark, sf):
     """Energy of ten near-equal parts."""
-    n = samples(spark, sf).withColumn("part", F.ntile(10).over(ORD).cast("long"))
+    n = samples(spark, sf).withColumn("part", F.ntile(10).over(_ord()).cast("long"))
     return n.groupBy("vec_id", "part").agg(_r(F.sum(F.col("v") ** 2)).alias("energy"))
 
 
@@ -214,7 +227,7 @@ def f_san(spark, sf):
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round(sum(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM v")
 def f_conv5(spark, sf):
-    return samples(spark, sf).select("vec_id", "i", _r(F.sum("v").over(ORD.rowsBetween(-2, 2)) / 5).alias("smooth"))
+    return samples(spark, sf).select("vec_id", "i", _r(F.sum("v").over(_ord().rowsBetween(-2, 2)) / 5).alias("smooth"))
 
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round_even((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 255, 0) AS g FROM v WINDOW w AS (PARTITION BY vec_id)")
@@ -251,7 +264,7 @@ def f_dwt(spark, sf):
 def f_spatial(spark, sf):
     """Localisation of the energy of an 8 x 8 patch."""
     c = samples(spark, sf).groupBy("vec_id", F.floor(F.col("i") / 8).alias("c")).agg(F.sum(F.col("v") ** 2).alias("e"))
-    w = c.withColumns({"w": F.col("e") / (F.sum("e").over(BY) + EPS), "mx": F.max("e").over(BY)}).withColumn("m", F.sum(F.col("c") * F.col("w")).over(BY))
+    w = c.withColumns({"w": F.col("e") / (F.sum("e").over(_by()) + EPS), "mx": F.max("e").over(_by())}).withColumn("m", F.sum(F.col("c") * F.col("w")).over(_by()))
     return w.groupBy("vec_id").agg(_r(F.first("m")).alias("centroid"), _r(F.sqrt(F.sum((F.col("c") - F.col("m")) ** 2 * F.col("w")))).alias("spread"), _r(F.max("w")).alias("max_frac"), F.count_if(F.col("e") >= 0.1 * F.col("mx")).alias("active10"))
 
 
@@ -382,3 +395,39 @@ def f_hog(spark, sf):
     w = Window.partitionBy("vec_id", F.floor(F.col("i") / 8)).orderBy("i")
     g = samples(spark, sf).withColumn("g", (F.lead("v").over(w) - F.lag("v").over(w)) / 2).filter("g is not null")
     return g.groupBy("vec_id").agg(_r(F.sum(F.abs("g"))).alias("total"), F.count_if(F.col("g") > 0).alias("rising"))
+
+
+@query(f"WITH {SAMPLES}, d AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY vec_id) AS d FROM v) SELECT vec_id, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurt FROM d GROUP BY 1")
+def f_kurt(spark, sf):
+    return samples(spark, sf).groupBy("vec_id").agg(_r(F.kurtosis("v")).alias("kurt"))
+
+
+@query("SELECT k, round(k * 1000.0 / 64, 6) AS hz FROM range(0, 33) t(k)")
+def f_freqs(spark, sf):
+    """Frequencies of the bins of a 64-sample window at 1 kHz."""
+    return spark.range(33).select(F.col("id").alias("k"), _r(F.col("id") * 1000.0 / 64).alias("hz"))
+
+
+@query()
+def f_irfft(spark, sf):
+    """First cepstral coefficients."""
+    import numpy as np
+
+    return _kernel(spark, sf, lambda x: np.fft.irfft(np.log(np.abs(np.fft.rfft(x)) + EPS), len(x))[1:9])
+
+
+@query()
+def f_prep(spark, sf):
+    """Channels of a patch, each without mean, band-passed and scaled."""
+    from ..functions import dsp
+
+    return _kernel(spark, sf, lambda x: dsp.preprocess(x.reshape(4, -1), 10_000.0)[:, :16])
+
+
+@query()
+def f_sos(spark, sf):
+    """Sections of the band-pass at the two sampling rates."""
+    from ..functions import dsp
+
+    rows = [(fs, i, *map(float, s)) for fs in (10_000.0, 20_000.0) for i, s in enumerate(dsp.bandpass(fs))]
+    return spark.createDataFrame(rows, "fs double, section int, gain double, a1 double, a2 double")
