@@ -5,10 +5,14 @@
 2. Documents with equal sets are one class from here on.  Each bucket links its members to its least
    member only, so a bucket of n classes costs n - 1 candidate edges.
 3. Edges are confirmed on full sets.  Confirmed edges give components.
-4. A star whose members are still in several components may hide links between members.  For those, the
-   members' prefixes (the least n - ceil(t n) + 1 shingles; two sets with similarity t share one of them)
-   in the order "not in the centre's set first, then by hash" are matched; only pairs across components
-   meet, and they are confirmed on full sets.  So no link that the buckets hold is lost.
+4. A star whose members are still in several components may hide links between members.  It is tested
+   again around the member that is most like its centre, as that one tends to be what all are copies of.
+5. What is left is exact by differences.  Of a member x with regard to the centre c only what x lacks of
+   c and what it adds matters: two members share n_c - lack(x) - lack(y) shingles for sure, and one more
+   for each element that their differences share.  So a link between members that aren't both linked to c
+   needs a number of shared elements that follows from sizes alone.  Differences are matched by prefix
+   (the rarest elements of the star first), only across components and where that number can be reached;
+   the pairs are confirmed on full sets.  So no link that the buckets hold is lost.
 
 A pair at the threshold misses all buckets with a probability below 1e-7 (see ``bands_for``).
 
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -164,48 +168,73 @@ def _sets(k: int, seed: int):
 
 
 # ---------------------------------------------------------------- confirmation
-def _confirm(percent: int, prefixes: bool):
-    """Exact similarity of (u, v); with ``prefixes``, v's prefix in the order of the centre u."""
+def _confirm(percent: int, differences: bool):
+    """Exact similarity of (u, v); with ``differences``, what v adds to the centre u and what it lacks."""
 
     def run(batches):
         last, centre = None, None
         for b in batches:
             us, vs, cs, xs = (b.column(c) for c in ("u", "v", "u_grams", "v_grams"))
-            linked, prefix = [], []
-            ul = us.to_pylist()
-            for i, u in enumerate(ul):
+            un, vn, shared, linked, parts = [], [], [], [], []
+            for i, u in enumerate(us.to_pylist()):
                 if u != last or centre is None:
                     last, centre = u, np.frombuffer(cs[i].as_buffer(), np.uint64)
                 x = np.frombuffer(xs[i].as_buffer(), np.uint64)
-                if len(centre) <= 0:
-                    inside = np.zeros(len(x), bool)
-                else:
-                    where = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
-                    inside = centre[where] == x
+                where = np.searchsorted(centre, x)
+                inside = centre[np.minimum(where, len(centre) - 1)] == x
                 common = int(inside.sum())
-                linked.append(100 * common >= percent * (len(x) + len(centre) - common))
-                if prefixes:
-                    p = len(x) - (percent * len(x) + 99) // 100 + 1
-                    prefix.append(np.concatenate([x[~inside][:p], x[inside][: max(0, p - (len(x) - common))]]).view(np.int64))
-            out = [us, vs, pa.array(linked, pa.bool_())]
-            if prefixes:
-                lengths = np.fromiter(map(len, prefix), np.int32, len(prefix))
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays(out, names=["u", "v", "linked", "prefix"][: len(out)])
+                both = len(x) + len(centre)
+                un.append(len(centre))
+                vn.append(len(x))
+                shared.append(common)
+                linked.append(100 * common >= percent * (both - common))
+                if differences:
+                    lack = np.ones(len(centre), bool)
+                    lack[where[inside]] = False
+                    parts.append(np.concatenate([x[~inside], centre[lack]]).view(np.int64))
+            out = [us, vs, *(pa.array(c, pa.int64()) for c in (un, vn, shared)), pa.array(linked, pa.bool_())]
+            if differences:
+                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays(out, names=["u", "v", "un", "vn", "common", "linked", "diff"][: len(out)])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, prefixes: bool) -> DataFrame:
-    """The exact test over ``pairs`` (u, v); sizes that rule a link out are dropped before sets travel, unless prefixes are asked for."""
-    size = sets.select("node", "n")
-    if not prefixes:
-        pairs = pairs.join(size.withColumnRenamed("node", "u").withColumnRenamed("n", "un"), "u").join(size.withColumnRenamed("node", "v").withColumnRenamed("n", "vn"), "v")
-        pairs = pairs.filter(F.lit(100) * F.least("un", "vn") >= F.lit(percent) * F.greatest("un", "vn")).select("u", "v")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """The exact test over ``pairs`` (u, v)."""
     full = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("v_grams")), "v").join(sets.select(F.col("node").alias("u"), F.col("grams").alias("u_grams")), "u")
-    schema = "u long, v long, linked boolean" + ", prefix array<long>" * prefixes
-    return full.select("u", "v", "u_grams", "v_grams").mapInArrow(_confirm(percent, prefixes), schema)
+    schema = "u long, v long, un long, vn long, common long, linked boolean" + ", diff array<long>" * differences
+    return full.select("u", "v", "u_grams", "v_grams").mapInArrow(_confirm(percent, differences), schema)
+
+
+def _spanning(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The stars of ``edges`` (u, v, ...) whose members are in several components, with each member's label."""
+    a, b = labels.select(F.col("node").alias("v"), F.col("label").alias("vl")), labels.select(F.col("node").alias("u"), F.col("label").alias("ul"))
+    placed = edges.join(a, "v", "left").join(b, "u", "left").withColumns({"label": F.coalesce("vl", "v"), "centre": F.coalesce("ul", "u")}).drop("vl", "ul")
+    several = placed.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("u")  # the centre is tested with all
+    return placed.join(several, "u", "left_semi")
+
+
+def _across(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) across components whose differences may share enough elements."""
+    # A partner shares at least this many elements of v's difference, however good it is.
+    short = F.lit(percent) * (F.col("un") + F.col("vn")) - F.lit(100 + percent) * F.col("common")
+    least = F.greatest(F.lit(1), F.ceil(short / 100))
+    sides = stars.select(
+        "u", "v", "label", "vn", (F.col("un") - F.col("common")).alias("lack"), (F.col("vn") - F.col("common")).alias("adds"), "un", least.alias("least"), F.explode("diff").alias("gram")
+    ).withColumn("key", F.xxhash64("u", "gram")).drop("gram")
+    seen = sides.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    order = F.row_number().over(Window.partitionBy("u", "v").orderBy("df", "key")) - 1
+    sides = sides.join(seen, "key").withColumn("pos", order).filter((F.col("lo") < F.col("hi")) & (F.col("pos") <= F.col("lack") + F.col("adds") - F.col("least"))).drop("u")
+    x, y = (sides.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("v", "label", "vn", "lack", "adds", "un", "pos")]) for k in "xy")
+    # Elements that the two differences must share: a link needs percent / (100 + percent) of both sizes in common.
+    need = F.ceil(F.lit(percent) * (F.col("vn_x") + F.col("vn_y")) / (100 + percent)) - (F.col("un_x") - F.col("lack_x") - F.col("lack_y"))
+    reach = F.least("lack_x", "lack_y") + F.least("adds_x", "adds_y")
+    can = (F.col("label_x") < F.col("label_y")) & (need <= reach)
+    can &= (F.col("pos_x") <= F.col("lack_x") + F.col("adds_x") - need) & (F.col("pos_y") <= F.col("lack_y") + F.col("adds_y") - need)
+    both = x.join(y, (x["key"] == y["key"]) & can)
+    return both.select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v")).distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -239,22 +268,23 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     few = needed.count() <= BROADCAST_NEEDED
     sets = texts.join(F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("i"), "left_semi").mapInArrow(_sets(shingle, seed), "node long, n long, grams binary")
     sets = scratch.table(sets, free=True)
-    tested = scratch.table(_confirmed(stars, sets, percent, prefixes=True), free=True)
+    tested = scratch.table(_confirmed(stars, sets, percent), free=True)
     links = tested.filter("linked").select("u", "v")
+    labels = connected(links, scratch)
 
-    # Stars that span several components: match members across components by prefix.
+    # Stars that span several components, once more around the member most like the centre.
+    open_ = scratch.table(_spanning(tested, labels).select("u", "v", "common", "un", "vn"))
+    like = F.struct(F.col("common") / (F.col("un") + F.col("vn") - F.col("common")), F.col("v"))
+    hubs = open_.groupBy("u").agg(F.max_by("v", like).alias("hub"))
+    around = open_.select("u", "v").union(hubs.select("u", F.col("u").alias("v"))).join(hubs, "u").filter("v <> hub")
+    around = around.select(F.col("hub").alias("u"), "v").distinct()
+    again = scratch.table(_confirmed(around, sets, percent, differences=True), free=True)
+    links = scratch.table(links.union(again.filter("linked").select("u", "v")))
     labels = connected(links, scratch)
-    a, b = labels.select(F.col("node").alias("v"), F.col("label").alias("vl")), labels.select(F.col("node").alias("u"), F.col("label").alias("ul"))
-    placed = tested.join(a, "v", "left").join(b, "u", "left")
-    placed = placed.select("u", "v", "prefix", F.coalesce("vl", "v").alias("label"), F.coalesce("ul", "u").alias("centre"))
-    several = placed.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("u")  # the centre is tested with all
-    keyed = placed.join(several, "u", "left_semi").select("u", "v", "label", F.explode("prefix").alias("gram"))
-    keyed = scratch.table(keyed.select(F.xxhash64("u", "gram").alias("key"), "v", "label").distinct(), free=True)
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    keyed = scratch.table(keyed.join(mixed, "key", "left_semi"))
-    x, y = keyed.select("key", F.col("v").alias("u"), F.col("label").alias("ul")), keyed.select("key", "v", F.col("label").alias("vl"))
-    across = x.join(y, "key").filter("ul < vl").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = scratch.table(_confirmed(across, sets, percent, prefixes=False).filter("linked").select("u", "v"), free=True)
+
+    # What is left: members across components, by the differences they share.
+    across = _across(scratch.table(_spanning(again, labels)), percent)
+    more = scratch.table(_confirmed(across, sets, percent).filter("linked").select("u", "v"), free=True)
     if not more.isEmpty():
         labels = connected(links.union(more), scratch)
 
