@@ -8,9 +8,10 @@ starts in a document with a smaller doc_id; windows are judged on the input.
    Equal windows have equal minimisers, so only windows with a shared one can recur.
 3. Those windows are hashed and counted: a window that occurs in two documents recurs.  Runs of them in
    the first document that holds them are the recurring passages, as words, not hashes.
-4. Documents are dealt over shards.  A shard gets the passages that lead to it, compiles their windows
-   into Aho-Corasick automata over word numbers (at most ``PATTERNS`` at a time) and streams its documents
-   through them.  A hit is an exact equality of words, so a hash collision can't remove anything.
+4. Documents are dealt over shards.  A shard gets the passages that lead to it, compiles the phrases of
+   them that its documents may repeat into Aho-Corasick automata over word numbers (``NODES`` words at a
+   time) and streams its documents through them to locate every occurrence.  A hit is an exact equality
+   of words, so a hash collision can't remove anything.
 
 Defined results
 * null text: no words.  Fewer words than a window: nothing is removed.
@@ -39,8 +40,8 @@ from .words import gram_hashes, text_slices, word_hashes, word_spans
 ANCHOR = 5
 #: Text bytes of a shard.
 SHARD_BYTES = 8 << 20
-#: Windows that one automaton holds (about 1 KB each).
-PATTERNS = 150_000
+#: Words that one automaton holds, over all its phrases (about 100 bytes each).
+NODES = 2_000_000
 #: Rows (about 50 bytes each) up to which a list of ids is broadcast; beyond, it is joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -141,40 +142,77 @@ def _passages(width: int):
     return run
 
 
+def _phrases(docs: pd.DataFrame, passages: pd.DataFrame, width: int) -> list[tuple[int, int, int]]:
+    """(passage, first word, words) of the longest stretches of passages that the documents may repeat.
+
+    Stretches are found by window hashes; whether a document really holds one is for the automata to say.
+    """
+    grams, owner, place = [], [], []
+    for row, raw, offsets in text_slices(pa.array(passages["words"], pa.string())):
+        starts, ends, first = word_spans(raw, offsets)
+        g, at = gram_hashes(word_hashes(raw, starts, ends), first, width)
+        d = np.searchsorted(first, at, side="right") - 1
+        grams.append(g)
+        owner.append(row + d)
+        place.append(at - first[d])
+    keys, where = np.unique(np.concatenate(grams), return_index=True)
+    owner, place = np.concatenate(owner)[where], np.concatenate(place)[where]
+    source, ids = passages["first"].to_numpy(np.int64), docs["doc_id"].to_numpy(np.int64)
+    found: set[tuple[int, int, int]] = set()
+    for row, raw, offsets in text_slices(pa.array(docs["text"], pa.string())):
+        starts, ends, first = word_spans(raw, offsets)
+        g, at = gram_hashes(word_hashes(raw, starts, ends), first, width)
+        d = np.searchsorted(first, at, side="right") - 1
+        j = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        hit = np.flatnonzero((keys[j] == g) & (source[owner[j]] < ids[row + d]))
+        if not len(hit):
+            continue
+        at, d, o, i = at[hit], d[hit], owner[j[hit]], place[j[hit]]
+        cut = np.ones(len(hit), bool)
+        cut[1:] = (np.diff(at) != 1) | (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(i) != 1)
+        s = np.flatnonzero(cut)
+        n = np.diff(np.append(s, len(hit)))
+        found.update(zip(o[s].tolist(), i[s].tolist(), (n + width - 1).tolist(), strict=True))
+    return sorted(found)
+
+
 def _locate(width: int):
-    """Stream the shard's documents through the automata of its passages."""
+    """Stream the shard's documents through the automata of its phrases."""
 
     def run(docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if len(docs) and len(passages):
+        phrases = _phrases(docs, passages, width) if len(docs) and len(passages) else []
+        if phrases:
             number: dict[bytes, int] = {}
-            texts = [[number.setdefault(w, len(number) + 1) for w in p.encode().split()] for p in passages["words"]]
-            streams = [tuple(number.get(w, 0) for w in (t or "").encode().split()) for t in docs["text"]]
-            ids = docs["doc_id"].to_numpy()
+            used = {p for p, _, _ in phrases}
+            words = passages["words"].to_numpy()
+            texts = {p: [number.setdefault(w, len(number) + 1) for w in words[p].encode().split()] for p in used}
+            streams = [tuple([number.get(w, 0) for w in (t or "").encode().split()]) for t in docs["text"]]
+            ids, source = docs["doc_id"].to_numpy(), passages["first"].to_numpy()
             marks = [np.zeros(len(s) + 1, np.int64) for s in streams]
 
-            def stream(automaton):
+            def stream(automaton, held):
                 automaton.make_automaton()
-                for d, words in enumerate(streams):
-                    if len(words) >= width:
+                for d, stream_words in enumerate(streams):
+                    if len(stream_words) >= width:
                         own, mark = ids[d], marks[d]
-                        for end, source in automaton.iter(words):
-                            if source < own:
-                                mark[end - width + 1] += 1
+                        for end, k in automaton.iter(stream_words):
+                            first, n = held[k]
+                            if first < own:
+                                mark[end - n + 1] += 1
                                 mark[end + 1] -= 1
 
             new = lambda: ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            automaton, held = new(), 0
-            for source, words in zip(passages["first"], texts, strict=True):
-                for i in range(len(words) - width + 1):
-                    key = tuple(words[i : i + width])
-                    automaton.add_word(key, int(source))
-                    held += 1
-                    if held == PATTERNS:
-                        stream(automaton)
-                        automaton, held = new(), 0
+            automaton, held, size = new(), [], 0
+            for p, i, n in phrases:
+                automaton.add_word(tuple(texts[p][i : i + n]), len(held))
+                held.append((source[p], n))
+                size += n
+                if size >= NODES:
+                    stream(automaton, held)
+                    automaton, held, size = new(), [], 0
             if held:
-                stream(automaton)
+                stream(automaton, held)
             for d, mark in enumerate(marks):
                 covered = np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]])
                 step = np.flatnonzero(np.diff(covered.astype(np.int8)))
