@@ -174,12 +174,12 @@ for _s in ("none", "smote", "borderline_smote", "smote_tomek"):
 
 
 # ---------------------------------------------------------------- models
-for _m, _n in (("logistic", "mdl_lr"), ("tree", "mdl_dt"), ("forest", "mdl_rf"), ("extra_trees", "mdl_et"), ("boosting", "mdl_gbt"), ("perceptron", "mdl_mlp")):
+for _m, _name in (("logistic", "mdl_lr"), ("tree", "mdl_dt"), ("forest", "mdl_rf"), ("extra_trees", "mdl_et"), ("boosting", "mdl_gbt"), ("perceptron", "mdl_mlp")):
     def _model(spark, sf, m=_m):
         r = small(spark, sf)
         return models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), m)[0].select("id", "y_true", "y_pred")
 
-    _register(_n, _model, f"Predictions of the {_m} model.")
+    _register(_name, _model, f"Predictions of the {_m} model.")
 
 
 @query()
