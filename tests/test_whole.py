@@ -12,3 +12,17 @@ def test_balancing_gives_class_sizes(spark, name):
     got = {r["y"]: r["n"] for r in __spark_entry__.queries()[name](spark, SF).collect()}
     labels = {r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}
     assert set(got) == labels and min(got.values()) > 0
+
+
+@pytest.mark.parametrize("name", ["mdl_dt", "mdl_cnn1d"])
+def test_models_predict_every_label(spark, name):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    test = rows.filter("vec_id % 10 >= 8")
+    got = __spark_entry__.queries()[name](spark, SF).collect()
+    assert sorted(r["id"] for r in got) == sorted(r["vec_id"] for r in test.collect())
+    assert {r["y_true"] for r in got} == {str(r["label"]) for r in test.collect()}
+
+
+@pytest.mark.parametrize("name", ["fs_mrmr", "fs_shap"])
+def test_selectors_score_every_feature(spark, name):
+    assert {r["feature"] for r in __spark_entry__.queries()[name](spark, SF).collect()} == set(range(64))

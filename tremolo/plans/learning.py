@@ -31,10 +31,9 @@ def labelled(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("features"), (F.col("vec_id") % 20).alias("group"))
 
 
-def small(spark, sf) -> DataFrame:
-    """The first 12 features of labels 0 to 3, with a split."""
-    rows = labelled(spark, sf).filter("y < 4").withColumn("features", F.slice("features", 1, 12))
-    return rows.withColumn("split", F.when(F.col("id") % 10 < 7, "train").when(F.col("id") % 10 < 8, "val").otherwise("test"))
+def divided(spark, sf) -> DataFrame:
+    """All rows and features, with a split."""
+    return labelled(spark, sf).withColumn("split", F.when(F.col("id") % 10 < 7, "train").when(F.col("id") % 10 < 8, "val").otherwise("test"))
 
 
 # ---------------------------------------------------------------- selection
@@ -105,17 +104,17 @@ def _register(name: str, f, doc: str) -> None:
 for _m in ("relieff", "mrmr", "rfe", "boruta", "importance"):
     _register(
         {"importance": "fs_shap"}.get(_m, f"fs_{_m}"),
-        lambda spark, sf, m=_m: selection.SCORERS[m](small(spark, sf).select("id", "y", "features")), f"Scores of {_m} over twelve features.",
+        lambda spark, sf, m=_m: selection.SCORERS[m](divided(spark, sf).select("id", "y", "features")), f"Scores of {_m} over all features.",
     )
 
 
 @query()
 def fs_curve(spark, sf):
     """Scores of growing prefixes of the ranking."""
-    rows = small(spark, sf)
+    rows = divided(spark, sf)
     rank = [r["feature"] for r in selection.pearson(rows).orderBy(F.desc(F.round("score", 9)), "feature").collect()]
     out = None
-    for k in (2, 6, 12):
+    for k in (2, 6, 12, len(rank)):
         pick = F.array(*map(F.lit, rank[:k]))
         r = rows.withColumn("features", F.transform(pick, lambda i: F.get("features", i)))
         pred, _ = models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "tree")
@@ -127,7 +126,7 @@ def fs_curve(spark, sf):
 @query()
 def fs_bias(spark, sf):
     """Grouped folds with features picked once on all rows, and anew inside each fold."""
-    rows = small(spark, sf).select("id", "y", "features", "group")
+    rows = divided(spark, sf).select("id", "y", "features", "group")
 
     def pick(d):
         return [r["feature"] for r in selection.pearson(d).orderBy(F.desc(F.round("score", 9)), "feature").limit(6).collect()]
@@ -176,7 +175,7 @@ for _s in ("none", "smote", "borderline_smote", "smote_tomek"):
 # ---------------------------------------------------------------- models
 for _m, _name in (("logistic", "mdl_lr"), ("tree", "mdl_dt"), ("forest", "mdl_rf"), ("extra_trees", "mdl_et"), ("boosting", "mdl_gbt"), ("perceptron", "mdl_mlp")):
     def _model(spark, sf, m=_m):
-        r = small(spark, sf)
+        r = divided(spark, sf)
         return models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), m)[0].select("id", "y_true", "y_pred")
 
     _register(_name, _model, f"Predictions of the {_m} model.")
@@ -185,34 +184,34 @@ for _m, _name in (("logistic", "mdl_lr"), ("tree", "mdl_dt"), ("forest", "mdl_rf
 @query()
 def mdl_weight(spark, sf):
     """A model with inverse-frequency weights."""
-    r = small(spark, sf)
+    r = divided(spark, sf)
     return evaluation.scores(models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic", "class_weight")[0])
 
 
 @query()
 def mdl_bench(spark, sf):
     """Model x strategy grid, scored on val and test."""
-    return models.benchmark(small(spark, sf).drop("group"), ("logistic", "tree"), ("none", "undersample"))
+    return models.benchmark(divided(spark, sf).drop("group"), ("logistic", "tree"), ("none", "undersample"))
 
 
 @query()
 def mdl_cv(spark, sf):
-    return models.grouped_cv(small(spark, sf).drop("split"), "group", "tree", n=3)
+    return models.grouped_cv(divided(spark, sf).drop("split"), "group", "tree", n=3)
 
 
 @query()
 def mdl_imp(spark, sf):
     """Feature importances of a fitted tree."""
-    model, _ = models.fit(small(spark, sf).filter("split = 'train'"), "tree")
+    model, _ = models.fit(divided(spark, sf).filter("split = 'train'"), "tree")
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.stages[-1].featureImportances.toArray())], "feature int, importance double")
 
 
 @query()
 def mdl_ablate(spark, sf):
     """Leave one domain (of three blocks of features) out."""
-    rows, out = small(spark, sf), None
-    for d, (lo, hi) in {"none": (12, 12), "first": (0, 4), "second": (4, 8), "third": (8, 12)}.items():
-        keep = F.array(*[F.lit(i) for i in range(12) if not lo <= i < hi])
+    rows, out = divided(spark, sf), None
+    for d, (lo, hi) in {"none": (64, 64), "first": (0, 21), "second": (21, 42), "third": (42, 64)}.items():
+        keep = F.array(*[F.lit(i) for i in range(64) if not lo <= i < hi])
         r = rows.withColumn("features", F.transform(keep, lambda i: F.get("features", i)))
         row = evaluation.scores(models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic")[0]).select(F.lit(d).alias("left_out"), "*")
         out = row if out is None else out.union(row)
@@ -222,14 +221,14 @@ def mdl_ablate(spark, sf):
 @query()
 def mdl_transfer(spark, sf):
     """Train on one half of the groups, test on the other."""
-    r = small(spark, sf)
+    r = divided(spark, sf)
     return evaluation.scores(models.fit_predict(r.filter("group < 10"), r.filter("group >= 10"), "logistic")[0])
 
 
 @query()
 def mdl_probe(spark, sf):
     """How well the group (of four) can be told from the features, above chance."""
-    r = small(spark, sf).withColumn("y", F.col("group") % 4)
+    r = divided(spark, sf).withColumn("y", F.col("group") % 4)
     pred, _ = models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic")
     return evaluation.scores(pred).select("accuracy").crossJoin(balancing.majority(r))
 
@@ -353,7 +352,7 @@ def smp_seeded(spark, sf):
 @query()
 def bal_pipe(spark, sf):
     """Scaler, sampler and classifier: the sampler sees training rows only, so every test row is predicted once."""
-    r = small(spark, sf)
+    r = divided(spark, sf)
     pred, _ = models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic", "smote")
     return pred.select("id", "y_true", "y_pred")
 
@@ -361,7 +360,7 @@ def bal_pipe(spark, sf):
 @query()
 def mdl_fitpred(spark, sf):
     """Metrics of one fit on val and test."""
-    r = small(spark, sf)
+    r = divided(spark, sf)
     model, labels = models.fit(r.filter("split = 'train'"), "tree")
     out = None
     for s in ("val", "test"):
@@ -375,7 +374,7 @@ def mdl_fssens(spark, sf):
     """Scores under alternative sampling rates: features of resampled windows."""
     out = None
     for step in (1, 2):
-        r = small(spark, sf).withColumn("features", _every("features", step))
+        r = divided(spark, sf).withColumn("features", _every("features", step))
         row = evaluation.scores(models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic")[0]).select(F.lit(step).alias("step"), "*")
         out = row if out is None else out.union(row)
     return out
@@ -391,9 +390,9 @@ def mdl_cnn1d(spark, sf):
 
     def run(batches):
         for b in batches:
-            x = [baselines.redundant_spectrum(np.array(v), 10_000.0)[:96].astype(float) for v in b.column("features").to_pylist()]
+            x = [baselines.redundant_spectrum(np.array(v), 10_000.0).astype(float) for v in b.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "features"])
 
-    r = labelled(spark, sf).filter("y < 4").select("id", "y", "features").mapInArrow(run, "id long, y int, features array<double>")
+    r = labelled(spark, sf).select("id", "y", "features").mapInArrow(run, "id long, y int, features array<double>")
     pred, _ = models.fit_predict(r.filter("id % 10 < 8"), r.filter("id % 10 >= 8"), "perceptron")
     return pred.select("id", "y_true", "y_pred")
