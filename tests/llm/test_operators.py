@@ -217,6 +217,88 @@ def test_pack_mixture(spark):
     assert sequence_sizes(2 * 1024 + 700, 1024) == [1024, 1024, 512, 128, 32, 16, 8, 4]
 
 
+def test_pack_weights(spark):
+    """Given weights, windows hold them until a source runs out; deficits go on over groups and no id is lost."""
+    import random
+
+    import tremolo.llm.packing as packing
+
+    r = random.Random(4)
+    table = [(i, brute.prose(r, 300), None, "big" if i % 4 else "small", 1) for i in range(80)]
+    spec, whole = catalogue.tokenizer_spec(), packing.GROUP_IDS
+    packing.GROUP_IDS = 1 << 13
+    try:
+        p = pack(brute.table(spark, table), spec, weights={"big": 1, "small": 1}).collect()
+    finally:
+        packing.GROUP_IDS = whole
+    source = {i: s for i, _, _, s, _ in table}
+    size = {s: sum(x.length for x in p if source[x.doc_id] == s) for s in ("big", "small")}
+    assert size["big"] + size["small"] == sum({x.doc_id: x.doc_tokens for x in p}.values())
+    groups = sorted({x.sequence_id >> 32 for x in p})
+    assert len(groups) > 3
+    seen = Counter()
+    for g in groups:
+        for x in p:
+            if x.sequence_id >> 32 == g:
+                seen[source[x.doc_id]] += x.length
+        both = sum(seen.values()) / 2
+        assert abs(seen["small"] - min(both, size["small"])) <= 2 * packing.QUANTUM + 1
+    with pytest.raises(ValueError, match="every source"):
+        pack(brute.table(spark, table), spec, weights={"big": 1})
+
+
+def test_schedule():
+    from tremolo.llm.packing import Schedule
+
+    s = Schedule([100, 30], [1.0, 1.0])
+    assert s.given.tolist() == [0, 60, 130] and s.all_by(np.array([10.0, 40.0, 100.0])).tolist() == [20, 70, 130] and s.time_of(70) == 40
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces give what whole texts give: words, hashes, n-gram counts, token ids."""
+    import pyarrow as pa
+    import tremolo.llm.bpe as bpe
+    import tremolo.llm.language_id as lang
+    import tremolo.llm.words as words
+
+    r = np.random.default_rng(2)
+    texts = ["".join(r.choice(list("abc def GHI é È\t\n'sß "), n)) for n in (0, 5, 3000, 700, 9000)] + ["z" * 4000 + " end", " " * 3000]
+    column = pa.array([*texts, None])
+
+    def everything():
+        out = []
+        for row, raw, at in words.text_slices(column):
+            s, e, first = words.word_spans(raw, at)
+            h = words.word_hashes(raw, s, e)
+            out += [h[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+        grams = np.concatenate([lang._counts(raw, at) for _, raw, at in words.text_slices(column)])
+        ids = [i[a:b].tolist() for _, i, at in bpe.Encoder(catalogue.tokenizer_spec()).ids(column) for a, b in zip(at[:-1], at[1:])]
+        return out, grams.tolist(), ids
+
+    whole = everything()
+    for step in (64, 500):
+        words._POWERS.clear()
+        monkeypatch.setattr(words, "STEP_BYTES", step)
+        monkeypatch.setattr(lang, "STEP_BYTES", step)
+        monkeypatch.setattr(bpe, "_STEP", step)
+        assert everything() == whole
+    words._POWERS.clear()
+
+
+def test_language_columns_that_clash(spark):
+    t = spark.createDataFrame([(i, "the of and that" if i % 2 else "der die und das", "en" if i % 2 else "de", "a", "b", "c") for i in range(40)], "doc_id long, text string, lang string, _text string, _lang_text string, lang_pred string")
+    got = identify(t)
+    assert [c for c in got.columns if c.startswith("_")] == ["_text", "_lang_text"] and {r["_text"] for r in got.collect()} == {"a"}
+
+
+def test_language_no_cap_on_languages(spark):
+    """More languages than the sample has rows: all are learned."""
+    from tremolo.llm.language_id import fit
+
+    table = [(i * 10 + j, f"text {i} " * 5, f"z{i}" if i % 2 else ["en", "de", "nl", "sv"][i // 2 % 4], "s", 1) for i in range(160) for j in range(4)]
+    assert len(fit(brute.table(spark, table), max_sample=35).langs) == 84
+
+
 def test_language(docs, none):
     got = identify(docs).select("doc_id", "text", "lang_pred", "score").collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)

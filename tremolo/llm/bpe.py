@@ -16,7 +16,9 @@ import pyarrow as pa
 from .words import text_slices, word_hashes
 
 #: Distinct pre-tokens that a worker remembers (about 40 bytes each) before it starts afresh.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
+#: Text bytes that one step takes; each costs about 60 bytes of working memory.
+_STEP = 1 << 19
 #: Code points below this, and general punctuation, are split here.
 _LATIN = 0x250
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER, _FOREIGN = range(6)
@@ -76,6 +78,21 @@ def pretokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(at_byte[first], len(raw)), np.searchsorted(first, bounds), foreign
 
 
+def pieces(raw: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts of a long text before single spaces between letters of ASCII, about _STEP apart."""
+    letter = lambda x: (x | 0x20 >= 97) & (x | 0x20 <= 122)
+    cuts, at = [0], _STEP
+    while at < len(raw) - 1:
+        part = raw[at - 1 : at + _STEP]
+        found = np.flatnonzero(letter(part[:-2]) & (part[1:-1] == 0x20) & letter(part[2:]))
+        if len(found):
+            cuts.append(at + int(found[0]))
+            at = cuts[-1] + _STEP
+        else:
+            at += len(part) - 2 if len(part) > 2 else 1
+    return list(zip(cuts, [*cuts[1:], len(raw)], strict=True))
+
+
 class Encoder:
     """Ids of texts; keeps the ids of the pre-tokens it has met."""
 
@@ -113,36 +130,48 @@ class Encoder:
 
     def ids(self, column: pa.Array, end: int = 0):
         """(first row, ids, offsets) of slices of the column: ids of consecutive texts, each closed by ``end``."""
-        for row, raw, offsets in text_slices(column):
-            edges, first, foreign = pretokens(raw, offsets)
-            keys = word_hashes(raw, edges[:-1], edges[1:], seed=1)
-            if len(self.keys) > CACHE_WORDS:
-                self._clear()
-            self.pool[0] = end
-            keep = ~np.repeat(foreign, np.diff(first))
-            distinct, sample, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            used = np.zeros(len(distinct), bool)
-            used[inverse[keep]] = True
-            where = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-            new = used & ((self.keys[where] != distinct) if len(self.keys) else True)
-            if new.any():
-                blob = raw.tobytes()
-                self._learn(distinct[new], [blob[edges[i] : edges[i + 1]].decode() for i in sample[new]])
-            where = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-            at = self.at[where][inverse] if len(distinct) else np.zeros(0, np.int64)
-            length = np.where(keep, self.length[where][inverse], 0) if len(distinct) else np.zeros(0, np.int64)
-            at, length = np.insert(at, first[1:], 0), np.insert(length, first[1:], 1)  # the end of each document
-            total = np.cumsum(length)
-            ids = self.pool[np.repeat(at - (total - length), length) + np.arange(int(total[-1]))] if len(total) else np.zeros(0, np.uint32)
-            ends = total[first[1:] + np.arange(len(first) - 1)]
-            out = np.concatenate([[0], ends])
-            if foreign.any():
-                blob, parts = raw.tobytes(), []
-                for d in range(len(foreign)):
-                    if foreign[d]:
-                        whole = self._encode([blob[offsets[d] : offsets[d + 1]].decode()])[0]
-                        parts.append(np.array([*whole, end], np.uint32))
-                    else:
-                        parts.append(ids[out[d] : out[d + 1]])
-                ids, out = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            yield row, ids, out
+        for row, raw, offsets in text_slices(column, _STEP):
+            if len(raw) <= 2 * _STEP:
+                yield row, *self._ids(raw, offsets, end)
+                continue
+            # One long text, in pieces: a single space between inks begins a pre-token.
+            parts = []
+            for lo, hi in pieces(raw):
+                parts.append(self._ids(raw[lo:hi], np.array([0, hi - lo]), end)[0][:-1])
+            parts.append(np.array([end], np.uint32))
+            whole = np.concatenate(parts)
+            yield row, whole, np.array([0, len(whole)])
+
+    def _ids(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        edges, first, foreign = pretokens(raw, offsets)
+        keys = word_hashes(raw, edges[:-1], edges[1:], seed=1)
+        if len(self.keys) > CACHE_WORDS:
+            self._clear()
+        self.pool[0] = end
+        keep = ~np.repeat(foreign, np.diff(first))
+        distinct, sample, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        used = np.zeros(len(distinct), bool)
+        used[inverse[keep]] = True
+        where = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = used & ((self.keys[where] != distinct) if len(self.keys) else True)
+        if new.any():
+            blob = raw.tobytes()
+            self._learn(distinct[new], [blob[edges[i] : edges[i + 1]].decode() for i in sample[new]])
+        where = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        at = self.at[where][inverse] if len(distinct) else np.zeros(0, np.int64)
+        length = np.where(keep, self.length[where][inverse], 0) if len(distinct) else np.zeros(0, np.int64)
+        at, length = np.insert(at, first[1:], 0), np.insert(length, first[1:], 1)  # the end of each document
+        total = np.cumsum(length)
+        ids = self.pool[np.repeat(at - (total - length), length) + np.arange(int(total[-1]))] if len(total) else np.zeros(0, np.uint32)
+        ends = total[first[1:] + np.arange(len(first) - 1)]
+        out = np.concatenate([[0], ends])
+        if foreign.any():
+            blob, parts = raw.tobytes(), []
+            for d in range(len(foreign)):
+                if foreign[d]:
+                    whole = self._encode([blob[offsets[d] : offsets[d + 1]].decode()])[0]
+                    parts.append(np.array([*whole, end], np.uint32))
+                else:
+                    parts.append(ids[out[d] : out[d + 1]])
+            ids, out = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, out

@@ -4,15 +4,18 @@ Level 1 predicts the language family with one-versus-rest linear support vector
 the closely related languages inside that family apart with one-versus-one machines.  Features are hashed
 byte n-grams (1 to 4, lower case, non-letters as one space) of the whole text.
 
-The machines are fitted on a bounded sample of labelled rows (``max_sample``, dealt evenly over the
-languages in the order of a hash of the id); prediction reads nothing but the text.
+The machines are fitted on a bounded sample of labelled rows (``max_sample`` or one for each language,
+dealt evenly over the languages in the order of a hash of the id), each machine by a Spark task over the
+broadcast sample; prediction reads nothing but the text.  All labelled languages are learned.
 
 Defined results
 * null text, or a text without a letter: ``und`` with score 1.0.
 * null lang: not learned from.  Null doc_id: not learned from, ``held_out`` false, predicted like any other.
 * no labelled row: every text with a letter is ``und`` with score 0.0.  One language: that one.
 * ties between languages: the larger sum of margins, then the first by code point.
-* repeated rows are predicted one by one; no rows give no rows; extra columns are not read.
+* rows that repeat a doc_id and lang count once in the sample, with the least text; all rows are predicted one by one.
+* no rows give no rows; extra columns pass through unread (lang_pred and score are replaced).
+* very long texts are counted in pieces; a task holds the text itself about three times.
 """
 
 from __future__ import annotations
@@ -24,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .words import text_slices
+from .scratch import Scratch, fresh
+from .words import STEP_BYTES, text_slices
 
-#: Labelled documents that the machines are fitted on, at most.
+#: Labelled documents that the machines are fitted on, at most (one for each language if there are more languages).
 MAX_SAMPLE = 3000
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 64
 #: Hash buckets of the n-grams.
 DIMENSIONS = 1 << 12
 #: Texts that are counted in one step.
@@ -66,30 +67,50 @@ _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
-def _counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows: texts; columns: hashed n-gram counts."""
+def _folded(raw: np.ndarray, before: int = 0x20) -> np.ndarray:
+    """Letters in lower case, all else as spaces; ``before`` is the byte in front."""
     low = _FOLD[raw]
-    if len(raw) > 1:  # accented capitals of Latin-1
-        capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        low[1:][capital] += 0x20
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep = np.ones(len(low), bool)
-    keep[1:] = (low[1:] != 0x20) | (low[:-1] != 0x20) | (doc[1:] != doc[:-1])
-    low, doc = low[keep].astype(np.int64), doc[keep]
-    out = np.zeros((len(offsets) - 1) * DIMENSIONS, np.int64)
-    gram = np.zeros(len(low), np.int64)
+    ahead = np.concatenate([[before], raw[:-1]])  # accented capitals of Latin-1
+    low[(ahead == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 0x20
+    return low
+
+
+def _grams(low: np.ndarray, doc: np.ndarray, texts: int, old: int = 0) -> np.ndarray:
+    """Rows: texts; columns: hashed n-gram counts of those that end behind the first ``old`` characters."""
+    out = np.zeros(texts * DIMENSIONS, np.int64)
+    low, gram = low.astype(np.int64), np.zeros(len(low), np.int64)
     for k in range(1, 5):
         n = len(low) - k + 1
         if n <= 0:
             break
         gram = gram[:n] * 256 + low[k - 1 :]
         h = ((gram + k * 0x51ED27) * 0x9E3779B1 & 0xFFFFFFFF) >> 20
-        same = doc[:n] == doc[k - 1 :]
-        ink = (gram != 0x20) & same
+        ink = (gram != 0x20) & (doc[:n] == doc[k - 1 :])
+        ink[: max(0, old - k + 1)] = False
         out += np.bincount(doc[:n][ink] * DIMENSIONS + h[ink], minlength=len(out))
     return out.reshape(-1, DIMENSIONS)
 
 
+def _counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows: texts; columns: hashed n-gram counts.  A run of spaces is one space."""
+    if len(raw) <= 2 * STEP_BYTES:
+        low, doc = _folded(raw), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        keep = np.ones(len(low), bool)
+        keep[1:] = (low[1:] != 0x20) | (low[:-1] != 0x20) | (doc[1:] != doc[:-1])
+        return _grams(low[keep], doc[keep], len(offsets) - 1)
+    rows = []  # long texts, in pieces that go on with the last characters of the one before
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        total, tail = np.zeros((1, DIMENSIONS), np.int64), np.zeros(0, np.uint8)
+        for at in range(lo, hi, STEP_BYTES):
+            low = _folded(raw[at : min(at + STEP_BYTES, hi)], int(raw[at - 1]) if at > lo else 0x20)
+            ahead = np.concatenate([tail[-1:] if len(tail) else [0], low[:-1]])
+            low = np.concatenate([tail, low[(low != 0x20) | (ahead != 0x20)]])
+            total += _grams(low, np.zeros(len(low), np.int64), 1, len(tail))
+            tail = low[-3:]
+        rows.append(total)
+    return np.concatenate(rows)
+
+
 def _features(column: pa.Array):
     """(first row, features of unit length) of steps of the column."""
     for row, raw, offsets in text_slices(column):
@@ -106,24 +127,26 @@ def _lettered(column: pa.Array) -> np.ndarray:
 
 # ---------------------------------------------------------------- fitting
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 8) -> np.ndarray:
-    """Weights (last: bias) that minimise |w|^2/2 + c * squared hinge; truncated Newton."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    cost = c * len(y) / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum()))) / len(y) * 100
-    w = np.zeros(x.shape[1], np.float32)
+    """Weights (last: bias) that minimise |w|^2/2 + c * squared hinge; truncated Newton.  Rows with y = 0 don't count."""
+    cost = np.where(y > 0, 50 * c / max(1, int((y > 0).sum())), 50 * c / max(1, int((y < 0).sum()))).astype(np.float32)
+    cost[y == 0] = 0
+    w = np.zeros(x.shape[1] + 1, np.float32)
+    over = lambda v: x @ v[:-1] + v[-1]
+    under = lambda u: np.append(u @ x, u.sum())
 
     def value(w, m):
         return 0.5 * float(w @ w) + float((cost * np.maximum(0, 1 - y * m) ** 2).sum())
 
-    m = x @ w
+    m = over(w)
     for _ in range(steps):
         active = (y * m < 1).astype(np.float32) * cost
-        grad = w + 2 * (x.T @ (active * (m - y)))
+        grad = w + 2 * under(active * (m - y))
         step, r = np.zeros_like(w), -grad
         p, rr = r.copy(), float(r @ r)
         if rr < 1e-8:
             break
         for _ in range(10):
-            hp = p + 2 * (x.T @ (active * (x @ p)))
+            hp = p + 2 * under(active * over(p))
             a = rr / max(float(p @ hp), 1e-20)
             step += a * p
             r = r - a * hp
@@ -131,11 +154,11 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 8) -> np.nd
             if new < 1e-4 * rr and new < 1e-6:
                 break
             p, rr = r + (new / rr) * p, new
-        size, before, ms = 1.0, value(w, m), x @ step
+        size, before, ms = 1.0, value(w, m), over(step)
         while size > 1e-3 and value(w + size * step, m + size * ms) > before:
             size /= 2
         w, m = w + np.float32(size) * step, m + np.float32(size) * ms
-    return w
+    return w.astype(np.float32)
 
 
 def _slope(margin: np.ndarray, y: np.ndarray) -> float:
@@ -152,27 +175,35 @@ def _slope(margin: np.ndarray, y: np.ndarray) -> float:
 class Hierarchy:
     """Families, then the languages of each family, by linear machines."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, langs: list[str]):
         self.langs = sorted(set(langs))
-        names = np.array(langs)
-        kin = np.array([family(k) for k in langs])
-        self.families = sorted(set(kin))
+        self.families = sorted({family(k) for k in self.langs})
         self.members = [[k for k in self.langs if family(k) == f] for f in self.families]
-        self.top = self._fit(x, [(kin == f, np.ones(len(kin), bool)) for f in self.families]) if len(self.families) > 1 else None
-        self.pairs = []
-        for f, members in zip(self.families, self.members, strict=True):
-            duels = [(i, j) for i in range(len(members)) for j in range(i + 1, len(members))]
-            self.pairs.append((duels, self._fit(x, [(names == members[i], (kin == f) & np.isin(names, [members[i], members[j]])) for i, j in duels]) if duels else None))
+        self.duels = [[(i, j) for i in range(len(m)) for j in range(i + 1, len(m))] for m in self.members]
+        self.top, self.pairs = None, [None] * len(self.families)
+
+    def machines(self) -> list[tuple[str, str]]:
+        """(yes, no) of every machine: languages, or families with ``no`` = '*' for all others."""
+        out = [("/" + f, "*") for f in self.families] if len(self.families) > 1 else []
+        return out + [(m[i], m[j]) for m, duels in zip(self.members, self.duels, strict=True) for i, j in duels]
 
     @staticmethod
-    def _fit(x, tasks):
-        weights, slopes = [], []
-        for yes, rows in tasks:
-            y = np.where(yes[rows], 1.0, -1.0).astype(np.float32)
-            w = _svm(x[rows], y)
-            weights.append(w)
-            slopes.append(_slope(x[rows] @ w[:-1] + w[-1], y))
-        return np.array(weights, np.float32), np.array(slopes)
+    def fit_one(x: np.ndarray, langs: np.ndarray, yes: str, no: str) -> tuple[np.ndarray, float]:
+        if no == "*":
+            y = np.where(np.array(["/" + family(k) for k in langs]) == yes, 1.0, -1.0)
+        else:
+            y = np.where(langs == yes, 1.0, np.where(langs == no, -1.0, 0.0))
+        y = y.astype(np.float32)
+        w = _svm(x, y)
+        rows = y != 0
+        return w, _slope((x @ w[:-1] + w[-1])[rows], y[rows])
+
+    def take(self, fitted: dict[tuple[str, str], tuple[np.ndarray, float]]) -> None:
+        """The machines' weights and slopes, once they are fitted."""
+        stack = lambda keys: (np.array([fitted[k][0] for k in keys], np.float32), np.array([fitted[k][1] for k in keys]))
+        if len(self.families) > 1:
+            self.top = stack([("/" + f, "*") for f in self.families])
+        self.pairs = [stack([(m[i], m[j]) for i, j in duels]) if duels else None for m, duels in zip(self.members, self.duels, strict=True)]
 
     @staticmethod
     def _margins(x, fitted):
@@ -191,7 +222,7 @@ class Hierarchy:
         out, score = np.empty(n, object), p.astype(float)
         for f, members in enumerate(self.members):
             rows = np.flatnonzero(at == f)
-            duels, fitted = self.pairs[f]
+            duels, fitted = self.duels[f], self.pairs[f]
             if not duels or not len(rows):
                 out[rows] = members[0]
                 continue
@@ -215,19 +246,18 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Hierarchy | None:
     """Learn from documents whose crc32(doc_id as text) mod 5 isn't 0 and whose lang isn't null."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     lean = lean.filter("lang is not null and crc32(cast(doc_id as string)) % 5 != 0")
-    counts = lean.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = lean.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return None
     quota = max(1, max_sample // len(counts))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(2.0 * quota / r["count"])).otherwise(rate)
-    near = lean.withColumn("h", h).filter(F.col("h") < rate)
+    rates = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * quota / r["count"]) for r in counts], "lang string, rate double")
+    near = lean.join(F.broadcast(rates), "lang").withColumn("h", h).filter(F.col("h") < F.col("rate"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = near.withColumn("k", rank).filter(F.col("k") <= quota).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")  # at most max_sample ids
+    texts = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")))
+    texts = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")  # at most max_sample ids
 
     def run(batches):
         for b in batches:
@@ -238,24 +268,41 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Hierarchy | None:
                     [b.column("lang").slice(row, len(x)).filter(pa.array(ok)), pa.array([v.astype(np.float16).tobytes() for v in x[ok]], pa.binary())], names=["lang", "x"]
                 )
 
-    rows = texts.mapInArrow(run, "lang string, x binary").limit(max_sample + len(counts)).toArrow()
+    rows = texts.mapInArrow(run, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return None
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    langs = rows.column("lang").to_pylist()
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))  # the same machines in whatever order rows come
-    return Hierarchy(x[order], [langs[i] for i in order])
+    # The same machines in whatever order rows come.
+    sample = sorted(zip(rows.column("lang").to_pylist(), rows.column("x").to_pylist(), strict=True))
+    del rows
+    langs, model = [k for k, _ in sample], Hierarchy([k for k, _ in sample])
+    sent = docs.sparkSession.sparkContext.broadcast((langs, b"".join(x for _, x in sample)))
+    del sample
+
+    def train(batches):
+        known, blob = sent.value
+        x = np.frombuffer(blob, np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+        for b in batches:
+            done = [Hierarchy.fit_one(x, np.array(known, object), *pair) for pair in zip(b.column("yes").to_pylist(), b.column("no").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("yes"), b.column("no"), pa.array([w.tobytes() for w, _ in done], pa.binary()), pa.array([float(a) for _, a in done])], names=["yes", "no", "w", "slope"])
+
+    todo = model.machines()
+    if todo:
+        tasks = docs.sparkSession.createDataFrame(todo, "yes string, no string").repartition(min(len(todo), 1000))
+        fitted = tasks.mapInArrow(train, "yes string, no string, w binary, slope double").collect()  # 16 KB a machine
+        model.take({(r["yes"], r["no"]): (np.frombuffer(r["w"], np.float32), r["slope"]) for r in fitted})
+    sent.destroy()
+    return model
 
 
 def identify(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """``docs`` with lang_pred and score."""
     Scratch(docs.sparkSession, "lang")
     model = fit(docs, max_sample)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept, read = [c for c in docs.columns if c not in ("lang_pred", "score")], fresh(docs, "text")
 
     def run(batches):
         for b in batches:
-            texts = b.column("_lang_text")
+            texts = b.column(read)
             lettered = _lettered(texts)
             pred, score = np.full(len(texts), "und", object), np.where(lettered, 0.0, 1.0)
             if model is not None:
@@ -270,4 +317,4 @@ def identify(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     # The prediction reads this one column; the others pass through.
-    return docs.select(*kept, F.col("text").cast("string").alias("_lang_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").cast("string").alias(read)).mapInArrow(run, schema)

@@ -1,23 +1,30 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 1. Every text becomes ids, closed by ``end_id``; the ids are written once.
-2. Each source is a queue; a document's place in it comes from sums per input chunk.  Blocks of
-   ``quantum`` ids of every queue are dealt over groups in proportion to the queue's length, so each
-   group holds the target proportions up to one quantum: the remainder is carried from group to group.
+2. Each source is a queue; a document's place in it comes from sums per input partition.  Blocks of
+   ``QUANTUM`` ids of every queue are dealt over groups by the schedule of the target proportions: a queue
+   of weight w has given w * t ids, or all it has, at time t.  Without weights each source weighs its own
+   length, and all queues end at the same time.
 3. Inside a group, windows are filled by deficit round-robin: each window adds its share to every
    source's deficit, the source with the largest deficit is served, deficits carry to the next window.
-   Ids that are left at the end of a group become sequences of powers of two, which need no padding.
+   A group begins with the deficits that the groups before it leave: what the schedule owes a source by
+   then, less what those groups hold of it.  Both follow from places in the queues, so groups don't wait
+   for each other.  Ids that are left at the end of a group become sequences of powers of two, which need
+   no padding.
 
 Defined results
 * null text: the empty text, one id (``end_id``).  Null source: a queue of its own.  Null doc_id: kept as null.
 * repeated rows are documents of their own.  No rows: an empty result.  Extra columns are not read.
+* a source that ``weights`` doesn't name: an error.  Ties between deficits: the first source by code point.
+* very long texts are encoded in pieces (a text with characters outside Latin goes to the tokenizer whole),
+  and a long document is cut over as many groups as its ids need; its ids are one value of the ids' table.
 
-Skew: a source with a third of all rows fills a third of each group; no task holds a source.  A long
-document is cut over as many groups as its ids need.
+Skew: a source with a third of all rows fills a third of each group; no task holds a source.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -34,58 +41,85 @@ from .scratch import Scratch
 GROUP_IDS = 1 << 20
 #: Ids that a source is served at once: pieces are not cut finer than this without need.
 QUANTUM = 256
-#: Rows (about 60 bytes each) of the chunk table up to which it is broadcast; beyond, it is joined by shuffle.
-BROADCAST_CHUNKS = 400_000
+#: Rows (about 60 bytes each) of the table of queues and input partitions up to which it is broadcast; beyond, it is joined by shuffle.
+BROADCAST_PARTS = 400_000
 
 _ENCODER: dict[int, Encoder] = {}
 
 
-def _tokenise(spec, end_id: int):
+def _id_type(spec: str) -> str:
+    """The smallest unsigned type that holds every id of the tokenizer."""
+    t = json.loads(spec)
+    most = max([0, *t["model"]["vocab"].values(), *(x["id"] for x in t.get("added_tokens", ()))])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _tokenise(spec, end_id: int, kind: str):
     def run(batches):
         key = hash(spec.value)
         if key not in _ENCODER:
             _ENCODER[key] = Encoder(spec.value)
-        part, chunk = TaskContext.get().partitionId(), 0
+        part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             doc_id, queue = b.column("doc_id"), b.column("queue")
             names = queue.to_pylist()
             for row, ids, at in _ENCODER[key].ids(b.column("text"), end_id):
-                n, small, seen = len(at) - 1, ids.astype(np.uint16), {}
+                n, small = len(at) - 1, ids.astype(kind)
                 length = np.diff(at)
                 before = np.zeros(n, np.int64)
-                for i in range(n):  # ids of the same queue before it in this chunk
+                for i in range(n):  # ids of the same queue before it in this partition
                     q = names[row + i]
                     before[i] = seen.get(q, 0)
                     seen[q] = before[i] + int(length[i])
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(row, n), queue.slice(row, n), pa.array(np.full(n, part * (1 << 32) + chunk)), pa.array(before), pa.array(length),
-                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(small)])],
-                    names=["doc_id", "queue", "chunk", "before", "n", "ids"],
+                    [doc_id.slice(row, n), queue.slice(row, n), pa.array(np.full(n, part)), pa.array(before), pa.array(length),
+                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * small.itemsize).astype(np.int32)), pa.py_buffer(small)])],
+                    names=["doc_id", "queue", "part", "before", "n", "ids"],
                 )
-                chunk += 1
 
     return run
 
 
-def _deal(batches):
-    """Cut each document where its blocks go to another group."""
-    for b in batches:
-        out: dict[str, list] = {k: [] for k in ("grp", "queue", "pos", "doc_id", "start", "doc_tokens", "ids")}
-        cols = [b.column(c).to_pylist() for c in ("doc_id", "queue", "before", "n", "ids", "base", "total", "groups")]
-        for doc_id, queue, before, n, ids, base, total, groups in zip(*cols, strict=True):
-            first = base + before
-            phase = zlib.crc32(queue.encode()) / 2**32
-            blocks = np.arange(first // QUANTUM, (first + n - 1) // QUANTUM + 1)
-            group = np.minimum((blocks + phase) * (QUANTUM * groups / total), groups - 1).astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
-            starts = np.maximum(blocks[cuts] * QUANTUM - first, 0)
-            for g, s, e in zip(group[cuts], starts, [*starts[1:], n], strict=True):
-                for k, v in zip(out, (int(g), queue, int(first + s), doc_id, int(s), n, ids[2 * s : 2 * e]), strict=True):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["grp"], pa.int64()), pa.array(out["queue"], pa.string()), *(pa.array(out[k], pa.int64()) for k in ("pos", "doc_id", "start", "doc_tokens")), pa.array(out["ids"], pa.binary())],
-            names=list(out),
-        )
+class Schedule:
+    """When each queue gives which of its ids: by time t a queue has given min(length, weight * t)."""
+
+    def __init__(self, lengths: list[int], weights: list[float]):
+        ends = np.array([n / w for n, w in zip(lengths, weights, strict=True)])
+        self.times = np.unique(np.concatenate([[0.0], ends]))
+        self.given = np.array([sum(min(n, w * t) for n, w in zip(lengths, weights, strict=True)) for t in self.times])
+
+    def all_by(self, t: np.ndarray) -> np.ndarray:
+        """Ids that all queues together have given by the times ``t``."""
+        return np.interp(t, self.times, self.given)
+
+    def time_of(self, ids: float) -> float:
+        """When all queues together have given so many ids."""
+        return float(np.interp(ids, self.given, self.times))
+
+
+def _deal(schedule: Schedule, groups: int, width: int):
+    """Cut each document where its blocks go to another group; ``owed``: what the schedule has the queue give before that group."""
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("grp", "queue", "pos", "owed", "doc_id", "start", "doc_tokens", "ids")}
+            cols = [b.column(c).to_pylist() for c in ("doc_id", "queue", "before", "n", "ids", "base", "total", "weight")]
+            size = schedule.given[-1] / groups
+            for doc_id, queue, before, n, ids, base, total, weight in zip(*cols, strict=True):
+                first = base + before
+                phase = zlib.crc32(queue.encode()) / 2**32
+                blocks = np.arange(first // QUANTUM, (first + n - 1) // QUANTUM + 1)
+                group = np.minimum(schedule.all_by((blocks + phase) * QUANTUM / weight) / size, groups - 1).astype(np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+                starts = np.maximum(blocks[cuts] * QUANTUM - first, 0)
+                for g, s, e in zip(group[cuts], starts, [*starts[1:], n], strict=True):
+                    owed = min(total, weight * schedule.time_of(g * size))
+                    for k, v in zip(out, (int(g), queue, int(first + s), owed, doc_id, int(s), n, ids[width * s : width * e]), strict=True):
+                        out[k].append(v)
+            kinds = {"queue": pa.string(), "owed": pa.float64(), "ids": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+
+    return run
 
 
 def sequence_sizes(total: int, window: int) -> list[int]:
@@ -94,18 +128,19 @@ def sequence_sizes(total: int, window: int) -> list[int]:
     return [window] * (total // window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _fill(window: int):
+def _fill(window: int, kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["queue", "pos"], kind="stable")
         names = pdf["queue"].to_numpy()
         edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
         head, stop = edges[:-1].copy(), edges[1:]  # each queue's next slice and its end
-        ids = [np.frombuffer(x, np.uint16) for x in pdf["ids"]]
+        ids = [np.frombuffer(x, kind) for x in pdf["ids"]]
         size = np.array([len(x) for x in ids])
         done = np.zeros(len(ids), np.int64)
         amount = np.add.reduceat(size, edges[:-1]).astype(float)
         total = int(size.sum())
-        share, deficit = amount / total, np.zeros(len(head))
+        share = amount / total
+        deficit = pdf["owed"].to_numpy(float)[head] - pdf["pos"].to_numpy(float)[head]  # what earlier groups still owe
         doc_id, start, tokens = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(np.int64), pdf["doc_tokens"].to_numpy(np.int64)
         group, out = int(pdf["grp"].iloc[0]), []
         for k, room_of in enumerate(sequence_sizes(total, window)):
@@ -131,24 +166,38 @@ def _fill(window: int):
     return run
 
 
-def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, weights: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``spec`` is the JSON of a byte-level BPE tokenizer with fewer than 65,536 ids.
+    ``spec`` is the JSON of a byte-level BPE tokenizer.  ``weights`` (above 0) has the target proportion of every
+    source; a source that runs out leaves its share to the others.  Without it each source weighs what it holds.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
-    scratch = Scratch(docs.sparkSession, "pack")
+    scratch, kind = Scratch(docs.sparkSession, "pack"), _id_type(spec)
     queue = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
-    tokens = scratch.table(lean.mapInArrow(_tokenise(scratch.spark.sparkContext.broadcast(spec), end_id), "doc_id long, queue string, chunk long, before long, n long, ids binary"))
-    chunks = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("m"))
-    w = Window.partitionBy("queue")
-    chunks = chunks.select("queue", "chunk", (F.sum("m").over(w.orderBy("chunk")) - F.col("m")).alias("base"), F.sum("m").over(w).alias("total"))
-    chunks = scratch.table(chunks)
-    rows, all_ids = chunks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("base") == 0, F.col("total")))).first()
+    tokens = scratch.table(lean.mapInArrow(_tokenise(scratch.spark.sparkContext.broadcast(spec), end_id, kind), "doc_id long, queue string, part long, before long, n long, ids binary"))
+    parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy("queue")  # a row for each input partition
+    parts = parts.select("queue", "part", (F.sum("m").over(w.orderBy("part")) - F.col("m")).alias("base"), F.sum("m").over(w).alias("total"))
+    weight = F.col("total").cast("double")
+    if weights is not None:
+        named = [("" if k is None else f"={k}", float(v)) for k, v in weights.items()]
+        parts = parts.join(F.broadcast(scratch.spark.createDataFrame(named, "queue string, weight double")), "queue", "left")  # as many rows as the caller names
+        weight = F.col("weight")
+    parts = scratch.table(parts.withColumn("weight", weight))
+    rows, all_ids, lacking = parts.agg(F.count(F.lit(1)), F.sum(F.when(F.col("base") == 0, F.col("total"))), F.count_if(F.expr("weight is null or weight <= 0"))).first()
+    if lacking:
+        raise ValueError("weights must name every source with a weight above 0")
+    schedule = Schedule([all_ids or 1], [1.0])  # all queues in step: one queue of all ids
+    if weights is not None and rows:
+        ends = parts.filter("base = 0").select("queue", "total", "weight").distinct().collect()  # as many rows as the caller names
+        schedule = Schedule([r["total"] for r in ends], [r["weight"] for r in ends])
+    else:
+        parts = parts.withColumn("weight", F.col("total") / F.lit(float(all_ids or 1)))
     groups = max(1, round((all_ids or 0) / GROUP_IDS))
-    dealt = tokens.join(F.broadcast(chunks) if rows <= BROADCAST_CHUNKS else chunks, ["queue", "chunk"]).withColumn("groups", F.lit(groups).cast("long"))
-    slices = dealt.mapInArrow(_deal, "grp long, queue string, pos long, doc_id long, start long, doc_tokens long, ids binary")
+    dealt = tokens.join(F.broadcast(parts) if rows <= BROADCAST_PARTS else parts, ["queue", "part"])
+    slices = dealt.mapInArrow(_deal(schedule, groups, int(kind[-1])), "grp long, queue string, pos long, owed double, doc_id long, start long, doc_tokens long, ids binary")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return slices.groupBy("grp").applyInPandas(_fill(window), schema)
+    return slices.groupBy("grp").applyInPandas(_fill(window, kind), schema)
