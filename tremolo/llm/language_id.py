@@ -251,7 +251,7 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Hierarchy | None:
         return None
     quota = max(1, max_sample // len(counts))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    rates = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * quota / r["count"]) for r in counts], "lang string, rate double")
+    rates = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * quota + 50) / r["count"]) for r in counts], "lang string, rate double")
     near = lean.join(F.broadcast(rates), "lang").withColumn("h", h).filter(F.col("h") < F.col("rate"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = near.withColumn("k", rank).filter(F.col("k") <= quota).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
