@@ -34,6 +34,10 @@ def none(spark):
     return brute.table(spark, [])
 
 
+def rows_of(df, columns):
+    return rows(df, *columns)
+
+
 def rows(df, *columns):
     return [tuple(r[c] for c in columns) for r in df.collect()]
 
@@ -163,18 +167,40 @@ def test_mix(docs, none):
 
 
 def test_repeated(docs):
-    m = mix(docs).cache()
-    out = repeated(m, docs.columns)
-    assert out.columns == docs.columns
+    m, out = mix(docs), repeated(docs)
+    assert out.schema == docs.schema
     got = Counter()
     for r in out.collect():
         got[r.doc_id] += len(brute.words(r.text))
+        assert r["size"] == "x" and r["taken"] == "x"  # extra columns stay, whatever their names
     want = Counter()
     for r in m.collect():
         want[r.doc_id] += r.taken
     assert +got == +want
 
 
+def test_mix_clashing_columns(spark):
+    names = ["_src", "_digest", "_words", "_key", "_mix_src", "_t", "_rest", "Size"]
+    t = spark.createDataFrame([(i, "w " * (i + 1), f"s{i % 2}", *["x"] * 8) for i in range(9)], f"doc_id long, text string, source string, {', '.join(f'{x} string' for x in names)}")
+    m = mix(t)
+    assert m.columns == ["doc_id", "text", "source", *names[:-1], "size", "source_size", "target", "taken"] and {r["_src"] for r in m.collect()} == {"x"}
+    assert repeated(t).columns == t.columns
+
+
+def test_mix_equals_its_sql(spark, tmp_path):
+    """The water-fill and the cut-off by SQL, over rows with ties, nulls and repeated ids."""
+    import duckdb
+
+    rows = [(d, t, None, s, 1) for d, t, _, s, _ in ROWS] + [(7, "a b c d e", None, "s1", 1)] * 30
+    brute.table(spark, rows).select("doc_id", "text", "source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["op7_mixing"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()['op7_mixing']})").fetchall()
+    assert brute.same(rows_of(got, columns), want)
+
+
 def test_pack(docs, none):
     from tokenizers import Tokenizer
 

@@ -42,6 +42,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+ORACLES["op7_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS r FROM s),
+k AS (SELECT r, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(cap) FROM c x WHERE x.r <= y.r), 0)) / (SELECT sum(w) FROM c x WHERE x.r > y.r) AS level, (SELECT min(r) FROM c x WHERE x.r > y.r) AS next
+  FROM (SELECT -1.0::DOUBLE AS r UNION SELECT r FROM c) y),
+l AS (SELECT level FROM k WHERE next > level ORDER BY r LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN cap <= coalesce((SELECT level FROM l), 1e300) * w THEN cap ELSE (SELECT level FROM l) * w END AS target FROM c),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+q AS (SELECT *, floor(target)::BIGINT - whole * source_size AS rest FROM p),
+o AS (SELECT d.*, source_size, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS run, sum(size) OVER (PARTITION BY d.source, h)::BIGINT AS tie FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, source, size::BIGINT AS size, source_size, target,
+  (whole * size + CASE WHEN run <= rest THEN size WHEN run - tie <= rest THEN floor((rest - run + tie) * size / greatest(tie, 1)) ELSE 0 END)::BIGINT AS taken
+FROM o
+"""
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """The JSON of the byte-level BPE tokenizer; ``path`` is a parameter, its default the installed public file."""
     if path is None:

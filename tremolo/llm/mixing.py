@@ -3,16 +3,19 @@
 The weights share a budget of words.  A source that would need more than ``max_epochs`` repetitions is
 clamped there and its excess is shared out again by weight, until no source is above its cap.  Inside a
 source every document is taken the whole number of epochs; the fractional epoch takes documents in the
-order of a seeded hash until the target is reached, the last of them in part.
+order of a seeded digest (md5 of seed and doc_id) until the target is reached, the last of them in part.
 
 Defined results
 * null text: size 0, nothing is taken.  Null source: a source of its own, after all others.
-* null doc_id: an ordinary document (its hash is that of a null).  Repeated rows are documents of their own.
-* a tie of the hash shares what is left in proportion to size.  No rows: an empty result.
-* extra columns pass through unread; if one is called like a result column, the result column replaces it.
-
-Skew: only sums leave a task (source x hash bucket), so a source with a third of all rows costs 4,096
-partial rows.  Its cut-off is then found inside one bucket.
+* null doc_id: an ordinary document (its digest is that of an empty id).  Repeated rows are documents of their own.
+* a tie of the digest shares what is left in proportion to size.  No rows: an empty result.
+* extra columns pass through unread; if one is called like a result column, the result column replaces it
+  (``repeated`` keeps all columns as they are).
+* very long texts: words are counted by two replacements in the JVM, which hold a character a word.
+
+Skew: only sums leave a task (source x digest prefix), so a source with a third of all rows costs 4,096
+partial rows.  Its cut-off is found among those sums, then among those of a longer prefix inside one of
+them, then inside one of these: about a 16-millionth of the source.
 """
 
 from __future__ import annotations
@@ -21,35 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .scratch import Scratch
-from .words import text_slices, word_spans
+from .scratch import Scratch, fresh
+from .words import word_spans
 
-#: Hash buckets of a source; the cut-off is first found among their sums, then inside one of them.
-BUCKETS = 4096
+#: Hexadecimal digits of the digest by which the cut-off is found, one prefix after the other.
+PREFIXES = (3, 6)
 #: Sources up to which their table (about 100 bytes a row) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
 
-def count_words(column: pa.Array) -> np.ndarray:
-    """Words of each text."""
-    out = np.zeros(len(column), np.int64)
-    for i, raw, offsets in text_slices(column):
-        out[i : i + len(offsets) - 1] = np.diff(word_spans(raw, offsets)[2])
-    return out
-
-
-def sized(docs: DataFrame, name: str = "_mix_size") -> DataFrame:
-    """``docs`` with the number of words of each text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-
-    def add(batches):
-        for b in batches:
-            size = pa.array(count_words(b.column("text").cast(pa.string())), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, size], names=[*b.schema.names, name])
-
-    return docs.mapInArrow(add, schema)
+def count_words(text: Column) -> Column:
+    """Words of a text: each becomes one letter, what is between them goes."""
+    letters = F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "w"), r"[\x20\x09-\x0D]++", "")
+    return F.coalesce(F.char_length(letters), F.lit(0)).cast("long")
 
 
 def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,43 +73,57 @@ def _with(docs: DataFrame, small: DataFrame, n: int, on: Column) -> DataFrame:
     return docs.join(F.broadcast(small) if n <= BROADCAST_SOURCES else small, on, "left")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> DataFrame:
-    """``docs`` with size, source_size, target (of the source) and taken (words, repeats counted)."""
+def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, source_size, target and taken under names that it doesn't have, and those names."""
     scratch = Scratch(docs.sparkSession, "mix")
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 1)
-    keyed = lambda df: df.withColumns({"_mix_src": F.col("source").cast("string"), "_mix_h": h})
-    lean = keyed(sized(docs.select(F.col("doc_id"), F.col("source"), F.col("text").cast("string").alias("text")))).select("_mix_src", "_mix_h", "_mix_size")
-    lean = scratch.table(lean.withColumn("_b", F.shiftright("_mix_h", 51)))  # 63 bits: 4,096 buckets
-    sums = scratch.table(lean.groupBy("_mix_src", "_b").agg(F.sum("_mix_size").alias("_n")).withColumnRenamed("_mix_src", "_src"))
-    sources = sums.groupBy("_src").agg(F.sum("_n").alias("source_size"))
-    plan = water_fill(sources, weights, share, max_epochs, scratch)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    size = count_words(F.col("text").cast("string"))
+    lean = scratch.table(docs.select(F.col("source").cast("string").alias("_src"), digest.alias("_h"), size.alias("_n")))
+    prefix = lambda k: F.substring("_h", 1, k)
+    sums = scratch.table(lean.groupBy("_src", prefix(PREFIXES[0]).alias("_b")).agg(F.sum("_n").alias("_n")))
+    plan = water_fill(sums.groupBy("_src").agg(F.sum("_n").alias("source_size")), weights, share, max_epochs, scratch)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     plan = scratch.table(plan.withColumn("_whole", whole).withColumn("_rest", F.floor("target").cast("long") - F.col("_whole") * F.col("source_size")))
     n = plan.count()
-    # The bucket in which the fractional epoch ends, then the hash at which it ends.
-    p = plan.select(F.col("_src").alias("_p"), "_rest")
-    before = F.sum("_n").over(Window.partitionBy("_src").orderBy("_b")) - F.col("_n")
-    cut = _with(sums.withColumn("_before", before), p, n, F.col("_src").eqNullSafe(F.col("_p"))).filter("_before <= _rest and _rest < _before + _n")
-    cut = scratch.table(cut.select(F.col("_src"), F.col("_b").alias("_cb"), (F.col("_rest") - F.col("_before")).alias("_left")))
-    inside = _with(lean, cut, n, F.col("_mix_src").eqNullSafe(F.col("_src")) & (F.col("_b") == F.col("_cb"))).filter("_cb is not null")
-    ties = inside.groupBy("_src", "_left", "_mix_h").agg(F.sum("_mix_size").alias("_tie"))
-    before = F.sum("_tie").over(Window.partitionBy("_src").orderBy("_mix_h")) - F.col("_tie")
-    ends = ties.withColumn("_before", before).filter("_before <= _left and _left < _before + _tie")
-    ends = ends.select(F.col("_src").alias("_e"), F.col("_mix_h").alias("_end"), (F.col("_left") - F.col("_before")).alias("_part"), "_tie")
-    plan = scratch.table(plan.join(ends, F.col("_src").eqNullSafe(F.col("_e")), "left").drop("_e"))
-    out = _with(keyed(sized(docs)), plan.select("_src", F.col("source_size").alias("_ss"), F.col("target").alias("_t"), "_whole", "_rest", "_end", "_part", "_tie"), n, F.col("_mix_src").eqNullSafe(F.col("_src")))
+    # Where the fractional epoch ends: a prefix, a longer one inside it, then a digest.
+    cut = plan.select(F.col("_src").alias("_p"), F.lit("").alias("_in"), F.col("_rest").alias("_left"))
+    for k in (*PREFIXES, 32):
+        inside = sums if k == PREFIXES[0] else lean
+        same = F.col("_src").eqNullSafe(F.col("_p"))
+        if k > PREFIXES[0]:
+            same &= F.col("_in") == F.substring("_h", 1, F.char_length("_in"))
+            inside = _with(inside, cut, n, same).filter("_in is not null").groupBy("_src", prefix(k).alias("_b")).agg(F.sum("_n").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_src").orderBy("_b")) - F.col("_n")
+        placed = _with(inside.withColumn("_before", before), cut, n, F.col("_src").eqNullSafe(F.col("_p"))).filter("_before <= _left and _left < _before + _n")
+        cut = scratch.table(placed.select(F.col("_src").alias("_p"), F.col("_b").alias("_in"), (F.col("_left") - F.col("_before")).alias("_left"), F.col("_n").alias("_tie")))
+    plan = scratch.table(plan.join(cut, F.col("_src").eqNullSafe(F.col("_p")), "left").select("_src", "source_size", "target", "_whole", "_rest", F.col("_in").alias("_end"), F.col("_left").alias("_part"), "_tie"))
+    taken_names: list[str] = []
+
+    def name(x: str) -> str:
+        taken_names.append(fresh(docs, x, *taken_names))
+        return taken_names[-1]
+
+    src, h, words = name("src"), name("digest"), name("words")
+    keyed = docs.withColumns({src: F.col("source").cast("string"), h: digest, words: size})
+    key, total, target, times, rest, end, part, tie = (name(x) for x in ("key", "total", "target", "times", "rest", "end", "part", "tie"))
+    out = _with(keyed, plan.toDF(key, total, target, times, rest, end, part, tie), n, F.col(src).eqNullSafe(F.col(key)))
     # No end was found if the fractional epoch is empty or takes the whole source.
     extra = (
-        F.when(F.col("_end").isNull(), F.when(F.col("_rest") >= F.col("_ss"), F.col("_mix_size")).otherwise(0))
-        .when(F.col("_mix_h") < F.col("_end"), F.col("_mix_size"))
-        .when(F.col("_mix_h") == F.col("_end"), F.floor(F.col("_part") * F.col("_mix_size") / F.greatest(F.col("_tie"), F.lit(1))))
+        F.when(F.col(end).isNull(), F.when(F.col(rest) >= F.col(total), F.col(words)).otherwise(0))
+        .when(F.col(h) < F.col(end), F.col(words))
+        .when(F.col(h) == F.col(end), F.floor(F.col(part) * F.col(words) / F.greatest(F.col(tie), F.lit(1))))
         .otherwise(0)
     )
-    out = out.withColumns({
-        "size": F.col("_mix_size"), "source_size": F.col("_ss"), "target": F.col("_t"),
-        "taken": (F.col("_whole") * F.col("_mix_size") + extra).cast("long"),
-    })
-    return out.select(*dict.fromkeys([*docs.columns, "size", "source_size", "target", "taken"]))
+    took = name("taken")
+    names = [words, total, target, took]
+    return out.withColumn(took, (F.col(times) * F.col(words) + extra).cast("long")).select(*docs.columns, *names), names
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> DataFrame:
+    """``docs`` with size, source_size, target (of the source) and taken (words, repeats counted)."""
+    out, names = _planned(docs, weights, share, max_epochs, seed)
+    results = ("size", "source_size", "target", "taken")
+    return out.select(*[c for c in docs.columns if c.lower() not in results], *[F.col(c).alias(r) for c, r in zip(names, results, strict=True)])
 
 
 def _first_words(text: str, n: int) -> str:
@@ -130,26 +132,24 @@ def _first_words(text: str, n: int) -> str:
     return raw[: ends[n - 1]].decode() if n else ""
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken, a fractional repetition cut after its last word."""
-    schema = mixed.select(*columns).schema
-    text_at = columns.index("text")
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, a fractional repetition cut after its last word."""
+    mixed, (size_name, _, _, taken_name) = _planned(docs, weights, share, max_epochs, seed)
+    columns, text_at = docs.columns, docs.columns.index("text")
 
     def repeat(batches):
         for b in batches:
-            size, taken = (np.asarray(b.column(c).fill_null(0)) for c in ("size", "taken"))
+            size, taken = (np.asarray(b.column(c).fill_null(0)) for c in (size_name, taken_name))
             full = taken // np.maximum(size, 1)
             part = np.flatnonzero(taken - full * size)
-            rows = np.concatenate([np.repeat(np.arange(len(size)), full), part])
-            if not len(rows):
-                continue
-            out = pa.RecordBatch.from_arrays([b.column(c) for c in columns], names=columns).take(pa.array(rows))
+            source = pa.RecordBatch.from_arrays([b.column(c) for c in columns], names=columns)
+            for k in range(int(full.max(initial=0))):  # a repetition at a time, so a batch never grows
+                yield source.take(pa.array(np.flatnonzero(full > k)))
             if len(part):
-                texts = out.column("text")
-                cut = [_first_words(b.column("text")[int(i)].as_py(), int(taken[i] - full[i] * size[i])) for i in part]
+                out = source.take(pa.array(part))
+                cut = [_first_words(t, int(taken[i] - full[i] * size[i])) for t, i in zip(out.column(text_at).to_pylist(), part, strict=True)]
                 arrays = out.columns
-                arrays[text_at] = pa.concat_arrays([texts.slice(0, len(rows) - len(part)), pa.array(cut, texts.type)])
-                out = pa.RecordBatch.from_arrays(arrays, names=columns)
-            yield out
+                arrays[text_at] = pa.array(cut, out.column(text_at).type)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return mixed.mapInArrow(repeat, schema)
+    return mixed.select(*columns, size_name, taken_name).mapInArrow(repeat, docs.schema)

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list["Scratch"] = []
+#: Of the Python workers: what is freed above these sizes goes back to the system.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name like ``name`` that ``df`` doesn't have, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, name: str, *more: str) -> str:
+    """A column name like ``name`` that neither ``df`` has, whatever the case of its letters, nor ``more``."""
+    taken = {c.lower() for c in (*df.columns, *more)}
     out = f"_{name}"
     while out.lower() in taken:
         out = f"_{out}"
@@ -45,10 +47,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tremolo-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         # Python gets batches bounded by bytes and by rows, so long texts can't fill a worker.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-        # Python workers import this package from where the driver has it (a cluster may install it instead).
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+        # Python workers import this package from where the driver has it (a cluster may install it instead),
+        # and give freed memory back: idle workers of earlier steps stay alive beside those that work.
         home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        for k, v in WORKER_MEMORY.items():
+            env.setdefault(k, v)
         if home not in env.get("PYTHONPATH", "").split(":"):
             env["PYTHONPATH"] = ":".join(filter(None, [home, env.get("PYTHONPATH", "")]))
         _OPEN.append(self)
