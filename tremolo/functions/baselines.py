@@ -54,7 +54,7 @@ def mel_cepstrum(x: np.ndarray, fs: float) -> np.ndarray:
     """Cosine transform of log mel power, frame by frame, flattened."""
     _, z = dsp.stft(x, fs, CEPSTRUM_FFT, CEPSTRUM_HOP)
     power = np.abs(z) ** 2
-    log = np.log(mel_bank(2 * CEPSTRA, 2 * (len(power) - 1), fs) @ power + 1e-10)
+    log = np.log(mel_bank(2 * CEPSTRA, 2 * (power.shape[1] - 1), fs) @ power.T + 1e-10)
     return (cosines(2 * CEPSTRA, CEPSTRA) @ log).astype(np.float32).ravel()
 
 

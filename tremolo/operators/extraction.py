@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import dsp
 from ..functions.features import SIZES, window_features
 
-#: Blocks per bucket of a recording: the unit of work, so that one long recording is many tasks.
-BUCKET = 64
+#: Values that the kernels take at once (each costs about 60 bytes of working memory).
+STACK = 1 << 21
 
 
 def patches(manifest: DataFrame, blocks: DataFrame, channels: int, blocks_per_window: int = 4) -> DataFrame:
@@ -29,22 +29,47 @@ def patches(manifest: DataFrame, blocks: DataFrame, channels: int, blocks_per_wi
     return patch.select("sample_id", F.transform("rows", lambda r: r["x"]).alias("patch"))
 
 
+def _stacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """(channels x samples of each patch, all values) where every patch of the column is a full rectangle."""
+    rows = column.flatten()
+    per_patch, per_row = column.value_lengths().to_numpy(zero_copy_only=False), rows.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(per_patch)[:-1]])
+    samples = per_row[np.minimum(first, len(per_row) - 1)] if len(per_row) else per_patch
+    if (per_row != np.repeat(samples, per_patch)).any():
+        raise ValueError("the channels of a patch must have one length")
+    return np.stack([per_patch, samples], axis=1), rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+
+
+def _batches(column: pa.Array):
+    """(places, windows x channels x samples) of the patches of a column, by shape and at most STACK values at once."""
+    shapes, values = _stacked(column)
+    start = np.concatenate([[0], np.cumsum(shapes.prod(axis=1))])
+    for c, n in np.unique(shapes, axis=0):
+        at = np.flatnonzero((shapes == (c, n)).all(axis=1))
+        step = max(1, STACK // max(1, int(c * n)))
+        for i in range(0, len(at), step):
+            some = at[i : i + step]
+            yield some, np.stack([values[start[k] : start[k + 1]] for k in some]).reshape(len(some), c, n)
+
+
 def extract(windows: DataFrame, fs: float, reference: str = "centre", domains: tuple[str, ...] = tuple(SIZES), preprocess: bool = True) -> DataFrame:
-    """(sample_id, one array<float> per domain) from (sample_id, patch).
+    """(sample_id, one array<float> per domain) from (sample_id, patch); windows of one shape go through the kernels together.
 
     ``reference``: the channel for the one-dimensional domains, the centre or the one with most energy.
     """
 
     def run(batches):
         for b in batches:
-            out: dict[str, list] = {d: [] for d in domains}
-            for raw in b.column("patch").to_pylist():
-                x = np.array(raw, float)
-                one = len(x) // 2 if reference == "centre" else int(np.argmax(((x - x.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)))
-                x = dsp.preprocess(x, fs) if preprocess else x
+            out = {d: [None] * b.num_rows for d in domains}
+            for at, x in _batches(b.column("patch")):
+                rows, channels, n = x.shape
+                spread = x - x.mean(axis=2, keepdims=True)
+                one = np.full(rows, channels // 2) if reference == "centre" else (spread * spread).sum(axis=2).argmax(axis=1)
+                x = dsp.preprocess(x.reshape(-1, n), fs).reshape(x.shape) if preprocess else x
                 with np.errstate(all="ignore"):
-                    for d, v in window_features(x[one], x, fs, domains).items():
-                        out[d].append(v)
+                    for d, v in window_features(x[np.arange(rows), one], x, fs, domains).items():
+                        for k, row in zip(at, v, strict=True):
+                            out[d][k] = row
             yield pa.RecordBatch.from_arrays([b.column("sample_id"), *(pa.array(out[d], pa.list_(pa.float32())) for d in domains)], names=["sample_id", *domains])
 
     kind = windows.schema["sample_id"].dataType.simpleString()
@@ -56,10 +81,23 @@ def pending(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return manifest.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
 
 
+def assemble(shards: DataFrame, expected: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """The shards side by side; an error names the least chunk of ``expected`` that no shard holds."""
+    missing = expected.select(chunk).distinct().join(shards.select(chunk).distinct(), chunk, "left_anti").agg(F.min(chunk)).first()[0]
+    if missing is not None:
+        raise ValueError(f"no shard holds chunk {missing}")
+    return shards
+
+
 def fuse(features: DataFrame, manifest: DataFrame, order: str) -> DataFrame:
-    """Manifest rows (the first of an id by ``order``) with the four domains side by side in ``features``."""
-    first = manifest.groupBy("sample_id").agg(F.min_by(F.struct(*[c for c in manifest.columns if c != "sample_id"]), order).alias("m")).select("sample_id", "m.*")
-    return first.join(features, "sample_id").withColumn("features", F.concat(*[F.col(d) for d in SIZES if d in features.columns]))
+    """Manifest rows (the first of an id by ``order``) with the four domains side by side in ``features``.
+
+    A feature row whose id the manifest lacks is an error: it is raised by the row itself, in the same join.
+    """
+    first = manifest.groupBy("sample_id").agg(F.min_by(F.struct(*[c for c in manifest.columns if c != "sample_id"]), order).alias("m"))
+    fused = features.join(first, "sample_id", "left")
+    known = F.when(F.col("m").isNull(), F.raise_error(F.concat(F.lit("no manifest row for "), F.col("sample_id").cast("string")))).otherwise(F.col("m"))
+    return fused.withColumn("m", known).select("sample_id", "m.*", *[d for d in SIZES if d in features.columns], F.concat(*[d for d in SIZES if d in features.columns]).alias("features"))
 
 
 def column_statistics(features: DataFrame, column: str) -> DataFrame:

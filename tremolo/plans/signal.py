@@ -1,38 +1,56 @@
-"""Queries of the signal functions: relational forms over 64-sample windows, and the NumPy kernels."""
+"""Queries of the signal functions: the batch kernels over 64-sample windows, each beside SQL that restates it.
+
+A window stays one row: a kernel takes all windows of an Arrow batch, so nothing is exploded to samples and shuffled back.
+"""
 
 from __future__ import annotations
 
-import math
+import uuid
 
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import baselines, dsp
+from ..functions import features as ft
 from ..functions.features import SIZES
 from ..operators import extraction
+from ..sources.files import work_dir
 from .registry import query
-from .tables import SAMPLES, samples, signals
-
+from .tables import SAMPLES, blocks, samples, signals
 
+EPS = 1e-12
 
-def _n():
-    """Rows."""
-    return F.count(F.lit(1))
 
-EPS = 1e-12
+def _r(c, digits=6):
+    return F.round(c, digits)
 
 
-def _by():
-    return Window.partitionBy("vec_id")
+def _kernel(spark, sf, columns: str, f):
+    """``f`` (windows x samples to one array a column) over every window; ``columns``: their names and types."""
+    fields = [c.split(" ") for c in columns.split(", ")]
+    kinds = [pa.float64() if kind == "double" else pa.list_(pa.float64()) for _, kind in fields]
 
+    def run(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            with np.errstate(all="ignore"):
+                out = f(x) if b.num_rows else [[] for _ in kinds]
+            arrays = [pa.array([np.asarray(r, float) for r in v] if pa.types.is_list(k) else np.asarray(v, float), k) for v, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), *arrays], names=["vec_id", *(name for name, _ in fields)])
 
+    return signals(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, " + columns)
 
-def _ord():
-    return _by().orderBy("i")
 
+def _values(spark, sf, names: str, f, digits: int = 6):
+    """Several rounded numbers a window."""
+    out = _kernel(spark, sf, ", ".join(f"{n} double" for n in names.split()), f)
+    return out.select("vec_id", *[(_r(n, digits) + 0.0).alias(n) for n in names.split()])  # no negative zero
 
 
-def _r(c, digits=6):
-    return F.round(c, digits)
+def _each(spark, sf, index: str, value: str, f, digits: int = 6):
+    """A rounded number for each place of an array."""
+    return _kernel(spark, sf, "y array<double>", lambda x: [f(x)]).select("vec_id", F.posexplode("y").alias(index, "y")).select("vec_id", index, _r("y", digits).alias(value))
 
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-12), 6) AS z FROM v WINDOW w AS (PARTITION BY vec_id)")
@@ -45,170 +63,219 @@ def f_zscore(spark, sf):
     return s.select("vec_id", F.posexplode("x").alias("i", "v"), "m", "sd").select("vec_id", "i", _r((F.col("v") - F.col("m")) / (F.col("sd") + EPS)).alias("z"))
 
 
-def _shares(spark, sf):
-    v = samples(spark, sf).withColumn("p", F.col("v") * F.col("v"))
-    return v.withColumn("p", F.col("p") / (F.sum("p").over(_by()) + EPS)).filter("p > 0")
-
-
 _SHARES = SAMPLES + ", p AS (SELECT vec_id, v * v / (sum(v * v) OVER (PARTITION BY vec_id) + 1e-12) AS p FROM v)"
 
 
 @query(f"WITH {_SHARES} SELECT vec_id, round(-sum(p * log2(p)), 6) AS entropy FROM p WHERE p > 0 GROUP BY 1")
 def f_ent(spark, sf):
-    return _shares(spark, sf).groupBy("vec_id").agg(_r(-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    return _values(spark, sf, "entropy", lambda x: [dsp.entropy(x * x)])
 
 
 @query(f"WITH {_SHARES} SELECT vec_id, round(-log2(sum(p * p)), 6) AS renyi FROM p WHERE p > 0 GROUP BY 1")
 def f_renyi(spark, sf):
-    return _shares(spark, sf).groupBy("vec_id").agg(_r(-F.log2(F.sum(F.col("p") * F.col("p")))).alias("renyi"))
+    return _values(spark, sf, "renyi", lambda x: [dsp.collision_entropy(x * x)])
 
 
 @query(f"WITH {SAMPLES}, o AS (SELECT vec_id, abs(v) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v), i) AS k FROM v) SELECT vec_id, round(sum((2 * k - 65) * a) / (64 * sum(a)), 6) AS gini FROM o GROUP BY 1")
 def f_gini(spark, sf):
-    """Sorted arrays: the rank is the index, so nothing is shuffled."""
-    a = F.array_sort(F.transform("x", F.abs))
-    n = F.size("x")
-    top = F.aggregate(F.transform(a, lambda v, i: (2 * (i + 1) - n - 1) * v), F.lit(0.0), lambda s, v: s + v)
-    return signals(spark, sf).select("vec_id", _r(top / (n * F.aggregate(a, F.lit(0.0), lambda s, v: s + v))).alias("gini"))
+    return _values(spark, sf, "gini", lambda x: [dsp.gini(x)])
 
 
 _DFT = SAMPLES + """, f AS (SELECT vec_id, k, sqrt(pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2)) AS mag FROM v, range(0, 33) t(k) GROUP BY 1, 2)"""
 
 
-def spectrum(spark, sf):
-    """Magnitudes of the 33 bins of each window by a join with the small table of frequencies."""
-    k = spark.range(33).withColumnRenamed("id", "k")
-    a = F.lit(2 * math.pi / 64) * F.col("k") * F.col("i")
-    s = samples(spark, sf).crossJoin(F.broadcast(k)).groupBy("vec_id", "k").agg(F.sum(F.col("v") * F.cos(a)).alias("re"), F.sum(F.col("v") * F.sin(a)).alias("im"))
-    return s.select("vec_id", "k", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("mag"))
+def _mag(x):
+    return np.abs(np.fft.rfft(x))
 
 
-@query(f"WITH {_DFT} SELECT vec_id, k, round(mag, 6) AS mag FROM f")
+@query(f"WITH {_DFT} SELECT vec_id, CAST(k AS INT) AS k, round(mag, 6) AS mag FROM f")
 def f_rfft(spark, sf):
-    return spectrum(spark, sf).select("vec_id", "k", _r("mag").alias("mag"))
+    return _each(spark, sf, "k", "mag", _mag)
 
 
-@query(f"WITH {_DFT}, c AS (SELECT vec_id, k, sum(mag) OVER (PARTITION BY vec_id ORDER BY k) AS run, sum(mag) OVER (PARTITION BY vec_id) AS total FROM f) SELECT vec_id, min(k) FILTER (run >= 0.85 * total) AS rolloff85 FROM c GROUP BY 1")
+@query(f"WITH {_DFT}, c AS (SELECT vec_id, k, sum(mag) OVER (PARTITION BY vec_id ORDER BY k) AS run, sum(mag) OVER (PARTITION BY vec_id) AS total FROM f) SELECT vec_id, CAST(min(k) FILTER (run >= 0.85 * total) AS DOUBLE) AS rolloff85 FROM c GROUP BY 1")
 def f_rolloff(spark, sf):
-    w = Window.partitionBy("vec_id")
-    c = spectrum(spark, sf).withColumns({"run": F.sum("mag").over(w.orderBy("k")), "total": F.sum("mag").over(w)})
-    return c.groupBy("vec_id").agg(F.min(F.when(F.col("run") >= 0.85 * F.col("total"), F.col("k"))).alias("rolloff85"))
+    return _values(spark, sf, "rolloff85", lambda x: dsp.rolloff(_mag(x), np.arange(33.0), (0.85,)))
 
 
 @query(f"WITH {_DFT}, s AS (SELECT *, sum(mag) OVER (PARTITION BY vec_id) + 1e-12 AS t FROM f), c AS (SELECT vec_id, sum(k * mag / t) AS centroid FROM s GROUP BY 1) SELECT s.vec_id, round(any_value(centroid), 6) AS centroid, round(sqrt(sum(pow(k - centroid, 2) * mag / t)), 6) AS spread, round(exp(avg(ln(mag + 1e-12))) / (avg(mag) + 1e-12), 6) AS flatness FROM s JOIN c USING (vec_id) GROUP BY 1")
 def f_shape(spark, sf):
-    """Centroid, spread and flatness of the spectrum in one aggregation (second moment less the square of the first)."""
-    g = spectrum(spark, sf).groupBy("vec_id").agg(F.sum("mag").alias("t"), F.sum(F.col("k") * F.col("mag")).alias("m1"), F.sum(F.col("k") ** 2 * F.col("mag")).alias("m2"), F.avg(F.log(F.col("mag") + EPS)).alias("g"), F.avg("mag").alias("a"))
-    c = F.col("m1") / (F.col("t") + EPS)
-    return g.select("vec_id", _r(c).alias("centroid"), _r(F.sqrt(F.col("m2") / (F.col("t") + EPS) - c * c)).alias("spread"), _r(F.exp("g") / (F.col("a") + EPS)).alias("flatness"))
+    """Centroid, spread and flatness of the spectrum."""
+    return _values(spark, sf, "centroid spread flatness", lambda x: [*dsp.centre_spread(dsp.share(_mag(x))), dsp.flatness(_mag(x))])
 
 
 @query(f"WITH {SAMPLES}, t AS (SELECT vec_id, v * v - lag(v) OVER w * lead(v) OVER w AS t FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY i)) SELECT vec_id, round(avg(t), 6) AS tkeo_mean, round(stddev_pop(t), 6) AS tkeo_std FROM t WHERE t IS NOT NULL GROUP BY 1")
 def f_tkeo(spark, sf):
-    t = samples(spark, sf).withColumn("t", F.col("v") ** 2 - F.lag("v").over(_ord()) * F.lead("v").over(_ord()))
-    return t.filter("t is not null").groupBy("vec_id").agg(_r(F.avg("t")).alias("tkeo_mean"), _r(F.stddev_pop("t")).alias("tkeo_std"))
+    return _values(spark, sf, "tkeo_mean tkeo_std", lambda x: [dsp.energy_operator(x).mean(axis=1), dsp.energy_operator(x).std(axis=1)])
 
 
 @query(f"WITH {SAMPLES}, d AS (SELECT vec_id, abs(v - lag(v) OVER w) AS d, abs(v - first_value(v) OVER w) AS r FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY i)) SELECT vec_id, round(log10(63) / (log10(63) + log10(max(r) / sum(d))), 6) AS katz FROM d GROUP BY 1")
 def f_katz(spark, sf):
-    d = samples(spark, sf).select("vec_id", F.abs(F.col("v") - F.lag("v").over(_ord())).alias("d"), F.abs(F.col("v") - F.first("v").over(_ord())).alias("r"))
-    n = F.log10(F.lit(63.0))
-    return d.groupBy("vec_id").agg(_r(n / (n + F.log10(F.max("r") / F.sum("d")))).alias("katz"))
+    return _values(spark, sf, "katz", lambda x: [dsp.katz(x)])
 
 
 @query(f"WITH {SAMPLES}, l AS (SELECT a.vec_id, k, a.i % k AS m, sum(abs(b.v - a.v)) AS s, count(*) AS c FROM v a, range(1, 9) t(k), v b WHERE b.vec_id = a.vec_id AND b.i = a.i + k GROUP BY 1, 2, 3), h AS (SELECT vec_id, k, ln(avg(s * 63 / (c * k)) + 1e-12) AS y, ln(1.0 / k) AS x FROM l GROUP BY 1, 2) SELECT vec_id, round(regr_slope(y, x), 6) AS higuchi FROM h GROUP BY 1")
 def f_higuchi(spark, sf):
-    """Curve lengths at eight strides: each window's samples meet their k-th successor by key."""
-    v = samples(spark, sf).select("vec_id", "i", "v")
-    a = v.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).select("vec_id", (F.col("i") + F.col("k")).alias("i"), "k", F.col("v").alias("w"))
-    length = a.join(v, ["vec_id", "i"]).groupBy("vec_id", "k", (F.col("i") % F.col("k")).alias("m")).agg((F.sum(F.abs(F.col("v") - F.col("w"))) * 63 / (_n() * F.col("k"))).alias("l"))
-    h = length.groupBy("vec_id", "k").agg(F.log(F.avg("l") + EPS).alias("y")).withColumn("x", F.log(1.0 / F.col("k")))
-    return h.groupBy("vec_id").agg(_r(F.regr_slope("y", "x")).alias("higuchi"))
+    """Curve lengths at eight strides."""
+    return _values(spark, sf, "higuchi", lambda x: [dsp.higuchi(x)])
 
 
-@query(f"WITH {SAMPLES}, m AS (SELECT vec_id, median(v) AS md FROM v GROUP BY 1) SELECT v.vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(any_value(md), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(median(abs(v - md)), 6) AS mad, round(sum(v * v), 6) AS energy, round(sqrt(avg(v * v)), 6) AS rms FROM v JOIN m USING (vec_id) GROUP BY 1")
+@query(f"""WITH {SAMPLES}, m AS (SELECT vec_id, median(v) AS md, avg(v) AS mu, sum(v * v) AS e FROM v GROUP BY 1),
+u AS (SELECT v.*, md, e, v - mu AS d, v * v / (e + 1e-12) AS p, sign(v) <> sign(lag(v) OVER w) AS turn, v * v - lag(v) OVER w * lead(v) OVER w AS tk FROM v JOIN m USING (vec_id) WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(var_pop(v), 6) AS var, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurt,
+  round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(v) - min(v), 6) AS range, round(any_value(md), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(median(abs(v - md)), 6) AS mad,
+  round(sum(v * v), 6) AS energy, round(log10(sum(v * v) + 1e-12), 6) + 0.0 AS log_energy, round(sqrt(avg(v * v)), 6) AS rms, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy,
+  round(count(*) FILTER (turn) / 63.0, 6) AS zcr, round(max(v) - min(v), 6) AS p2p, round(avg(tk), 6) AS tk_mean, round(stddev_pop(tk), 6) AS tk_std, round(max(abs(tk)), 6) AS tk_max FROM u GROUP BY 1""")
 def f_coef20(spark, sf):
-    """Statistics of a coefficient vector."""
-    v = samples(spark, sf).withColumn("md", F.median("v").over(_by()))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    g = v.groupBy("vec_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.first("md").alias("median"), q.alias("q"), F.median(F.abs(F.col("v") - F.col("md"))).alias("mad"), F.sum(F.col("v") ** 2).alias("energy"), F.sqrt(F.avg(F.col("v") ** 2)).alias("rms"))
-    return g.withColumn("iqr", F.col("q")[1] - F.col("q")[0]).select("vec_id", *[_r(c).alias(c) for c in ("mean", "std", "min", "max", "median", "iqr", "mad", "energy", "rms")])
+    """The twenty statistics of a coefficient vector."""
+    return _values(spark, sf, " ".join(ft.COEFFICIENT), lambda x: ft.coefficient_statistics(x).T)
 
 
 @query(f"WITH {SAMPLES} SELECT vec_id, round(quantile_cont(v, 0.01), 6) AS p1, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.99), 6) AS p99 FROM v GROUP BY 1")
 def f_pctl(spark, sf):
-    q = F.percentile("v", F.array(*[F.lit(p) for p in (0.01, 0.1, 0.9, 0.99)]))
-    return samples(spark, sf).groupBy("vec_id").agg(q.alias("q")).select("vec_id", *[_r(F.col("q")[i]).alias(n) for i, n in enumerate(("p1", "p10", "p90", "p99"))])
+    return _values(spark, sf, "p1 p10 p90 p99", lambda x: dsp.quantiles(np.sort(x, axis=1), (0.01, 0.1, 0.9, 0.99)))
+
+
+_CENTRED = f"WITH {SAMPLES}, d AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY vec_id) AS d FROM v)"
 
 
-@query(f"WITH {SAMPLES}, d AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY vec_id) AS d FROM v) SELECT vec_id, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurt FROM d GROUP BY 1")
+@query(f"{_CENTRED} SELECT vec_id, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skew FROM d GROUP BY 1")
 def f_skew(spark, sf):
-    return samples(spark, sf).groupBy("vec_id").agg(_r(F.skewness("v")).alias("skew"), _r(F.kurtosis("v")).alias("kurt"))
+    return _values(spark, sf, "skew", lambda x: dsp.moments(x)[:1])
+
+
+@query(f"{_CENTRED} SELECT vec_id, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurt FROM d GROUP BY 1")
+def f_kurt(spark, sf):
+    return _values(spark, sf, "kurt", lambda x: dsp.moments(x)[1:])
 
 
 @query(f"WITH {SAMPLES}, m AS (SELECT vec_id, median(v) AS md FROM v GROUP BY 1) SELECT vec_id, round(median(abs(v - md)), 6) AS mad FROM v JOIN m USING (vec_id) GROUP BY 1")
 def f_mad(spark, sf):
-    v = samples(spark, sf).withColumn("md", F.median("v").over(_by()))
-    return v.groupBy("vec_id").agg(_r(F.median(F.abs(F.col("v") - F.col("md")))).alias("mad"))
+    return _values(spark, sf, "mad", lambda x: [np.median(np.abs(x - np.median(x, axis=1, keepdims=True)), axis=1)])
 
 
-@query(f"WITH {SAMPLES}, b AS (SELECT vec_id, CAST(least(floor((v - min(v) OVER w) / (max(v) OVER w + 1e-12 - min(v) OVER w) * 16), 15) AS INT) AS bin FROM v WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, bin, count(*) AS n FROM b GROUP BY 1, 2")
+@query(f"WITH {SAMPLES}, b AS (SELECT vec_id, CAST(least(floor((v - min(v) OVER w) / (max(v) OVER w + 1e-12 - min(v) OVER w) * 16), 15) AS INT) AS bin FROM v WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, bin, round(count(*) / 64.0, 6) AS share FROM b GROUP BY 1, 2")
 def f_hist(spark, sf):
-    lo, hi = F.min("v").over(_by()), F.max("v").over(_by())
-    b = samples(spark, sf).withColumn("bin", F.least(F.floor((F.col("v") - lo) / (hi + EPS - lo) * 16), F.lit(15)).cast("int"))
-    return b.groupBy("vec_id", "bin").agg(_n().alias("n"))
+    """Bins that hold a sample, and their shares."""
+    return _each(spark, sf, "bin", "share", lambda x: dsp.histogram(x, 16, hi=x.max(axis=1) + EPS)).filter("share > 0")
 
 
 @query(f"WITH {SAMPLES}, p AS (SELECT vec_id, i, v, lag(v) OVER w AS a, lead(v) OVER w AS b, stddev_pop(v) OVER (PARTITION BY vec_id) AS sd FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY i)) SELECT vec_id, i FROM p WHERE v > a AND v > b AND v >= sd")
 def f_peaks(spark, sf):
-    p = samples(spark, sf).withColumns({"a": F.lag("v").over(_ord()), "b": F.lead("v").over(_ord()), "sd": F.stddev_pop("v").over(_by())})
-    return p.filter("v > a and v > b and v >= sd").select("vec_id", "i")
+    def found(x):
+        row, at = dsp.peaks(x, x.std(axis=1))
+        return [np.split(at, np.cumsum(np.bincount(row, minlength=len(x)))[:-1])]
+
+    return _kernel(spark, sf, "at array<double>", found).select("vec_id", F.explode(F.col("at").cast("array<int>")).alias("i"))
 
 
 @query(f"WITH {SAMPLES} SELECT a.vec_id, CAST(l AS INT) AS lag, round(sum(a.v * b.v) / (any_value(e) + 1e-12), 6) AS ac FROM v a, range(1, 11) t(l), v b, (SELECT vec_id AS id, sum(v * v) AS e FROM v GROUP BY 1) n WHERE b.vec_id = a.vec_id AND b.i = a.i + l AND id = a.vec_id GROUP BY 1, 2")
 def f_acf(spark, sf):
-    """Ten lags inside each array."""
-    x = F.col("x")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    s = signals(spark, sf).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    left, right = F.slice(x, F.lit(1), F.size(x) - F.col("lag")), F.slice(x, F.col("lag") + 1, F.size(x) - F.col("lag"))
-    return s.select("vec_id", "lag", _r(dot(left, right) / (dot(x, x) + EPS)).alias("ac"))
+    """Ten lags."""
+    ac = _each(spark, sf, "lag", "ac", lambda x: dsp.autocorrelation(x)[:, 1:11])
+    return ac.select("vec_id", (F.col("lag") + 1).alias("lag"), "ac")
+
+
+# ---------------------------------------------------------------- short-time spectra and their images
+#: Short frames, so that a window of 64 samples has an image of 9 bins x 7 frames.
+FRAME, STEP = 16, 8
 
 
-_GREY = SAMPLES + ", q AS (SELECT vec_id, i, i // 8 AS r, i % 8 AS c, CAST(floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-12) * 7) AS INT) AS g FROM v WINDOW w AS (PARTITION BY vec_id))"
+def _view(x):
+    return ft.TimeFrequencyView(x, 1000.0, FRAME, STEP)
 
 
-def _grey(spark, sf):
-    lo, hi = F.min("v").over(_by()), F.max("v").over(_by())
-    g = F.floor((F.col("v") - lo) / (hi - lo + EPS) * 7).cast("int")
-    return samples(spark, sf).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).alias("c"), g.alias("g"), "i")
+_STFT = SAMPLES + """, z AS (SELECT vec_id, CAST(f AS INT) AS f, CAST(k AS INT) AS k,
+  sqrt(pow(sum(v * h * cos(2 * pi() * k * j / 16)), 2) + pow(sum(v * h * sin(2 * pi() * k * j / 16)), 2)) AS mag
+  FROM (SELECT vec_id, f, i - 8 * f AS j, v, (0.5 - 0.5 * cos(2 * pi() * (i - 8 * f) / 16)) / 8 AS h FROM v, range(0, 7) t(f) WHERE i BETWEEN 8 * f AND 8 * f + 15), range(0, 9) u(k) GROUP BY 1, 2, 3)"""
+_IMAGE = _STFT + """, g AS (SELECT vec_id, k AS r, f AS c, log10(mag * mag + 1e-12) AS l FROM z),
+q AS (SELECT vec_id, r, c, l, CAST(floor((l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-12) * 31) AS INT) AS g FROM g WINDOW w AS (PARTITION BY vec_id)),
+a AS (SELECT vec_id, list(g ORDER BY r, c) AS qs, list(l ORDER BY r, c) AS ls FROM q GROUP BY 1)"""
 
 
-@query(f"WITH {_GREY} SELECT vec_id, i, g FROM q")
+@query(f"WITH {_STFT} SELECT vec_id, f * 9 + k AS cell, round(mag, 6) AS mag FROM z")
+def f_stft(spark, sf):
+    """Magnitudes of all frames and bins."""
+    return _each(spark, sf, "cell", "mag", lambda x: _view(x).mag.reshape(len(x), -1))
+
+
+@query(f"WITH {_IMAGE} SELECT vec_id, r * 7 + c AS cell, CAST(g AS DOUBLE) AS g FROM q")
 def f_quant(spark, sf):
-    return _grey(spark, sf).select("vec_id", "i", "g")
+    """Grey levels (32) of log power."""
+    return _each(spark, sf, "cell", "g", lambda x: _view(x).grey.reshape(len(x), -1))
+
 
+_OFFSETS = ", ".join(f"({i}, {round(np.sin(a * np.pi / 4) * d)}, {round(np.cos(a * np.pi / 4) * d)})" for i, (d, a) in enumerate(ft._GLCM))
 
-@query(f"WITH {_GREY}, n AS (SELECT a.vec_id, a.g AS a, b.g AS b FROM q a JOIN q b ON a.vec_id = b.vec_id AND b.r = a.r AND b.c = a.c + 1), s AS (SELECT vec_id, a, b FROM n UNION ALL SELECT vec_id, b, a FROM n), p AS (SELECT vec_id, a, b, count(*) / 112.0 AS p FROM s GROUP BY 1, 2, 3) SELECT vec_id, round(sum(p * (a - b) * (a - b)), 6) AS contrast, round(sqrt(sum(p * p)), 6) AS energy, round(sum(p / (1 + (a - b) * (a - b))), 6) AS homogeneity FROM p GROUP BY 1")
+
+@query(f"""WITH {_IMAGE}, o AS (SELECT * FROM (VALUES {_OFFSETS}) o(o, dr, dc)), n AS (SELECT x.vec_id, o, x.g AS a, y.g AS b FROM q x, o JOIN q y ON y.vec_id = x.vec_id AND y.r = x.r + dr AND y.c = x.c + dc),
+s AS (SELECT vec_id, o, a, b FROM n UNION ALL SELECT vec_id, o, b, a FROM n), p0 AS (SELECT vec_id, o, a, b, count(*) AS n FROM s GROUP BY 1, 2, 3, 4), p AS (SELECT *, n / sum(n) OVER (PARTITION BY vec_id, o) AS p FROM p0),
+m AS (SELECT vec_id, o, sum(p * a) AS m FROM p GROUP BY 1, 2)
+SELECT vec_id, o AS offset_, round(sum(p * (a - b) * (a - b)), 9) AS contrast, round(sqrt(sum(p * p)), 9) AS energy, round(sum(p / (1 + (a - b) * (a - b))), 9) AS homogeneity,
+  round(CASE WHEN sum(p * (a - m) * (a - m)) < 1e-15 THEN 1 ELSE sum(p * (a - m) * (b - m)) / sum(p * (a - m) * (a - m)) END, 9) + 0.0 AS correlation, round(-sum(p * log2(p + 1e-12)), 9) AS entropy FROM p JOIN m USING (vec_id, o) GROUP BY 1, 2""")
 def f_glcm(spark, sf):
-    """Co-occurrence of grey levels with the pixel to the right, both ways."""
-    w = Window.partitionBy("vec_id", "r").orderBy("c")
-    n = _grey(spark, sf).withColumn("b", F.lead("g").over(w)).filter("b is not null").select("vec_id", F.col("g").alias("a"), "b")
-    p = n.union(n.select("vec_id", "b", "a")).groupBy("vec_id", "a", "b").agg((_n() / 112.0).alias("p"))
-    gap = (F.col("a") - F.col("b")) ** 2
-    return p.groupBy("vec_id").agg(_r(F.sum(F.col("p") * gap)).alias("contrast"), _r(F.sqrt(F.sum(F.col("p") ** 2))).alias("energy"), _r(F.sum(F.col("p") / (1 + gap))).alias("homogeneity"))
+    """Five properties of the co-occurrence of grey levels at sixteen offsets."""
+    def run(x):
+        grey = _view(x).grey
+        found = [dsp.texture(dsp.glcm(grey, d, a * np.pi / 4, ft.GREY)) for d, a in ft._GLCM]
+        return [np.stack([t[p] for t in found], axis=1) for p in ft.GLCM_PROPS]
+
+    out = _kernel(spark, sf, ", ".join(f"{p} array<double>" for p in ft.GLCM_PROPS), run)
+    return out.select("vec_id", F.posexplode(F.arrays_zip(*ft.GLCM_PROPS)).alias("offset_", "t")).select("vec_id", "offset_", *[(_r(f"t.{p}", 9) + 0.0).alias(p) for p in ft.GLCM_PROPS])
+
+
+def _pixel(values: str, y, x) -> str:
+    return f"(CASE WHEN r + ({y}) BETWEEN 0 AND 8 AND c + ({x}) BETWEEN 0 AND 6 THEN {values}[(r + ({y})) * 7 + c + ({x}) + 1] ELSE 0 END)::DOUBLE"
+
+
+def _ring() -> str:
+    """SQL of a pixel's byte: eight neighbours on a circle, between pixels by two linear steps."""
+    out = []
+    for k in range(8):
+        r, c = (float(np.round(v, 5)) for v in (-np.sin(2 * np.pi * k / 8), np.cos(2 * np.pi * k / 8)))
+        r0, c0 = int(np.floor(r)), int(np.floor(c))
+        r1, c1 = int(np.ceil(r)), int(np.ceil(c))
+        row = lambda y: f"({1 - (c - c0)!r}::DOUBLE * {_pixel('qs', y, c0)} + {c - c0!r}::DOUBLE * {_pixel('qs', y, c1)})"  # noqa: B023, E731
+        out.append(f"CASE WHEN {1 - (r - r0)!r}::DOUBLE * {row(r0)} + {r - r0!r}::DOUBLE * {row(r1)} >= g THEN {1 << k} ELSE 0 END")
+    return " + ".join(out)
+
+
+@query(f"WITH {_IMAGE}, b AS (SELECT vec_id, CAST(floor(({_ring()}) / 8) AS INT) AS bin FROM q JOIN a USING (vec_id)) SELECT vec_id, bin, round(count(*) / 63.0, 6) AS share FROM b GROUP BY 1, 2")
+def f_lbp(spark, sf):
+    """Shares of local binary patterns of the image."""
+    return _each(spark, sf, "bin", "share", lambda x: dsp.histogram(dsp.local_binary(_view(x).grey).reshape(len(x), -1), 32, 0, 256)).filter("share > 0")
+
 
+_DOWN = f"(CASE r WHEN 0 THEN {_pixel('ls', 1, 0)} - l WHEN 8 THEN l - {_pixel('ls', -1, 0)} ELSE ({_pixel('ls', 1, 0)} - {_pixel('ls', -1, 0)}) / 2 END)"
+_RIGHT = f"(CASE c WHEN 0 THEN {_pixel('ls', 0, 1)} - l WHEN 6 THEN l - {_pixel('ls', 0, -1)} ELSE ({_pixel('ls', 0, 1)} - {_pixel('ls', 0, -1)}) / 2 END)"
 
-@query(f"WITH {SAMPLES} SELECT vec_id, round(regr_slope(v, i), 8) AS slope, round(regr_r2(v, i), 6) AS r2 FROM v GROUP BY 1")
+
+@query(f"""WITH {_IMAGE}, d AS (SELECT vec_id, {_DOWN} AS dy, {_RIGHT} AS dx FROM q JOIN a USING (vec_id)), b AS (SELECT vec_id, CAST(least(floor(((atan2(dy, dx) + pi()) % pi()) * 16 / pi()), 15) AS INT) AS bin, sqrt(dx * dx + dy * dy) AS w FROM d)
+SELECT * FROM (SELECT vec_id, bin, round(sum(w) / (sum(sum(w)) OVER (PARTITION BY vec_id) + 1e-12), 6) AS share FROM b GROUP BY 1, 2) WHERE share > 0""")
+def f_hog(spark, sf):
+    """Orientations of the image's gradients, weighted by their lengths."""
+    def run(x):
+        down, right = np.gradient(_view(x).image, axis=(1, 2))
+        flat = lambda v: v.reshape(len(x), -1)
+        return dsp.histogram(flat((np.arctan2(down, right) + np.pi) % np.pi), 16, 0, np.pi, flat(np.hypot(down, right)))
+
+    return _each(spark, sf, "bin", "share", run).filter("share > 0")
+
+
+@query(f"WITH {SAMPLES} SELECT vec_id, round(regr_slope(v, i), 8) AS slope, round(regr_r2(v, i), 8) AS r2 FROM v GROUP BY 1")
 def f_polyfit1(spark, sf):
-    return samples(spark, sf).groupBy("vec_id").agg(_r(F.regr_slope("v", "i"), 8).alias("slope"), _r(F.regr_r2("v", "i")).alias("r2"))
+    def line(x):
+        t = np.arange(x.shape[1], dtype=float)
+        rate = dsp.slope(x, t)
+        return [rate, rate**2 * t.var() / x.var(axis=1)]
 
+    return _values(spark, sf, "slope r2", line, 8)
 
-@query(f"WITH {SAMPLES}, n AS (SELECT *, ntile(10) OVER (PARTITION BY vec_id ORDER BY i) AS part FROM v) SELECT vec_id, part, round(sum(v * v), 6) AS energy FROM n GROUP BY 1, 2")
+
+@query(f"WITH {SAMPLES}, n AS (SELECT *, ntile(10) OVER (PARTITION BY vec_id ORDER BY i) AS part FROM v) SELECT vec_id, CAST(part - 1 AS INT) AS part, round(sum(v * v), 6) AS energy FROM n GROUP BY 1, 2")
 def f_split(spark, sf):
     """Energy of ten near-equal parts."""
-    n = samples(spark, sf).withColumn("part", F.ntile(10).over(_ord()).cast("long"))
-    return n.groupBy("vec_id", "part").agg(_r(F.sum(F.col("v") ** 2)).alias("energy"))
+    return _each(spark, sf, "part", "energy", lambda x: ft.TimeView(x, 1000.0).parts)
 
 
 @query(f"WITH {SAMPLES}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) AS k FROM v) SELECT vec_id, round(avg(v), 6) AS trimmed FROM k WHERE k > 6 AND k <= 58 GROUP BY 1")
@@ -227,7 +294,7 @@ def f_san(spark, sf):
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round(sum(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM v")
 def f_conv5(spark, sf):
-    return samples(spark, sf).select("vec_id", "i", _r(F.sum("v").over(_ord().rowsBetween(-2, 2)) / 5).alias("smooth"))
+    return _each(spark, sf, "i", "smooth", lambda x: [np.convolve(row, np.full(5, 0.2), "same") for row in x])
 
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round_even((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 255, 0) AS g FROM v WINDOW w AS (PARTITION BY vec_id)")
@@ -237,197 +304,156 @@ def f_minmax255(spark, sf):
     return s.select("vec_id", "i", F.coalesce(F.bround(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * 255, 0), F.lit(0.0)).alias("g"))
 
 
-@query(f"WITH {SAMPLES} SELECT vec_id, CAST(i / 4 AS INT) AS i, v FROM v WHERE i % 4 = 0 AND i < 32")
+@query(f"WITH {SAMPLES} SELECT vec_id, CAST(i / 4 AS INT) AS i, v FROM v WHERE i % 4 = 0")
 def f_decim(spark, sf):
-    """Every fourth sample, cut to eight."""
-    d = F.slice(F.filter("x", lambda v, i: i % 4 == 0), 1, 8)
-    return signals(spark, sf).select("vec_id", F.posexplode(d).alias("i", "v"))
+    """Every fourth sample."""
+    return signals(spark, sf).select("vec_id", F.posexplode(F.filter("x", lambda v, i: i % 4 == 0)).alias("i", "v"))
 
 
-_DB4 = "(VALUES (0, -0.010597401784997278), (1, 0.032883011666982945), (2, 0.030841381835986965), (3, -0.18703481171888114), (4, -0.02798376941698385), (5, 0.6308807679295904), (6, 0.7148465705525415), (7, 0.23037781330885523)) f(j, h)"
+# ---------------------------------------------------------------- wavelets
+_TAPS = "taps AS (SELECT * FROM (VALUES " + ", ".join(f"({j}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for j, (lo, hi) in enumerate(zip(dsp._LOW.tolist(), dsp._HIGH.tolist(), strict=True))) + ") t(j, lo, hi))"
 
 
-@query(f"WITH {SAMPLES}, o AS (SELECT vec_id, k, j, h, 2 * k + 1 - j AS p FROM x, range(0, 35) t(k), {_DB4}) SELECT o.vec_id, k, round(sum(h * v), 6) AS a FROM o JOIN v ON v.vec_id = o.vec_id AND v.i = CASE WHEN p < 0 THEN -1 - p WHEN p > 63 THEN 127 - p ELSE p END GROUP BY 1, 2")
-def f_dwt(spark, sf):
-    """Approximation of one wavelet level: the filter is a small table, the ends are mirrored."""
-    from ..functions.dsp import _LOW
+def _level(name: str, source: str, n: int) -> str:
+    """SQL of one wavelet level of all nodes of ``source`` (vec_id, node, i, v; n samples each): approximation 'a', detail 'd'."""
+    at = f"CASE WHEN p < 0 THEN -1 - p WHEN p > {n - 1} THEN {2 * n - 1} - p ELSE p END"
+    o = f"{name}o AS (SELECT vec_id, node, k, lo, hi, 2 * k + 1 - j AS p FROM (SELECT DISTINCT vec_id, node FROM {source}), range(0, {(n + 7) // 2}) r(k), taps)"
+    return o + f", {name}w AS (SELECT o.vec_id, o.node, CAST(k AS INT) AS i, sum(lo * v) AS a, sum(hi * v) AS d FROM {name}o o JOIN {source} s ON s.vec_id = o.vec_id AND s.node = o.node AND s.i = {at} GROUP BY 1, 2, 3)" \
+        f", {name} AS (SELECT vec_id, node || 'a' AS node, i, a AS v FROM {name}w UNION ALL SELECT vec_id, node || 'd', i, d FROM {name}w)"
 
-    x = F.col("x")
-    ext = F.concat(F.reverse(F.slice(x, 1, 7)), x, F.reverse(F.slice(x, -7, 7)))
-    taps = F.array(*[F.lit(float(h)) for h in _LOW[::-1]])
-    s = signals(spark, sf).select("vec_id", ext.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(34))).alias("k"))
-    dot = F.aggregate(F.zip_with(F.slice("e", 2 * F.col("k") + 2, F.lit(8)), taps, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-    return s.select("vec_id", F.col("k").cast("long").alias("k"), _r(dot).alias("a"))
 
+_START = SAMPLES + ", n0 AS (SELECT vec_id, '' AS node, i, v FROM v), " + _TAPS
 
-@query(f"WITH {SAMPLES}, c AS (SELECT vec_id, i // 8 AS c, sum(v * v) AS e FROM v GROUP BY 1, 2), w AS (SELECT *, e / (sum(e) OVER (PARTITION BY vec_id) + 1e-12) AS w FROM c), m AS (SELECT vec_id, sum(c * w) AS m FROM w GROUP BY 1) SELECT vec_id, round(any_value(m), 6) AS centroid, round(sqrt(sum(pow(c - m, 2) * w)), 6) AS spread, round(max(w), 6) AS max_frac, count(*) FILTER (e >= 0.1 * mx) AS active10 FROM (SELECT w.*, m, max(e) OVER (PARTITION BY vec_id) AS mx FROM w JOIN m USING (vec_id)) GROUP BY 1")
-def f_spatial(spark, sf):
-    """Localisation of the energy of an 8 x 8 patch."""
-    c = samples(spark, sf).groupBy("vec_id", F.floor(F.col("i") / 8).alias("c")).agg(F.sum(F.col("v") ** 2).alias("e"))
-    w = c.withColumns({"w": F.col("e") / (F.sum("e").over(_by()) + EPS), "mx": F.max("e").over(_by())}).withColumn("m", F.sum(F.col("c") * F.col("w")).over(_by()))
-    return w.groupBy("vec_id").agg(_r(F.first("m")).alias("centroid"), _r(F.sqrt(F.sum((F.col("c") - F.col("m")) ** 2 * F.col("w")))).alias("spread"), _r(F.max("w")).alias("max_frac"), F.count_if(F.col("e") >= 0.1 * F.col("mx")).alias("active10"))
 
+@query(f"""WITH {_START}, {_level('l1', 'n0', 64)}, k1 AS (SELECT * FROM l1 WHERE node = 'a'), {_level('l2', 'k1', 35)}, k2 AS (SELECT * FROM l2 WHERE node = 'aa'), {_level('l3', 'k2', 21)}
+SELECT vec_id, 'd1' AS band, i, round(v, 6) AS v FROM l1 WHERE node = 'd' UNION ALL SELECT vec_id, 'd2', i, round(v, 6) FROM l2 WHERE node = 'ad' UNION ALL SELECT vec_id, CASE node WHEN 'aaa' THEN 'a3' ELSE 'd3' END, i, round(v, 6) FROM l3""")
+def f_dwt(spark, sf):
+    """Three wavelet levels: the last approximation and all details."""
+    names = ("a3", "d3", "d2", "d1")
+    out = _kernel(spark, sf, ", ".join(f"{n} array<double>" for n in names), lambda x: dsp.wavedec(x, 3))
+    bands = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.col(n).alias("y")) for n in names])).alias("b")
+    return out.select("vec_id", bands).select("vec_id", "b.band", F.posexplode("b.y").alias("i", "y")).select("vec_id", "band", "i", _r("y").alias("v"))
 
-def _windows(spark, sf):
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("x", r * 8 + 1, F.lit(8)))
-    return signals(spark, sf).select(F.col("vec_id").alias("sample_id"), F.array(*[F.col("x")] * 4).alias("patch"), rows.alias("rows"))
 
+@query(f"WITH {_START}, {_level('l1', 'n0', 64)}, {_level('l2', 'l1', 35)}, {_level('l3', 'l2', 21)}, {_level('l4', 'l3', 14)}, e AS (SELECT vec_id, node, sum(v * v) AS e FROM l4 GROUP BY 1, 2) SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY node) - 1 AS INT) AS node, round(e, 6) AS energy FROM e")
+def f_wpt(spark, sf):
+    """Energies of the sixteen wavelet packet nodes."""
+    return _each(spark, sf, "node", "energy", lambda x: (dsp.packet(x, 4) ** 2).sum(axis=2))
 
-@query()
-def x_window(spark, sf):
-    """All 1,002 features of every window, one pass, four arrays."""
-    return extraction.extract(_windows(spark, sf), 1000.0)
 
+@query(f"WITH {SAMPLES}, c AS (SELECT vec_id, i // 8 AS c, sum(v * v) AS e FROM v GROUP BY 1, 2), w AS (SELECT *, e / (sum(e) OVER (PARTITION BY vec_id) + 1e-12) AS w FROM c), m AS (SELECT vec_id, sum(c * w) AS m FROM w GROUP BY 1) SELECT vec_id, round(any_value(m), 6) AS centroid, round(sqrt(sum(pow(c - m, 2) * w)), 6) AS spread, round(max(w), 6) AS max_frac, CAST(count(*) FILTER (e >= 0.1 * mx) AS DOUBLE) AS active10 FROM (SELECT w.*, m, max(e) OVER (PARTITION BY vec_id) AS mx FROM w JOIN m USING (vec_id)) GROUP BY 1")
+def f_spatial(spark, sf):
+    """Localisation of the energy of a patch of 8 channels x 8 samples."""
+    def place(x):
+        v = ft.PatchView(x.reshape(len(x), 8, -1))
+        return [*dsp.centre_spread(v.w), v.w.max(axis=1), v.active(0.1).sum(axis=1)]
 
-@query()
-def agg_colstats(spark, sf):
-    """Statistics of each time feature over all windows."""
-    return extraction.column_statistics(extraction.extract(_windows(spark, sf), 1000.0, domains=("time",)), "time")
+    return _values(spark, sf, "centroid spread max_frac active10", place)
 
 
-@query()
-def x_domcomp(spark, sf):
-    """Features by domain, and those that vary."""
-    e = extraction.extract(_windows(spark, sf), 1000.0)
-    out = None
-    for d, n in SIZES.items():
-        s = extraction.column_statistics(e, d).agg(F.count_if(~F.col("near_constant")).alias("varying")).select(F.lit(d).alias("domain"), F.lit(n).alias("n"), "varying")
-        out = s if out is None else out.union(s)
-    return out
+@query(f"WITH {SAMPLES}, h AS (SELECT a.vec_id, a.i, any_value(a.v) AS v, sum(b.v / tan(pi() * (a.i - b.i) / 64)) / 32 AS h FROM v a JOIN v b ON a.vec_id = b.vec_id AND abs(a.i - b.i) % 2 = 1 GROUP BY 1, 2) SELECT vec_id, i, round(sqrt(v * v + h * h), 6) AS env FROM h")
+def f_hilbert(spark, sf):
+    """Envelope: the signal and its quadrature, which SQL sums with cotangents."""
+    return _each(spark, sf, "i", "env", dsp.envelope)
 
 
-@query()
-def f_pre(spark, sf):
-    """Band-passed, scaled windows."""
-    import numpy as np
-    import pyarrow as pa
+@query(f"WITH {_DFT} SELECT vec_id, CAST(m - 1 AS INT) AS m, round(sum(ln(mag + 1e-12) * cos(2 * pi() * k * m / 64) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) / 64, 6) AS cepstral FROM f, range(1, 9) t(m) GROUP BY 1, 2")
+def f_irfft(spark, sf):
+    """First cepstral coefficients."""
+    return _each(spark, sf, "m", "cepstral", lambda x: np.fft.irfft(np.log(_mag(x) + EPS), x.shape[1])[:, 1:9])
 
-    from ..functions import dsp
 
-    def run(batches):
-        for b in batches:
-            x = dsp.preprocess(np.array(b.column("x").to_pylist(), float), 10_000.0) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "x"])
+@query("SELECT k, round(k * 1000.0 / 64, 6) AS hz FROM range(0, 33) t(k)")
+def f_freqs(spark, sf):
+    """Frequencies of the bins of a 64-sample window at 1 kHz."""
+    return spark.range(33).select(F.col("id").alias("k"), _r(F.col("id") * 1000.0 / 64).alias("hz"))
 
-    return signals(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, x array<double>")
 
+# ---------------------------------------------------------------- filters and baseline transforms
+@query()
+def f_pre(spark, sf):
+    """Band-passed, scaled windows."""
+    return _kernel(spark, sf, "y array<double>", lambda x: [dsp.preprocess(x, 10_000.0)])
 
-def _kernel(spark, sf, f):
-    """``f`` (samples to a list of numbers) over every window, tiled to 2,048 samples."""
-    import numpy as np
-    import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            out = [np.asarray(f(np.tile(np.array(x), 32)), float).ravel() for x in b.column("x").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "y"])
+@query()
+def f_prep(spark, sf):
+    """Channels of a patch, each without mean, band-passed and scaled: all samples, channel after channel."""
+    def run(x):
+        rows = np.tile(x, 32).reshape(len(x) * 4, -1)
+        return [dsp.preprocess(rows, 10_000.0).reshape(len(x), -1)]
 
-    return signals(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, y array<double>")
+    return _kernel(spark, sf, "y array<double>", run)
 
 
 @query()
 def f_rdft(spark, sf):
-    """Redundant spectrum of the baseline network."""
-    from ..functions import baselines
-
-    return _kernel(spark, sf, lambda x: baselines.redundant_spectrum(x, 10_000.0))
+    """Redundant spectrum of the baseline network, of windows tiled to 2,048 samples."""
+    return _kernel(spark, sf, "y array<double>", lambda x: [[baselines.redundant_spectrum(np.tile(r, 32), 10_000.0) for r in x]])
 
 
 @query()
 def f_dwt3(spark, sf):
     """Three wavelet levels, concatenated."""
-    from ..functions import baselines
-
-    return _kernel(spark, sf, lambda x: baselines.wavelet_coefficients(x, 10_000.0))
+    return _kernel(spark, sf, "y array<double>", lambda x: [[baselines.wavelet_coefficients(np.tile(r, 32), 10_000.0) for r in x]])
 
 
 @query()
 def f_mfcc(spark, sf):
     """Mel cepstra."""
-    from ..functions import baselines
-
-    return _kernel(spark, sf, lambda x: baselines.mel_cepstrum(x, 10_000.0))
+    return _kernel(spark, sf, "y array<double>", lambda x: [[baselines.mel_cepstrum(np.tile(r, 32), 10_000.0) for r in x]])
 
 
 @query()
-def f_hilbert(spark, sf):
-    """Envelope."""
-    from ..functions import dsp
-
-    return _kernel(spark, sf, lambda x: dsp.envelope(x)[:64])
-
-
-@query()
-def f_stft(spark, sf):
-    """Mean spectrum over short frames."""
-    import numpy as np
-
-    from ..functions import dsp
-
-    return _kernel(spark, sf, lambda x: np.abs(dsp.stft(x, 10_000.0, 512, 128)[1]).mean(axis=1))
-
+def f_sos(spark, sf):
+    """Sections of the band-pass at the two sampling rates."""
+    rows = [(fs, i, *map(float, s)) for fs in (10_000.0, 20_000.0) for i, s in enumerate(dsp.bandpass(fs))]
+    return spark.createDataFrame(rows, "fs double, section int, gain double, a1 double, a2 double")
 
-@query()
-def f_wpt(spark, sf):
-    """Energies of the sixteen wavelet packet nodes."""
-    from ..functions import dsp
 
-    return _kernel(spark, sf, lambda x: [(c * c).sum() for c in dsp.packet(x, 4)])
+# ---------------------------------------------------------------- extraction
+def _windows(spark, sf):
+    """(manifest, patches of 4 channels x 256 samples): each window reads four consecutive blocks."""
+    b = blocks(spark, sf)
+    known = b.groupBy("recording_id").agg(F.max("block").alias("last"))
+    manifest = b.filter("locus = 0").select("recording_id", "block").join(F.broadcast(known), "recording_id").filter("block + 3 < last")  # the last block may lack channels
+    manifest = manifest.select(F.concat_ws("-", "recording_id", "block").alias("sample_id"), "recording_id", "block", F.pmod("block", F.lit(8)).alias("locus"), F.lit(8).alias("n_loci"))
+    return manifest, extraction.patches(manifest, b, 4)
 
 
 @query()
-def f_lbp(spark, sf):
-    """Shares of local binary patterns of each 8 x 8 window in grey levels."""
-    import numpy as np
-
-    from ..functions import dsp
-
-    def shares(x):
-        g = np.floor((x[:64] - x[:64].min()) / (np.ptp(x[:64]) + dsp.EPS) * 31).reshape(8, 8)
-        return dsp.histogram(dsp.local_binary(g), 32, 0, 256)
-
-    return _kernel(spark, sf, shares)
-
-
-@query(f"WITH {SAMPLES}, g AS (SELECT vec_id, (lead(v) OVER w - lag(v) OVER w) / 2 AS g FROM v WINDOW w AS (PARTITION BY vec_id, i // 8 ORDER BY i)) SELECT vec_id, round(sum(abs(g)), 6) AS total, count(*) FILTER (g > 0) AS rising FROM g WHERE g IS NOT NULL GROUP BY 1")
-def f_hog(spark, sf):
-    """Central differences along the rows of each 8 x 8 window."""
-    w = Window.partitionBy("vec_id", F.floor(F.col("i") / 8)).orderBy("i")
-    g = samples(spark, sf).withColumn("g", (F.lead("v").over(w) - F.lag("v").over(w)) / 2).filter("g is not null")
-    return g.groupBy("vec_id").agg(_r(F.sum(F.abs("g"))).alias("total"), F.count_if(F.col("g") > 0).alias("rising"))
-
-
-@query(f"WITH {SAMPLES}, d AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY vec_id) AS d FROM v) SELECT vec_id, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurt FROM d GROUP BY 1")
-def f_kurt(spark, sf):
-    return samples(spark, sf).groupBy("vec_id").agg(_r(F.kurtosis("v")).alias("kurt"))
-
-
-@query("SELECT k, round(k * 1000.0 / 64, 6) AS hz FROM range(0, 33) t(k)")
-def f_freqs(spark, sf):
-    """Frequencies of the bins of a 64-sample window at 1 kHz."""
-    return spark.range(33).select(F.col("id").alias("k"), _r(F.col("id") * 1000.0 / 64).alias("hz"))
+def x_window(spark, sf):
+    """All 1,002 features of every window, one pass, four arrays."""
+    return extraction.extract(_windows(spark, sf)[1], 1000.0)
 
 
 @query()
-def f_irfft(spark, sf):
-    """First cepstral coefficients."""
-    import numpy as np
-
-    return _kernel(spark, sf, lambda x: np.fft.irfft(np.log(np.abs(np.fft.rfft(x)) + EPS), len(x))[1:9])
+def x_pipeline(spark, sf):
+    """From manifest to fused table: patches, shards by recording (half of them, then the ones that lack), assembly and fusion with their checks."""
+    manifest, patches = _windows(spark, sf)
+    top = f"{work_dir(spark)}/x-{uuid.uuid4().hex}"
+    chunks = manifest.select("sample_id", F.col("recording_id").alias("chunk"))
+    done = lambda: spark.read.parquet(top)
+    named = lambda df: extraction.extract(df, 1000.0).join(chunks, "sample_id")
+    some = patches.join(chunks.filter("chunk % 2 = 0"), "sample_id", "left_semi")  # a run that was cut off
+    named(some).write.mode("append").partitionBy("chunk").parquet(top)
+    named(extraction.pending(patches, done())).write.mode("append").partitionBy("chunk").parquet(top)
+    shards = extraction.assemble(done(), manifest.select(F.col("recording_id").alias("chunk")))
+    return extraction.fuse(shards.drop("chunk"), manifest, "block")
 
 
 @query()
-def f_prep(spark, sf):
-    """Channels of a patch, each without mean, band-passed and scaled."""
-    from ..functions import dsp
-
-    return _kernel(spark, sf, lambda x: dsp.preprocess(x.reshape(4, -1), 10_000.0)[:, :16])
+def agg_colstats(spark, sf):
+    """Statistics of each time feature over all windows."""
+    return extraction.column_statistics(extraction.extract(_windows(spark, sf)[1], 1000.0, domains=("time",)), "time")
 
 
 @query()
-def f_sos(spark, sf):
-    """Sections of the band-pass at the two sampling rates."""
-    from ..functions import dsp
-
-    rows = [(fs, i, *map(float, s)) for fs in (10_000.0, 20_000.0) for i, s in enumerate(dsp.bandpass(fs))]
-    return spark.createDataFrame(rows, "fs double, section int, gain double, a1 double, a2 double")
+def x_domcomp(spark, sf):
+    """Features by domain, and those that vary."""
+    e = extraction.extract(_windows(spark, sf)[1], 1000.0)
+    out = None
+    for d, n in SIZES.items():
+        s = extraction.column_statistics(e, d).agg(F.count_if(~F.col("near_constant")).alias("varying")).select(F.lit(d).alias("domain"), F.lit(n).alias("n"), "varying")
+        out = s if out is None else out.union(s)
+    return out

@@ -62,6 +62,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings in blocks: five recordings of eight loci, 64 samples a block."""
+    at = F.floor(F.col("vec_id") / 5)
+    return signals(spark, sf_dir).select((F.col("vec_id") % 5).alias("recording_id"), F.floor(at / 8).alias("block"), (at % 8).alias("locus"), F.col("x").alias("samples"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample: vec_id, label, i (from 0), v."""
     return signals(spark, sf_dir).select("vec_id", "label", F.posexplode("x").alias("i", "v"))
