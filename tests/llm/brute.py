@@ -134,6 +134,68 @@ def pii(text):
     return [(k, m.start(), m.end()) for k, p in PII.items() for m in re.finditer(p, text or "") if ok(k, m.group())]
 
 
+def pii_added(rows, rounds=3, confidence=0.8, support=5):
+    """(spans of the four kinds that contexts add, credentials) of each row, by plain loops over the pattern-instance graph."""
+    import math
+
+    kinds = [*PII, "secret"]
+    names = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key"
+    secret = re.compile(rf"(?:AKIA|ASIA)[0-9A-Z]{{16}}|(?i:{names})[=:][^\x20\x09-\x0D]{{8,}}")
+    tokens = []
+    for n, (_, text, *_) in enumerate(rows):
+        text, base = text or "", pii(text)
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+        for i, m in enumerate(words):
+            t = m.group()
+            if len(t) < 4 or not re.search("[0-9@]", t):
+                continue
+            norm = lambda w: re.sub("[0-9]+", "0", w.lower())
+            left, right = norm(words[i - 1].group()) if i else "^", norm(words[i + 1].group()) if i + 1 < len(words) else "$"
+            shape = re.sub("[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", t))
+            patterns = [f"L {left}", f"R {right}", f"B {left} {right}", f"LS {left} {shape}", f"RS {right} {shape}"]
+            if key := re.match(r"([A-Za-z_.-]+)[=:]", t):
+                patterns.append("K " + key[1].lower())
+            seed = next((kinds.index(k) for k, s, e in base if s < m.end() and e > m.start()), 4 if secret.fullmatch(t) else None)
+            tokens.append((n, m.start(), m.end(), re.sub(r"^[A-Za-z_.-]+[=:](?=.)", "", t).lower(), seed, patterns))
+    edges: dict = {}
+    for *_, inst, seed, patterns in tokens:
+        for p in set(patterns):
+            k, old = edges.get((p, inst), (0, None))
+            edges[p, inst] = (k + 1, seed if old is None else old if seed is None else max(seed, old))
+    total = Counter()
+    for (p, _), (k, _) in edges.items():
+        total[p] += k
+    seeds = {(i, s): 1.0 for (_, i), (_, s) in edges.items() if s is not None}
+    known = dict(seeds)
+    for _ in range(rounds):
+        hit, held = Counter(), Counter()
+        for (p, i), (k, _) in edges.items():
+            for kind in range(5):
+                if (i, kind) in known:
+                    hit[p, kind] += k * known[i, kind]
+                    held[p, kind] += known[i, kind] >= confidence
+        conf = {(p, kind): h / total[p] for (p, kind), h in hit.items()}
+        good = {x: c for x, c in conf.items() if c >= confidence and held[x] >= support}
+        reach: dict = {}
+        for p, i in edges:
+            for kind in range(5):
+                if (p, kind) in good:
+                    reach[i, kind] = reach.get((i, kind), 0.0) + math.log(max(1 - good[p, kind], 1e-6))
+        known = dict(seeds)
+        for x, r in reach.items():
+            known[x] = max(known.get(x, 0.0), 1 - math.exp(r))
+    others = {p for p, t in total.items() if t >= support and p[:2] in ("L ", "R ") and max([0.0, *(c for (q, _), c in conf.items() if q == p)]) < 1 - confidence}
+    out: list = [(set(), set()) for _ in rows]
+    for n, s, e, inst, seed, patterns in tokens:
+        if seed == 4:
+            out[n][1].add((4, s, e))
+        claims = [(c, -kind) for p in patterns for kind in range(5) if (c := good.get((p, kind))) and known.get((inst, kind), 0) >= confidence]
+        if seed is None and claims and not others & set(patterns):
+            kind = -max(claims)[1]
+            out[n][kind == 4].add((kind, s, e))
+    return [(sorted(a), sorted(b)) for a, b in out]
+
+
 def same(got, want) -> bool:
     """Equal as bags of rows."""
     return Counter(map(tuple, got)) == Counter(map(tuple, want))

@@ -141,6 +141,37 @@ def test_pii_learns_a_context(spark):
     assert got[101].spans == "" and all(got[i].n_added == 0 for i in range(40))
 
 
+def test_pii_added_spans_equal_plain_loops(spark):
+    """Contexts on either side, keys, credentials and words that introduce other things, over random texts."""
+    import random
+
+    r = random.Random(12)
+    filler = "lorem ipsum dolor sit amet order total page see".split()
+
+    def token(i):
+        some = [f"10.{i % 200}.3.{i % 90}", f"user{i}@mail.org", f"999.1.{i}.70000", f"user{i}(at)mail7.org", f"{1000 + i}", f"password=abc{i:06d}", f"phrase=abc{i % 40:06d}", f"x{i}=9{i}77", "AKIA" + "A1B2C3D4E5F6G7H8"]
+        return r.choices(some, (12, 12, 1, 1, 4, 4, 3, 2, 1))[0]
+
+    before = {"ip": ["addr", "from"], "mail": ["write", "contact"], "other": filler}
+    table = []
+    for i in range(260):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            t = token(r.randint(0, 199))
+            kind = "ip" if t.count(".") == 3 else "mail" if "mail" in t else "other"
+            parts += [r.choice(filler), r.choice(before[kind] if r.random() < 0.97 else filler), t, *([r.choice(["please", "now"])] if r.random() < 0.5 else [])]
+        table.append((i, " ".join(parts), None, None, 1))
+    table += [(900, None, None, None, 1), (None, "addr 999.1.5.70000 now", None, None, 1), (901, "1234567", None, None, 1), (902, "n " + "1234 " * 700, None, None, 1)]
+    want = brute.pii_added(table)
+    got = {r.doc_id: r for r in find_pii(brute.table(spark, table)).collect()}
+    added = 0
+    for (d, text, *_), (more, secrets) in zip(table, want, strict=True):
+        base = {(list(brute.PII).index(k), s, e) for k, s, e in brute.pii(text)}
+        assert [tuple(x) for x in got[d].spans] == sorted(base | set(more)) and [tuple(x) for x in got[d].secrets] == secrets
+        added += len(more)
+    assert added > 20
+
+
 def test_mix(docs, none):
     m = mix(docs).collect()
     assert len(m) == len(ROWS) and mix(none).count() == 0
