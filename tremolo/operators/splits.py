@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +12,32 @@ BLOCKS_PER_WINDOW = 4
 SPLITS = ("train", "val", "test")
 
 
+def _by_block(df: DataFrame, recording: str, block: str, found: Callable[[DataFrame], DataFrame], *aggs: Column) -> DataFrame:
+    """``df`` with the columns that ``found`` adds to its table of blocks (recording, block, ``aggs``).
+
+    Window frames run over that table, a row for each block, so a recording's windows never meet in one task.
+    """
+    at, then = "_at_recording", "_at_block"
+    table = found(df.groupBy(F.col(recording).alias(at), F.col(block).alias(then)).agg(*aggs))
+    new = [c for c in table.columns if c not in (at, then) and not c.startswith("_")]
+    # Text and number, so that a missing recording is a recording like any other.
+    joined = df.join(table, F.col(recording).eqNullSafe(F.col(at)) & F.col(block).eqNullSafe(F.col(then)))
+    return joined.select(*[df[c] for c in df.columns if c not in new], *[table[c] for c in new])
+
+
+def _frame(reach: int):
+    return Window.partitionBy("_at_recording").orderBy("_at_block").rangeBetween(-reach, reach)
+
+
+def _segment(table: DataFrame, n: int) -> DataFrame:
+    by = Window.partitionBy("_at_recording")
+    first = F.sum("_n").over(by.orderBy("_at_block")) - F.col("_n")
+    return table.withColumn("segment", F.least(F.floor(first / F.sum("_n").over(by) * n), F.lit(n - 1)).cast("int"))
+
+
 def segments(df: DataFrame, recording: str = "recording_id", block: str = "block", n: int = 10) -> DataFrame:
-    """Contiguous segments of equal mass per recording; a block is never cut, as rank() is the block's least rank."""
-    by = Window.partitionBy(recording)
-    first = F.rank().over(by.orderBy(block)) - 1
-    return df.withColumn("segment", F.least(F.floor(first / F.count(F.lit(1)).over(by) * n), F.lit(n - 1)).cast("int"))
+    """Contiguous segments of equal mass per recording; a block is never cut, as its least rank counts."""
+    return _by_block(df, recording, block, lambda t: _segment(t, n), F.count(F.lit(1)).alias("_n"))
 
 
 def rotate(df: DataFrame, offset: Column, n: int = 10, n_val: int = 1, n_test: int = 1) -> DataFrame:
@@ -27,37 +48,45 @@ def rotate(df: DataFrame, offset: Column, n: int = 10, n_val: int = 1, n_test: i
 
 def guard(df: DataFrame, recording: str = "recording_id", block: str = "block", guard_blocks: int = 4) -> DataFrame:
     """``keep``: no window of another split within the blocks that a window reads plus the guard."""
-    reach = BLOCKS_PER_WINDOW - 1 + guard_blocks
-    near = Window.partitionBy(recording).orderBy(block).rangeBetween(-reach, reach)
-    return df.withColumn("keep", F.min("split").over(near) == F.max("split").over(near))
+    near = _frame(BLOCKS_PER_WINDOW - 1 + guard_blocks)
+    alone = lambda t: t.withColumn("keep", F.min("_lo").over(near) == F.max("_hi").over(near))
+    return _by_block(df, recording, block, alone, F.min("split").alias("_lo"), F.max("split").alias("_hi"))
 
 
 def contaminated(df: DataFrame, recording: str = "recording_id", block: str = "block") -> DataFrame:
     """Test windows, and whether a train window reads one of their blocks."""
-    reach = BLOCKS_PER_WINDOW - 1
-    near = Window.partitionBy(recording).orderBy(block).rangeBetween(-reach, reach)
-    return df.withColumn("contaminated", F.max(F.col("split") == "train").over(near)).filter("split = 'test'")
+    read = lambda t: t.withColumn("contaminated", F.max("_train").over(_frame(BLOCKS_PER_WINDOW - 1)))
+    return _by_block(df, recording, block, read, F.max(F.col("split") == "train").alias("_train")).filter("split = 'test'")
 
 
 def blocked_split(df: DataFrame, offset: Column) -> DataFrame:
-    """Segments, rotation and guard over one shuffle; only windows that the guard keeps."""
+    """Segments, rotation and guard; only windows that the guard keeps."""
     return guard(rotate(segments(df), offset)).filter("keep").drop("keep")
 
 
-def _hash_rank(by: Sequence[str], key: str, seed: int) -> Column:
-    """A number per row in the order of a seeded hash of its key; ties by the key itself."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+def per_group(df: DataFrame, by: Sequence[str], n: Column, order: Sequence[str | Column], most: int | None = None) -> DataFrame:
+    """At most ``n`` rows of each group, the first by ``order``.
+
+    ``most``: a number that no ``n`` exceeds.  Spark then drops what is behind it before the shuffle, so a large
+    group is never sorted in one task.
+    """
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return (ranked if most is None else ranked.filter(F.col("_k") <= most)).filter(F.col("_k") <= n).drop("_k")
 
 
-def per_group(df: DataFrame, by: Sequence[str], n: Column, order: Sequence[str | Column]) -> DataFrame:
-    """At most ``n`` rows of each group, the first by ``order``."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
+def _counted(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the size of each row's group: the sizes are summed first and joined, no group meets in a task."""
+    sizes = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count(F.lit(1)).alias(name))
+    on = [df[c].eqNullSafe(sizes[f"_by_{c}"]) for c in by]
+    return df.join(sizes, on).drop(*[f"_by_{c}" for c in by])
 
 
 def stratified(df: DataFrame, label: str, n_max: int, order: Sequence[str | Column]) -> DataFrame:
     """A proportional sample without replacement: max(1, round(n_max * share)) rows of each label."""
-    share = F.count(F.lit(1)).over(Window.partitionBy(label)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    return per_group(df.withColumn("_n", F.greatest(F.lit(1), F.bround(n_max * share))), [label], F.col("_n"), order).drop("_n")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_c"))
+    total = sizes.agg(F.sum("_c").alias("_t"))
+    take = sizes.crossJoin(F.broadcast(total)).select("_label", F.greatest(F.lit(1), F.bround(n_max * (F.col("_c") / F.col("_t")))).alias("_n"))
+    return per_group(df.join(take, df[label].eqNullSafe(take["_label"])).drop("_label"), [label], F.col("_n"), order, max(1, n_max)).drop("_n")
 
 
 def seeded(key: str, seed: int = 42) -> list[Column | str]:
@@ -70,9 +99,11 @@ def decimate(df: DataFrame, caps: Mapping[str, int], order: Sequence[str | Colum
     if not caps:
         return df
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(label)]
-    total, sub = F.count(F.lit(1)).over(Window.partitionBy(label)), F.count(F.lit(1)).over(Window.partitionBy(label, split))
-    n = F.when(cap.isNull() | (total <= cap), sub).otherwise(F.greatest(F.lit(1), F.bround(cap / total * sub)))
-    return per_group(df.withColumn("_n", n), [label, split], F.col("_n"), order).drop("_n")
+    sized = _counted(_counted(df, [label], "_total"), [label, split], "_sub").withColumn("_cap", cap)
+    over = F.coalesce(F.col("_cap") < F.col("_total"), F.lit(False))
+    n = F.greatest(F.lit(1), F.bround(F.col("_cap") / F.col("_total") * F.col("_sub")))
+    cut = per_group(sized.filter(over), [label, split], n, order, max(1, *caps.values()))
+    return sized.filter(~over).unionByName(cut).drop("_total", "_sub", "_cap")
 
 
 def random_split(df: DataFrame, label: str, order: Sequence[str | Column]) -> DataFrame:
@@ -109,13 +140,13 @@ def grouped_three_way(df: DataFrame, group: str, label: str, fractions: Sequence
     cuts = (round(tenths[0]), round(tenths[0]) + round(tenths[1]))
     pairs = [(g, "train" if f < cuts[0] else "val" if f < cuts[1] else "test") for g, f in where.items()]
     kind = df.schema[group].dataType.simpleString()
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(pairs, f"`{group}` {kind}, split string")), group)
+    return df.join(df.sparkSession.createDataFrame(pairs, f"`{group}` {kind}, split string"), group)
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """Every row once per held-out group, with its role."""
     held = df.select(F.col(group).alias("held_out")).distinct()
-    return df.crossJoin(F.broadcast(held)).withColumn("role", F.when(F.col(group) == F.col("held_out"), "test").otherwise("train"))
+    return df.crossJoin(held).withColumn("role", F.when(F.col(group) == F.col("held_out"), "test").otherwise("train"))
 
 
 def split_report(df: DataFrame, group: str, label: str = "label") -> DataFrame:

@@ -339,7 +339,7 @@ def agg_classmean(spark, sf):
     """Mean profile of each class over standardised features."""
     v = selection.long(labelled(spark, sf))
     s = v.groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    z = v.join(F.broadcast(s), "feature").withColumn("z", (F.col("v") - F.col("m")) / (F.col("sd") + 1e-12))
+    z = v.join(s, "feature").withColumn("z", (F.col("v") - F.col("m")) / (F.col("sd") + 1e-12))
     return z.groupBy(F.col("y").alias("label"), "feature").agg(_r(F.avg("z")).alias("z"))
 
 

@@ -148,11 +148,11 @@ def flt_thresh(spark, sf):
     return g.filter("n_test >= 30 and n_labels >= 2")
 
 
-@query("SELECT l_suppkey, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT l_suppkey, round(l_discount, 2) AS l_discount FROM lineitem) GROUP BY 1 HAVING avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) > 0.4".replace("avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS share", "round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share"))
+@query("SELECT l_suppkey, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT l_suppkey, round(l_discount, 2) AS l_discount FROM lineitem) GROUP BY 1 HAVING avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) > 0.4".replace("avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS share", "round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 9) AS share"))
 def flt_topmin(spark, sf):
     """Groups whose share of a condition is above a threshold."""
     g = read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg((F.round("l_discount", 2) > 0.05).cast("double")).alias("share"))
-    return g.filter("share > 0.4").select("l_suppkey", _r("share").alias("share"))
+    return g.filter("share > 0.4").select("l_suppkey", F.round("share", 9).alias("share"))
 
 
 DOMAIN_SLICES = (("time", 0, 28), ("freq", 28, 16), ("tf", 44, 16), ("spatial", 60, 4))
@@ -251,7 +251,7 @@ def jn_assign(spark, sf):
 @query(f"WITH {SPLIT} SELECT c.*, n.n_groups FROM (SELECT label, " + ", ".join(f"count(*) FILTER (split = '{x}') AS {x}" for x in splits.SPLITS) + " FROM s GROUP BY 1) c LEFT JOIN (SELECT label, count(DISTINCT zone_id) AS n_groups FROM s GROUP BY 1) n USING (label)")
 def jn_splitcount(spark, sf):
     s = split_windows(spark, sf)
-    counts = s.groupBy("label").pivot("split", list(splits.SPLITS)).agg(N).na.fill(0)
+    counts = s.groupBy("label").pivot("split", list(splits.SPLITS)).agg(_n()).na.fill(0)
     return counts.join(s.groupBy("label").agg(F.countDistinct("zone_id").alias("n_groups")), "label", "left")
 
 

@@ -50,7 +50,7 @@ def rings(events: DataFrame, blocks: int = 4) -> DataFrame:
 
 
 def run(spark: SparkSession, folder: str, transform: Callable[[DataFrame], DataFrame], mode: str, watermark: str | None = "1 day") -> DataFrame:
-    """All rows of a Parquet folder through a streaming query into a table, to the end of the input."""
+    """All rows of a Parquet folder through a streaming query into Parquet files, to the end of the input."""
     schema = spark.read.parquet(folder).schema
     # A file source reads folders: the file's name is the filter.
     parent, _, name = folder.rpartition("/")
@@ -58,6 +58,11 @@ def run(spark: SparkSession, folder: str, transform: Callable[[DataFrame], DataF
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     if watermark:
         stream = stream.withWatermark("ts", watermark)
-    out, table = f"{work_dir(spark)}/stream-{uuid.uuid4().hex[:12]}", f"stream_{uuid.uuid4().hex[:12]}"
-    transform(stream).writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(table)
+    result, top = transform(stream), f"{work_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        # A batch that runs again replaces what it wrote; a complete result replaces the one before it.
+        batch.write.mode("overwrite").parquet(f"{top}/data/{'all' if mode == 'complete' else number}")
+
+    result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{top}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).option("recursiveFileLookup", True).parquet(f"{top}/data")
