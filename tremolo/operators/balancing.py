@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .splits import per_group, seeded
 
-#: Rows of a class that serve as neighbours, in the order of a seeded hash.
-NEIGHBOUR_POOL = 2000
+#: Rows of a block in the search for neighbours.
+BLOCK = 1024
 
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
@@ -23,81 +24,95 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
 def undersample(df: DataFrame, label: str = "y", order=None, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    return per_group(df, [label], F.lit(least), order or seeded("id", seed))
+    return per_group(df, [label], F.lit(least), order or seeded("id", seed), least)
 
 
-def _pools(df: DataFrame, seed: int) -> dict:
-    rows = per_group(df.select("id", "y", "features"), ["y"], F.lit(NEIGHBOUR_POOL), seeded("id", seed)).orderBy("id").collect()
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["y"], []).append(r["features"])
-    return {k: np.array(v, float) for k, v in out.items()}
+def _blocks(df: DataFrame, part, prefix: str) -> DataFrame:
+    """(part, block, ids, ys, xs): rows in blocks of about BLOCK, by a hash of their id."""
+    rows = df.select(part.alias("part"), F.col("id").cast("long").alias("id"), F.col("y").cast("string").alias("y"), F.col("features").cast("array<double>").alias("x"))
+    size = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    rows = rows.join(size, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
+    held = rows.groupBy("part", "block", "n_blocks").agg(F.collect_list(F.struct("id", "y", "x")).alias("r"))
+    return held.select("part", F.col("block").alias(f"{prefix}block"), F.col("n_blocks").alias(f"{prefix}n"), *[F.col(f"r.{c}").alias(f"{prefix}{c}") for c in ("id", "y", "x")])
 
 
-def smote(df: DataFrame, k: int = 5, seed: int = 42, borderline: bool = False) -> DataFrame:
-    """Synthetic rows on segments between a row and one of its k neighbours, up to the largest class.
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, within_class: bool = False) -> DataFrame:
+    """(id, near): the k nearest other rows of each query (d, id, y), exactly; ties by id.
 
-    ``borderline`` starts only from rows of which at least half, but not all, of the neighbours are of another
-    class.  Neighbours come from a bounded pool per class.  Synthetic rows have negative ids.
+    Every block of queries meets every block of rows (of its class), and leaves k candidates a query; the best of
+    those are the answer.  The work grows with queries times rows, as an exact search's does; memory is two blocks.
     """
-    sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
-    top = max(sizes.values(), default=0)
-    pools = _pools(df, seed)
-    every = np.concatenate(list(pools.values())) if pools else np.zeros((0, 0))
-    owner = np.concatenate([np.full(len(v), i) for i, v in enumerate(pools.values())]) if pools else np.zeros(0)
-    index = {y: i for i, y in enumerate(pools)}
-    need = {y: top - n for y, n in sizes.items() if n < top}
-    if not need:
-        return df.select("id", "y", "features")
-
-    def make(pdf):
-        import pandas as pd
-
-        out = []
-        for y, want in need.items():
-            rows = pdf[pdf["y"] == y]
-            pool = pools[y]
-            if not len(rows) or len(pool) < 2:
-                continue
-            x = np.array(rows["features"].tolist(), float)
-            if borderline:
-                near = np.argsort(((every[None] - x[:, None]) ** 2).sum(axis=2), axis=1)[:, 1 : k + 1]
-                other = (owner[near] != index[y]).mean(axis=1)
-                danger = (other >= 0.5) & (other < 1)
-                x = x[danger] if danger.any() else x
-            share = int(round(want * len(rows) / sizes[y]))
-            rng = np.random.default_rng([seed, int(rows["id"].min()) & 0x7FFFFFFF])
-            pick = rng.integers(0, len(x), share)
-            for j, i in enumerate(pick):
-                near = np.argsort(((pool - x[i]) ** 2).sum(axis=1))[1 : k + 1]
-                to = pool[near[rng.integers(0, len(near))]]
-                out.append((-int(rows["id"].iloc[0]) * 100_000 - j - 1, y, (x[i] + rng.random() * (to - x[i])).tolist()))
-        return pd.DataFrame(out, columns=["id", "y", "features"])
+    part = F.col("y").cast("string") if within_class else F.lit("")
+    q = _blocks(queries, part, "q_")
+    r = _blocks(rows, part, "r_")
+    met = q.join(r.select("part", F.col("r_n").alias("of")).distinct(), "part").withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    met = met.join(r, ["part", "r_block"]).select("q_id", "q_x", "r_id", "r_y", "r_x")
+
+    def best(batches):
+        for b in batches:
+            out_id, out = [], []
+            for qi, qx, ri, ry, rx in zip(*(b.column(c).to_pylist() for c in ("q_id", "q_x", "r_id", "r_y", "r_x")), strict=True):
+                qx, rx, ri = np.array(qx, float), np.array(rx, float), np.array(ri)
+                rough = (qx * qx).sum(axis=1)[:, None] + (rx * rx).sum(axis=1) - 2 * qx @ rx.T
+                rough[np.array(qi)[:, None] == ri] = np.inf
+                some = np.argpartition(rough, min(k + 8, len(ri)) - 1, axis=1)[:, : k + 8]
+                for i, at in enumerate(some):
+                    at = at[np.isfinite(rough[i, at])]
+                    d = ((rx[at] - qx[i]) ** 2).sum(axis=1)
+                    first = np.lexsort((ri[at], d))[:k]
+                    out_id.append(qi[i])
+                    out.append([{"d": float(d[j]), "id": int(ri[at[j]]), "y": ry[at[j]]} for j in first])
+            kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("y", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, kind)], names=["id", "near"])
+
+    found = met.mapInArrow(best, "id long, near array<struct<d:double,id:long,y:string>>")
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
+
+def smote(df: DataFrame, k: int = 5, seed: int = 42, borderline: bool = False) -> DataFrame:
+    """Synthetic rows on segments between a row and one of its k nearest of the class, up to the largest class.
+
+    ``borderline`` starts only from rows of which at least half, but not all, of the k nearest rows are of another
+    class (from all rows of a class without such a row).  Every row of a class starts about equally many segments.
+    Synthetic rows have negative ids; an id must be below 2 ** 42.
+    """
     base = df.select(F.col("id").cast("long").alias("id"), "y", F.col("features").cast("array<double>").alias("features"))
-    kind = df.schema["y"].dataType.simpleString()
-    slots = base.groupBy((F.pmod(F.xxhash64("id"), F.lit(64))).alias("_slot"))
-    return base.unionByName(slots.applyInPandas(make, f"id long, y {kind}, features array<double>"))
-
-
-def tomek_links(df: DataFrame, n_max: int = 5000) -> DataFrame:
-    """Ids of mutual nearest neighbours of different classes, over a bounded seeded sample."""
-    rows = per_group(df.select("id", "y", "features"), ["y"], F.lit(n_max), seeded("id")).orderBy("id").collect()
-    x, y = np.array([r["features"] for r in rows], float), [r["y"] for r in rows]
-    if len(x) < 2:
-        return df.select("id").limit(0)
-    near = np.empty(len(x), int)
-    for i in range(len(x)):
-        d = ((x - x[i]) ** 2).sum(axis=1)
-        d[i] = np.inf
-        near[i] = int(np.argmin(d))
-    links = [(int(rows[i]["id"]),) for i in range(len(x)) if near[near[i]] == i and y[i] != y[near[i]]]
-    return df.sparkSession.createDataFrame(links, "id long")
+    sizes = {r["y"]: r["count"] for r in base.groupBy("y").count().collect()}  # one row a class
+    need = {y: max(sizes.values()) - n for y, n in sizes.items() if 1 < n < max(sizes.values())}
+    if not need:
+        return base
+    start = base.filter(F.col("y").isin(*need))
+    near = neighbours(start, start, k, within_class=True)
+    if borderline:
+        around = start.select("id", "y").join(neighbours(start, base, k).select("id", F.explode("near.y").alias("other")), "id")
+        share = around.groupBy("id", "y").agg(F.avg((F.col("other") != F.col("y").cast("string")).cast("int")).alias("share"))
+        danger = share.filter("share >= 0.5 and share < 1").select("id", "y")
+        without = [y for y in need if y not in {r["y"] for r in danger.select("y").distinct().collect()}]
+        start = start.join(danger.select("id"), "id", "left_semi").unionByName(start.filter(F.col("y").isin(*without)))
+    many = {r["y"]: r["count"] for r in start.groupBy("y").count().collect()}
+    by = lambda f: F.element_at(F.create_map(*[F.lit(x) for y in need for x in (y, f(y))]), F.col("y"))
+    more = per_group(start.select("id", "y"), ["y"], by(lambda y: need[y] % many[y]), seeded("id", seed), max(1, *(need[y] % many[y] for y in need))).select("id", F.lit(1).alias("_more"))
+    times = by(lambda y: need[y] // many[y]) + F.coalesce("_more", F.lit(0))
+    made = start.join(near, "id").join(more, "id", "left").withColumn("_j", F.explode(F.sequence(F.lit(0), times))).filter(F.col("_j") > 0)
+    pick = F.pmod(F.xxhash64(F.lit(seed), "id", "_j"), F.size("near"))
+    made = made.withColumn("_to", F.get("near", pick.cast("int"))["id"]).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "_j"), F.lit(1 << 30)) / (1 << 30))
+    ends = base.select(F.col("id").alias("_to"), F.col("features").alias("_end"))
+    between = F.transform(F.arrays_zip("features", "_end"), lambda v: v["features"] + F.col("_u") * (v["_end"] - v["features"]))
+    made = made.join(ends, "_to").select((-(F.col("id") * F.lit(1 << 20) + F.col("_j"))).alias("id"), "y", between.alias("features"))
+    return base.unionByName(made)
+
+
+def tomek_links(df: DataFrame) -> DataFrame:
+    """Ids of rows that are each other's nearest row and of different classes."""
+    near = neighbours(df, df, 1).join(df.select(F.col("id").cast("long").alias("id"), F.col("y").cast("string").alias("mine")), "id")
+    near = near.select("id", "mine", F.get("near", F.lit(0))["id"].alias("to"), F.get("near", F.lit(0))["y"].alias("other")).filter("mine <> other")
+    back = near.select(F.col("id").alias("to"), F.col("to").alias("id"))
+    return near.join(back, ["id", "to"], "left_semi").select("id")
 
 
 def smote_tomek(df: DataFrame, seed: int = 42) -> DataFrame:
     more = smote(df, seed=seed)
-    return more.join(F.broadcast(tomek_links(more)), "id", "left_anti")
+    return more.join(tomek_links(more), "id", "left_anti")
 
 
 SAMPLERS = {
@@ -124,4 +139,4 @@ def majority(df: DataFrame, label: str = "y") -> DataFrame:
     return n.agg((F.max("n") / F.sum("n")).alias("chance"))
 
 
-__all__ = ["SAMPLERS", "Window", "class_weights", "describe", "effect", "majority", "smote", "smote_tomek", "tomek_links", "undersample"]
+__all__ = ["SAMPLERS", "class_weights", "describe", "effect", "majority", "neighbours", "smote", "smote_tomek", "tomek_links", "undersample"]

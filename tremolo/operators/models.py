@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import evaluation
 from .balancing import SAMPLERS
+from .splits import grouped_folds
 
 
 def build(name: str, seed: int = 42, n_features: int = 0, n_classes: int = 0):
@@ -35,7 +39,7 @@ def build(name: str, seed: int = 42, n_features: int = 0, n_classes: int = 0):
     if name == "extra_trees":
         return RandomForestClassifier(numTrees=60, maxDepth=12, subsamplingRate=1.0, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed, **weighted)
     if name == "boosting":
-        return OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, seed=seed, **common), **common)
+        return OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, seed=seed, **common), **weighted)
     if name == "perceptron":
         return MultilayerPerceptronClassifier(layers=[n_features, 64, n_classes], maxIter=100, seed=seed, **common)
     raise ValueError(f"unknown model {name}")
@@ -47,6 +51,8 @@ MODELS = ("logistic", "tree", "forest", "extra_trees", "boosting", "perceptron")
 def fit(train: DataFrame, name: str, strategy: str = "none", seed: int = 42):
     """(model, labels): scaler and classifier fitted on the balanced training rows."""
     rows = SAMPLERS[strategy](train)
+    if "weight" in rows.columns and name == "perceptron":
+        raise ValueError("a perceptron takes no weights: balance its rows by sampling")
     if "weight" not in rows.columns:
         rows = rows.withColumn("weight", F.lit(1.0))
     rows = rows.withColumn("y", F.col("y").cast("string")).withColumn("raw", array_to_vector(F.col("features").cast("array<double>")))
@@ -73,36 +79,86 @@ def fit_predict(train: DataFrame, test: DataFrame, name: str, strategy: str = "n
 
 
 def benchmark(df: DataFrame, names: Iterable[str], strategies: Iterable[str], seed: int = 42) -> DataFrame:
-    """(model, strategy, split, metrics) over rows with a ``split``: one fit, scored on val and test."""
+    """(model, strategy, split, metrics, seconds, error) over rows with a ``split``: one fit, scored on val and test.
+
+    The best macro F1 on test first.  A combination that fails is a row with its error and without metrics.
+    """
     parts = {s: df.filter(F.col("split") == s).drop("split").cache() for s in ("train", "val", "test")}
-    out = None
+    rows, metrics = [], None
     for name in names:
         for strategy in strategies:
-            model, labels = fit(parts["train"], name, strategy, seed)
-            for s in ("val", "test"):
-                row = evaluation.scores(predict(model, labels, parts[s])).select(F.lit(name).alias("model"), F.lit(strategy).alias("strategy"), F.lit(s).alias("split"), "*")
-                out = row if out is None else out.unionByName(row)
-    return out
-
-
-def folds(df: DataFrame, group: str, n: int = 5, seed: int = 42) -> DataFrame:
-    """``fold``: whole groups, by a seeded hash."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(n)).cast("int"))
+            began = time.time()
+            try:
+                model, labels = fit(parts["train"], name, strategy, seed)
+                took = time.time() - began
+                for s in ("val", "test"):
+                    found = evaluation.scores(predict(model, labels, parts[s]))
+                    metrics = metrics or found.columns
+                    rows.append((name, strategy, s, *map(float, found.first()), took, None))
+            except Exception as e:  # one combination must not end the grid: its error is the result
+                rows.append((name, strategy, "test", None, time.time() - began, f"{type(e).__name__}: {e}"[:300]))
+    for p in parts.values():
+        p.unpersist()
+    metrics = metrics or []
+    rows = [r if len(r) == 5 + len(metrics) else (*r[:3], *[None] * len(metrics), *r[-2:]) for r in rows]
+    rows.sort(key=lambda r: (r[2] != "test", r[-1] is not None, -(dict(zip(metrics, r[3:-2], strict=True)).get("f1_macro") or 0.0)))
+    return df.sparkSession.createDataFrame(rows, "model string, strategy string, split string, " + "".join(f"{m} double, " for m in metrics) + "seconds double, error string")
+
+
+def folds(df: DataFrame, group: str, n: int = 5) -> DataFrame:
+    """``fold``: whole groups, dealt so that every fold's label counts stay near a share of 1 / n."""
+    return grouped_folds(df, group, "y", n)
 
 
 def grouped_cv(df: DataFrame, group: str, name: str, strategy: str = "none", n: int = 5, selector: Callable[[DataFrame], list[int]] | None = None) -> DataFrame:
     """Metrics per fold; ``selector`` picks features on the training part of each fold."""
     rows = folds(df, group, n).cache()
-    out = None
+    out, metrics = [], []
     for k in range(n):
         train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
         if selector is not None:
             pick = F.array(*map(F.lit, selector(train)))
             train, test = (d.withColumn("features", F.transform(pick, lambda i: F.get("features", i))) for d in (train, test))
         pred, _ = fit_predict(train.drop("fold"), test.drop("fold"), name, strategy)
-        row = evaluation.scores(pred).select(F.lit(k).alias("fold"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+        found = evaluation.scores(pred)
+        metrics = found.columns
+        out.append((k, *(None if v is None else float(v) for v in found.first())))
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(out, "fold int" + "".join(f", {m} double" for m in metrics))
+
+
+def normal_quantiles(source: DataFrame, n_quantiles: int = 1000) -> Callable[[DataFrame], DataFrame]:
+    """A map of ``features`` to normal scores, fitted on ``source``: quantiles of each feature, found by Spark, then the normal inverse.
+
+    Between quantiles the map is linear, beyond them it is held at the ends (5.2 standard deviations), and a value
+    that a run of equal quantiles holds gets the middle of their ranks.
+    """
+    long = source.select(F.posexplode("features").alias("feature", "v"))
+    grid = [i / (n_quantiles - 1) for i in range(n_quantiles)]
+    rows = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*map(F.lit, grid)), F.lit(10 * n_quantiles)).alias("q")).orderBy("feature").collect()  # n_quantiles numbers a feature
+    table = np.array([r["q"] for r in rows], float)
+    z = np.array([NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in grid])
+    sent = source.sparkSession.sparkContext.broadcast((table, z))
+
+    def scores(batches):
+        q, to = sent.value
+        for b in batches:
+            x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            out = np.column_stack([(np.interp(x[:, j], q[j], to) + -np.interp(-x[:, j], -q[j][::-1], -to[::-1])) / 2 for j in range(x.shape[1])]) if b.num_rows else x
+            at = b.schema.get_field_index("features")
+            yield b.set_column(at, "features", pa.array(list(out), pa.list_(pa.float64())))
+
+    def apply(df: DataFrame) -> DataFrame:
+        df = df.withColumn("features", F.col("features").cast("array<double>"))
+        return df.mapInArrow(scores, df.schema)
+
+    return apply
+
+
+def transfer(source: DataFrame, target: DataFrame, name: str = "logistic", strategy: str = "none", seed: int = 42) -> DataFrame:
+    """Metrics on ``target`` of a model fitted on ``source``; the scaler knows the source only."""
+    scale = normal_quantiles(source)
+    return evaluation.scores(fit_predict(scale(source), scale(target), name, strategy, seed)[0])
 
 
 def verdict(probe: DataFrame, cost: DataFrame, least_groups: int = 3, most_chance: float = 70.0) -> DataFrame:

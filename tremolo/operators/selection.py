@@ -7,7 +7,10 @@ seeded sample (``n_max``).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ def pearson(df: DataFrame) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, bins: int = 8) -> DataFrame:
-    """Mutual information with the label over equal-width bins (a nearest-neighbour estimate has no distributed form)."""
+    """Mutual information with the label over equal-width bins of all rows (``nearest_information`` estimates it from neighbours in a sample)."""
     v = long(df)
     edge = v.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     b = v.join(F.broadcast(edge), "feature").withColumn("b", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") + 1e-12 - F.col("lo")) * bins), F.lit(bins - 1)))
@@ -149,7 +152,70 @@ def boruta(df: DataFrame, rounds: int = 8, n_max: int = 8000, seed: int = 42) ->
     return _frame(df, hits)
 
 
-SCORERS = {"variance": variance, "pearson": pearson, "mutual_info": mutual_information, "relieff": relieff, "mrmr": mrmr, "rfe": rfe, "boruta": boruta, "importance": importance}
+def boruta_decisions(hits: DataFrame, rounds: int, alpha: float = 0.05) -> DataFrame:
+    """``hits`` (feature, score) with ``decision``: accepted or rejected where a fair coin's tail, over all features, is below ``alpha``; else tentative."""
+    n = hits.count()
+    tail = [sum(math.comb(rounds, j) for j in range(k, rounds + 1)) / 2**rounds for k in range(rounds + 1)]  # at least k heads
+    least = next((k for k in range(rounds + 1) if tail[k] * n <= alpha), rounds + 1)
+    most = max((k for k in range(rounds + 1) if tail[rounds - k] * n <= alpha), default=-1)
+    return hits.withColumn("decision", F.when(F.col("score") >= least, "accepted").when(F.col("score") <= most, "rejected").otherwise("tentative"))
+
+
+def nearest_information(df: DataFrame, k: int = 3, n_max: int = 20_000, seed: int = 42) -> DataFrame:
+    """Mutual information of each feature with the label from distances to the k-th neighbour of the class (n_max rows, a bounded sample).
+
+    Each feature is a row of a Spark job over the broadcast sample.  In one dimension neighbours are next to each
+    other in sorted order, so no distance matrix is made.
+    """
+    x, y = _sample(df, n_max, seed)
+    x = x + np.random.default_rng(seed).normal(size=x.shape) * 1e-10 * np.maximum(1, np.abs(x).mean(axis=0))  # ties apart
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast((x, y))
+
+    def score(v: np.ndarray, y: np.ndarray) -> float:
+        reach, near, size = np.zeros(len(v)), np.zeros(len(v)), np.zeros(len(v))
+        for c in np.unique(y):
+            at = np.flatnonzero(y == c)
+            if len(at) < 2:
+                continue
+            kc = min(k, len(at) - 1)
+            order = at[np.argsort(v[at], kind="stable")]
+            s, place = v[order], np.arange(len(at))
+            # The k-th neighbour ends one of the runs of k + 1 that hold the sample.
+            far = np.full(len(at), np.inf)
+            for lo in range(-kc, 1):
+                a, b = place + lo, place + lo + kc
+                ok = (a >= 0) & (b < len(at))
+                far[ok] = np.minimum(far[ok], np.maximum(s[place[ok]] - s[a[ok]], s[b[ok]] - s[place[ok]]))
+            reach[order], near[order], size[order] = far * (1 - 1e-9), kc, len(at)  # without the neighbour itself
+        on = size > 0
+        if not on.any():
+            return 0.0
+        every = np.sort(v[on])
+        m = np.searchsorted(every, v[on] + reach[on], "right") - np.searchsorted(every, v[on] - reach[on], "left")
+        return max(0.0, digamma(np.array([on.sum()]))[0] + digamma(near[on]).mean() - digamma(size[on]).mean() - digamma(m.astype(float)).mean())
+
+    def run(batches):
+        values, labels = sent.value
+        for b in batches:
+            at = b.column("feature").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("feature"), pa.array([score(values[:, j], labels) for j in at])], names=["feature", "score"])
+
+    features = spark.range(x.shape[1]).select(F.col("id").cast("int").alias("feature")).repartition(min(max(x.shape[1], 1), 64))
+    return features.mapInArrow(run, "feature int, score double")
+
+
+def digamma(v: np.ndarray) -> np.ndarray:
+    """By the recurrence up to 6, then the asymptotic series."""
+    v, out = np.array(v, float), np.zeros(len(v))
+    while (low := v < 6).any():
+        out[low] -= 1 / v[low]
+        v[low] += 1
+    w = 1 / (v * v)
+    return out + np.log(v) - 0.5 / v - w * (1 / 12 - w * (1 / 120 - w * (1 / 252 - w / 240)))
+
+
+SCORERS = {"variance": variance, "pearson": pearson, "mutual_info": nearest_information, "relieff": relieff, "mrmr": mrmr, "rfe": rfe, "boruta": boruta, "importance": importance}
 
 
 def ensemble(df: DataFrame, methods: tuple[str, ...] = ("variance", "pearson", "mutual_info"), top: float = 0.5) -> DataFrame:

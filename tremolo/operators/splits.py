@@ -112,35 +112,40 @@ def random_split(df: DataFrame, label: str, order: Sequence[str | Column]) -> Da
     return df.withColumn("split", F.when(p < 0.8, "train").when(p < 0.9, "val").otherwise("test"))
 
 
-def grouped_three_way(df: DataFrame, group: str, label: str, fractions: Sequence[float] = (0.8, 0.1, 0.1), folds: int = 10) -> DataFrame:
-    """Whole groups to train, val and test so that label counts stay near the fractions.
+def grouped_folds(df: DataFrame, group: str, label: str, n: int = 10) -> DataFrame:
+    """``fold``: whole groups, dealt so that every fold's label counts stay near a share of 1 / n.
 
-    Groups, the largest first, go to the fold with the lowest cost of squared label shares; folds become
-    splits.  Only one row per (group, label) reaches the driver, as many as there are groups.
+    Groups, the largest first, go to the fold with the lowest cost of squared label shares.  Only one row per
+    (group, label) reaches the driver, as many as there are groups.
     """
-    tenths = [f * folds for f in fractions]
-    if any(abs(t - round(t)) > 1e-9 for t in tenths) or round(sum(tenths)) != folds:
-        raise ValueError("fractions must be multiples of 1/folds and add up to 1")
     rows = df.groupBy(group, label).count().collect()
     labels = sorted({r[label] for r in rows}, key=str)
     total = {k: sum(r["count"] for r in rows if r[label] == k) for k in labels}
     counts: dict = {}
     for r in rows:
         counts.setdefault(r[group], dict.fromkeys(labels, 0))[r[label]] = r["count"]
-    load = [dict.fromkeys(labels, 0) for _ in range(folds)]
-    where = {}
+    load = [dict.fromkeys(labels, 0) for _ in range(n)]
+    where = []
     for g in sorted(counts, key=lambda g: (-max(counts[g].values()), -sum(counts[g].values()), str(g))):
         def cost(f: int) -> tuple[float, int, int]:
             return (sum(((load[f][k] + counts[g][k]) / total[k]) ** 2 - (load[f][k] / total[k]) ** 2 for k in labels), sum(load[f].values()), f)
 
-        best = min(range(folds), key=cost)
-        where[g] = best
+        best = min(range(n), key=cost)
+        where.append((g, best))
         for k in labels:
             load[best][k] += counts[g][k]
-    cuts = (round(tenths[0]), round(tenths[0]) + round(tenths[1]))
-    pairs = [(g, "train" if f < cuts[0] else "val" if f < cuts[1] else "test") for g, f in where.items()]
     kind = df.schema[group].dataType.simpleString()
-    return df.join(df.sparkSession.createDataFrame(pairs, f"`{group}` {kind}, split string"), group)
+    return df.join(df.sparkSession.createDataFrame(where, f"`{group}` {kind}, fold int"), group)
+
+
+def grouped_three_way(df: DataFrame, group: str, label: str, fractions: Sequence[float] = (0.8, 0.1, 0.1), n: int = 10) -> DataFrame:
+    """Whole groups to train, val and test so that label counts stay near the fractions, which are whole numbers of folds."""
+    tenths = [f * n for f in fractions]
+    if any(abs(t - round(t)) > 1e-9 for t in tenths) or round(sum(tenths)) != n:
+        raise ValueError("fractions must be multiples of 1/n and add up to 1")
+    first, second = round(tenths[0]), round(tenths[0]) + round(tenths[1])
+    split = F.when(F.col("fold") < first, "train").when(F.col("fold") < second, "val").otherwise("test")
+    return grouped_folds(df, group, label, n).withColumn("split", split).drop("fold")
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:

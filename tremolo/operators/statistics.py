@@ -37,19 +37,25 @@ def ci95(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def friedman(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
-    """n, k, chi2 (corrected for ties), Iman-Davenport F of complete blocks."""
+    """One row over complete blocks: n, k, chi2 (corrected for ties) and its p, Iman-Davenport's F with df1 and df2,
+    Nemenyi's critical difference at 0.05, and ``ranking``: (method, avg_rank), the best first, ties by name.
+    """
     whole = Window.partitionBy(F.lit(0))
     k = F.size(F.collect_set(method).over(whole))
     full = df.withColumn("_k", k).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(block))).filter("_k = _m")
     ranked = full.withColumn("r", average_rank([block], value))
     ties = full.groupBy(block, value).count().agg(F.coalesce(F.sum(F.pow("count", F.lit(3)) - F.col("count")), F.lit(0.0)).alias("ties"))
     sums = ranked.groupBy(method).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
-    one = sums.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s")).alias("ss")).crossJoin(ties)
+    place = F.array_sort(F.collect_list(F.struct((F.col("s") / F.col("n")).alias("avg_rank"), F.col(method).alias("method"))))
+    one = sums.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s")).alias("ss"), place.alias("ranking")).crossJoin(ties)
     n, k = F.col("n"), F.col("k")
     raw = 12.0 / (n * k * (k + 1)) * F.col("ss") - 3.0 * n * (k + 1)
     chi2 = raw / (1 - F.col("ties") / (n * k * (k * k - 1)))
-    one = one.select("n", "k", chi2.alias("chi2"))
-    return one.withColumn("iman_davenport", F.try_divide((F.col("n") - 1) * F.col("chi2"), F.col("n") * (F.col("k") - 1) - F.col("chi2")))
+    one = one.select("n", "k", chi2.alias("chi2"), F.transform("ranking", lambda r: F.struct(r["method"].alias("method"), r["avg_rank"].alias("avg_rank"))).alias("ranking"))
+    one = one.withColumn("iman_davenport", F.try_divide((n - 1) * F.col("chi2"), n * (k - 1) - F.col("chi2")))
+    q = F.create_map(*[F.lit(x) for kv in Q05.items() for x in kv])[k.cast("int")]
+    tail = F.udf(lambda x, dof: None if x is None else chi2_sf(x, int(dof)), "double")  # one row
+    return one.select("n", "k", "chi2", tail("chi2", k - 1).alias("p"), "iman_davenport", (k - 1).alias("df1"), ((k - 1) * (n - 1)).alias("df2"), (q * F.sqrt(k * (k + 1) / (6.0 * n))).alias("critical_difference"), "ranking")
 
 
 def critical_difference(k: int, n: int) -> float:
@@ -58,11 +64,11 @@ def critical_difference(k: int, n: int) -> float:
 
 
 def cliques(ranking: DataFrame, method: str, rank: str, cd: float) -> DataFrame:
-    """For each method, those within the critical difference at or after it; equal sets once."""
+    """For each method, those within the critical difference on either side, the best first; equal sets once."""
     a, b = ranking.select(F.col(method).alias("m"), F.col(rank).alias("ra")), ranking.select(F.col(method).alias("o"), F.col(rank).alias("rb"))
-    near = a.crossJoin(F.broadcast(b)).filter((F.col("rb") >= F.col("ra")) & (F.col("rb") - F.col("ra") <= cd))
-    sets = near.groupBy("m").agg(F.array_join(F.array_sort(F.collect_set("o")), ",").alias("members"), F.count(F.lit(1)).alias("n"))
-    return sets.filter("n > 1").select("members").distinct()
+    near = a.crossJoin(b).filter(F.abs(F.col("rb") - F.col("ra")) <= cd)  # as many rows as methods, squared
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rb", "o"))), lambda x: x["o"].cast("string"))
+    return near.groupBy("m").agg(F.array_join(ordered, ",").alias("members")).select("members").distinct()
 
 
 def chi2_sf(x: float, dof: int) -> float:

@@ -96,18 +96,31 @@ def fs_jaccard(spark, sf):
     return selection.jaccard(s.select("method", "feature", (place <= 32).alias("selected"))).select("a", "b", _r("jaccard").alias("jaccard"))
 
 
-def _register(name: str, f, doc: str) -> None:
+def _register(name: str, f, doc: str, sql: str | None = None) -> None:
     f.__name__, f.__doc__ = name, doc
-    query()(f)
+    query(sql)(f)
 
 
-for _m in ("relieff", "mrmr", "rfe", "boruta", "importance"):
+for _m in ("relieff", "mrmr", "rfe", "importance", "mutual_info"):
     _register(
-        {"importance": "fs_shap"}.get(_m, f"fs_{_m}"),
+        {"importance": "fs_shap", "mutual_info": "fs_mi_near"}.get(_m, f"fs_{_m}"),
         lambda spark, sf, m=_m: selection.SCORERS[m](divided(spark, sf).select("id", "y", "features")), f"Scores of {_m} over all features.",
     )
 
 
+@query()
+def fs_boruta(spark, sf):
+    """Hits over the best shadow, and what the coin's tail says of them."""
+    return selection.boruta_decisions(selection.boruta(divided(spark, sf).select("id", "y", "features"), rounds=8), 8)
+
+
+@query()
+def fs_votes(spark, sf):
+    """Votes of all eight methods: who selected a feature, by how many, its average rank."""
+    rows = divided(spark, sf).select("id", "y", "features").cache()
+    return selection.ensemble(rows, tuple(selection.SCORERS))
+
+
 @query()
 def fs_curve(spark, sf):
     """Scores of growing prefixes of the ranking."""
@@ -137,16 +150,17 @@ def fs_bias(spark, sf):
 
 
 # ---------------------------------------------------------------- balancing
-@query("WITH c AS (SELECT label, count(*) AS c FROM embeddings WHERE vec_id % 3 > 0 OR label < 4 GROUP BY 1) SELECT CAST(label AS INT) AS y, round(sum(c) OVER () / (count(*) OVER () * c), 6) AS weight FROM c")
-def bal_cw(spark, sf):
-    return balancing.class_weights(labelled(spark, sf).filter("id % 3 > 0 or y < 4")).select("y", _r("weight").alias("weight")).distinct()
+_UNEVEN = "u AS (SELECT vec_id AS id, least(CAST(label AS INT), 4) AS y FROM embeddings), c AS (SELECT y, count(*) AS n FROM u GROUP BY 1)"
 
 
-_UNEVEN = "u AS (SELECT vec_id AS id, CAST(label AS INT) AS y FROM embeddings WHERE vec_id % 3 > 0 OR label < 4), c AS (SELECT y, count(*) AS n FROM u GROUP BY 1)"
+def _uneven(spark, sf):
+    """All rows; the labels from 4 on are one large class."""
+    return labelled(spark, sf).withColumn("y", F.least("y", F.lit(4)))
 
 
-def _uneven(spark, sf):
-    return labelled(spark, sf).filter("id % 3 > 0 or y < 4")
+@query(f"WITH {_UNEVEN} SELECT y, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c")
+def bal_cw(spark, sf):
+    return balancing.class_weights(_uneven(spark, sf)).select("y", _r("weight").alias("weight")).distinct()
 
 
 @query(f"WITH {_UNEVEN} SELECT id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY id) AS k FROM u) WHERE k <= (SELECT min(n) FROM c)")
@@ -165,11 +179,9 @@ def bal_effect(spark, sf):
     return balancing.effect(_uneven(spark, sf)).select("n", "least", "most", _r("imbalance").alias("imbalance"))
 
 
-for _s in ("none", "smote", "borderline_smote", "smote_tomek"):
-    _register(
-        {"none": "bal_none", "smote": "bal_smote", "borderline_smote": "bal_bsmote", "smote_tomek": "bal_smotetomek"}[_s],
-        lambda spark, sf, s=_s: balancing.SAMPLERS[s](_uneven(spark, sf)).groupBy("y").agg(_n().alias("n")), f"Class sizes after {_s}.",
-    )
+_LEVEL = f"WITH {_UNEVEN} SELECT y, (SELECT max(n) FROM c) AS n FROM c"
+for _name, _s, _sql in (("bal_none", "none", f"WITH {_UNEVEN} SELECT y, n FROM c"), ("bal_smote", "smote", _LEVEL), ("bal_bsmote", "borderline_smote", _LEVEL), ("bal_smotetomek", "smote_tomek", None)):
+    _register(_name, lambda spark, sf, s=_s: balancing.SAMPLERS[s](_uneven(spark, sf)).groupBy("y").agg(_n().alias("n")), f"Class sizes after {_s}.", _sql)
 
 
 # ---------------------------------------------------------------- models
@@ -191,7 +203,7 @@ def mdl_weight(spark, sf):
 @query()
 def mdl_bench(spark, sf):
     """Model x strategy grid, scored on val and test."""
-    return models.benchmark(divided(spark, sf).drop("group"), ("logistic", "tree"), ("none", "undersample"))
+    return models.benchmark(divided(spark, sf).drop("group"), ("logistic", "tree", "perceptron"), ("none", "class_weight", "undersample")).drop("seconds")
 
 
 @query()
@@ -220,9 +232,11 @@ def mdl_ablate(spark, sf):
 
 @query()
 def mdl_transfer(spark, sf):
-    """Train on one half of the groups, test on the other."""
-    r = divided(spark, sf)
-    return evaluation.scores(models.fit_predict(r.filter("group < 10"), r.filter("group >= 10"), "logistic")[0])
+    """Each half of the groups to the other; the quantile scaler knows the half that is trained on."""
+    r = divided(spark, sf).select("id", "y", "features", "group")
+    a, b = r.filter("group < 10").drop("group"), r.filter("group >= 10").drop("group")
+    there, back = (models.transfer(x, y).select(F.lit(n).alias("direction"), "*") for n, x, y in (("a to b", a, b), ("b to a", b, a)))
+    return there.unionByName(back)
 
 
 @query()
@@ -296,13 +310,20 @@ s AS (SELECT strategy, sum(r) AS s, count(*) AS n FROM r GROUP BY 1), o AS (SELE
 tie AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*) AS c FROM t GROUP BY model, f1)), x AS (SELECT n, k, (12.0 / (n * k * (k + 1)) * ss - 3.0 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi2 FROM o, tie)"""
 
 
-@query(f"WITH {_FRIED} SELECT n, k, round(chi2, 6) AS chi2, round((n - 1) * chi2 / (n * (k - 1) - chi2), 6) AS iman_davenport FROM x")
+# The tail of chi-square with five degrees of freedom by Simpson's rule over u, where the variable is chi2 * u * u.
+_TAIL = "1 - (SELECT sum((CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * pow(j / 2000.0, 4) * exp(-chi2 * pow(j / 2000.0, 2) / 2)) FROM range(0, 2001) t(j)) / 6000 * 2 * pow(chi2, 2.5) / (pow(2, 2.5) * 1.329340388179137)"
+
+
+@query(f"""WITH {_FRIED}, g AS (SELECT string_agg(strategy || ':' || round(s / n, 6)::VARCHAR, ',' ORDER BY s / n, strategy) AS ranking FROM s)
+SELECT n, k, k - 1 AS df1, (k - 1) * (n - 1) AS df2, round(chi2, 6) AS chi2, round({_TAIL}, 6) AS p, round((n - 1) * chi2 / (n * (k - 1) - chi2), 6) AS iman_davenport, round(2.850 * sqrt(k * (k + 1) / (6.0 * n)), 6) AS critical_difference, ranking FROM x, g""")
 def met_fried(spark, sf):
     f = statistics.friedman(grid(spark, sf), "model", "strategy", "f1")
-    return f.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), _r("chi2").alias("chi2"), _r("iman_davenport").alias("iman_davenport"))
+    ranking = F.array_join(F.transform("ranking", lambda r: F.concat_ws(":", r["method"], F.round(r["avg_rank"], 6).cast("string"))), ",")
+    whole = [F.col(c).cast("long").alias(c) for c in ("n", "k", "df1", "df2")]
+    return f.select(*whole, *[_r(c).alias(c) for c in ("chi2", "p", "iman_davenport", "critical_difference")], ranking.alias("ranking"))
 
 
-@query(f"WITH {GRID}, r AS (SELECT strategy, avg(f1) / 60 AS rk FROM b GROUP BY 1), s AS (SELECT a.strategy AS m, string_agg(c.strategy, ',' ORDER BY c.strategy) AS members, count(*) AS n FROM r a JOIN r c ON c.rk >= a.rk AND c.rk - a.rk <= 0.25 GROUP BY 1) SELECT DISTINCT members FROM s WHERE n > 1")
+@query(f"WITH {GRID}, r AS (SELECT strategy, avg(f1) / 60 AS rk FROM b GROUP BY 1), s AS (SELECT a.strategy AS m, string_agg(c.strategy, ',' ORDER BY c.rk, c.strategy) AS members FROM r a JOIN r c ON abs(c.rk - a.rk) <= 0.25 GROUP BY 1) SELECT DISTINCT members FROM s")
 def met_cdgroups(spark, sf):
     r = grid(spark, sf).groupBy("strategy").agg((F.avg("f1") / 60).alias("rk"))
     return statistics.cliques(r, "strategy", "rk", 0.25)

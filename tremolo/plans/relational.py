@@ -80,11 +80,11 @@ def src_mat(spark, sf):
     return read(spark, sf, "embeddings").select("vec_id", _r(total(crop_or_reflect(x, 32))).alias("crop_sum"), _r(total(crop_or_reflect(F.slice(x, 1, 40), 64))).alias("pad_sum"))
 
 
-@query(f"WITH {WINDOWS}, p AS (SELECT *, greatest(0, least(locus - 8, 134)) AS c0 FROM w WHERE event_id % 50 = 0) SELECT p.sample_id, count(*) AS n_cells, round(sum(b.value), 4) AS total FROM p JOIN w b ON p.recording_id = b.recording_id AND b.block BETWEEN p.block AND p.block + 3 AND b.locus BETWEEN p.c0 AND p.c0 + 15 GROUP BY 1")
+@query(f"WITH {WINDOWS}, p AS (SELECT *, greatest(0, least(locus - 8, 134)) AS c0 FROM w) SELECT p.sample_id, count(*) AS n_cells, round(sum(b.value), 4) AS total FROM p JOIN w b ON p.recording_id = b.recording_id AND b.block BETWEEN p.block AND p.block + 3 AND b.locus BETWEEN p.c0 AND p.c0 + 15 GROUP BY 1")
 def src_h5patch(spark, sf):
     """Patches of 4 blocks x 16 loci: the block range becomes an equi-join on each block it covers."""
     w = windows(spark, sf)
-    p = w.filter("event_id % 50 = 0").select("sample_id", "recording_id", F.greatest(F.lit(0), F.least(F.col("locus") - 8, F.lit(134))).alias("c0"), F.explode(F.sequence(F.col("block"), F.col("block") + 3)).alias("block"))
+    p = w.select("sample_id", "recording_id", F.greatest(F.lit(0), F.least(F.col("locus") - 8, F.lit(134))).alias("c0"), F.explode(F.sequence(F.col("block"), F.col("block") + 3)).alias("block"))
     cells = p.join(w.select("recording_id", "block", "locus", "value"), ["recording_id", "block"]).filter("locus between c0 and c0 + 15")
     return cells.groupBy("sample_id").agg(_n().alias("n_cells"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -264,11 +264,11 @@ def jn_lodocmp(spark, sf):
     return j.crossJoin(F.broadcast(j.agg(F.count_if(F.col("cnn") > F.col("pipeline")).alias("wins"))))
 
 
-@query("WITH a AS (SELECT p_brand AS feature, avg(p_size) AS pa FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS feature, avg(p_size) AS pb FROM part WHERE p_partkey % 3 = 0 AND p_size > 5 GROUP BY 1) SELECT feature, round(pa, 6) AS pa, round(pb, 6) AS pb FROM a FULL JOIN b USING (feature) WHERE pa IS NOT NULL AND pb IS NOT NULL")
+@query("WITH a AS (SELECT p_brand AS feature, avg(p_size) AS pa FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS feature, avg(p_size) AS pb FROM part WHERE p_partkey % 2 = 1 GROUP BY 1) SELECT feature, round(pa, 6) AS pa, round(pb, 6) AS pb FROM a FULL JOIN b USING (feature) WHERE pa IS NOT NULL AND pb IS NOT NULL")
 def jn_selstab(spark, sf):
     p = read(spark, sf, "part").withColumnRenamed("p_brand", "feature")
     a = p.filter("p_partkey % 2 = 0").groupBy("feature").agg(_r(F.avg("p_size")).alias("pa"))
-    b = p.filter("p_partkey % 3 = 0 and p_size > 5").groupBy("feature").agg(_r(F.avg("p_size")).alias("pb"))
+    b = p.filter("p_partkey % 2 = 1").groupBy("feature").agg(_r(F.avg("p_size")).alias("pb"))
     return a.join(b, "feature", "full").dropna()
 
 
