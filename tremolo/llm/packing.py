@@ -24,6 +24,7 @@ Skew: a source with a third of all rows fills a third of each group; no task hol
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .scratch import Scratch
+from .scratch import Scratch, kept
 
 #: Ids of a group, which one task packs.
 GROUP_IDS = 1 << 20
@@ -44,9 +45,6 @@ QUANTUM = 256
 #: Rows (about 60 bytes each) of the table of queues and input partitions up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_PARTS = 400_000
 
-_ENCODER: dict[int, Encoder] = {}
-
-
 def _id_type(spec: str) -> str:
     """The smallest unsigned type that holds every id of the tokenizer."""
     t = json.loads(spec)
@@ -54,16 +52,14 @@ def _id_type(spec: str) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
-def _tokenise(spec, end_id: int, kind: str):
+def _tokenise(spec, key: str, end_id: int, kind: str):
     def run(batches):
-        key = hash(spec.value)
-        if key not in _ENCODER:
-            _ENCODER[key] = Encoder(spec.value)
+        encoder = kept(key, lambda: Encoder(spec.value))
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             doc_id, queue = b.column("doc_id"), b.column("queue")
             names = queue.to_pylist()
-            for row, ids, at in _ENCODER[key].ids(b.column("text"), end_id):
+            for row, ids, at in encoder.ids(b.column("text"), end_id):
                 n, small = len(at) - 1, ids.astype(kind)
                 length = np.diff(at)
                 before = np.zeros(n, np.int64)
@@ -177,7 +173,7 @@ def pack(docs: DataFrame, spec: str, window: int = 1024, end_id: int = 0, weight
     scratch, kind = Scratch(docs.sparkSession, "pack"), _id_type(spec)
     queue = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
-    tokens = scratch.table(lean.mapInArrow(_tokenise(scratch.spark.sparkContext.broadcast(spec), end_id, kind), "doc_id long, queue string, part long, before long, n long, ids binary"))
+    tokens = scratch.table(lean.mapInArrow(_tokenise(scratch.spark.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest(), end_id, kind), "doc_id long, queue string, part long, before long, n long, ids binary"))
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("m"))
     w = Window.partitionBy("queue")  # a row for each input partition
     parts = parts.select("queue", "part", (F.sum("m").over(w.orderBy("part")) - F.col("m")).alias("base"), F.sum("m").over(w).alias("total"))

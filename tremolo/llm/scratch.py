@@ -10,10 +10,14 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _OPEN: list["Scratch"] = []
 #: Of the Python workers: what is freed above these sizes goes back to the system.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
@@ -39,6 +43,20 @@ def fresh(df: DataFrame, name: str, *more: str) -> str:
     return out
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], T]) -> T:
+    """What a Python worker makes once and keeps for its later tasks; the one before it goes.
+
+    Tasks must call this function of a module: a dictionary that a nested function names is copied into every task.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class Scratch:
     """Tables of one operator call."""
 

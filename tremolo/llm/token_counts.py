@@ -7,27 +7,34 @@ whose last piece starts first stays; a character without a piece of its own may
 score of the vocabulary less 10, and counts as its bytes (or, in a vocabulary without byte pieces, runs of
 unknown characters count as one).
 
+A vocabulary of a merge-based (BPE) model has merge ranks for scores: counts under it are those of the best-scored
+segmentation, not of that model's own merges.  ``op9_token_counts`` uses such a file, as it is the public one at hand.
+
 Defined results
 * null text or no words: 0.  Null doc_id: an ordinary row.  Rows that repeat an id: one result row each.
 * no rows: an empty result.  Extra columns are not read.
 
+* very long texts: a task holds the text's words about three times; a word longer than ``STEP_CHARS`` is one program.
+
 Each worker keeps the counts of the distinct words it has met, up to ``CACHE_WORDS``; no data is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, kept
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words whose counts a worker remembers from batch to batch.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose counts a worker remembers (about 120 bytes each) from batch to batch and task to task.
+CACHE_WORDS = 500_000
 #: Characters that one dynamic program covers.
 STEP_CHARS = 200_000
 
@@ -37,17 +44,17 @@ class Counter:
 
     def __init__(self, vocabulary: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        kept: dict[str, float] = {}
+        scores: dict[str, float] = {}
         for piece, score in vocabulary:
             if piece and "\n" not in piece:
-                kept[piece] = score
-        self.scores = np.array(list(kept.values()) or [0.0])
-        self.lengths = np.array([len(p) for p in kept] or [0])
-        for i, piece in enumerate(kept):
+                scores[piece] = score
+        self.scores = np.array(list(scores.values()) or [0.0])
+        self.lengths = np.array([len(p) for p in scores] or [0])
+        for i, piece in enumerate(scores):
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.bytes = all(f"<0x{b:02X}>" in kept for b in range(256))
+        self.bytes = all(f"<0x{b:02X}>" in scores for b in range(256))
         self.known: dict[bytes, int] = {}
 
     def count(self, words: list[str]) -> np.ndarray:
@@ -105,19 +112,14 @@ class Counter:
         self.known.update(zip(part, self.count([w.decode() for w in part]).tolist(), strict=True))
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
     """One row per document: doc_id, n_words, n_tokens."""
     scratch = Scratch(docs.sparkSession, "tokens")
     shared = scratch.spark.sparkContext.broadcast(vocabulary)
-    key = hash(tuple(vocabulary[:1000])) ^ len(vocabulary)
+    key = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
 
     def run(batches):
-        if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(shared.value)
-        counter = _COUNTERS[key]
+        counter = kept(key, lambda: Counter(shared.value))
         for b in batches:
             texts = [(t or b"").split() for t in b.column("text").cast(pa.binary()).to_pylist()]
             if len(counter.known) > CACHE_WORDS:
