@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
 from .registry import query
-from .tables import grid, read, records, windows
+from .tables import GRID, RECORDS, SAMPLES, WINDOWS, grid, read, records, signals, windows
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -28,7 +31,7 @@ def src_artefacts(spark, sf):
     return files.by_kind(files.listing(spark, sf))
 
 
-@query()
+@query(f"WITH {WINDOWS} SELECT DISTINCT recording_id AS folder, 'rec' || k AS stem, k % 10 <> 5 AS has_json FROM w WHERE k % 10 <> 3")
 def src_reclist(spark, sf):
     """Recordings with a mandatory mask and an optional annotation, paired by stem."""
     e = windows(spark, sf).select("recording_id", "k").distinct()
@@ -37,14 +40,23 @@ def src_reclist(spark, sf):
     return files.pair(kinds)
 
 
-@query()
+@query("SELECT r_name AS recording, r_regionkey AS samples, 'array-' || r_regionkey AS vendor FROM region")
 def src_h5attr(spark, sf):
-    """Acquisition attributes: bytes decoded to text."""
-    r = read(spark, sf, "region")
-    return r.select(F.col("r_name").alias("recording"), F.map_from_arrays(F.array(F.lit("vendor")), F.array(F.decode(F.encode("r_name", "UTF-8"), "UTF-8"))).alias("attributes"))
+    """Acquisition attributes of records (.npz): a text attribute in bytes and a number, decoded beside each other."""
+    def pack(batches):
+        for b in batches:
+            out = []
+            for k in b.column("r_regionkey").to_pylist():
+                held = io.BytesIO()
+                np.savez(held, vendor=np.frombuffer(f"array-{k}".encode(), np.uint8), samples=np.int64(k))
+                out.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("r_name"), pa.array(out, pa.binary())], names=["path", "content"])
 
+    content = read(spark, sf, "region").select("r_name", "r_regionkey").mapInArrow(pack, "path string, content binary")
+    return files.attributes(content, ("vendor",), ("samples",)).withColumnRenamed("path", "recording")
 
-@query()
+
+@query("SELECT vec_id, 28 AS width FROM embeddings")
 def src_loaddom(spark, sf):
     """One domain column of a written feature table: the scan reads that column only."""
     path = _scratch(spark)
@@ -53,15 +65,16 @@ def src_loaddom(spark, sf):
     return spark.read.parquet(path).select("vec_id", F.size("time").alias("width"))
 
 
-@query()
+@query(f"WITH {SAMPLES} SELECT vec_id, CAST(label AS INT) AS label, round(sum(v), 6) AS total FROM v GROUP BY 1, 2")
 def src_fuseio(spark, sf):
     """A fused bundle, written and loaded."""
     path = _scratch(spark)
     read(spark, sf, "embeddings").select("vec_id", "label", "embedding").write.parquet(path)
-    return spark.read.parquet(path)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
+    return spark.read.parquet(path).select("vec_id", F.col("label").cast("int").alias("label"), F.round(total, 6).alias("total"))
 
 
-@query()
+@query(f"WITH {WINDOWS} SELECT sample_id, recording_id, block FROM w")
 def snk_parquet(spark, sf):
     """A manifest partitioned by dataset columns; a rerun replaces only the partitions it holds."""
     path = _scratch(spark)
@@ -69,7 +82,7 @@ def snk_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
-@query()
+@query(f"WITH {GRID} SELECT model, strategy, f1, n FROM b")
 def snk_csv(spark, sf):
     """A report as one CSV file with a header, read back with its schema."""
     path = _scratch(spark)
@@ -78,16 +91,16 @@ def snk_csv(spark, sf):
     return spark.read.schema(g.schema).csv(path, header=True)
 
 
-@query()
+@query(f"WITH {GRID} SELECT model, strategy, f1 FROM b")
 def snk_json(spark, sf):
     """Cards: nested structures as JSON lines."""
     path = _scratch(spark)
     c = grid(spark, sf).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("strategy", "f1"))).alias("arms"))
     c.write.json(path)
-    return spark.read.schema(c.schema).json(path).select("model", F.to_json("arms").alias("arms"))
+    return spark.read.schema(c.schema).json(path).select("model", F.inline("arms"))
 
 
-@query()
+@query(f"WITH {GRID} SELECT strategy AS method, model AS feature, f1 AS score FROM b")
 def snk_sel(spark, sf):
     """A selection bundle as one long table."""
     path = _scratch(spark)
@@ -103,10 +116,50 @@ def jn_container(spark, sf):
     return want.join(F.broadcast(have), "table", "left").na.fill(False, ["there"])
 
 
-@query()
+@query("SELECT 16 AS windows, true AS centred, true AS unit, true AS tails")
 def src_synth(spark, sf):
-    """Synthetic patches of standard noise, the same in every run."""
-    return spark.range(16).select(F.col("id").alias("sample_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.xxhash64(F.col("id"), i).cast("double"))).alias("x"))
+    """Synthetic patches of standard noise, the same in every run: Box-Muller over hashes, and whether mean, spread and tails are those of a normal."""
+    x = F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: files.noise(F.col("id"), i))
+    v = spark.range(16).select(F.col("id").alias("sample_id"), F.explode(x).alias("v"))
+    beyond = F.avg((F.abs("v") > 1.959964).cast("double"))
+    return v.agg(F.countDistinct("sample_id").cast("int").alias("windows"), (F.abs(F.avg("v")) < 0.02).alias("centred"), (F.abs(F.stddev_pop("v") - 1) < 0.02).alias("unit"), (F.abs(beyond - 0.05) < 0.005).alias("tails"))
+
+
+def _npy(spark, sf, make):
+    """(path, content): an .npy file of each window, ``make`` gives its array."""
+    def pack(batches):
+        for b in batches:
+            out = []
+            for x in b.column("x").to_pylist():
+                held = io.BytesIO()
+                np.save(held, make(np.array(x)))
+                out.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return signals(spark, sf).select("vec_id", "x").mapInArrow(pack, "path string, content binary")
+
+
+@query(f"WITH {SAMPLES} SELECT vec_id::VARCHAR AS path, CAST(i // 16 AS INT) AS channel, round(sum(v), 6) AS total FROM v WHERE i % 16 BETWEEN 2 AND 13 GROUP BY 1, 2")
+def src_decode(spark, sf):
+    """Binary records decoded into channels, cropped at the centre: from files to a patch table."""
+    data = files.decode_records(_npy(spark, sf, lambda x: x.reshape(4, 16)), files.decode_npy).select("path", F.posexplode("data").alias("channel", "row"))
+    total = F.aggregate(files.centred("row", 12), F.lit(0.0), lambda a, v: a + v)
+    return data.select("path", "channel", F.round(total, 6).alias("total"))
+
+
+@query(f"WITH {SAMPLES} SELECT vec_id::VARCHAR AS path, CAST(i // 4 AS INT) AS block, CAST(i % 4 AS INT) AS locus FROM v WHERE v > 0 AND i // 4 <= 12")
+def src_maskfile(spark, sf):
+    """True cells of boolean masks in files, where a whole window of four blocks fits."""
+    return files.mask_cells(_npy(spark, sf, lambda x: x.reshape(16, 4) > 0))
+
+
+@query("SELECT vec_id::VARCHAR AS path, 'curve1' AS curve, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[3]::DOUBLE, 6) AS y FROM embeddings UNION ALL SELECT vec_id::VARCHAR, 'curve1', round(embedding[2]::DOUBLE, 6), round(embedding[4]::DOUBLE, 6) FROM embeddings")
+def src_curves(spark, sf):
+    """Points of the annotated curves of JSON files; other keys are no curves."""
+    curve = lambda n: F.struct(F.slice("x", 1, 2).alias("x"), F.slice("x", 3, 2).alias("y")).alias(n)
+    text = signals(spark, sf).select(F.col("vec_id").cast("string").alias("path"), F.to_json(F.struct(curve("curve1"), curve("other"))).alias("json"))
+    points = files.polygons(text).select("path", "curve", F.explode(F.arrays_zip("x", "y")).alias("p"))
+    return points.select("path", "curve", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 @query()
@@ -115,7 +168,7 @@ def src_env(spark, sf):
     return files.environment(spark)
 
 
-@query()
+@query(f"WITH {RECORDS} SELECT official_split, count(*) AS count FROM r WHERE session_id IN (SELECT session_id FROM r GROUP BY 1 HAVING count(DISTINCT official_split) > 1) GROUP BY 1")
 def src_official(spark, sf):
     """Records that the official split puts on both sides of a session."""
     r = records(spark, sf)

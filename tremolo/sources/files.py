@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import importlib.metadata
+import math
 import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +64,37 @@ def decode_npy(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
+def attributes(files: DataFrame, text: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    """(path, one column an attribute) of records (.npz): ``text`` attributes are held as bytes of UTF-8."""
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in (*text, *numbers)}
+            for content in b.column("content").to_pylist():
+                held = decode_npy(content)
+                for k in out:
+                    found = held[k] if k in held else None
+                    out[k].append(None if found is None else bytes(found).decode() if k in text else int(found))
+            yield pa.RecordBatch.from_arrays([b.column("path"), *(pa.array(v, pa.string() if k in text else pa.int64()) for k, v in out.items())], names=["path", *out])
+
+    return files.select("path", "content").mapInArrow(run, "path string" + "".join(f", {k} string" for k in text) + "".join(f", {k} long" for k in numbers))
+
+
+def centred(row: str, width: int) -> Column:
+    """Centre crop of a longer array, reflection to the right of a shorter one."""
+    x = F.col(row)
+    n = F.size(x)
+    crop = F.slice(x, F.floor((n - width) / 2).cast("int") + 1, F.lit(width))
+    pad = F.concat(x, F.slice(F.reverse(x), F.lit(2), F.greatest(F.lit(width) - n, F.lit(0))))
+    return F.when(n >= width, crop).otherwise(pad)
+
+
+def noise(key: Column, i: Column) -> Column:
+    """A standard normal number for each (key, i): Box-Muller over two hashes."""
+    even = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), key, i), 11) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(even(1))) * F.cos(2 * math.pi * even(2))
+
+
 def mask_cells(files: DataFrame, blocks_per_window: int = 4) -> DataFrame:
     """(path, block, locus) of the true cells of boolean masks (.npy) where a whole window fits."""
 
