@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import balancing, evaluation, models, selection, splits, statistics
+from ..functions import baselines
+from ..operators import balancing, convolution, evaluation, models, selection, splits, statistics
 from .registry import query
 from .tables import GRID, PREDICTIONS, SAMPLES, grid, predictions, read, windows
 
@@ -401,19 +404,22 @@ def mdl_fssens(spark, sf):
     return out
 
 
-@query()
-def mdl_cnn1d(spark, sf):
-    """A perceptron over the redundant spectrum, in place of the convolutional baseline."""
-    import numpy as np
-    import pyarrow as pa
-
-    from ..functions import baselines
-
+def _images(spark, sf, make, shape):
+    """(train, test) rows whose features are ``make`` of a window."""
     def run(batches):
         for b in batches:
-            x = [baselines.redundant_spectrum(np.array(v), 10_000.0).astype(float) for v in b.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "features"])
+            x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([np.asarray(make(v), np.float32).ravel() for v in x], pa.list_(pa.float32()))], names=["id", "y", "features"])
 
-    r = labelled(spark, sf).select("id", "y", "features").mapInArrow(run, "id long, y int, features array<double>")
-    pred, _ = models.fit_predict(r.filter("id % 10 < 8"), r.filter("id % 10 >= 8"), "perceptron")
-    return pred.select("id", "y_true", "y_pred")
+    r = labelled(spark, sf).select("id", "y", "features").mapInArrow(run, "id long, y int, features array<float>")
+    return r.filter("id % 10 < 8"), r.filter("id % 10 >= 8")
+
+
+def _network(name: str, layers: tuple, make, shape: tuple, epochs: int, doc: str) -> None:
+    _register(name, lambda spark, sf: convolution.fit_predict(*_images(spark, sf, make, shape), layers, shape, epochs), doc)
+
+
+_spectrum = lambda x: baselines.redundant_spectrum(x, 10_000.0)
+_network("mdl_cnn1d", convolution.DAS_CNN, _spectrum, (1, 2048, 1), 2, "The one-dimensional network over redundant spectra; two passes over the rows.")
+_network("mdl_cnn_tom", convolution.TOMASOV_CNN, _spectrum, (1, 2048, 1), 2, "Its form with 256 dense units; two passes.")
+_network("mdl_cnn_cao", convolution.CAO_CNN, lambda x: baselines.record_image(np.resize(x, 120_000)), (1, 10_000, 12), 3, "The image network over scaled records of 10,000 samples x 12 channels; three passes.")
