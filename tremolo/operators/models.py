@@ -161,7 +161,11 @@ def transfer(source: DataFrame, target: DataFrame, name: str = "logistic", strat
     return evaluation.scores(fit_predict(scale(source), scale(target), name, strategy, seed)[0])
 
 
-def verdict(probe: DataFrame, cost: DataFrame, least_groups: int = 3, most_chance: float = 70.0) -> DataFrame:
+# The published thresholds of the verdict, in percentage points, and what makes a class usable.
+CLEAN_COST, CONFOUND_ABOVE, MIXED_ABOVE, LEAST_GROUPS, MOST_CHANCE = 2.0, 15.0, 10.0, 3, 70.0
+
+
+def verdict(probe: DataFrame, cost: DataFrame, least_groups: int = LEAST_GROUPS, most_chance: float = MOST_CHANCE) -> DataFrame:
     """Per dataset, whether its spatial features carry the event or the place of the recording.
 
     ``probe``: dataset, class, domain, n_groups, majority_chance, above_chance_pp (how well a domain tells
@@ -173,7 +177,7 @@ def verdict(probe: DataFrame, cost: DataFrame, least_groups: int = 3, most_chanc
     mean = each.groupBy("dataset").agg(F.count(F.lit(1)).alias("usable"), F.avg("s").alias("spatial"), F.avg("o").alias("best_other"), F.avg(F.col("s") - F.col("o")).alias("differential"))
     m = cost.join(mean, "dataset", "left").na.fill(0, ["usable"])
     rule = (
-        F.when(F.col("spatial_cost") < 2.0, "CLEAN").when(F.col("best_other") > 15, "DATASET-WIDE CONFOUND").when(F.col("differential") > 10, "MIXED")
+        F.when(F.col("spatial_cost") < CLEAN_COST, "CLEAN").when(F.col("best_other") > CONFOUND_ABOVE, "DATASET-WIDE CONFOUND").when(F.col("differential") > MIXED_ABOVE, "MIXED")
         .when(F.col("differential").isNull(), "UNDETERMINED").otherwise("GENUINE")
     )
     return m.select("dataset", "spatial_cost", "usable", *[F.round(c, 2).alias(c) for c in ("spatial", "best_other", "differential")], rule.alias("verdict"))

@@ -22,6 +22,7 @@ def _r(c, digits: int = 6):
 
 
 # ---------------------------------------------------------------- sources
+# Fixed value: how record files are named.
 FILE_PATTERN = r"^(\d{6})_([^_]+)_(.+)_data_(\d+)\.mat$"
 _FILES_SQL = RECORDS + """, f AS (SELECT sample_id, CASE WHEN quantity < 3 THEN 'broken_' || sample_id || '.mat'
   ELSE date || '_' || session_id || '_walk_' || label || '_data_' || CAST(quantity AS INT) || '.mat' END AS filename FROM r)"""
