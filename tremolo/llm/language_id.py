@@ -298,7 +298,7 @@ def identify(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """``docs`` with lang_pred and score."""
     Scratch(docs.sparkSession, "lang")
     model = fit(docs, max_sample)
-    kept, read = [c for c in docs.columns if c not in ("lang_pred", "score")], fresh(docs, "text")
+    kept, read = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")], fresh(docs, "text")
 
     def run(batches):
         for b in batches:
