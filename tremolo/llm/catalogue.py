@@ -13,6 +13,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .periodic_runs import periodic_runs, repeat_tails, run_digest
 from .pii import find_pii, pii_digest
 from .source_divergence import source_divergence
 from .substring_dedup import substring_dedup
@@ -180,9 +181,36 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text, and what stays when each run keeps its first period."""
+    return run_digest(periodic_runs(repeat_tails(_read(spark, sf_dir, "documents"))))
+
+
+# The checksum goes through the bytes of the id: -1 stands for a shift, any other item for a byte.
+ORACLES["op13_periodic_runs"] = r"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  xor(4294967295, list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x = -1 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END, 4294967295::BIGINT)) AS h FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM h),
+p AS (SELECT *, 1 + (n - a) // k AS p FROM a),
+d AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM p),
+t AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM d),
+e AS (SELECT a.r, b.i - a.i AS q, a.i FROM t a JOIN t b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM e),
+s AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM g GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT r, s, l, min(q) AS q FROM s GROUP BY 1, 2, 3),
+b AS (SELECT r, count(*) AS n_runs, arg_min([s, l, q], [-l, s, q]) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM u GROUP BY 1),
+z AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS j FROM u),
+y AS (SELECT t.r, string_agg(x, ' ' ORDER BY i) AS kept FROM t ANTI JOIN z ON z.r = t.r AND z.j = t.i GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS start, b[2] AS length, b[3] AS period, 1000 * b[2] // b[3] AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN y USING (r)
+"""
+
+
 _ALL = (
     op1_language_id, op2_topk_search, op3_line_dedup, op4_pii, op5_exact_dedup, op6_substring_dedup,
     op7_mixing, op8_packing, op9_token_counts, op10_near_dedup, op11_source_divergence,
+    op13_periodic_runs,
 )
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
