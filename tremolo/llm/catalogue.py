@@ -15,6 +15,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .periodic_runs import periodic_runs, repeat_tails, run_digest
 from .pii import find_pii, pii_digest
+from .quality_ranker import THRESHOLD, rank_quality
 from .source_divergence import source_divergence
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -181,6 +182,14 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 """
 
 
+def op12_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned from the labels of ids whose crc32 mod 4 isn't 2."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    scored = rank_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), learn)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every whole text, and what stays when each run keeps its first period."""
     return run_digest(periodic_runs(repeat_tails(_read(spark, sf_dir, "documents"))))
@@ -210,7 +219,7 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN y USING (r)
 _ALL = (
     op1_language_id, op2_topk_search, op3_line_dedup, op4_pii, op5_exact_dedup, op6_substring_dedup,
     op7_mixing, op8_packing, op9_token_counts, op10_near_dedup, op11_source_divergence,
-    op13_periodic_runs,
+    op12_quality_ranking, op13_periodic_runs,
 )
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
