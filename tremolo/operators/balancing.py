@@ -36,9 +36,12 @@ def _blocks(df: DataFrame, part, prefix: str) -> DataFrame:
     return held.select("part", F.col("block").alias(f"{prefix}block"), F.col("n_blocks").alias(f"{prefix}n"), *[F.col(f"r.{c}").alias(f"{prefix}{c}") for c in ("id", "y", "x")])
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int, within_class: bool = False) -> DataFrame:
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, within_class: bool = False, each_class: bool = False, metric: str = "euclidean") -> DataFrame:
     """(id, near): the k nearest other rows of each query (d, id, y), exactly; ties by id.
 
+    ``within_class``: of the query's class only.  ``each_class``: of every class, as rows (id, other, near).
+    ``metric``: euclidean (d is squared) or manhattan.
+
     Every block of queries meets every block of rows (of its class), and leaves k candidates a query; the best of
     those are the answer.  The work grows with queries times rows, as an exact search's does; memory is two blocks.
     """
@@ -48,25 +51,48 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, within_class: bool =
     met = q.join(r.select("part", F.col("r_n").alias("of")).distinct(), "part").withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     met = met.join(r, ["part", "r_block"]).select("q_id", "q_x", "r_id", "r_y", "r_x")
 
+    def vectors(column, i: int) -> np.ndarray:
+        held = column[i].values
+        return held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+
+    def candidates(qi, qx, ri, ry, rx):
+        """(query, places of its nearest rows in order, their distances)."""
+        if metric == "manhattan":
+            far = np.array([np.abs(rx - v).sum(axis=1) for v in qx])
+            far[qi[:, None] == ri] = np.inf
+            for i, d in enumerate(far):
+                at = np.flatnonzero(np.isfinite(d))
+                if len(at) > k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                yield i, at[np.lexsort((ri[at], d[at]))[:k]], d
+            return
+        rough = (qx * qx).sum(axis=1)[:, None] + (rx * rx).sum(axis=1) - 2 * qx @ rx.T
+        rough[qi[:, None] == ri] = np.inf
+        some = np.argpartition(rough, min(k + 8, len(ri)) - 1, axis=1)[:, : k + 8]
+        for i, at in enumerate(some):
+            at = at[np.isfinite(rough[i, at])]
+            d = np.full(len(ri), np.inf)
+            d[at] = ((rx[at] - qx[i]) ** 2).sum(axis=1)
+            yield i, at[np.lexsort((ri[at], d[at]))[:k]], d
+
     def best(batches):
         for b in batches:
-            out_id, out = [], []
-            for qi, qx, ri, ry, rx in zip(*(b.column(c).to_pylist() for c in ("q_id", "q_x", "r_id", "r_y", "r_x")), strict=True):
-                qx, rx, ri = np.array(qx, float), np.array(rx, float), np.array(ri)
-                rough = (qx * qx).sum(axis=1)[:, None] + (rx * rx).sum(axis=1) - 2 * qx @ rx.T
-                rough[np.array(qi)[:, None] == ri] = np.inf
-                some = np.argpartition(rough, min(k + 8, len(ri)) - 1, axis=1)[:, : k + 8]
-                for i, at in enumerate(some):
-                    at = at[np.isfinite(rough[i, at])]
-                    d = ((rx[at] - qx[i]) ** 2).sum(axis=1)
-                    first = np.lexsort((ri[at], d))[:k]
-                    out_id.append(qi[i])
-                    out.append([{"d": float(d[j]), "id": int(ri[at[j]]), "y": ry[at[j]]} for j in first])
+            out_id, out_class, out = [], [], []
+            for n in range(b.num_rows):
+                qi, ri, ry = (np.asarray(b.column(c)[n].values.to_pylist()) for c in ("q_id", "r_id", "r_y"))
+                qx, rx = vectors(b.column("q_x"), n), vectors(b.column("r_x"), n)
+                for c in sorted(set(ry.tolist())) if each_class else [""]:
+                    mine = np.flatnonzero(ry == c) if each_class else np.arange(len(ri))
+                    for i, at, d in candidates(qi, qx, ri[mine], ry[mine], rx[mine]):
+                        out_id.append(int(qi[i]))
+                        out_class.append(c)
+                        out.append([{"d": float(d[j]), "id": int(ri[mine[j]]), "y": str(ry[mine[j]])} for j in at])
             kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("y", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, kind)], names=["id", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_class, pa.string()), pa.array(out, kind)], names=["id", "other", "near"])
 
-    found = met.mapInArrow(best, "id long, near array<struct<d:double,id:long,y:string>>")
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    found = met.mapInArrow(best, "id long, other string, near array<struct<d:double,id:long,y:string>>")
+    found = found.groupBy("id", "other").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return found if each_class else found.drop("other")
 
 
 def smote(df: DataFrame, k: int = 5, seed: int = 42, borderline: bool = False) -> DataFrame:

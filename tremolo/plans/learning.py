@@ -104,9 +104,9 @@ def _register(name: str, f, doc: str, sql: str | None = None) -> None:
     query(sql)(f)
 
 
-for _m in ("relieff", "mrmr", "rfe", "importance", "mutual_info"):
+for _m in ("relieff", "mrmr", "rfe", "shap", "mutual_info"):
     _register(
-        {"importance": "fs_shap", "mutual_info": "fs_mi_near"}.get(_m, f"fs_{_m}"),
+        {"mutual_info": "fs_mi_near"}.get(_m, f"fs_{_m}"),
         lambda spark, sf, m=_m: selection.SCORERS[m](divided(spark, sf).select("id", "y", "features")), f"Scores of {_m} over all features.",
     )
 
@@ -114,7 +114,7 @@ for _m in ("relieff", "mrmr", "rfe", "importance", "mutual_info"):
 @query()
 def fs_boruta(spark, sf):
     """Hits over the best shadow, and what the coin's tail says of them."""
-    return selection.boruta_decisions(selection.boruta(divided(spark, sf).select("id", "y", "features"), rounds=8), 8)
+    return selection.boruta(divided(spark, sf).select("id", "y", "features"), rounds=14, trees=30)
 
 
 @query()
