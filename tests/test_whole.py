@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["bal_none", "bal_smote", "bal_bsmote", "bal_smotetomek"])
 def test_balancing_gives_class_sizes(spark, name):
     got = {r["y"]: r["n"] for r in __spark_entry__.queries()[name](spark, SF).collect()}
-    labels = {r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}
+    labels = {min(r["label"], 4) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}  # the labels from 4 on are one class
     assert set(got) == labels and min(got.values()) > 0
 
 

@@ -76,6 +76,21 @@ def extract(windows: DataFrame, fs: float, reference: str = "centre", domains: t
     return windows.select("sample_id", "patch").mapInArrow(run, f"sample_id {kind}, " + ", ".join(f"{d} array<float>" for d in domains))
 
 
+def resampled(windows: DataFrame, up: int, down: int) -> DataFrame:
+    """(sample_id, patch) at ``up / down`` times the sampling rate."""
+
+    def run(batches):
+        for b in batches:
+            out = [None] * b.num_rows
+            for at, x in _batches(b.column("patch")):
+                for k, row in zip(at, dsp.resample(x, up, down), strict=True):
+                    out[k] = row.tolist()
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["sample_id", "patch"])
+
+    kind = windows.schema["sample_id"].dataType.simpleString()
+    return windows.select("sample_id", F.col("patch").cast("array<array<double>>").alias("patch")).mapInArrow(run, f"sample_id {kind}, patch array<array<double>>")
+
+
 def pending(manifest: DataFrame, done: DataFrame) -> DataFrame:
     """Resume: windows that no written shard holds."""
     return manifest.join(done.select("sample_id").distinct(), "sample_id", "left_anti")

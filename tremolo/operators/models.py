@@ -1,13 +1,10 @@
-"""Classifiers over (id, y, features): MLlib estimators, one fit per model and strategy, scored by SQL aggregates.
-
-Boosted trees are one-versus-rest gradient boosting and extra trees a forest without bagging: different
-models from their namesakes elsewhere, and reported as such.
-"""
+"""Classifiers over (id, y, features): MLlib estimators and histogram trees, one fit per model and strategy, scored by SQL aggregates."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import replace
 from statistics import NormalDist
 
 import numpy as np
@@ -21,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluation
+from . import evaluation, trees
 from .balancing import SAMPLERS
 from .splits import grouped_folds
 
@@ -36,8 +33,6 @@ def build(name: str, seed: int = 42, n_features: int = 0, n_classes: int = 0):
         return DecisionTreeClassifier(maxDepth=15, seed=seed, **weighted)
     if name == "forest":
         return RandomForestClassifier(numTrees=60, maxDepth=12, seed=seed, **weighted)
-    if name == "extra_trees":
-        return RandomForestClassifier(numTrees=60, maxDepth=12, subsamplingRate=1.0, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed, **weighted)
     if name == "boosting":
         return OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, seed=seed, **common), **weighted)
     if name == "perceptron":
@@ -45,14 +40,24 @@ def build(name: str, seed: int = 42, n_features: int = 0, n_classes: int = 0):
     raise ValueError(f"unknown model {name}")
 
 
-MODELS = ("logistic", "tree", "forest", "extra_trees", "boosting", "perceptron")
+#: Models of ``trees``: (training rows, seed, settings of their growth) -> Forest.
+TREES = {
+    "leafwise": lambda rows, seed, **more: trees.boost(rows, replace(trees.LEAFWISE, seed=seed, **more)),
+    "regularised": lambda rows, seed, **more: trees.boost(rows, replace(trees.REGULARISED, seed=seed, **more)),
+    "histogram": lambda rows, seed, **more: trees.boost(rows, replace(trees.HISTOGRAM, seed=seed, **more)),
+    "extra_trees": lambda rows, seed, **more: trees.extra_trees(rows, seed=seed, **more),
+}
+MODELS = ("leafwise", "regularised", "histogram", "forest", "extra_trees", "logistic", "tree", "boosting", "perceptron")
 
 
-def fit(train: DataFrame, name: str, strategy: str = "none", seed: int = 42):
-    """(model, labels): scaler and classifier fitted on the balanced training rows."""
+def fit(train: DataFrame, name: str, strategy: str = "none", seed: int = 42, **settings):
+    """(model, labels): scaler and classifier fitted on the balanced training rows; ``settings`` go to models of ``TREES``."""
     rows = SAMPLERS[strategy](train)
     if "weight" in rows.columns and name == "perceptron":
         raise ValueError("a perceptron takes no weights: balance its rows by sampling")
+    if name in TREES:
+        model = TREES[name](rows, seed, **settings)
+        return model, model.labels
     if "weight" not in rows.columns:
         rows = rows.withColumn("weight", F.lit(1.0))
     rows = rows.withColumn("y", F.col("y").cast("string")).withColumn("raw", array_to_vector(F.col("features").cast("array<double>")))
@@ -64,6 +69,8 @@ def fit(train: DataFrame, name: str, strategy: str = "none", seed: int = 42):
 
 def predict(model, labels: list[str], df: DataFrame) -> DataFrame:
     """(id, y_true, y_pred, proba) with names for labels; proba is null where a model has none."""
+    if isinstance(model, trees.Forest):
+        return model.predict(df)
     rows = df.withColumn("y", F.col("y").cast("string")).withColumn("raw", array_to_vector(F.col("features").cast("array<double>")))
     out = model.transform(rows)
     name = F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1)
@@ -71,17 +78,92 @@ def predict(model, labels: list[str], df: DataFrame) -> DataFrame:
     return out.select("id", F.col("y").alias("y_true"), name.alias("y_pred"), proba.alias("proba"))
 
 
-def fit_predict(train: DataFrame, test: DataFrame, name: str, strategy: str = "none", seed: int = 42) -> tuple[DataFrame, float]:
+def fit_predict(train: DataFrame, test: DataFrame, name: str, strategy: str = "none", seed: int = 42, **settings) -> tuple[DataFrame, float]:
     began = time.time()
-    model, labels = fit(train, name, strategy, seed)
+    model, labels = fit(train, name, strategy, seed, **settings)
     took = time.time() - began
     return predict(model, labels, test), took
 
 
-def benchmark(df: DataFrame, names: Iterable[str], strategies: Iterable[str], seed: int = 42) -> DataFrame:
+def auc(pred: DataFrame, labels: list[str]) -> DataFrame:
+    """One row: the macro one-versus-rest AUC of predictions with ``proba``; null without probabilities or without a class."""
+    each = pred.filter("proba is not null").select(F.col("id").alias("sample"), "y_true", F.posexplode(F.slice("proba", 1, len(labels))).alias("k", "score"))
+    return evaluation.auc_ovr(each.withColumn("cls", F.element_at(F.array(*map(F.lit, labels)), F.col("k") + 1)))
+
+
+def assess(model, labels: list[str], df: DataFrame) -> DataFrame:
+    """One row: metrics, AUC, rows, and the seconds that predicting them took."""
+    began = time.time()
+    pred = predict(model, labels, df).cache()
+    n = pred.count()
+    took = time.time() - began
+    row = evaluation.scores(pred).crossJoin(auc(pred, labels)).withColumns({"rows": F.lit(n), "predict_seconds": F.lit(took)})  # a row and a row
+    out = df.sparkSession.createDataFrame(row.collect(), row.schema)
+    pred.unpersist()
+    return out
+
+
+def permutation_importances(model, labels: list[str], df: DataFrame, seed: int = 42) -> DataFrame:
+    """(feature, importance): accuracy lost when a feature's values are shuffled among the rows; all features in one pass."""
+    from .selection import with_shadows
+
+    rows = df.select(F.col("id").cast("long").alias("id"), F.col("y").cast("string").alias("y"), F.col("features").cast("array<double>").alias("features"))
+    n = len(rows.first()["features"])
+    both = with_shadows(rows, seed)
+    each = both.withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))  # -1: as it is
+    mixed = F.transform(F.slice("features", 1, n), lambda v, i: F.when(i == F.col("f"), F.get("features", i + n)).otherwise(v))
+    pred = predict(model, labels, each.select((F.col("id") * (n + 1) + F.col("f") + 1).alias("id"), "y", mixed.alias("features")))
+    right = pred.groupBy((F.pmod("id", F.lit(n + 1)) - 1).cast("int").alias("feature")).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("a"))
+    base = right.filter("feature < 0").select(F.col("a").alias("base"))
+    return right.filter("feature >= 0").crossJoin(base).select("feature", (F.col("base") - F.col("a")).alias("importance"))  # times one row
+
+
+def importances(model, labels: list[str], df: DataFrame) -> DataFrame:
+    """(feature, importance, kind): what the model states, else mean |coefficient|, else by permutation over ``df``."""
+    last = model if isinstance(model, trees.Forest) else model.stages[-1]
+    if isinstance(model, trees.Forest):
+        found, kind = model.importances(), "native"
+    elif hasattr(last, "featureImportances"):
+        found, kind = last.featureImportances.toArray(), "native"
+    elif hasattr(last, "coefficientMatrix"):
+        found, kind = np.abs(last.coefficientMatrix.toArray()).mean(axis=0), "coefficients"
+    else:
+        return permutation_importances(model, labels, df).withColumn("kind", F.lit("permutation"))
+    return df.sparkSession.createDataFrame([(i, float(v), kind) for i, v in enumerate(found)], "feature int, importance double, kind string")
+
+
+def probe(df: DataFrame, group: str, domains: Mapping[str, list[int]], name: str = "tree", least_test: int = 30, **settings) -> DataFrame:
+    """(class, domain, n_groups, majority_chance, accuracy, above_chance_pp): how well a domain tells a class's groups apart.
+
+    ``df``: id, y, features, ``group`` and split.  A class counts if its training rows and its test rows have two
+    groups or more and there are ``least_test`` of the latter.
+    """
+    in_split = lambda s, c: F.when(F.col("split") == s, c)
+    known = df.groupBy(F.col("y").cast("string").alias("class")).agg(
+        F.countDistinct(group).alias("n_groups"), F.countDistinct(in_split("train", F.col(group))).alias("tr"), F.countDistinct(in_split("test", F.col(group))).alias("te"),
+        F.count(in_split("test", F.lit(1))).alias("n")
+    )
+    kept = known.filter((F.col("tr") >= 2) & (F.col("te") >= 2) & (F.col("n") >= least_test)).orderBy("class").collect()  # one row a class
+    out = []
+    for r in kept:
+        mine = df.filter(F.col("y").cast("string") == r["class"]).select("id", F.col(group).alias("y"), "features", "split").cache()
+        test = mine.filter("split = 'test'")
+        n = test.groupBy("y").count().agg((F.max("count") / F.sum("count"))).first()[0]
+        for domain, columns in domains.items():
+            pick = F.array(*[F.lit(c) for c in columns])
+            part = mine.withColumn("features", F.transform(pick, lambda i: F.get("features", i)))
+            pred, _ = fit_predict(part.filter("split = 'train'").drop("split"), part.filter("split = 'test'").drop("split"), name, **settings)
+            accuracy = pred.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
+            out.append((r["class"], domain, r["n_groups"], 100 * n, 100 * accuracy, 100 * (accuracy - n)))
+        mine.unpersist()
+    return df.sparkSession.createDataFrame(out, "class string, domain string, n_groups long, majority_chance double, accuracy double, above_chance_pp double")
+
+
+def benchmark(df: DataFrame, names: Iterable[str], strategies: Iterable[str], seed: int = 42, settings: Mapping[str, Mapping] | None = None) -> DataFrame:
     """(model, strategy, split, metrics, seconds, error) over rows with a ``split``: one fit, scored on val and test.
 
     The best macro F1 on test first.  A combination that fails is a row with its error and without metrics.
+    ``settings``: of a model, by name.
     """
     parts = {s: df.filter(F.col("split") == s).drop("split").cache() for s in ("train", "val", "test")}
     rows, metrics = [], None
@@ -89,7 +171,7 @@ def benchmark(df: DataFrame, names: Iterable[str], strategies: Iterable[str], se
         for strategy in strategies:
             began = time.time()
             try:
-                model, labels = fit(parts["train"], name, strategy, seed)
+                model, labels = fit(parts["train"], name, strategy, seed, **(settings or {}).get(name, {}))
                 took = time.time() - began
                 for s in ("val", "test"):
                     found = evaluation.scores(predict(model, labels, parts[s]))

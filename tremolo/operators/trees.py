@@ -247,11 +247,19 @@ class _Pass:
         grow = [(t, trees[t].number, trees[t].arrays(), nodes, np.array([self._columns(trees[t], n) for n, _ in nodes])) for t, nodes in by.items()]
         past = [[(tree.arrays(), np.array(tree.value)) for tree in r] for r in pending]
         names = {slot: self._columns(trees[t], node) for slot, (t, node) in enumerate(part)}
-        sent = self.spark.sparkContext.broadcast((grow, past, names))
+        sent = self.spark.sparkContext.broadcast((grow, past))
+
+        def packed(slots, pid: int, sums) -> pa.Table:
+            """Rows (slot, pid, at, h): the cells of each slot that hold anything."""
+            some = [np.flatnonzero(h.any(axis=1)).astype(np.int32) for h in sums]
+            blobs = [at.tobytes() for at in some], [h[at].tobytes() for h, at in zip(sums, some, strict=True)]
+            return pa.table([pa.array(slots, pa.int64()), pa.array([pid] * len(slots), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["slot", "pid", "at", "h"])
+
+        channels = classes if random else 3
 
         def work(batches):
-            grow, past, _ = sent.value
-            sums = [np.zeros((len(nodes), cols.shape[1] * width, classes if random else 3)) for *_, nodes, cols in grow]
+            grow, past = sent.value
+            sums = [np.zeros((len(nodes), cols.shape[1] * width, channels)) for *_, nodes, cols in grow]
             for ids, label, weight, bins, scores in _steps(batches):
                 if not random:
                     p = _softmax(_add(scores, past, bins))
@@ -276,29 +284,40 @@ class _Pass:
                             total[..., c] += np.bincount(key, np.repeat(v, m), size).reshape(total.shape[:2])
             pid = TaskContext.get().partitionId()
             for (*_, nodes, _), total in zip(grow, sums, strict=True):
-                slots = [s for _, s in nodes]
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([pid] * len(slots), pa.int64()), pa.array([x.tobytes() for x in total], pa.binary())], names=["slot", "pid", "h"])
-
-        def add(table: pa.Table) -> np.ndarray:
-            table = table.sort_by("pid")  # sums in one order
-            return np.sum([np.frombuffer(x, np.float64) for x in table.column("h").to_pylist()], axis=0)
+                yield packed([s for _, s in nodes], pid, total).combine_chunks().to_batches()[0]
+
+        def added(table: pa.Table):
+            """(slot, sums) of each slot of a table."""
+            table = table.sort_by([("slot", "ascending"), ("pid", "ascending")])  # sums in one order
+            slots = table.column("slot").to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, slots[1:] != slots[:-1])), len(slots))
+            cells, blobs = table.column("at").to_pylist(), table.column("h").to_pylist()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                total = np.zeros((len(names[int(slots[lo])]) * width, channels))
+                for k in range(lo, hi):
+                    total[np.frombuffer(cells[k], np.int32)] += np.frombuffer(blobs[k], np.float64).reshape(-1, channels)
+                yield int(slots[lo]), total
 
         def merge(table: pa.Table) -> pa.Table:
-            return pa.table({"slot": table.column("slot")[:1], "pid": table.column("pid")[:1], "h": pa.array([add(table).tobytes()], pa.binary())})
+            slots, sums = zip(*added(table), strict=True)
+            return packed(list(slots), table.column("pid")[0].as_py(), sums)
 
         def best(table: pa.Table) -> pa.Table:
-            _, _, names = sent.value
-            slot = table.column("slot")[0].as_py()
-            columns = names[slot]
-            h = add(table).reshape(len(columns), width, -1)
-            t, node = part[slot]
-            gain, f, k, to_left, left, whole = random_split(h, edges, columns, [g.seed, number, t, node]) if random else best_split(h, g)
-            return pa.table({"slot": [slot], "feature": [int(columns[f])], "bin": [k], "missing_left": [bool(to_left)], "gain": [gain], "left": pa.array([left.tobytes()], pa.binary()), "whole": pa.array([whole.tobytes()], pa.binary())})
-
-        blocks = self.rows.mapInArrow(work, "slot long, pid long, h binary")
+            out: dict[str, list] = {c: [] for c in ("slot", "feature", "bin", "missing_left", "gain", "left", "whole")}
+            for slot, sums in added(table):
+                columns, (t, node) = names[slot], part[slot]
+                h = sums.reshape(len(columns), width, -1)
+                gain, f, k, to_left, left, whole = random_split(h, edges, columns, [g.seed, number, t, node]) if random else best_split(h, g)
+                for column, x in zip(out.values(), (slot, int(columns[f]), k, bool(to_left), gain, left.tobytes(), whole.tobytes()), strict=True):
+                    column.append(x)
+            return pa.table({c: pa.array(v, pa.binary()) if c in ("left", "whole") else pa.array(v) for c, v in out.items()})
+
+        blocks = self.rows.mapInArrow(work, "slot long, pid long, at binary, h binary")
+        size = max(len(c) for c in names.values()) * width * channels
+        unit = F.floor(F.col("slot") / max(1, CELLS // (size * min(self.parts, MERGED)))).alias("unit")  # slots that one group can hold
         if self.parts > MERGED:
-            blocks = blocks.groupBy("slot", F.floor(F.col("pid") / MERGED).alias("group")).applyInArrow(merge, "slot long, pid long, h binary")
-        found = blocks.groupBy("slot").applyInArrow(best, _BEST).collect()  # one row a node
+            blocks = blocks.groupBy(unit, F.floor(F.col("pid") / MERGED).alias("group")).applyInArrow(merge, "slot long, pid long, at binary, h binary")
+        found = blocks.groupBy(unit).applyInArrow(best, _BEST).collect()  # one row a node
         sent.destroy()
         return {part[r["slot"]]: (r["gain"], r["feature"], r["bin"], r["missing_left"], np.frombuffer(r["left"]), np.frombuffer(r["whole"])) for r in found}
 

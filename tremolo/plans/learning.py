@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import baselines
-from ..operators import balancing, convolution, evaluation, models, selection, splits, statistics
+from ..operators import balancing, convolution, evaluation, extraction, models, selection, splits, statistics
 from .registry import query
 from .tables import GRID, PREDICTIONS, SAMPLES, grid, predictions, read, windows
 
@@ -24,10 +26,6 @@ def _r(c, digits=6):
     return F.round(c, digits)
 
 
-def _every(column: str, step: int):
-    return F.filter(column, lambda v, i: i % step == 0)
-
-
 def labelled(spark, sf) -> DataFrame:
     """(id, y, features of 64 values, group)."""
     e = read(spark, sf, "embeddings")
@@ -188,10 +186,16 @@ for _name, _s, _sql in (("bal_none", "none", f"WITH {_UNEVEN} SELECT y, n FROM c
 
 
 # ---------------------------------------------------------------- models
-for _m, _name in (("logistic", "mdl_lr"), ("tree", "mdl_dt"), ("forest", "mdl_rf"), ("extra_trees", "mdl_et"), ("boosting", "mdl_gbt"), ("perceptron", "mdl_mlp")):
-    def _model(spark, sf, m=_m):
+#: Growth of boosted trees in the queries: fewer and larger steps than the published 500 of 0.05.
+SHORT = {"rounds": 5, "rate": 0.3}
+
+for _m, _name, _more in (
+    ("logistic", "mdl_lr", {}), ("tree", "mdl_dt", {}), ("forest", "mdl_rf", {}), ("extra_trees", "mdl_et", {"trees": 60}), ("boosting", "mdl_gbt", {}), ("perceptron", "mdl_mlp", {}),
+    ("leafwise", "mdl_lgbm", SHORT), ("regularised", "mdl_xgb", SHORT), ("histogram", "mdl_hgb", SHORT),
+):
+    def _model(spark, sf, m=_m, more=_more):
         r = divided(spark, sf)
-        return models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), m)[0].select("id", "y_true", "y_pred")
+        return models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), m, **more)[0].select("id", "y_true", "y_pred")
 
     _register(_name, _model, f"Predictions of the {_m} model.")
 
@@ -205,8 +209,10 @@ def mdl_weight(spark, sf):
 
 @query()
 def mdl_bench(spark, sf):
-    """Model x strategy grid, scored on val and test."""
-    return models.benchmark(divided(spark, sf).drop("group"), ("logistic", "tree", "perceptron"), ("none", "class_weight", "undersample")).drop("seconds")
+    """All seven models x all six strategies, scored on val and test; few trees each."""
+    few = {m: {"rounds": 2, "rate": 0.3} for m in ("leafwise", "regularised", "histogram")} | {"extra_trees": {"trees": 10}}
+    names = ("leafwise", "regularised", "histogram", "forest", "extra_trees", "logistic", "tree")
+    return models.benchmark(divided(spark, sf).drop("group"), names, tuple(balancing.SAMPLERS), settings=few).drop("seconds")
 
 
 @query()
@@ -216,9 +222,14 @@ def mdl_cv(spark, sf):
 
 @query()
 def mdl_imp(spark, sf):
-    """Feature importances of a fitted tree."""
-    model, _ = models.fit(divided(spark, sf).filter("split = 'train'"), "tree")
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.stages[-1].featureImportances.toArray())], "feature int, importance double")
+    """Importances of a tree and a boosted model (native), a logistic one (coefficients) and a perceptron (permutation)."""
+    r, out = divided(spark, sf), None
+    test = r.filter("split = 'test'").select("id", "y", "features")
+    for name, more in (("tree", {}), ("leafwise", {"rounds": 2}), ("logistic", {}), ("perceptron", {})):
+        model, labels = models.fit(r.filter("split = 'train'"), name, **more)
+        one = models.importances(model, labels, test).select(F.lit(name).alias("model"), "kind", "feature", "importance")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
@@ -244,10 +255,9 @@ def mdl_transfer(spark, sf):
 
 @query()
 def mdl_probe(spark, sf):
-    """How well the group (of four) can be told from the features, above chance."""
-    r = divided(spark, sf).withColumn("y", F.col("group") % 4)
-    pred, _ = models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic")
-    return evaluation.scores(pred).select("accuracy").crossJoin(balancing.majority(r))
+    """How well each block of features, and all of them, tell the groups of a class apart, above chance."""
+    domains = {d: list(range(16 * k, 16 * k + 16)) for k, d in enumerate(("time", "freq", "tf", "spatial"))} | {"all": list(range(64))}
+    return models.probe(divided(spark, sf), "group", domains, least_test=10)
 
 
 _PROBE = """pr AS (SELECT r_name AS dataset, s_nationkey AS class, d.unnest AS domain, 1 + s_nationkey % 5 AS n_groups, 40.0 + s_nationkey AS majority_chance,
@@ -383,23 +393,27 @@ def bal_pipe(spark, sf):
 
 @query()
 def mdl_fitpred(spark, sf):
-    """Metrics of one fit on val and test."""
-    r = divided(spark, sf)
+    """Metrics, AUC and timings of one fit on val and test."""
+    r, began, out = divided(spark, sf), time.time(), None
     model, labels = models.fit(r.filter("split = 'train'"), "tree")
-    out = None
+    took = time.time() - began
     for s in ("val", "test"):
-        row = evaluation.scores(models.predict(model, labels, r.filter(F.col("split") == s))).select(F.lit(s).alias("split"), "*")
+        row = models.assess(model, labels, r.filter(F.col("split") == s)).select(F.lit(s).alias("split"), "*", F.lit(took).alias("fit_seconds"))
         out = row if out is None else out.union(row)
     return out
 
 
 @query()
 def mdl_fssens(spark, sf):
-    """Scores under alternative sampling rates: features of resampled windows."""
-    out = None
-    for step in (1, 2):
-        r = divided(spark, sf).withColumn("features", _every("features", step))
-        row = evaluation.scores(models.fit_predict(r.filter("split = 'train'"), r.filter("split = 'test'"), "logistic")[0]).select(F.lit(step).alias("step"), "*")
+    """Scores under three sampling rates: windows are resampled and their features taken anew at each rate."""
+    out, fs = None, 1000.0
+    for up, down in ((1, 1), (4, 5), (5, 4)):
+        windows = divided(spark, sf).select("id", "y", "split", F.array("features").alias("patch"))
+        patches = extraction.resampled(windows.select(F.col("id").alias("sample_id"), "patch"), up, down)
+        found = extraction.extract(patches, fs * up / down, domains=("time", "freq"))
+        rows = found.select(F.col("sample_id").alias("id"), F.transform(F.concat("time", "freq"), lambda v: v.cast("double")).alias("features")).join(windows.drop("patch"), "id")
+        rows = rows.cache()
+        row = evaluation.scores(models.fit_predict(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "tree")[0]).select(F.lit(fs * up / down).alias("rate"), "*")
         out = row if out is None else out.union(row)
     return out
 
