@@ -162,8 +162,9 @@ def _encode(batches):
 
 def run_columns(vectors: DataFrame) -> DataFrame:
     """(lang, block, source, start, length, n) of the reordered vocabulary: runs of equal counts above zero."""
-    rows = vectors.filter("term is not null").select("lang", "cells", "term")
-    ordered = rows.repartitionByRange("lang", "cells", "term").sortWithinPartitions("lang", "cells", "term").select("lang", "cells")
+    rows = vectors.filter("term is not null").select("lang", "cells", F.slice("cells", 1, 4).alias("first"), F.xxhash64("term").alias("h"))
+    # Ranges are cut by the first counts: a sample of the keys goes to the driver, so they are short.
+    ordered = rows.repartitionByRange("lang", "first", "h").sortWithinPartitions("lang", "cells").select("lang", "cells")
     return ordered.mapInArrow(_encode, "lang string, block long, source string, start long, length long, n long")
 
 
