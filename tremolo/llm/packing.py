@@ -6,8 +6,9 @@
    of weight w has given w * t ids, or all it has, at time t.  Without weights each source weighs its own
    length, and all queues end at the same time.
 3. Inside a group, windows are filled by deficit round-robin: each window adds its share to every
-   source's deficit, the source with the largest deficit is served, deficits carry to the next window.
-   A group begins with the deficits that the groups before it leave: what the schedule owes a source by
+   source's deficit, a round serves every source the whole ids of its deficit, the next rounds one id each to those
+   with the most left, and deficits carry to the next window.  So a source is less than two ids off its share in a
+   full window, and at most ``QUANTUM`` more in the first of a group, while it has ids.  A group begins with the deficits that the groups before it leave: what the schedule owes a source by
    then, less what those groups hold of it.  Both follow from places in the queues, so groups don't wait
    for each other.  Ids that are left at the end of a group become sequences of powers of two, which need
    no padding.
@@ -40,8 +41,8 @@ from .scratch import Scratch, kept
 
 #: Ids of a group, which one task packs.
 GROUP_IDS = 1 << 20
-#: Ids that a source is served at once: pieces are not cut finer than this without need.
-QUANTUM = 256
+#: Ids of a block that is dealt to a group whole: what a group may owe a source.
+QUANTUM = 32
 #: Rows (about 60 bytes each) of the table of queues and input partitions up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_PARTS = 400_000
 
@@ -124,40 +125,58 @@ def sequence_sizes(total: int, window: int) -> list[int]:
     return [window] * (total // window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def takes(amount: np.ndarray, deficit: np.ndarray, rooms: list[int]) -> np.ndarray:
+    """(windows, queues): the ids that each window takes of each queue, whose ``amount`` and first ``deficit`` are given."""
+    left, deficit = amount.astype(np.int64), deficit.astype(float)
+    share = np.maximum(amount - deficit, 0)
+    share = share / max(share.sum(), 1e-9)
+    out = np.zeros((len(rooms), len(amount)), np.int64)
+    for k, room in enumerate(rooms):
+        deficit = deficit + share * room
+        take = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
+        rest = room - int(take.sum())
+        while rest:  # rounds of one id, the most owed first; more at once where queues have run out
+            sign = 1 if rest > 0 else -1
+            able = np.flatnonzero(left > take if sign > 0 else take > 0)
+            able = able[np.argsort(sign * (take[able] - deficit[able]), kind="stable")][: abs(rest)]
+            most = left[able] - take[able] if sign > 0 else take[able]
+            step = np.minimum(most, max(1, abs(rest) // len(able)))
+            take[able] += sign * step
+            rest -= sign * int(step.sum())
+        out[k] = take
+        deficit, left = deficit - take, left - take
+    return out
+
+
 def _fill(window: int, kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["queue", "pos"], kind="stable")
-        names = pdf["queue"].to_numpy()
+        names, blobs = pdf["queue"].to_numpy(), pdf["ids"].to_list()
+        size = np.array([len(x) for x in blobs]) // int(kind[-1])
         edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
-        head, stop = edges[:-1].copy(), edges[1:]  # each queue's next slice and its end
-        ids = [np.frombuffer(x, kind) for x in pdf["ids"]]
-        size = np.array([len(x) for x in ids])
-        done = np.zeros(len(ids), np.int64)
-        amount = np.add.reduceat(size, edges[:-1]).astype(float)
-        total = int(size.sum())
-        share = amount / total
-        deficit = pdf["owed"].to_numpy(float)[head] - pdf["pos"].to_numpy(float)[head]  # what earlier groups still owe
-        doc_id, start, tokens = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(np.int64), pdf["doc_tokens"].to_numpy(np.int64)
-        group, out = int(pdf["grp"].iloc[0]), []
-        for k, room_of in enumerate(sequence_sizes(total, window)):
-            deficit += share * room_of
-            at = 0
-            while at < room_of:
-                q = int(np.argmax(deficit))
-                i = head[q]
-                take = int(min(room_of - at, size[i] - done[i], max(QUANTUM, deficit[q])))
-                part = ids[i][done[i] : done[i] + take]
-                out.append((doc_id[i], start[i] + done[i], take, zlib.crc32(part.astype("<u4").tobytes()), tokens[i], (group << 32) + k, at))
-                done[i] += take
-                at += take
-                deficit[q] -= take
-                if done[i] == size[i]:
-                    head[q] += 1
-                    if head[q] == stop[q]:
-                        deficit[q] = -np.inf
-        res = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        res["doc_id"] = res["doc_id"].astype("Int64")
-        return res
+        amount = np.add.reduceat(size, edges[:-1])
+        owed = pdf["owed"].to_numpy(float)[edges[:-1]] - pdf["pos"].to_numpy(float)[edges[:-1]]  # by earlier groups
+        rooms = sequence_sizes(int(size.sum()), window)
+        taken = takes(amount, owed, rooms)
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]  # window, queue, slice, start in it, length, checksum
+        for q in range(len(edges) - 1):
+            ids = memoryview(np.frombuffer(b"".join(blobs[edges[q] : edges[q + 1]]), kind).astype("<u4").tobytes())
+            windows = np.concatenate([[0], np.cumsum(taken[:, q])])
+            slices = np.concatenate([[0], np.cumsum(size[edges[q] : edges[q + 1]])])
+            cuts = np.union1d(windows, slices)
+            a, b = cuts[:-1], cuts[1:]
+            at = np.searchsorted(slices, a, "right") - 1
+            crc = np.array([zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+            for c, v in zip(cols, (np.searchsorted(windows, a, "right") - 1, np.full(len(a), q), edges[q] + at, a - slices[at], b - a, crc), strict=True):
+                c.append(v)
+        k, q, row, inside, length, crc = (np.concatenate(c) for c in cols)
+        order = np.lexsort((inside, row, q, k))
+        k, row, inside, length, crc = (c[order] for c in (k, row, inside, length, crc))
+        offset = np.cumsum(length) - length - np.concatenate([[0], np.cumsum(rooms)])[k]
+        return pd.DataFrame({
+            "doc_id": pdf["doc_id"].astype("Int64").to_numpy()[row], "start": pdf["start"].to_numpy(np.int64)[row] + inside, "length": length, "ids_crc32": crc,
+            "doc_tokens": pdf["doc_tokens"].to_numpy(np.int64)[row], "sequence_id": (int(pdf["grp"].iloc[0]) << 32) + k, "offset": offset,
+        }).astype({"doc_id": "Int64"})
 
     return run
 
