@@ -380,6 +380,74 @@ def test_long_texts_in_pieces(monkeypatch):
     words._POWERS.clear()
 
 
+def test_language_equals_its_machines(spark, docs):
+    """Predictions over given machines, restated: n-grams counted one by one, then families, then votes of duels with their ties."""
+    import tremolo.llm.language_id as lang
+
+    r = np.random.default_rng(1)
+    names = ["de", "en", "nl", "fr", "es", "fi", "xx"]
+    model, table = lang.Hierarchy(names), {}
+    for yes, no in model.machines():
+        w = np.round(r.normal(size=lang.DIMENSIONS + 1) * 4).astype(np.float32) / 4
+        table[yes, no] = (np.zeros_like(w) if (yes, no) == ("en", "nl") else w, float(r.uniform(0.5, 2)))  # a duel that is always a tie
+    model.take(table)
+
+    def features(text):
+        raw = bytes(text.encode())
+        low = bytearray()
+        for i, c in enumerate(raw):
+            ch = c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32
+            if i and raw[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+                ch += 32
+            if ch != 32 or not low or low[-1] != 32:
+                low.append(ch)
+        x = np.zeros(lang.DIMENSIONS)
+        for k in range(1, 5):
+            for i in range(len(low) - k + 1):
+                g = int.from_bytes(low[i : i + k], "big")
+                if g != 32:
+                    x[((g + k * 0x51ED27) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        x = np.sqrt(x)
+        return x / max(np.linalg.norm(x), 1e-9)
+
+    def margin(x, pair):
+        w, slope = table[pair]
+        m = float(x @ w[:-1] + w[-1])
+        return m, 1 / (1 + np.exp(-np.clip(m * slope, -30, 30)))
+
+    texts = [t for _, t, *_ in ROWS if t and any(map(str.isalpha, t)) and len(t) < 2000]
+    import pyarrow as pa
+
+    got = [(n, p) for _, x in lang._features(pa.array(texts)) for n, p in zip(*model.predict(x), strict=True)]
+    assert len(got) == len(texts)
+    for text, (name, score) in zip(texts, got, strict=True):
+        x = features(text)
+        tops = {f: margin(x, ("/" + f, "*")) for f in model.families}
+        family = max(model.families, key=lambda f: (tops[f][0], [-ord(c) for c in f]))
+        want = tops[family][1] / sum(p for _, p in tops.values())
+        members = [k for k in sorted(names) if lang.family(k) == family]
+        votes, sums, sure = ({k: 0.0 for k in members} for _ in range(3))
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                m, p = margin(x, (a, b))
+                votes[a if m >= 0 else b] += 1
+                sums[a] += m
+                sums[b] -= m
+                sure[a] += p
+                sure[b] += 1 - p
+        best = max(members, key=lambda k: (votes[k], round(sums[k], 4), [-ord(c) for c in k]))
+        if len(members) > 1:
+            want *= sure[best] / (len(members) - 1)
+        assert name == best and abs(score - want) < 1e-4
+
+
+def test_language_repeated_labelled_rows(spark):
+    """Rows that repeat an id and label count once: the machines are the same."""
+    table = [(i, f"{'the and of' if i % 2 else 'der und die'} {i}", "en" if i % 2 else "de", "s", 1) for i in range(60)]
+    one, two = ({r.doc_id: (r.lang_pred, round(r.score, 6)) for r in identify(brute.table(spark, t)).collect()} for t in (table, table + table[:40] + table[:40]))
+    assert one == two
+
+
 def test_language_columns_that_clash(spark):
     t = spark.createDataFrame([(i, "the of and that" if i % 2 else "der die und das", "en" if i % 2 else "de", "a", "b", "c") for i in range(40)], "doc_id long, text string, lang string, _text string, _lang_text string, lang_pred string")
     got = identify(t)
@@ -465,3 +533,14 @@ def test_token_ties_and_unknown():
 def test_registered_once_for_each_number():
     names = list(catalogue.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("old", [False, True])
+def test_exact_hot_digest(spark, old):
+    """One digest over nearly all rows, new or historical."""
+    import tremolo.llm.exact_dedup as exact
+
+    rows = spark.range(0, 30_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("t"), F.col("id"))).otherwise("Hot").alias("text"))
+    digests, groups = exact.exact_groups(rows, F.lit(old), exact.Scratch(spark, "hot"))
+    got = {r.n: r.c for r in groups.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    assert got == {1: 300, 29_700: 1} and digests.count() == 30_000 and groups.filter("n > 1").first()["winner"] == 29_999

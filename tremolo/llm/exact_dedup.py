@@ -2,16 +2,16 @@
 
 Every row's digest is SHA-256 over its whole text with A-Z lower-cased (null: empty text).  The
 historical digests are dealt over shards; each shard gets a minimal perfect hash whose slots hold the
-full digest and the locator of the winner.  New rows look their digest up: a byte-for-byte equal slot
-is a repeat of history, everything else is a nonmember and is grouped separately.
+full digest and the locator of the winner.  New rows are grouped by digest and look it up: a byte-for-byte
+equal slot is a repeat of history and joins its group, everything else is a nonmember, a group apart.
 
 Defined results
 * null text: equal to the empty text.  Null doc_id: smaller than every number.
 * rows that repeat a doc_id: one document each; all rows that carry the winning doc_id are kept.
-* no rows: an empty result.  Extra columns are not read.
+* no rows: an empty result.  Extra columns are not read.  A task holds a very long text three times.
 
-Skew: digests are pre-aggregated inside every Arrow batch before anything is shuffled, so a group of
-copies, however large, reaches its shard as a handful of partial rows.  Digests spread evenly over
+Skew: digests, old and new, are summed inside every Arrow batch and then in every map task before anything
+is shuffled, so a group of copies, however large, is one row a map task there and one row at its shard.  Digests spread evenly over
 shards; the number of shards follows the number of digests, which bounds a task's memory.
 """
 
@@ -170,10 +170,10 @@ def exact_groups(docs: DataFrame, old: Column, scratch: Scratch) -> tuple[DataFr
     shards = max(1, -(-digests.count() // SHARD_KEYS))
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
     index = history.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard int, mph binary, slots binary, winners binary, counts binary")
-    new = partial.filter("not old").drop("old").mapInArrow(_combine, _PARTIAL).withColumn("shard", shard)
+    # One row a new digest before the cogroup, summed in the map tasks first: a hot digest never meets as rows.
+    new = partial.filter("not old").drop("old").mapInArrow(_combine, _PARTIAL).groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n")).withColumn("shard", shard)
     looked = scratch.table(index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_look_up, "digest binary, winner long, n long, member boolean"))
-    others = looked.filter("not member").groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n"))
-    return digests, looked.filter("member").select("digest", "winner", "n").unionByName(others)
+    return digests, looked.select("digest", "winner", "n")
 
 
 def exact_dedup(docs: DataFrame, old: Column | None = None) -> DataFrame:
