@@ -501,6 +501,7 @@ def test_topk(spark):
         want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(sorted(s)[:10])]
     assert brute.same(got, want)
     assert top_k(df.limit(0), F.lit(True)).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"  # what all operators set
 
 
 def test_topk_fewer_than_k(spark):

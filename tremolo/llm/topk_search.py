@@ -156,8 +156,19 @@ def _select(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best candidates of each query.  ``is_query`` reads vec_id."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    spark = scratch.spark
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows are whole blocks
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = scratch.spark.conf.get(setting)
+    scratch.spark.conf.set(setting, "64")  # rows are whole blocks
+    try:
+        best = scratch.table(_best(vectors, is_query, k, scale, scratch))  # at most k rows a query and block, and a few more
+    finally:
+        scratch.spark.conf.set(setting, before)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _best(vectors: DataFrame, is_query: Column, k: int, scale: float, scratch: Scratch) -> DataFrame:
+    """(query_id, vec_id, score): all scores above each query's k-th, and the least ids of those equal to it."""
     lean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = scratch.table(lean.mapInArrow(_quantise(scale), "vec_id long, q binary"))
     blocks = scratch.table(rows.mapInArrow(_pack(CANDIDATES, []), _BLOCK))
@@ -197,6 +208,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         if width == 1:
             break
         width //= BINS
-    best = against(_select(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return against(_select(k), "query_id long, vec_id long, score long")
