@@ -42,7 +42,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150% of all words takes from each document."""
-    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 ORACLES["op7_mixing"] = r"""
