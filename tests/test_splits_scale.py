@@ -58,3 +58,55 @@ def test_stratified_and_decimated(skewed):
         assert sorted(r.id for r in cut.filter((F.col("label") == "c0") & (F.col("split") == name)).collect()) == sub[: round(200 / total * len(sub))]
     assert cut.filter("label is null or label <> 'c0'").count() == len(rows) - total
     assert "WindowGroupLimit" in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_over_ranges(skewed):
+    """Ranks with ties in a label that holds most rows; ranges are what a task sorts."""
+    rows, df = skewed
+    got = {r.id: (r.rank, r.group_size) for r in splits.ranked(df, "label", ["block"]).collect()}
+    for i, _, b, y in rows[::37]:
+        mine = [x[2] for x in rows if x[3] == y]
+        assert got[i] == (sum(x < b for x in mine) + 1, len(mine))
+    assert len(got) == len(rows)
+
+
+def test_random_split_is_a_percent_rank(skewed):
+    rows, df = skewed
+    got = {r.id: r.split for r in splits.random_split(df, "label", ["id"]).collect()}
+    for y in {r[3] for r in rows}:
+        mine = sorted(r[0] for r in rows if r[3] == y)
+        for k, i in enumerate(mine):
+            p = k / max(len(mine) - 1, 1)
+            assert got[i] == ("train" if p < 0.8 else "val" if p < 0.9 else "test")
+
+
+def test_held_out_counts(skewed):
+    rows, df = skewed
+    some = df.filter("recording_id is not null")
+    want = {tuple(r) for r in splits.leave_one_group_out(some, "recording_id").groupBy("held_out", "role").count().collect()}
+    assert {tuple(r) for r in splits.held_out_counts(some, "recording_id").collect()} == want
+
+
+def test_folds_of_many_groups(spark, monkeypatch):
+    """Large groups one by one, thousands of small ones by strata: whole groups, and label shares of folds near a fifth."""
+    monkeypatch.setattr(splits, "GREEDY", 30)
+    monkeypatch.setattr(splits, "STRATUM", 100)
+    r = random.Random(8)
+    rows = []
+    for g in range(4000):
+        y = r.choice(["a", "a", "a", "b", "c"])
+        for _ in range(r.choice([1, 1, 2, 5]) if g > 20 else 300):
+            rows.append((len(rows), f"g{g}", y if r.random() < 0.9 else "b"))
+    seen = []
+    whole = splits._dealt_greedily
+    monkeypatch.setattr(splits, "_dealt_greedily", lambda picked, *a: (seen.append(len({x["g"] for x in picked})), whole(picked, *a))[1])
+    got = splits.grouped_folds(spark.createDataFrame(rows, "id long, g string, y string"), "g", "y", 5).collect()
+    assert seen == [30] and len(got) == len(rows)
+    folds = {}
+    for x in got:
+        folds.setdefault(x.g, set()).add(x.fold)
+    assert all(len(f) == 1 for f in folds.values())
+    for y in "abc":
+        n = sum(x.y == y for x in got)
+        for f in range(5):
+            assert abs(sum(x.y == y and x.fold == f for x in got) / n - 0.2) < 0.04

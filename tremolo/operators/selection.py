@@ -294,14 +294,24 @@ def boruta_decisions(hits: DataFrame, rounds: int, alpha: float = 0.05) -> DataF
     return hits.withColumn("decision", F.when(F.col("score") >= least, "accepted").when(F.col("score") <= most, "rejected").otherwise("tentative"))
 
 
-SCORERS = {"variance": variance, "pearson": pearson, "mutual_info": nearest_information, "relieff": relieff, "mrmr": mrmr, "rfe": rfe, "boruta": boruta, "shap": shapley}
+def importance(df: DataFrame, trees: int = 50, depth: int = 8, seed: int = 42) -> DataFrame:
+    """Impurity importances of a forest: faster than Shapley values, and partial to features with many values."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows = _vectors(_encoded(_bounded(df, None)))
+    return _frame(df, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows).featureImportances.toArray())
+
+
+SCORERS = {"variance": variance, "pearson": pearson, "mutual_info": nearest_information, "relieff": relieff, "mrmr": mrmr, "rfe": rfe, "boruta": boruta, "shap": shapley, "importance": importance}
+#: Those that vote.
+METHODS = ("variance", "pearson", "mutual_info", "relieff", "mrmr", "rfe", "boruta", "shap")
 
 
-def ensemble(df: DataFrame, methods: tuple[str, ...] = ("variance", "pearson", "mutual_info"), top: float = 0.5) -> DataFrame:
-    """(feature, votes, avg_rank, selection_pct): each method selects the best half; ties by feature."""
+def ensemble(df: DataFrame, methods: tuple[str, ...] = ("variance", "pearson", "mutual_info"), top: float = 0.5, settings: dict[str, dict] | None = None) -> DataFrame:
+    """(feature, votes, avg_rank, selection_pct): each method selects the best half; ties by feature.  ``settings``: of a method, by name."""
     scores = None
     for m in methods:
-        s = SCORERS[m](df).select("feature", "score", F.lit(m).alias("method"))
+        s = SCORERS[m](df, **(settings or {}).get(m, {})).select("feature", "score", F.lit(m).alias("method"))
         scores = s if scores is None else scores.unionByName(s)
     return votes(scores, top)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import work_dir
+
 #: Blocks that one window reads.
 BLOCKS_PER_WINDOW = 4
 SPLITS = ("train", "val", "test")
@@ -106,21 +109,40 @@ def decimate(df: DataFrame, caps: Mapping[str, int], order: Sequence[str | Colum
     return sized.filter(~over).unionByName(cut).drop("_total", "_sub", "_cap")
 
 
+def ranked(df: DataFrame, by: str, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` with rank and group_size of each row in its group by ``order``; equal rows share the least rank.
+
+    Rows are cut into ranges of (group, order), which are written once: ranks run inside a range, and a row a group
+    and range says how many rows lie before it.  So no group is sorted in one task.
+    """
+    spark, keys = df.sparkSession, [f"_key{i}" for i in range(len(order))]
+    put = df.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(keys, order, strict=True)}).repartitionByRange(by, *keys).withColumn("_range", F.spark_partition_id())
+    path = f"{work_dir(spark)}/tremolo-ranks-{uuid.uuid4().hex[:12]}"
+    put.write.parquet(path)
+    rows = spark.read.schema(put.schema).parquet(path)
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_by")  # a row a range
+    counts = counts.withColumns({"_before": F.sum("_n").over(w.orderBy("_in")) - F.col("_n"), "group_size": F.sum("_n").over(w)})
+    inside = F.rank().over(Window.partitionBy(by, "_range").orderBy(*keys))
+    rows = rows.withColumn("_rank", inside).join(counts, rows[by].eqNullSafe(counts["_by"]) & (F.col("_range") == F.col("_in")))
+    return rows.withColumn("rank", F.col("_before") + F.col("_rank")).select(*df.columns, "rank", "group_size")
+
+
 def random_split(df: DataFrame, label: str, order: Sequence[str | Column]) -> DataFrame:
     """The leaky counter-example: 80/10/10 at random inside each label."""
-    p = F.percent_rank().over(Window.partitionBy(label).orderBy(*order))
-    return df.withColumn("split", F.when(p < 0.8, "train").when(p < 0.9, "val").otherwise("test"))
+    p = (F.col("rank") - 1) / F.greatest(F.col("group_size") - 1, F.lit(1))
+    return ranked(df, label, order).withColumn("split", F.when(p < 0.8, "train").when(p < 0.9, "val").otherwise("test")).drop("rank", "group_size")
 
 
-def grouped_folds(df: DataFrame, group: str, label: str, n: int = 10) -> DataFrame:
-    """``fold``: whole groups, dealt so that every fold's label counts stay near a share of 1 / n.
+#: Groups, the largest, that are dealt one by one on the driver; the others are dealt in strata, in tasks.
+GREEDY = 10_000
+#: Groups of a stratum that one task numbers.
+STRATUM = 1000
 
-    Groups, the largest first, go to the fold with the lowest cost of squared label shares.  Only one row per
-    (group, label) reaches the driver, as many as there are groups.
-    """
-    rows = df.groupBy(group, label).count().collect()
-    labels = sorted({r[label] for r in rows}, key=str)
-    total = {k: sum(r["count"] for r in rows if r[label] == k) for k in labels}
+
+def _dealt_greedily(rows: list, group: str, label: str, total: dict, n: int) -> tuple[list[tuple], list[dict]]:
+    """(group, fold) of groups given by (group, label, count), and the label counts of the folds: the largest first, to the fold with the lowest cost of squared label shares."""
+    labels = sorted(total, key=str)
     counts: dict = {}
     for r in rows:
         counts.setdefault(r[group], dict.fromkeys(labels, 0))[r[label]] = r["count"]
@@ -134,8 +156,41 @@ def grouped_folds(df: DataFrame, group: str, label: str, n: int = 10) -> DataFra
         where.append((g, best))
         for k in labels:
             load[best][k] += counts[g][k]
+    return where, load
+
+
+def grouped_folds(df: DataFrame, group: str, label: str, n: int = 10) -> DataFrame:
+    """``fold``: whole groups, dealt so that every fold's label counts stay near a share of 1 / n.
+
+    The ``GREEDY`` largest groups are dealt on the driver, one by one.  The others, each no larger than any of those,
+    are numbered inside strata of the same main label and about the same size, and are spread evenly over what the
+    folds lack of that label.
+    """
+    rows = df.groupBy(group, label).count()
+    total = {r[label]: r["sum(count)"] for r in rows.groupBy(label).sum("count").collect()}  # one row a label
+    sizes = rows.groupBy(group).agg(F.max("count").alias("_top"), F.sum("count").alias("_all"), F.max_by(label, F.struct("count", F.xxhash64(label))).alias("_main"))
+    large = sizes.orderBy(F.desc("_top"), F.desc("_all"), F.col(group).cast("string")).limit(GREEDY)
     kind = df.schema[group].dataType.simpleString()
-    return df.join(df.sparkSession.createDataFrame(where, f"`{group}` {kind}, fold int"), group)
+    picked = rows.join(F.broadcast(large.select(F.col(group).alias("_g"))), F.col(group).eqNullSafe(F.col("_g")), "left_semi").collect()  # GREEDY groups
+    where, load = _dealt_greedily(picked, group, label, total, n)
+    dealt = df.sparkSession.createDataFrame(where, f"`{group}` {kind}, fold int")
+    if sizes.count() > GREEDY:
+        rest = sizes.join(F.broadcast(dealt.select(F.col(group).alias("_g"))), F.col(group).eqNullSafe(F.col("_g")), "left_anti")
+        lacks = []
+        for k, t in total.items():
+            lack = [max(t / n - f[k], 0.0) for f in load]
+            ends = [sum(lack[: i + 1]) / max(sum(lack), 1e-9) for i in range(n - 1)]
+            lacks.append((k, ends))
+        ends = df.sparkSession.createDataFrame(lacks, f"_label {df.schema[label].dataType.simpleString()}, _ends array<double>")  # one row a label
+        rest = rest.join(F.broadcast(ends), F.col("_main").eqNullSafe(F.col("_label"))).withColumn("_size", F.floor(F.log(1.25, F.col("_all"))))
+        many = rest.groupBy(F.col("_main").alias("_m"), F.col("_size").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / STRATUM).alias("_parts"))
+        rest = rest.join(many, F.col("_main").eqNullSafe(F.col("_m")) & (F.col("_size") == F.col("_s"))).withColumn("_part", F.pmod(F.xxhash64(group), F.col("_parts")))
+        stratum = Window.partitionBy("_main", "_size", "_part")
+        place = (F.row_number().over(stratum.orderBy(F.xxhash64(F.lit(1), group), group)) - 0.5) / F.count(F.lit(1)).over(stratum)
+        shift = F.pmod(F.xxhash64("_main", "_size", "_part"), F.lit(1 << 20)) / (1 << 20)
+        rest = rest.withColumn("_u", F.pmod(place + shift, F.lit(1.0)))
+        dealt = dealt.unionByName(rest.select(group, F.size(F.filter("_ends", lambda e: e <= F.col("_u"))).alias("fold")))
+    return df.join(dealt, group)
 
 
 def grouped_three_way(df: DataFrame, group: str, label: str, fractions: Sequence[float] = (0.8, 0.1, 0.1), n: int = 10) -> DataFrame:
@@ -154,6 +209,14 @@ def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     return df.crossJoin(held).withColumn("role", F.when(F.col(group) == F.col("held_out"), "test").otherwise("train"))
 
 
+def held_out_counts(df: DataFrame, group: str) -> DataFrame:
+    """(held_out, role, n): the rows of ``leave_one_group_out`` counted, without making them: a group's own rows, and all others."""
+    own = df.groupBy(F.col(group).alias("held_out")).agg(F.count(F.lit(1)).alias("own"))
+    both = own.crossJoin(own.agg(F.sum("own").alias("total")))  # times one row
+    roles = F.explode(F.array(F.struct(F.lit("test").alias("role"), F.col("own").alias("n")), F.struct(F.lit("train").alias("role"), (F.col("total") - F.col("own")).alias("n"))))
+    return both.select("held_out", roles.alias("r")).select("held_out", "r.role", "r.n").filter("n > 0")
+
+
 def split_report(df: DataFrame, group: str, label: str = "label") -> DataFrame:
     """Windows and groups by label and split, with a TOTAL row: one aggregation over grouping sets."""
     named = df.select(F.col(label).cast("string").alias("label"), "split", group)
