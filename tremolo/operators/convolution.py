@@ -2,14 +2,19 @@
 
 In each epoch every partition trains its own copy of the weights on its own rows, and the copies are averaged by
 their numbers of rows (local stochastic gradients).  Only one set of weights, whose size the architecture fixes,
-is broadcast and comes back; rows never leave their partitions.
+is broadcast and comes back; rows never leave their partitions.  Spark puts a partition's rows in a new random order
+for each epoch, and a task takes them as a stream of mini-batches: its memory doesn't grow with its rows.  The weights
+of each epoch can be kept in a folder, from which a later call goes on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,60 +138,98 @@ class Network:
         p[np.arange(len(y)), y] -= 1
         return value, self.backward((p / len(y)).astype(np.float32), kept)
 
-    def train(self, x: np.ndarray, y: np.ndarray, rate: float, batch: int, rng: np.random.Generator) -> None:
-        """One pass over the rows in random order: Adam."""
-        first, second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
-        order = rng.permutation(len(y))
-        for t, lo in enumerate(range(0, len(y), batch), 1):
-            at = order[lo : lo + batch]
-            _, grads = self.loss(x[at], y[at], rng)
+    def train(self, batches: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, rng: np.random.Generator) -> int:
+        """One pass over mini-batches (x, y): Adam.  The number of rows."""
+        first, second, rows = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
+        for t, (x, y) in enumerate(batches, 1):
+            _, grads = self.loss(x, y, rng)
+            rows += len(y)
             for w, g, m, v in zip(self.weights, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= np.float32(rate) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + np.float32(1e-8))
+        return rows
+
+
+def minibatches(batches: Iterable[pa.RecordBatch], shape: tuple, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of ``size`` rows each, the last of what is left, from a stream of Arrow batches; never more than one of both is held."""
+    xs, ys, n = [], [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, size - n)
+            xs.append(_rows(part, shape))
+            ys.append(part.column("label").to_numpy(zero_copy_only=False) - 1)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == size:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, n = [], [], 0
+    if n:
+        yield np.concatenate(xs), np.concatenate(ys)
 
 
 def _rows(b: pa.RecordBatch, shape: tuple) -> np.ndarray:
     return b.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, *shape)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, layers: tuple, shape: tuple[int, int, int], epochs: int = 5, rate: float = 1e-3, batch: int = 16, partitions: int = 4, seed: int = 42) -> DataFrame:
-    """(id, y_true, y_pred) of ``test`` by a network fitted on ``train`` (id, y, features: the numbers of a ``shape``)."""
+def _kept(spark, state: str, epochs: int) -> int:
+    """The epochs whose weights the folder ``state`` holds whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = 0
+    while done < epochs and fs.exists(path(f"{state}/{done + 1}/_SUCCESS")):
+        done += 1
+    return done
+
+
+def fit_predict(
+    train: DataFrame, test: DataFrame, layers: tuple, shape: tuple[int, int, int], epochs: int = 5, rate: float = 1e-3, batch: int = 16, partitions: int | None = None, seed: int = 42, state: str | None = None,
+) -> DataFrame:
+    """(id, y_true, y_pred) of ``test`` by a network fitted on ``train`` (id, y, features: the numbers of a ``shape``).
+
+    ``partitions``: copies that train side by side (the session's parallelism, or fewer for few rows).  ``state``: a
+    folder for the weights of each epoch; epochs that it holds are not run again.
+    """
     spark = train.sparkSession
     labels = sorted(r["y"] for r in train.select(F.col("y").cast("string").alias("y")).distinct().collect())  # one row a class
     net = Network(layers, shape, len(labels), seed)
     rows = train.select("id", F.array_position(F.array(*map(F.lit, labels)), F.col("y").cast("string")).alias("label"), F.col("features").cast("array<float>").alias("features"))
-    rows = rows.repartition(partitions, "id").sortWithinPartitions("id").cache()
-    for epoch in range(epochs):
+    if partitions is None:
+        partitions = max(1, min(spark.sparkContext.defaultParallelism, train.count() // (8 * batch)))
+    rows = rows.repartition(partitions, "id").cache()
+    cuts = np.cumsum([w.size for w in net.weights])[:-1]
+
+    def take(found: DataFrame) -> None:
+        flat = np.frombuffer(b"".join(r["w"] for r in found.orderBy("chunk").collect()), np.float32)  # one set of weights
+        if len(flat):
+            net.weights = [p.reshape(w.shape).copy() for p, w in zip(np.split(flat, cuts), net.weights, strict=True)]
+
+    done = _kept(spark, state, epochs) if state else 0
+    if done:
+        take(spark.read.schema("chunk long, w binary").parquet(f"{state}/{done}"))
+    for epoch in range(done, epochs):
         sent = spark.sparkContext.broadcast(net.weights)
 
         def work(batches, sent=sent, epoch=epoch):
-            xs, ys, ids = [], [], []
-            for b in batches:
-                xs.append(_rows(b, shape))
-                ys.append(b.column("label").to_numpy(zero_copy_only=False) - 1)
-                ids += b.column("id").to_pylist()[:1]
-            if not ids:
-                return
             mine = Network(layers, shape, len(labels))
             mine.weights = [w.copy() for w in sent.value]
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            mine.train(x, y, rate, batch, np.random.default_rng([seed, epoch, abs(int(ids[0]))]))
+            part = TaskContext.get().partitionId()
+            n = mine.train(minibatches(batches, shape, batch), rate, np.random.default_rng([seed, epoch, part]))
             flat = np.concatenate([w.ravel() for w in mine.weights])
-            for k in range(0, len(flat), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([len(y)]), pa.array([flat[k : k + CHUNK].tobytes()], pa.binary())], names=["chunk", "n", "w"])
+            for k in range(0, len(flat) if n else 0, CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([part]), pa.array([n]), pa.array([flat[k : k + CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "n", "w"])
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["n", "w"])  # sums in one order
+            pdf = pdf.sort_values("part")  # sums in one order
             total = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(pdf["n"], pdf["w"], strict=True)) / pdf["n"].sum()
             return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "w": [total.astype(np.float32).tobytes()]})
 
-        copies = rows.mapInArrow(work, "chunk long, n long, w binary")
-        found = copies.groupBy("chunk").applyInPandas(mean, "chunk long, w binary").orderBy("chunk").collect()  # one set of weights
-        flat = np.frombuffer(b"".join(r["w"] for r in found), np.float32)
-        cuts = np.cumsum([w.size for w in net.weights])[:-1]
-        if len(flat):
-            net.weights = [p.reshape(w.shape).copy() for p, w in zip(np.split(flat, cuts), net.weights, strict=True)]
+        shuffled = rows.sortWithinPartitions(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), "id")
+        found = shuffled.mapInArrow(work, "chunk long, part long, n long, w binary").groupBy("chunk").applyInPandas(mean, "chunk long, w binary")
+        if state:
+            found.write.mode("overwrite").parquet(f"{state}/{epoch + 1}")
+            found = spark.read.schema("chunk long, w binary").parquet(f"{state}/{epoch + 1}")
+        take(found)
     rows.unpersist()
     sent = spark.sparkContext.broadcast(net.weights)
 
@@ -194,8 +237,7 @@ def fit_predict(train: DataFrame, test: DataFrame, layers: tuple, shape: tuple[i
         mine = Network(layers, shape, len(labels))
         mine.weights = sent.value
         for b in batches:
-            x = _rows(b, shape)
-            best = np.concatenate([mine.forward(x[k : k + batch])[0].argmax(axis=1) for k in range(0, len(x), batch)]) if len(x) else []
+            best = np.concatenate([mine.forward(_rows(b.slice(k, batch), shape))[0].argmax(axis=1) for k in range(0, b.num_rows, batch)]) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([labels[i] for i in best], pa.string())], names=["id", "y_true", "y_pred"])
 
     return test.select(F.col("id").cast("long").alias("id"), F.col("y").cast("string").alias("y"), F.col("features").cast("array<float>").alias("features")).mapInArrow(predict, "id long, y_true string, y_pred string")
