@@ -217,7 +217,7 @@ def f_glcm(spark, sf):
     """Five properties of the co-occurrence of grey levels at sixteen offsets."""
     def run(x):
         grey = _view(x).grey
-        found = [dsp.texture(dsp.glcm(grey, d, a * np.pi / 4, ft.GREY)) for d, a in ft._GLCM]
+        found = [dsp.texture(dsp.glcm(grey, d, a * np.pi / 4, ft.GREY, counts=True)) for d, a in ft._GLCM]
         return [np.stack([t[p] for t in found], axis=1) for p in ft.GLCM_PROPS]
 
     out = _kernel(spark, sf, ", ".join(f"{p} array<double>" for p in ft.GLCM_PROPS), run)
