@@ -96,11 +96,23 @@ def pending(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return manifest.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
 
 
-def assemble(shards: DataFrame, expected: DataFrame, chunk: str = "chunk") -> DataFrame:
-    """The shards side by side; an error names the least chunk of ``expected`` that no shard holds."""
-    missing = expected.select(chunk).distinct().join(shards.select(chunk).distinct(), chunk, "left_anti").agg(F.min(chunk)).first()[0]
+def assemble(shards: DataFrame, expected: DataFrame, chunk: str = "chunk", rows: str | None = None, key: str = "sample_id") -> DataFrame:
+    """The shards side by side; an error names the least chunk of ``expected`` that no shard holds.
+
+    Also an error: a ``key`` that several rows hold, and a chunk with other than ``rows`` (a column of ``expected``) rows.
+    """
+    held = shards.groupBy(F.col(chunk).alias("_chunk")).agg(F.count(F.lit(1)).alias("_held"))
+    asked = expected.select(chunk, (F.col(rows) if rows else F.lit(None)).cast("long").alias("_asked")).distinct()
+    both = asked.join(held, asked[chunk] == held["_chunk"], "left")
+    off = F.when(F.col("_held") != F.col("_asked"), F.struct(F.col(chunk).alias("c"), F.col("_held").alias("h"), F.col("_asked").alias("a")))
+    missing, wrong = both.agg(F.min(F.when(F.col("_held").isNull(), F.col(chunk))), F.min(off)).first()
     if missing is not None:
         raise ValueError(f"no shard holds chunk {missing}")
+    if wrong is not None:
+        raise ValueError(f"chunk {wrong['c']} has {wrong['h']} rows, not {wrong['a']}")
+    twice = shards.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").agg(F.min(key)).first()[0]
+    if twice is not None:
+        raise ValueError(f"several rows hold {key} {twice}")
     return shards
 
 

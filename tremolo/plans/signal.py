@@ -438,7 +438,7 @@ def x_pipeline(spark, sf):
     some = patches.join(chunks.filter("chunk % 2 = 0"), "sample_id", "left_semi")  # a run that was cut off
     named(some).write.mode("append").partitionBy("chunk").parquet(top)
     named(extraction.pending(patches, done())).write.mode("append").partitionBy("chunk").parquet(top)
-    shards = extraction.assemble(done(), manifest.select(F.col("recording_id").alias("chunk")))
+    shards = extraction.assemble(done(), manifest.groupBy(F.col("recording_id").alias("chunk")).agg(F.count(F.lit(1)).alias("n")), rows="n")
     return extraction.fuse(shards.drop("chunk"), manifest, "block")
 
 
