@@ -66,6 +66,29 @@ def test_substring(docs, none):
     assert substring_dedup(none).count() == 0
 
 
+def test_substring_passages_in_parts(spark, monkeypatch):
+    """A shard whose passages don't fit in one part: what the parts mark is put together."""
+    import random
+
+    import tremolo.llm.substring_dedup as sub
+
+    r = random.Random(5)
+    shared = [brute.prose(r, 30).split() for _ in range(12)]
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(4):
+            p = r.choice(shared)
+            at = r.randrange(10)
+            w += brute.prose(r, 5).split() + p[at : at + r.randint(10, 20)]
+        rows.append((i, " ".join(w), None, None, 1))
+    want = brute.substring(rows)
+    assert sum(n for _, _, n, _ in want) > 500
+    for size in (300, 1 << 24):
+        monkeypatch.setattr(sub, "PART_BYTES", size)
+        assert brute.same(rows_of(substring_dedup(brute.table(spark, rows)), ["doc_id", "n_words", "n_removed", "kept_text"]), want)
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near(docs, k, percent):
     assert brute.same(rows(near_dedup(docs, k, percent), "doc_id", "n_shingles", "component_id", "kept"), brute.near(ROWS, k, percent))

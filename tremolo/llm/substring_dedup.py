@@ -11,12 +11,14 @@ starts in a document with a smaller doc_id; windows are judged on the input.
 4. Documents are dealt over shards.  A shard gets the passages that lead to it, compiles the phrases of
    them that its documents may repeat into Aho-Corasick automata over word numbers (``NODES`` words at a
    time) and streams its documents through them to locate every occurrence.  A hit is an exact equality
-   of words, so a hash collision can't remove anything.
+   of words, so a hash collision can't remove anything.  The passages of a shard go in parts of bounded size, each
+   against all documents of the shard, and what parts mark in a document is put together afterwards.
 
 Defined results
 * null text: no words.  Fewer words than a window: nothing is removed.
 * null doc_id: removes nothing and loses nothing.  Rows that repeat a doc_id don't remove from each other.
 * no rows: an empty result.  Extra columns are not read.
+* a very long text is one value of its shard: as text, and as word numbers of about 40 bytes a word.
 
 Skew: a phrase that a third of all documents share is summed before the shuffle; its passage goes once to
 each shard, not once to each document.
@@ -30,7 +32,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -40,6 +42,8 @@ from .words import gram_hashes, text_slices, word_hashes, word_spans
 ANCHOR = 5
 #: Text bytes of a shard.
 SHARD_BYTES = 8 << 20
+#: Passage bytes that a task takes at once: a shard with more of them is streamed once for each part.
+PART_BYTES = 16 << 20
 #: Words that one automaton holds, over all its phrases (about 100 bytes each).
 NODES = 2_000_000
 #: Rows (about 50 bytes each) up to which a list of ids is broadcast; beyond, it is joined by shuffle.
@@ -224,7 +228,7 @@ def _locate(width: int):
 
 
 def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, th, starts, ends): the runs of words [start, end) that go, for documents that lose any.
+    """(doc_id, th, starts, ends): the runs of words [start, end) that go, for documents that lose any; they may overlap.
 
     ``th`` is xxhash64 of the text: together with doc_id it tells rows that repeat an id apart.
     """
@@ -253,12 +257,16 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
     parts = passages.select("pid", "first", F.explode("grams").alias("gram"))
     routes = windows.join(parts, "gram").filter("doc_id > first").select("pid", shard).distinct()
-    sent = scratch.table(routes.join(passages.drop("grams"), "pid").select("shard", "first", "words"), free=True)
+    sent = routes.join(passages.drop("grams"), "pid").select("shard", "pid", "first", "words")
+    before = F.sum(F.octet_length("words")).over(Window.partitionBy("shard").orderBy("pid", "first")) - F.octet_length("words")
+    sent = scratch.table(sent.withColumn("part", F.floor(before / PART_BYTES).cast("int")).drop("pid"), free=True)
     scratch.drop(windows, recurring)
     streamed = pick(holders.select("doc_id"), "doc_id", "left_semi").select("doc_id", "th", "text", shard)
-    found = streamed.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(_locate(width), "doc_id long, th long, starts array<long>, ends array<long>")
+    streamed = streamed.join(sent.select(F.col("shard").alias("shard"), F.col("part").alias("part")).distinct(), "shard").select("doc_id", "th", "text", "shard", "part")
+    found = streamed.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInPandas(_locate(width), "doc_id long, th long, starts array<long>, ends array<long>")
     whole = copies.select("doc_id", "th", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_words").alias("ends"))
-    return scratch.table(found.unionByName(whole), free=True).dropDuplicates(["doc_id", "th"])
+    found = scratch.table(found.unionByName(whole), free=True).groupBy("doc_id", "th").agg(F.collect_set(F.struct("starts", "ends")).alias("s"))
+    return found.select("doc_id", "th", F.flatten("s.starts").alias("starts"), F.flatten("s.ends").alias("ends"))
 
 
 def _cut(batches):
@@ -270,9 +278,9 @@ def _cut(batches):
             n.append(len(words))
             at = 0
             left: list[bytes] = []
-            for s, e in zip(starts[i] or [], ends[i] or [], strict=True):
+            for s, e in sorted(zip(starts[i] or [], ends[i] or [], strict=True)):  # of several parts: they may overlap
                 left += words[at:s]
-                at = e
+                at = max(at, e)
             left += words[at:]
             gone.append(len(words) - len(left))
             kept.append(b" ".join(left).decode())
