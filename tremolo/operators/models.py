@@ -52,7 +52,15 @@ MODELS = ("leafwise", "regularised", "histogram", "forest", "extra_trees", "logi
 
 def fit(train: DataFrame, name: str, strategy: str = "none", seed: int = 42, **settings):
     """(model, labels): scaler and classifier fitted on the balanced training rows; ``settings`` go to models of ``TREES``."""
-    rows = SAMPLERS[strategy](train)
+    rows = SAMPLERS[strategy](train).cache()
+    try:
+        return _fit(rows, name, seed, **settings)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, name: str, seed: int, **settings):
+    """As ``fit``, over rows that are balanced already."""
     if "weight" in rows.columns and name == "perceptron":
         raise ValueError("a perceptron takes no weights: balance its rows by sampling")
     if name in TREES:
@@ -62,7 +70,7 @@ def fit(train: DataFrame, name: str, strategy: str = "none", seed: int = 42, **s
         rows = rows.withColumn("weight", F.lit(1.0))
     rows = rows.withColumn("y", F.col("y").cast("string")).withColumn("raw", array_to_vector(F.col("features").cast("array<double>")))
     index = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
-    n = len(train.first()["features"])
+    n = len(rows.first()["features"])
     stages = [index, StandardScaler(inputCol="raw", outputCol="vector", withMean=True, withStd=True), build(name, seed, n, len(index.labels))]
     return Pipeline(stages=stages).fit(rows), index.labels
 
@@ -167,11 +175,12 @@ def benchmark(df: DataFrame, names: Iterable[str], strategies: Iterable[str], se
     """
     parts = {s: df.filter(F.col("split") == s).drop("split").cache() for s in ("train", "val", "test")}
     rows, metrics = [], None
-    for name in names:
-        for strategy in strategies:
+    for strategy in strategies:
+        balanced = SAMPLERS[strategy](parts["train"]).cache()  # once for all models
+        for name in names:
             began = time.time()
             try:
-                model, labels = fit(parts["train"], name, strategy, seed, **(settings or {}).get(name, {}))
+                model, labels = _fit(balanced, name, seed, **(settings or {}).get(name, {}))
                 took = time.time() - began
                 for s in ("val", "test"):
                     found = evaluation.scores(predict(model, labels, parts[s]))
@@ -179,6 +188,7 @@ def benchmark(df: DataFrame, names: Iterable[str], strategies: Iterable[str], se
                     rows.append((name, strategy, s, *map(float, found.first()), took, None))
             except Exception as e:  # one combination must not end the grid: its error is the result
                 rows.append((name, strategy, "test", None, time.time() - began, f"{type(e).__name__}: {e}"[:300]))
+        balanced.unpersist()
     for p in parts.values():
         p.unpersist()
     metrics = metrics or []
