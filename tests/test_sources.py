@@ -4,9 +4,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, In
 
 from tremolo.operators import extraction
-from tremolo.sources import files
+from tremolo.sources import files, recordings
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,59 @@ def test_assembled_shards_are_checked(spark):
         extraction.assemble(shards, want((1, 5), (2, 1)), rows="n")
     with pytest.raises(ValueError, match="several rows hold sample_id a"):
         extraction.assemble(shards.union(shards.filter("sample_id = 'a'")), want((1, 3), (2, 1)), rows="n")
+
+
+def test_recordings_in_splits(spark, folder):
+    """Splits of one file and of few bytes give what one split gives; a split holds recordings of one folder."""
+    root, _ = folder
+    whole = sorted(map(tuple, recordings.scan(spark, root, ("folder", "stem", "annotation")).collect()))
+    few = recordings.scan(spark, root, ("folder", "stem", "annotation"), splitFiles="1")
+    assert few.rdd.getNumPartitions() == 8 and sorted(map(tuple, few.collect())) == whole
+    assert recordings.scan(spark, root, ("folder", "mask"), splitBytes="1").rdd.getNumPartitions() == 8
+    assert recordings.scan(spark, root, ("folder",)).rdd.getNumPartitions() == 2
+
+
+def _reader(root, columns="folder string, mask array<array<boolean>>", **more):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return recordings.PruningReader(_parse_datatype_string(columns), {"path": root, **more})
+
+
+def test_filters_prune_folders(spark, folder):
+    root, _ = folder
+    r = _reader(root)
+    rest = [EqualTo(("stem",), "rec.1"), In(("folder",), ("walk", "run"))]
+    assert list(r.pushFilters(rest)) == rest[:1] and {s.path.rsplit("/", 1)[-1] for s in r.partitions()} == {"walk"}
+    assert list(r.pushFilters([EqualTo(("folder",), "dig.deep")])) == [] and [s.stems for s in r.partitions()] == [[]]
+    assert {s.path.rsplit("/", 1)[-1] for s in _reader(root, folders='["dig.deep"]').partitions()} == {"dig.deep"}
+    wanted = lambda: [r.stem for r in recordings.scan(spark, root, ("folder", "stem")).filter("folder = 'walk' and stem > 'rec.2'").collect()]
+    assert wanted() == ["rec.4"]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    try:
+        assert wanted() == ["rec.4"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_recordings_say_what_is_wrong(spark, folder, tmp_path):
+    root, _ = folder
+    with pytest.raises(ValueError, match="no column sound"):
+        _reader(root, "sound string")
+    with pytest.raises(ValueError, match="masks are .npy"):
+        _reader(root, data="npy")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.npz").write_bytes(b"no archive")
+    np.save(tmp_path / "a" / "x.npy", np.ones((1, 1), bool))
+    top = f"file://{tmp_path}"
+    assert recordings.scan(spark, top, ("stem", "mask")).collect()[0]["mask"] == [[True]]  # data isn't opened
+    with pytest.raises(Exception, match="a/x.npz holds no data"):
+        recordings.scan(spark, top).collect()
+
+
+def test_stored_recordings_come_back(spark, tmp_path):
+    top = f"file://{tmp_path}/r"
+    rows = [("a", "x.1", [[1.0, 2.0]], [[True], [False]], "{}"), ("a", "y", [[3.0]], None, None), ("b", "x.1", [[4.0]], [[True]], None)]
+    df = spark.createDataFrame(rows, "folder string, stem string, data array<array<double>>, mask array<array<boolean>>, annotation string")
+    assert recordings.store(df, top) == 3 and recordings.store(df, top) == 3 and recordings.store(df.limit(0), top) == 0
+    got = sorted(map(tuple, recordings.scan(spark, top).collect()))
+    assert got == [("a", "x.1", True, [[1.0, 2.0]], [[True], [False]], "{}"), ("b", "x.1", False, [[4.0]], [[True]], None)]

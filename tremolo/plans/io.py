@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources import recordings as rec
 from .registry import query
 from .tables import GRID, RECORDS, SAMPLES, WINDOWS, grid, read, records, signals, windows
 
@@ -162,6 +163,38 @@ def src_curves(spark, sf):
     return points.select("path", "curve", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
+_RECORDINGS = SAMPLES + """, f AS (SELECT vec_id, 'c' || label AS folder, 'rec.' || vec_id AS stem, sum(v) AS total, count(*) FILTER (v > 0) AS cells FROM v WHERE vec_id % 10 <> 3 GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_RECORDINGS} SELECT folder, stem, vec_id % 2 = 1 AS has_json, round(total, 6) AS total, cells, CASE WHEN vec_id % 2 = 1 THEN '{{"id":' || vec_id || '}}' END AS annotation FROM f""")
+def src_recordings(spark, sf):
+    """Windows as files of recordings, some without a mask or an annotation, read by the data source of recordings."""
+    row = lambda wide: F.transform(F.sequence(F.lit(0), F.lit(64 // wide - 1)), lambda k: F.slice("x", k * wide + 1, F.lit(wide)))
+    r = signals(spark, sf).select(
+        F.concat(F.lit("c"), F.col("label").cast("string")).alias("folder"), F.concat(F.lit("rec."), F.col("vec_id").cast("string")).alias("stem"), row(16).alias("data"),
+        F.when(F.col("vec_id") % 10 != 3, F.transform(row(4), lambda b: F.transform(b, lambda v: v > 0))).alias("mask"),
+        F.when(F.col("vec_id") % 2 == 1, F.to_json(F.struct(F.col("vec_id").alias("id")))).alias("annotation"),
+    )
+    top = _scratch(spark)
+    rec.store(r, top)
+    total = F.aggregate(F.flatten("data"), F.lit(0.0), lambda a, v: a + v)
+    cells = F.size(F.filter(F.flatten("mask"), lambda v: v)).cast("long")
+    return rec.scan(spark, top).select("folder", "stem", "has_json", F.round(total, 6).alias("total"), cells.alias("cells"), "annotation")
+
+
+@query(f"WITH {_RECORDINGS} SELECT folder, count(*) AS n, CAST(sum(cells) AS BIGINT) AS cells FROM f WHERE folder IN ('c1', 'c4') GROUP BY 1")
+def src_recpruned(spark, sf):
+    """True cells of the masks of two classes: other folders aren't listed, data and annotations not opened."""
+    r = signals(spark, sf).select(
+        F.concat(F.lit("c"), F.col("label").cast("string")).alias("folder"), F.concat(F.lit("rec."), F.col("vec_id").cast("string")).alias("stem"), F.array("x").alias("data"),
+        F.when(F.col("vec_id") % 10 != 3, F.array(F.transform("x", lambda v: v > 0))).alias("mask"), F.lit(None).cast("string").alias("annotation"),
+    )
+    top = _scratch(spark)
+    rec.store(r, top)
+    masks = rec.scan(spark, top, ("folder", "mask"), folders=["c1", "c4"])
+    return masks.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.filter(F.flatten("mask"), lambda v: v))).alias("cells"))
+
+
 @query()
 def src_env(spark, sf):
     """Versions of what runs."""

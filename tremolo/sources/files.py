@@ -43,34 +43,10 @@ def pair(files: DataFrame, data: str = "h5") -> DataFrame:
 
 
 def recordings(spark: SparkSession, root: str, data: str = "npz", entry: str = "data", columns: tuple[str, ...] = ("data", "mask", "annotation")) -> DataFrame:
-    """(folder, stem, has_json, then ``columns``) of all recordings below a folder that have a mask.
-
-    A recording is <folder>/<stem>.<data> (channels x samples under ``entry``), its mask <stem>.npy (blocks x loci) and
-    perhaps <stem>.json.  The listing comes first and reads no content; then a scan, whose splits Spark plans, reads
-    the files of the kinds that ``columns`` ask for, and one task decodes a file.
-    """
-    stem, kind = F.regexp_extract("name", r"^(.*)\.\w+$", 1).alias("stem"), F.lower(F.regexp_extract("name", r"\.(\w+)$", 1)).alias("kind")
-    listed = listing(spark, root).select("path", "folder", stem, kind)
-    out = pair(listed, data)
-    readers = {
-        "data": (data, "array<array<double>>", lambda c: (lambda held: held[entry] if hasattr(held, "files") else held)(decode_npy(c)).astype(float).tolist()),
-        "mask": ("npy", "array<array<boolean>>", lambda c: decode_npy(c).astype(bool).tolist()),
-        "annotation": ("json", "string", lambda c: c.decode()),
-    }
-    for name in columns:
-        of, kind_of, decode = readers[name]
-        held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{of}").load(root).select("path", "content")
-        found = listed.filter(F.col("kind") == of).join(out.select("folder", "stem"), ["folder", "stem"], "left_semi").join(held, "path")
-
-        def run(batches, decode=decode, name=name):
-            for b in batches:
-                for i, content in enumerate(b.column("content")):  # a file at a time
-                    value = pa.array([decode(content.as_py())])
-                    yield pa.RecordBatch.from_arrays([b.column("folder").slice(i, 1), b.column("stem").slice(i, 1), value], names=["folder", "stem", name])
-
-        decoded = found.select("folder", "stem", "content").mapInArrow(run, f"folder string, stem string, {name} {kind_of}")
-        out = out.join(decoded, ["folder", "stem"], "left")
-    return out
+    """(folder, stem, has_json, then ``columns``) of all recordings below a folder that have a mask, by the data source."""
+    from .recordings import scan
+
+    return scan(spark, root, ("folder", "stem", "has_json", *columns), data=data, entry=entry)
 
 
 def write_shards(df: DataFrame, path: str, by: list[str]) -> None:
