@@ -1,4 +1,7 @@
-"""Input transforms of the baseline networks: redundant spectra, wavelet coefficients, mel cepstra."""
+"""Input transforms of the baseline networks: redundant spectra, wavelet coefficients, mel cepstra.
+
+The last axis of an argument holds samples, all axes before it are a batch.
+"""
 
 from __future__ import annotations
 
@@ -17,16 +20,16 @@ MEL_HZ, MEL_BREAK, MEL_STEP = 200.0 / 3.0, 1000.0, np.log(6.4) / 27.0
 
 
 def redundant_spectrum(x: np.ndarray, fs: float) -> np.ndarray:
-    """Log magnitudes of the zero-padded spectrum about their mean, the first bins."""
-    log = np.log10(np.abs(np.fft.rfft(x, REDUNDANCY * len(x))).astype(np.float32) + dsp.EPS)
-    out = np.zeros(BINS, np.float32)
-    part = (log - log.mean())[:BINS]
-    out[: len(part)] = part
+    """Log magnitudes of the zero-padded spectrum about their mean, the first bins (zeros where there are fewer)."""
+    log = np.log10(np.abs(np.fft.rfft(x, REDUNDANCY * x.shape[-1])) + dsp.EPS)
+    part = (log - log.mean(axis=-1, keepdims=True))[..., :BINS]
+    out = np.zeros((*part.shape[:-1], BINS), np.float32)
+    out[..., : part.shape[-1]] = part
     return out
 
 
 def wavelet_coefficients(x: np.ndarray, fs: float) -> np.ndarray:
-    return np.concatenate(dsp.wavedec(x, WAVELET_LEVELS)).astype(np.float32)
+    return np.concatenate(dsp.wavedec(x, WAVELET_LEVELS), axis=-1).astype(np.float32)
 
 
 @lru_cache(maxsize=8)
@@ -54,14 +57,15 @@ def mel_cepstrum(x: np.ndarray, fs: float) -> np.ndarray:
     """Cosine transform of log mel power, frame by frame, flattened."""
     _, z = dsp.stft(x, fs, CEPSTRUM_FFT, CEPSTRUM_HOP)
     power = np.abs(z) ** 2
-    log = np.log(mel_bank(2 * CEPSTRA, 2 * (power.shape[1] - 1), fs) @ power.T + 1e-10)
-    return (cosines(2 * CEPSTRA, CEPSTRA) @ log).astype(np.float32).ravel()
+    log = np.log(mel_bank(2 * CEPSTRA, 2 * (power.shape[-1] - 1), fs) @ power.swapaxes(-1, -2) + 1e-10)
+    out = cosines(2 * CEPSTRA, CEPSTRA) @ log
+    return out.astype(np.float32).reshape(*out.shape[:-2], -1)
 
 
 def record_image(record: np.ndarray) -> np.ndarray:
-    """A record scaled to whole numbers from 0 to 255; a flat one is 0."""
-    lo, span = record.min(), np.ptp(record)
-    return np.round((record - lo) / span * 255) if span else np.zeros_like(record, float)
+    """Records scaled to whole numbers from 0 to 255; a flat one is 0."""
+    lo, span = record.min(axis=-1, keepdims=True), np.ptp(record, axis=-1, keepdims=True)
+    return np.where(span > 0, np.round((record - lo) / np.where(span > 0, span, 1) * 255), 0.0)
 
 
 TRANSFORMS = {"rdft": redundant_spectrum, "dwt": wavelet_coefficients, "mfcc": mel_cepstrum}

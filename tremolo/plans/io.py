@@ -57,13 +57,14 @@ def src_h5attr(spark, sf):
     return files.attributes(content, ("vendor",), ("samples",)).withColumnRenamed("path", "recording")
 
 
-@query("SELECT vec_id, 28 AS width FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding[1:28]) AS INT) AS width, round(list_sum(list_transform(embedding[1:28], lambda v: v::DOUBLE)), 6) AS total FROM embeddings")
 def src_loaddom(spark, sf):
     """One domain column of a written feature table: the scan reads that column only."""
     path = _scratch(spark)
     e = read(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 28).alias("time"), F.slice("embedding", 29, 36).alias("rest"))
     e.write.parquet(path)
-    return spark.read.parquet(path).select("vec_id", F.size("time").alias("width"))
+    total = F.aggregate(F.col("time").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
+    return spark.read.parquet(path).select("vec_id", F.size("time").alias("width"), F.round(total, 6).alias("total"))
 
 
 @query(f"WITH {SAMPLES} SELECT vec_id, CAST(label AS INT) AS label, round(sum(v), 6) AS total FROM v GROUP BY 1, 2")
@@ -117,13 +118,14 @@ def jn_container(spark, sf):
     return want.join(F.broadcast(have), "table", "left").na.fill(False, ["there"])
 
 
-@query("SELECT 16 AS windows, true AS centred, true AS unit, true AS tails")
+_EVEN = "((('0x' || substr(md5({salt} || ':' || vec_id || ':' || i), 1, 13))::BIGINT + 0.5) / 4503599627370496)"
+
+
+@query(f"WITH {SAMPLES} SELECT vec_id, i, round(sqrt(-2 * ln({_EVEN.format(salt=1)})) * cos(2 * pi() * {_EVEN.format(salt=2)}), 6) + 0.0 AS v FROM v")
 def src_synth(spark, sf):
-    """Synthetic patches of standard noise, the same in every run: Box-Muller over hashes, and whether mean, spread and tails are those of a normal."""
-    x = F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: files.noise(F.col("id"), i))
-    v = spark.range(16).select(F.col("id").alias("sample_id"), F.explode(x).alias("v"))
-    beyond = F.avg((F.abs("v") > 1.959964).cast("double"))
-    return v.agg(F.countDistinct("sample_id").cast("int").alias("windows"), (F.abs(F.avg("v")) < 0.02).alias("centred"), (F.abs(F.stddev_pop("v") - 1) < 0.02).alias("unit"), (F.abs(beyond - 0.05) < 0.005).alias("tails"))
+    """A synthetic patch of standard noise in the shape of each window, the same in every run: Box-Muller over digests."""
+    x = F.transform("x", lambda v, i: files.noise(F.col("vec_id"), i))
+    return signals(spark, sf).select("vec_id", F.posexplode(x).alias("i", "v")).select("vec_id", "i", (F.round("v", 6) + 0.0).alias("v"))
 
 
 def _npy(spark, sf, make):
@@ -197,8 +199,12 @@ def src_recpruned(spark, sf):
 
 @query()
 def src_env(spark, sf):
-    """Versions of what runs."""
-    return files.environment(spark)
+    """The manifest of a run: versions of what runs, and rows and columns of each table that it reads."""
+    out = files.environment(spark)
+    for path in files.listing(spark, sf, "*.parquet").select("name").orderBy("name").collect():  # one row a table
+        t = spark.read.parquet(f"{sf}/{path['name']}")
+        out = out.unionByName(t.agg(F.concat_ws(" x ", F.count(F.lit(1)), F.lit(len(t.columns))).alias("version")).select(F.lit(path["name"]).alias("component"), "version"))
+    return out
 
 
 @query(f"WITH {RECORDS} SELECT official_split, count(*) AS count FROM r WHERE session_id IN (SELECT session_id FROM r GROUP BY 1 HAVING count(DISTINCT official_split) > 1) GROUP BY 1")

@@ -421,12 +421,12 @@ def mdl_fssens(spark, sf):
 
 
 def _images(spark, sf, make):
-    """(train, test) rows whose features are ``make`` of a window."""
+    """(train, test) rows whose features are ``make`` of their windows (a batch, a row each)."""
     def run(batches):
         for b in batches:
             x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             for k in range(0, b.num_rows, 64):  # images are large: few at a time
-                out = pa.array([np.asarray(make(v), np.float32).ravel() for v in x[k : k + 64]], pa.list_(pa.float32()))
+                out = pa.array(list(np.asarray(make(x[k : k + 64]), np.float32)), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(k, 64), b.column("y").slice(k, 64), out], names=["id", "y", "features"])
 
     r = labelled(spark, sf).select("id", "y", "features").mapInArrow(run, "id long, y int, features array<float>")
@@ -440,10 +440,10 @@ def _network(name: str, layers: tuple, make, shape: tuple, epochs: int, doc: str
 #: Samples that a window is repeated to before its cepstra: four hops and a frame.
 _LONG = 4096
 _spectrum = lambda x: baselines.redundant_spectrum(x, 10_000.0)
-_wavelet = lambda x: baselines.wavelet_coefficients(np.resize(x, 512), 10_000.0)
-_cepstra = lambda x: baselines.mel_cepstrum(np.resize(x, _LONG), 10_000.0)
+_wavelet = lambda x: baselines.wavelet_coefficients(np.tile(x, 512 // x.shape[1]), 10_000.0)
+_cepstra = lambda x: baselines.mel_cepstrum(np.tile(x, _LONG // x.shape[1]), 10_000.0)
 _network("mdl_cnn1d", convolution.DAS_CNN, _spectrum, (1, 2048, 1), 2, "The one-dimensional network over redundant spectra; two passes over the rows.")
 _network("mdl_cnn_tom", convolution.TOMASOV_CNN, _spectrum, (1, 2048, 1), 2, "Its form with 256 dense units; two passes.")
-_network("mdl_cnn_dwt", convolution.TOMASOV_CNN, _wavelet, (1, _wavelet(np.zeros(64)).size, 1), 2, "The same over wavelet coefficients of windows repeated to 512 samples; two passes.")
-_network("mdl_cnn_mel", convolution.TOMASOV_CNN, _cepstra, (1, _cepstra(np.zeros(64)).size, 1), 2, "The same over mel cepstra of windows repeated to 4,096 samples; two passes.")
-_network("mdl_cnn_cao", convolution.CAO_CNN, lambda x: baselines.record_image(np.resize(x, 120_000)), (1, 10_000, 12), 3, "The image network over scaled records of 10,000 samples x 12 channels; three passes.")
+_network("mdl_cnn_dwt", convolution.TOMASOV_CNN, _wavelet, (1, _wavelet(np.zeros((1, 64))).size, 1), 2, "The same over wavelet coefficients of windows repeated to 512 samples; two passes.")
+_network("mdl_cnn_mel", convolution.TOMASOV_CNN, _cepstra, (1, _cepstra(np.zeros((1, 64))).size, 1), 2, "The same over mel cepstra of windows repeated to 4,096 samples; two passes.")
+_network("mdl_cnn_cao", convolution.CAO_CNN, lambda x: baselines.record_image(np.tile(x, 120_000 // x.shape[1])), (1, 10_000, 12), 3, "The image network over scaled records of 10,000 samples x 12 channels; three passes.")

@@ -17,7 +17,7 @@ from ..functions.features import SIZES
 from ..operators import extraction
 from ..sources.files import work_dir
 from .registry import query
-from .tables import SAMPLES, blocks, samples, signals
+from .tables import SAMPLES, blocks, read, samples, signals
 
 EPS = 1e-12
 
@@ -294,7 +294,8 @@ def f_san(spark, sf):
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round(sum(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM v")
 def f_conv5(spark, sf):
-    return _each(spark, sf, "i", "smooth", lambda x: [np.convolve(row, np.full(5, 0.2), "same") for row in x])
+    """Mean of five samples, zeros beyond the ends."""
+    return _each(spark, sf, "i", "smooth", lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (2, 2))), 5, axis=1).mean(axis=2))
 
 
 @query(f"WITH {SAMPLES} SELECT vec_id, i, round_even((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 255, 0) AS g FROM v WINDOW w AS (PARTITION BY vec_id)")
@@ -363,52 +364,106 @@ def f_irfft(spark, sf):
     return _each(spark, sf, "m", "cepstral", lambda x: np.fft.irfft(np.log(_mag(x) + EPS), x.shape[1])[:, 1:9])
 
 
-@query("SELECT k, round(k * 1000.0 / 64, 6) AS hz FROM range(0, 33) t(k)")
+@query("WITH k AS (SELECT vec_id, len(embedding) AS n, unnest(range(0, len(embedding) // 2 + 1)) AS k FROM embeddings) SELECT vec_id, CAST(k AS INT) AS k, round(k * 1000.0 / n, 6) AS hz FROM k")
 def f_freqs(spark, sf):
-    """Frequencies of the bins of a 64-sample window at 1 kHz."""
-    return spark.range(33).select(F.col("id").alias("k"), _r(F.col("id") * 1000.0 / 64).alias("hz"))
+    """Frequencies of the bins of each window at 1 kHz."""
+    n = F.size("x")
+    bins = signals(spark, sf).select("vec_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor(n / 2).cast("int"))).alias("k"))
+    return bins.select("vec_id", "k", _r(F.col("k") * 1000.0 / F.col("n")).alias("hz"))
 
 
 # ---------------------------------------------------------------- filters and baseline transforms
-@query()
+def _recursion(name: str, source: str, fs: float) -> str:
+    """SQL of the filter's run over ``source`` (id, t from 0, v), from the steady state of the first sample: id, t, y."""
+    sections = dsp.bandpass(fs).tolist()
+    states = [f"{s}{k}" for k in range(len(sections)) for s in "pq"]
+    begin = [f"{-sections[0][0]!r} * v" if k < 2 else "0.0::DOUBLE" for k in range(len(states))]
+    step, v = [], "i.v"
+    for k, (g, a1, a2) in enumerate(sections):
+        step += [f"{g!r} * {v} + {{p{k}}} AS y{k}", f"{{q{k}}} - {a1!r} * y{k} AS p{k}_", f"{-g!r} * {v} - {a2!r} * y{k} AS q{k}_"]
+        v = f"y{k}"
+    step = ", ".join(step)
+    here = lambda text, values: text.format(**dict(zip(states, values, strict=True)))
+    out = ", ".join(f"{s}_" for s in states)
+    first = f"SELECT id, t, {v} AS y, {out} FROM (SELECT i.id, i.t, {here(step, [f'b.{s}' for s in states])} FROM {source} i JOIN (SELECT id, {', '.join(f'{e} AS {s}' for e, s in zip(begin, states, strict=True))} FROM {source} WHERE t = 0) b ON b.id = i.id WHERE i.t = 0)"
+    more = f"SELECT id, t, {v} AS y, {out} FROM (SELECT i.id, i.t, {here(step, [f'r.{s}_' for s in states])} FROM {name} r JOIN {source} i ON i.id = r.id AND i.t = r.t + 1)"
+    return f"{name} AS ({first} UNION ALL {more})"
+
+
+def _prepared(source: str, n: int, fs: float) -> str:
+    """SQL of rows without mean, band-passed forwards and backwards from odd extensions, with unit spread: z (id, i, y)."""
+    edge = 27
+    return f"""c AS (SELECT id, i, v - avg(v) OVER (PARTITION BY id) AS v FROM {source}), ends AS (SELECT id, max(v) FILTER (i = 0) AS a, max(v) FILTER (i = {n - 1}) AS b FROM c GROUP BY 1),
+e AS (SELECT id, i + {edge} AS t, v FROM c UNION ALL SELECT id, {edge} - i, 2 * a - v FROM c JOIN ends USING (id) WHERE i BETWEEN 1 AND {edge} UNION ALL SELECT id, {edge + 2 * (n - 1)} - i, 2 * b - v FROM c JOIN ends USING (id) WHERE i BETWEEN {n - 1 - edge} AND {n - 2}),
+{_recursion("fw", "e", fs)}, back AS (SELECT id, {n + 2 * edge - 1} - t AS t, y AS v FROM fw), {_recursion("bw", "back", fs)},
+y AS (SELECT id, {n + edge - 1} - t AS i, y FROM bw WHERE t BETWEEN {edge} AND {n + edge - 1}),
+z AS (SELECT id, CAST(i AS INT) AS i, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM y WINDOW w AS (PARTITION BY id))"""
+
+
+@query(f"WITH RECURSIVE {SAMPLES}, s AS (SELECT vec_id AS id, i, v FROM v), {_prepared('s', 64, 10_000.0)} SELECT id AS vec_id, i, round(y, 6) + 0.0 AS y FROM z")
 def f_pre(spark, sf):
     """Band-passed, scaled windows."""
-    return _kernel(spark, sf, "y array<double>", lambda x: [dsp.preprocess(x, 10_000.0)])
+    out = _kernel(spark, sf, "y array<double>", lambda x: [dsp.preprocess(x, 10_000.0)])
+    return out.select("vec_id", F.posexplode("y").alias("i", "y")).select("vec_id", "i", (_r("y") + 0.0).alias("y"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SAMPLES}, s AS (SELECT vec_id * 2 + i // 32 AS id, i % 32 AS i, v FROM v), {_prepared('s', 32, 10_000.0)} SELECT id // 2 AS vec_id, CAST(id % 2 AS INT) AS channel, i, round(y, 6) + 0.0 AS y FROM z")
 def f_prep(spark, sf):
-    """Channels of a patch, each without mean, band-passed and scaled: all samples, channel after channel."""
-    def run(x):
-        rows = np.tile(x, 32).reshape(len(x) * 4, -1)
-        return [dsp.preprocess(rows, 10_000.0).reshape(len(x), -1)]
+    """Channels of patches of 2 x 32 samples, each without mean, band-passed and scaled."""
+    out = _kernel(spark, sf, "y array<double>", lambda x: [dsp.preprocess(x.reshape(-1, 32), 10_000.0).reshape(len(x), -1)])
+    at = out.select("vec_id", F.posexplode("y").alias("at", "y"))
+    return at.select("vec_id", F.floor(F.col("at") / 32).cast("int").alias("channel"), (F.col("at") % 32).alias("i"), (_r("y") + 0.0).alias("y"))
 
-    return _kernel(spark, sf, "y array<double>", run)
 
-
-@query()
+@query(f"""WITH {SAMPLES}, f AS (SELECT vec_id, k, log10(sqrt(pow(sum(v * cos(2 * pi() * k * i / 384)), 2) + pow(sum(v * sin(2 * pi() * k * i / 384)), 2)) + 1e-12) AS m FROM v, range(0, 193) t(k) GROUP BY 1, 2),
+d AS (SELECT vec_id, k, m - avg(m) OVER (PARTITION BY vec_id) AS d FROM f) SELECT vec_id, CAST(k AS INT) AS k, round(d::FLOAT::DOUBLE, 4) + 0.0 AS level FROM d""")
 def f_rdft(spark, sf):
-    """Redundant spectrum of the baseline network, of windows tiled to 2,048 samples."""
-    return _kernel(spark, sf, "y array<double>", lambda x: [[baselines.redundant_spectrum(np.tile(r, 32), 10_000.0) for r in x]])
+    """Redundant spectrum of the baseline network: the bins that a window of 64 samples fills."""
+    levels = _each(spark, sf, "k", "level", lambda x: baselines.redundant_spectrum(x, 10_000.0)[:, : 3 * x.shape[1] + 1], 4)
+    return levels.withColumn("level", F.col("level") + 0.0)
 
 
-@query()
+@query(f"""WITH {_START}, {_level('l1', 'n0', 64)}, k1 AS (SELECT * FROM l1 WHERE node = 'a'), {_level('l2', 'k1', 35)}, k2 AS (SELECT * FROM l2 WHERE node = 'aa'), {_level('l3', 'k2', 21)},
+o AS (SELECT vec_id, i + CASE node WHEN 'aaa' THEN 0 ELSE 14 END AS i, v FROM l3 UNION ALL SELECT vec_id, i + 28, v FROM l2 WHERE node = 'ad' UNION ALL SELECT vec_id, i + 49, v FROM l1 WHERE node = 'd')
+SELECT vec_id, CAST(i AS INT) AS i, round(v::FLOAT::DOUBLE, 4) + 0.0 AS v FROM o""")
 def f_dwt3(spark, sf):
-    """Three wavelet levels, concatenated."""
-    return _kernel(spark, sf, "y array<double>", lambda x: [[baselines.wavelet_coefficients(np.tile(r, 32), 10_000.0) for r in x]])
+    """Three wavelet levels, concatenated: the last approximation, then details from the last level on."""
+    return _each(spark, sf, "i", "v", lambda x: baselines.wavelet_coefficients(x, 10_000.0), 4).withColumn("v", F.col("v") + 0.0)
 
 
-@query()
+# The mel scale of the oracle: linear below 1 kHz (mel 15), then equal ratios.
+_MEL = """m AS (SELECT j, (15 + ln(5) / (ln(6.4) / 27)) * j / 81 AS mel FROM range(0, 82) t(j)), h AS (SELECT j, CASE WHEN mel < 15 THEN mel * 200.0 / 3 ELSE 1000 * exp(ln(6.4) / 27 * (mel - 15)) END AS hz FROM m),
+tri AS (SELECT l.j AS f, k, greatest(0, least((k * 156.25 - l.hz) / greatest(c.hz - l.hz, 1e-9), (r.hz - k * 156.25) / greatest(r.hz - c.hz, 1e-9))) AS t FROM h l JOIN h c ON c.j = l.j + 1 JOIN h r ON r.j = l.j + 2, range(0, 33) b(k)),
+bank AS (SELECT f, k, t / CASE WHEN sum(t) OVER (PARTITION BY f) > 0 THEN sum(t) OVER (PARTITION BY f) ELSE 1 END AS t FROM tri)"""
+
+
+@query(f"""WITH {SAMPLES}, {_MEL}, u AS (SELECT vec_id, i, v * (0.5 - 0.5 * cos(2 * pi() * i / 64)) / 32 AS v FROM v),
+p AS (SELECT vec_id, k, pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2) AS p FROM u, range(0, 33) t(k) GROUP BY 1, 2),
+g AS (SELECT vec_id, f, ln(sum(t * p) + 1e-10) AS g FROM p JOIN bank USING (k) GROUP BY 1, 2), o AS (SELECT vec_id, c, sum(cos(pi() * c * (2 * f + 1) / 160) * g) * sqrt(2.0 / 80) / CASE c WHEN 0 THEN sqrt(2) ELSE 1 END AS y FROM g, range(0, 40) t(c) GROUP BY 1, 2)
+SELECT vec_id, CAST(c AS INT) AS c, round(y::FLOAT::DOUBLE, 3) + 0.0 AS y FROM o""")
 def f_mfcc(spark, sf):
-    """Mel cepstra."""
-    return _kernel(spark, sf, "y array<double>", lambda x: [[baselines.mel_cepstrum(np.tile(r, 32), 10_000.0) for r in x]])
+    """Mel cepstra of windows of one frame: 80 triangles, 40 coefficients."""
+    return _each(spark, sf, "c", "y", lambda x: baselines.mel_cepstrum(x, 10_000.0), 3).withColumn("y", F.col("y") + 0.0)
 
 
-@query()
+# Poles of the analog prototype, to a band, through z = (4 + s) / (4 - s); one row a section, by distance from the origin.
+@query("""WITH r AS (SELECT DISTINCT CAST(10000 + p_size AS DOUBLE) AS fs FROM part), e AS (SELECT fs, 4 * tan(pi() * 20 / fs) AS lo, 4 * tan(pi() * least(2000, 0.495 * fs) / fs) AS hi FROM r),
+p AS (SELECT fs, hi - lo AS w, lo * hi AS c, cos(pi() * (2 * m + 5) / 8) * (hi - lo) / 2 AS x, sin(pi() * (2 * m + 5) / 8) * (hi - lo) / 2 AS y FROM e, range(0, 4) t(m)),
+q AS (SELECT *, x * x - y * y - c AS u, 2 * x * y AS v FROM p), s AS (SELECT *, sqrt((sqrt(u * u + v * v) + u) / 2) AS a, CASE WHEN v < 0 THEN -1 ELSE 1 END * sqrt((sqrt(u * u + v * v) - u) / 2) AS b FROM q),
+z AS (SELECT fs, w, x + k * a AS x, y + k * b AS y FROM s, (VALUES (1), (-1)) t(k)), d AS (SELECT *, pow(4 - x, 2) + y * y AS n FROM z), g AS (SELECT fs, 4 * any_value(w) * exp(-sum(ln(n)) / 8) AS gain FROM d GROUP BY 1),
+o AS (SELECT fs, (16 - x * x - y * y) / n AS re, 8 * y / n AS im FROM d WHERE y > 0)
+SELECT fs, CAST(row_number() OVER (PARTITION BY fs ORDER BY re * re + im * im) - 1 AS INT) AS section, round(gain, 9) AS gain, round(-2 * re, 9) AS a1, round(re * re + im * im, 9) AS a2 FROM o JOIN g USING (fs)""")
 def f_sos(spark, sf):
-    """Sections of the band-pass at the two sampling rates."""
-    rows = [(fs, i, *map(float, s)) for fs in (10_000.0, 20_000.0) for i, s in enumerate(dsp.bandpass(fs))]
-    return spark.createDataFrame(rows, "fs double, section int, gain double, a1 double, a2 double")
+    """Sections of the band-pass at each sampling rate that the table has."""
+    def design(batches):
+        for b in batches:
+            rows = [(fs, i, *map(float, s)) for fs in b.column("fs").to_pylist() for i, s in enumerate(dsp.bandpass(fs))]
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], schema=shape)
+
+    shape = pa.schema([("fs", pa.float64()), ("section", pa.int32()), ("gain", pa.float64()), ("a1", pa.float64()), ("a2", pa.float64())])
+    rates = read(spark, sf, "part").select((10_000 + F.col("p_size")).cast("double").alias("fs")).distinct()
+    out = rates.mapInArrow(design, "fs double, section int, gain double, a1 double, a2 double")
+    return out.select("fs", "section", *[_r(c, 9).alias(c) for c in ("gain", "a1", "a2")])
 
 
 # ---------------------------------------------------------------- extraction

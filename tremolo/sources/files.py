@@ -97,8 +97,11 @@ def centred(row: str, width: int) -> Column:
 
 
 def noise(key: Column, i: Column) -> Column:
-    """A standard normal number for each (key, i): Box-Muller over two hashes."""
-    even = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), key, i), 11) + 0.5) / float(1 << 53)
+    """A standard normal number for each (key, i): Box-Muller over 52 bits of two digests."""
+    def even(salt: int) -> Column:
+        bits = F.substring(F.md5(F.concat_ws(":", F.lit(salt), key, i).cast("binary")), 1, 13)
+        return (F.conv(bits, 16, 10).cast("long") + 0.5) / float(1 << 52)
+
     return F.sqrt(-2 * F.log(even(1))) * F.cos(2 * math.pi * even(2))
 
 
