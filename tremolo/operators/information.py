@@ -18,9 +18,9 @@ RANGE, RANGES = 1 << 16, 1000
 
 
 def digamma(v: np.ndarray) -> np.ndarray:
-    """By the recurrence up to 6, then the asymptotic series."""
+    """By the recurrence up to 12, then the asymptotic series (off by less than 1e-13)."""
     v, out = np.array(v, float), np.zeros(len(v))
-    while (low := v < 6).any():
+    while (low := v < 12).any():
         out[low] -= 1 / v[low]
         v[low] += 1
     w = 1 / (v * v)

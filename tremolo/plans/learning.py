@@ -63,34 +63,68 @@ def fs_mi(spark, sf):
     return selection.mutual_information(labelled(spark, sf)).select("feature", _r("score").alias("score"))
 
 
+# Distances to all rows of each class by window functions, then differences of the ten nearest; features count by their range.
+_RELIEFF = """sp AS (SELECT i, max(v) - min(v) + 1e-12 AS span FROM v GROUP BY 1), sv AS (SELECT vec_id AS id, label AS y, list(v / span ORDER BY i) AS s FROM v JOIN sp USING (i) GROUP BY 1, 2),
+sh AS (SELECT y, count(*) / (SELECT count(*) FROM sv) AS share FROM sv GROUP BY 1), pd AS (SELECT a.id, a.y, b.id AS other, b.y AS oy, list_transform(range(1, 65), lambda k: abs(a.s[k] - b.s[k])) AS g FROM sv a JOIN sv b ON a.id <> b.id),
+nr AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY id, oy ORDER BY list_sum(g), other) <= 10),
+nw AS (SELECT g, CASE WHEN n.y = n.oy THEN -1 ELSE o.share / (1 - m.share) END / count(*) OVER (PARTITION BY n.id, n.oy) AS w FROM nr n JOIN sh o ON o.y = n.oy JOIN sh m ON m.y = n.y),
+nu AS (SELECT w, unnest(g) AS d, unnest(range(0, 64)) AS i FROM nw), relieff AS (SELECT CAST(i AS INT) AS feature, sum(w * d) / (SELECT count(*) FROM sv) AS score FROM nu GROUP BY 1)"""
+
+# Greedy choice as a recursion over (rank, chosen, sums of |correlation| with those chosen).
+_MRMR = """av AS (SELECT i, avg(v) AS m, count(*) AS n FROM v GROUP BY 1), cl AS (SELECT i, label, count(*) AS k, avg(v) AS m, var_pop(v) * count(*) AS s FROM v GROUP BY 1, 2),
+fs AS (SELECT i, sum(k * pow(cl.m - av.m, 2)) / greatest(count(*) - 1, 1) / (sum(s) / greatest(any_value(n) - count(*), 1) + 1e-12) AS f FROM cl JOIN av USING (i) GROUP BY 1),
+dv AS (SELECT vec_id, i, v - m AS d FROM v JOIN av USING (i)), cm AS (SELECT a.i, b.i AS j, sum(a.d * b.d) AS c FROM dv a JOIN dv b USING (vec_id) GROUP BY 1, 2),
+sd AS (SELECT i, sqrt(c) + 1e-12 AS s FROM cm WHERE i = j), cr AS (SELECT cm.i, list(abs(c / (a.s * b.s)) ORDER BY cm.j) AS r FROM cm JOIN sd a ON a.i = cm.i JOIN sd b ON b.i = cm.j GROUP BY 1),
+al AS (SELECT list(f ORDER BY i) AS f, list(r ORDER BY i) AS r FROM fs JOIN cr USING (i)),
+gr AS (SELECT 0 AS rank, [list_position(f, list_max(f)) - 1] AS chosen, r[list_position(f, list_max(f))] AS red FROM al UNION ALL
+ SELECT rank + 1, list_append(chosen, b), list_transform(range(1, 65), lambda k: red[k] + r[b + 1][k]) FROM (SELECT rank, chosen, red, r, list_position(sc, list_max(sc)) - 1 AS b FROM (SELECT gr.*, al.r,
+  list_transform(range(0, 64), lambda k: CASE WHEN list_contains(chosen, k) THEN -1 ELSE f[k + 1] / greatest(red[k + 1] / (rank + 1), 1e-3) END) AS sc FROM gr, al WHERE rank < 63))),
+mrmr AS (SELECT CAST(chosen[rank + 1] AS INT) AS feature, (64 - rank)::DOUBLE AS score FROM gr)"""
+
+# Digamma of whole numbers by sums of 1 / j; reach of the third other row of the class.
+_NEAR = """dg AS (SELECT n, -0.57721566490153286 + coalesce(sum(1.0 / (n - 1)) FILTER (n > 1) OVER (ORDER BY n), 0) AS psi FROM range(1, (SELECT count(*) + 2 FROM embeddings)) t(n)),
+sz AS (SELECT label, count(*) AS size FROM embeddings GROUP BY 1), re AS (SELECT a.i, a.vec_id, a.v, size, abs(a.v - b.v) * (1 - 1e-9) AS d FROM v a JOIN v b ON a.i = b.i AND a.label = b.label AND a.vec_id <> b.vec_id JOIN sz ON sz.label = a.label
+ QUALIFY row_number() OVER (PARTITION BY a.i, a.vec_id ORDER BY abs(a.v - b.v)) = least(3, size - 1)),
+me AS (SELECT re.i, re.vec_id, any_value(re.size) AS size, count(*) AS m FROM re JOIN v ON v.i = re.i AND v.v BETWEEN re.v - d AND re.v + d JOIN sz ON sz.label = v.label AND sz.size > 1 GROUP BY 1, 2),
+te AS (SELECT i, count(*) AS n, avg(k.psi - s.psi - m.psi) AS t FROM me JOIN dg k ON k.n = least(3, size - 1) JOIN dg s ON s.n = size JOIN dg m ON m.n = me.m GROUP BY 1),
+mutual_info AS (SELECT i AS feature, greatest(0, psi + t) AS score FROM te JOIN dg USING (n))"""
+
+#: Methods whose scores SQL restates; ``fs_votes`` has all eight.
+_FIVE = ("variance", "pearson", "mutual_info", "relieff", "mrmr")
+
+
 def _scores(spark, sf) -> DataFrame:
-    e = labelled(spark, sf)
-    return selection.variance(e).withColumn("method", F.lit("variance")).unionByName(selection.pearson(e).withColumn("method", F.lit("pearson")))
+    e, out = labelled(spark, sf), None
+    for m in _FIVE:
+        s = selection.SCORERS[m](e.select("id", "y", "features")).select("feature", "score", F.lit(m).alias("method"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
-_ENSEMBLE = _PEARSON + """, s AS (SELECT 'variance' AS method, i AS feature, round(var_pop(v), 9) AS score FROM v GROUP BY 2 UNION ALL SELECT 'pearson', i, round(avg(abs(r)), 9) FROM r GROUP BY 2),
+_ENSEMBLE = _PEARSON + f""", {_RELIEFF}, {_MRMR}, {_NEAR}, s AS (SELECT 'variance' AS method, i AS feature, round(var_pop(v), 9) AS score FROM v GROUP BY 2 UNION ALL SELECT 'pearson', i, round(avg(abs(r)), 9) FROM r GROUP BY 2
+ UNION ALL SELECT 'mutual_info', feature, round(score, 9) FROM mutual_info UNION ALL SELECT 'relieff', feature, round(score, 9) FROM relieff UNION ALL SELECT 'mrmr', feature, score FROM mrmr),
 k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, feature) <= 32 AS selected, rank() OVER (PARTITION BY method ORDER BY score DESC) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0 AS rnk FROM s),
 t AS (SELECT feature, count(*) FILTER (selected) AS votes, avg(rnk) AS avg_rank, 100.0 * avg(CASE WHEN selected THEN 1 ELSE 0 END) AS selection_pct FROM k GROUP BY 1)"""
 
 
-@query(f"WITH {_ENSEMBLE} SELECT feature, votes, round(avg_rank, 4) AS avg_rank, round(selection_pct, 4) AS selection_pct FROM t")
+@query(f"WITH RECURSIVE {_ENSEMBLE} SELECT feature, votes, round(avg_rank, 4) AS avg_rank, round(selection_pct, 4) AS selection_pct FROM t")
 def fs_ensemble(spark, sf):
     return selection.votes(_scores(spark, sf)).select("feature", "votes", F.round("avg_rank", 4).alias("avg_rank"), F.round("selection_pct", 4).alias("selection_pct"))
 
 
-@query(f"WITH {_ENSEMBLE} SELECT feature FROM t WHERE votes >= 2")
+@query(f"WITH RECURSIVE {_ENSEMBLE} SELECT feature FROM t WHERE votes >= 3")
 def fs_consensus(spark, sf):
-    return selection.consensus(selection.votes(_scores(spark, sf)), 2).select("feature")
+    return selection.consensus(selection.votes(_scores(spark, sf)), 3).select("feature")
 
 
-@query(f"WITH {_ENSEMBLE} SELECT feature, row_number() OVER (ORDER BY votes DESC, avg_rank, feature) AS pos FROM t")
+@query(f"WITH RECURSIVE {_ENSEMBLE} SELECT feature, row_number() OVER (ORDER BY votes DESC, avg_rank, feature) AS pos FROM t")
 def fs_order(spark, sf):
     from pyspark.sql import Window
 
     return selection.votes(_scores(spark, sf)).select("feature", F.row_number().over(Window.orderBy(F.desc("votes"), "avg_rank", "feature")).cast("long").alias("pos"))
 
 
-@query(f"WITH {_ENSEMBLE} SELECT a.method AS a, b.method AS b, round(count(*) FILTER (a.selected AND b.selected) / count(*) FILTER (a.selected OR b.selected), 6) AS jaccard FROM k a JOIN k b USING (feature) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_ENSEMBLE} SELECT a.method AS a, b.method AS b, round(count(*) FILTER (a.selected AND b.selected) / count(*) FILTER (a.selected OR b.selected), 6) AS jaccard FROM k a JOIN k b USING (feature) GROUP BY 1, 2")
 def fs_jaccard(spark, sf):
     from pyspark.sql import Window
 
@@ -104,10 +138,13 @@ def _register(name: str, f, doc: str, sql: str | None = None) -> None:
     query(sql)(f)
 
 
+_RESTATED = {"relieff": _RELIEFF, "mrmr": _MRMR, "mutual_info": _NEAR}
+
 for _m in ("relieff", "mrmr", "rfe", "shap", "mutual_info"):
     _register(
         {"mutual_info": "fs_mi_near"}.get(_m, f"fs_{_m}"),
-        lambda spark, sf, m=_m: selection.SCORERS[m](divided(spark, sf).select("id", "y", "features")), f"Scores of {_m} over all features.",
+        lambda spark, sf, m=_m: selection.SCORERS[m](divided(spark, sf).select("id", "y", "features")).select("feature", _r("score", 9 if m in _RESTATED else 12).alias("score")), f"Scores of {_m} over all features.",
+        f"WITH RECURSIVE {SAMPLES}, {_RESTATED[_m]} SELECT feature, round(score, 9) AS score FROM {_m}" if _m in _RESTATED else None,
     )
 
 
