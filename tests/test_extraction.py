@@ -66,3 +66,11 @@ def test_resume_assemble_fuse(parts, spark):
     assert fused.count() == 18 and {len(r.features) for r in fused.select("features").collect()} == {SIZES["time"] + SIZES["freq"]}
     with pytest.raises(Exception, match="no manifest row for 2-5"):
         extraction.fuse(shards.drop("chunk"), manifest.filter("sample_id <> '2-5'"), "block").collect()
+
+
+def test_domain_statistics_are_those_of_each_column(spark):
+    rows = [([1.0, 2.0], [float(i), 5.0, float("nan") if i == 2 else 1.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = {(r.domain, r.idx): repr(tuple(r)[2:]) for r in extraction.domain_statistics(df, ("a", "b")).collect()}
+    want = {(d, r.idx): repr(tuple(r)[1:]) for d in "ab" for r in extraction.column_statistics(df, d).collect()}
+    assert got == want and len(got) == 5

@@ -127,9 +127,19 @@ def fuse(features: DataFrame, manifest: DataFrame, order: str) -> DataFrame:
     return fused.withColumn("m", known).select("sample_id", "m.*", *[d for d in SIZES if d in features.columns], F.concat(*[d for d in SIZES if d in features.columns]).alias("features"))
 
 
-def column_statistics(features: DataFrame, column: str) -> DataFrame:
-    """Per feature: variance, largest size, values that aren't finite; constant and near-constant flags."""
-    v = features.select(F.posexplode(column).alias("idx", "v")).withColumn("v", F.col("v").cast("double"))
+def _statistics(values: DataFrame, *keys: str) -> DataFrame:
+    v = values.withColumn("v", F.col("v").cast("double"))
     odd = F.isnan("v") | (F.abs("v") == float("inf")) | F.col("v").isNull()
-    s = v.groupBy("idx").agg(F.var_pop("v").alias("variance"), F.max(F.abs("v")).alias("max_abs"), F.count_if(odd).alias("non_finite"))
+    s = v.groupBy(*keys).agg(F.var_pop("v").alias("variance"), F.max(F.abs("v")).alias("max_abs"), F.count_if(odd).alias("non_finite"))
     return s.withColumns({"constant": F.col("variance") == 0, "near_constant": F.col("variance") < 1e-12})
+
+
+def column_statistics(features: DataFrame, column: str) -> DataFrame:
+    """Per feature: variance, largest size, values that aren't finite; constant and near-constant flags."""
+    return _statistics(features.select(F.posexplode(column).alias("idx", "v")), "idx")
+
+
+def domain_statistics(features: DataFrame, domains: tuple[str, ...]) -> DataFrame:
+    """The same by (domain, idx) for several columns of arrays, in one pass over the rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(d).alias("x")) for d in domains])).alias("d")
+    return _statistics(features.select(each).select("d.domain", F.posexplode("d.x").alias("idx", "v")), "domain", "idx")

@@ -600,7 +600,17 @@ def spl_logo(spark, sf):
     return splits.held_out_counts(windows(spark, sf), "recording_id")
 
 
-@query()
+# Sessions one by one, the largest first, each to the fold of ten where squared label shares grow least.
+_DEALT = RECORDS + """, c AS (SELECT session_id AS g, [count(*) FILTER (label = 'A'), count(*) FILTER (label = 'N'), count(*) FILTER (label = 'R')] AS c FROM r GROUP BY 1),
+o AS (SELECT g, c, row_number() OVER (ORDER BY list_max(c) DESC, list_sum(c) DESC, g) AS k FROM c), t AS (SELECT [sum(c[1]), sum(c[2]), sum(c[3])]::DOUBLE[] AS t FROM c),
+s AS (SELECT 0::BIGINT AS k, '' AS g, -1::BIGINT AS fold, list_transform(range(0, 10), lambda f: [0, 0, 0]::BIGINT[]) AS load UNION ALL
+ SELECT k, g, best - 1, list_transform(range(1, 11), lambda f: CASE WHEN f = best THEN [load[f][1] + c[1], load[f][2] + c[2], load[f][3] + c[3]] ELSE load[f] END) FROM (
+  SELECT o.k, o.g, o.c, s.load, CAST(list_sort(list_transform(range(1, 11), lambda f: [list_sum(list_transform([1, 2, 3], lambda l: (s.load[f][l] + o.c[l]) / t.t[l] * ((s.load[f][l] + o.c[l]) / t.t[l]) - s.load[f][l] / t.t[l] * (s.load[f][l] / t.t[l]))),
+   list_sum(s.load[f])::DOUBLE, f::DOUBLE]))[1][3] AS BIGINT) AS best FROM s JOIN o ON o.k = s.k + 1, t)),
+z AS (SELECT CASE WHEN fold < 8 THEN 'train' WHEN fold < 9 THEN 'val' ELSE 'test' END AS split, g FROM s WHERE k > 0)"""
+
+
+@query(f"WITH RECURSIVE {_DEALT} SELECT split, label, count(*) AS n, count(DISTINCT session_id) AS sessions FROM r JOIN z ON z.g = r.session_id GROUP BY 1, 2")
 def spl_group3(spark, sf):
     """Whole sessions to train, val and test."""
     return splits.grouped_three_way(records(spark, sf), "session_id", "label").groupBy("split", "label").agg(_n().alias("n"), F.countDistinct("session_id").alias("sessions"))
