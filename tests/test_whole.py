@@ -26,3 +26,12 @@ def test_models_predict_every_label(spark, name):
 @pytest.mark.parametrize("name", ["fs_mrmr", "fs_shap"])
 def test_selectors_score_every_feature(spark, name):
     assert {r["feature"] for r in __spark_entry__.queries()[name](spark, SF).collect()} == set(range(64))
+
+
+@pytest.mark.parametrize("name", ["mdl_dt", "mdl_lr", "mdl_mlp", "mdl_rf", "mdl_et", "mdl_lgbm", "mdl_xgb", "mdl_hgb", "bal_pipe"])
+def test_each_test_row_is_predicted_once(spark, name):
+    got = __spark_entry__.queries()[name](spark, SF).select("id", "y_true", "y_pred").collect()
+    rows = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label").collect()}
+    want = {d: y for d, y in rows.items() if d % 10 >= 8}
+    assert len(got) == len(want) and {r["id"]: int(r["y_true"]) for r in got} == want
+    assert {int(r["y_pred"]) for r in got} <= set(rows.values())
