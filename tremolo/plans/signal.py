@@ -209,10 +209,9 @@ _OFFSETS = ", ".join(f"({i}, {round(np.sin(a * np.pi / 4) * d)}, {round(np.cos(a
 
 
 @query(f"""WITH {_IMAGE}, o AS (SELECT * FROM (VALUES {_OFFSETS}) o(o, dr, dc)), n AS (SELECT x.vec_id, o, x.g AS a, y.g AS b FROM q x, o JOIN q y ON y.vec_id = x.vec_id AND y.r = x.r + dr AND y.c = x.c + dc),
-s AS (SELECT vec_id, o, a, b FROM n UNION ALL SELECT vec_id, o, b, a FROM n), p0 AS (SELECT vec_id, o, a, b, count(*) AS n FROM s GROUP BY 1, 2, 3, 4), p AS (SELECT *, n / sum(n) OVER (PARTITION BY vec_id, o) AS p FROM p0),
-m AS (SELECT vec_id, o, sum(p * a) AS m FROM p GROUP BY 1, 2)
+s AS (SELECT vec_id, o, a, b FROM n UNION ALL SELECT vec_id, o, b, a FROM n), p0 AS (SELECT vec_id, o, a, b, count(*) AS n FROM s GROUP BY 1, 2, 3, 4), p AS (SELECT *, n / sum(n) OVER (PARTITION BY vec_id, o) AS p, CAST(a AS BIGINT) AS ia, CAST(b AS BIGINT) AS ib FROM p0)
 SELECT vec_id, o AS offset_, round(sum(p * (a - b) * (a - b)), 9) AS contrast, round(sqrt(sum(p * p)), 9) AS energy, round(sum(p / (1 + (a - b) * (a - b))), 9) AS homogeneity,
-  round(CASE WHEN sum(p * (a - m) * (a - m)) < 1e-15 THEN 1 ELSE sum(p * (a - m) * (b - m)) / sum(p * (a - m) * (a - m)) END, 9) + 0.0 AS correlation, round(-sum(p * log2(p + 1e-12)), 9) AS entropy FROM p JOIN m USING (vec_id, o) GROUP BY 1, 2""")
+  round(coalesce(CAST(sum(n) * sum(n * ia * ib) - sum(n * ia) * sum(n * ia) AS DOUBLE) / nullif(CAST(sum(n) * sum(n * ia * ia) - sum(n * ia) * sum(n * ia) AS DOUBLE), 0), 1), 9) + 0.0 AS correlation, round(-sum(p * log2(p + 1e-12)), 9) AS entropy FROM p GROUP BY 1, 2""")
 def f_glcm(spark, sf):
     """Five properties of the co-occurrence of grey levels at sixteen offsets."""
     def run(x):
