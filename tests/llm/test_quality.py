@@ -121,3 +121,38 @@ def test_pieces(monkeypatch):
         monkeypatch.setattr(quality, "STEP_BYTES", step)
         assert np.allclose(np.concatenate([x for _, x in quality._features(column)]), whole)
     words._POWERS.clear()
+
+
+def test_all_labelled_rows_count(spark):
+    """Weights, threshold and slope don't depend on the rows that the fit starts from: they come from all."""
+    rows = list(corpus(200))
+    docs, known = brute.table(spark, [(i, t, None, None, 1) for i, t, _ in rows]).repartition(3), labels(spark, [(i, q, 0) for i, _, q in rows])
+    whole, started = (quality.fit(docs, known, F.lit(True), n) for n in (10_000, 40))
+    x = np.concatenate([f for _, f in quality._features(pa.array([t for _, t, _ in rows]))]).astype(float)
+    good = np.array([q for _, _, q in rows])
+
+    def loss(m):
+        u, w = x @ m.weights, m.weights.copy()
+        w[quality.DIMENSIONS :] *= 4 * x[:, quality.DIMENSIONS :].std(axis=0)
+        return np.logaddexp(0, -np.subtract.outer(u[good == 1], u[good == 0])).mean() + quality.RIDGE / 2 * w @ w
+
+    assert abs(loss(whole) - loss(started)) < 2 * quality.EXCESS
+    u = x @ started.weights
+    assert abs(quantile(u, np.ones(len(u)), 1 - good.mean()) - started.threshold) < 1e-9
+    assert abs(whole.slope - started.slope) < 0.1 and np.abs(whole.scores(x)[1] - started.scores(x)[1]).max() < 0.02
+
+
+def test_sums_over_pairs_on_a_grid():
+    r = np.random.default_rng(5)
+    a, b = r.normal(0, 9, 300), r.normal(1, 3, 200)
+    lo, weights = quality._on_grid(a, quality.GRID)
+    points = (lo + np.arange(len(weights))) * quality.GRID
+    got, want = np.logaddexp(0, -np.subtract.outer(b, points)) @ weights, np.logaddexp(0, -np.subtract.outer(b, a)).sum(axis=1)
+    assert np.abs(got - want).max() / len(a) < 1e-8
+    assert np.allclose(quality._off_grid(a, lo, np.tanh(points / 4), quality.GRID), np.tanh(a / 4), atol=1e-8)
+
+
+def test_smallest(spark):
+    u = [3.0, -1.0, 3.0, 3.0, 7.5, 1e-9, 2e9, -5.0]
+    df = spark.createDataFrame([(x,) for x in u], "u double")
+    assert [quality._smallest(df, k) for k in range(1, 9)] == sorted(u)

@@ -6,8 +6,12 @@ one labelled 0 is a preference; the weights minimise the mean logistic loss of t
 a ridge term.  The threshold is a quantile of the utilities of the labelled documents: as large a share lies below it
 as is labelled 0.  The score is logistic in the distance to it, and ``THRESHOLD`` exactly there.
 
-The weights are fitted by one Spark task on a bounded sample of labelled rows (``max_sample``, dealt evenly over the
-labels in the order of a hash of the id), with all pairs of the sample; a prediction reads nothing but the text.
+Weights, threshold and slope come from all labelled rows and all their pairs.  Up to ``max_sample`` of them are fitted
+by one Spark task.  Of more, that task fits a first guess (on ``max_sample`` rows, dealt evenly over the labels in the
+order of a hash of the id), and passes over a table of the features of all take it to the minimum by L-BFGS, until the
+mean loss is within ``EXCESS`` of the least.  The sum over pairs needs the utilities alone: each pass adds them up on a
+grid (by cubic interpolation, off by less than 1e-8 a pair at the step ``GRID``), and the loss of every pair of grid
+points counts as often as their weights say.  A prediction reads nothing but the text.
 
 Defined results
 * null text: as an empty one; empty texts get a score like any other (all their features are 0).
@@ -29,8 +33,12 @@ from pyspark.sql import types as T
 from .scratch import Scratch, fresh
 from .words import STEP_BYTES, text_slices, word_hashes, word_spans
 
-#: Labelled documents that the weights are fitted on, at most.
+#: Labelled documents that one task fits; of more, the rows that passes over all of them start from.
 MAX_SAMPLE = 4000
+#: How far the mean loss over all pairs may be above the least when passes end, and the most of them.
+EXCESS, MAX_PASSES = 5e-7, 400
+#: Step of the grid of utilities, and points that it may have at first (the step grows beyond).
+GRID, POINTS = 1 / 32, 2048
 #: The score of the threshold.
 THRESHOLD = 0.7
 #: Hash buckets of the n-grams, and measures of style.
@@ -177,6 +185,55 @@ def _slope(distance: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float
     return a
 
 
+def _near(u: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first of four grid points about each utility, and the weights of cubic interpolation between the four."""
+    at = np.floor(u / step)
+    t = u / step - at
+    weights = np.stack([-t * (t - 1) * (t - 2) / 6, (t + 1) * (t - 1) * (t - 2) / 2, -(t + 1) * t * (t - 2) / 2, (t + 1) * t * (t - 1) / 6])
+    return at.astype(np.int64) - 1, weights
+
+
+def _on_grid(u: np.ndarray, step: float) -> tuple[int, np.ndarray]:
+    """The first grid point with weight, and the weights from it on."""
+    first, weights = _near(u, step)
+    lo = int(first.min())
+    return lo, sum(np.bincount(first - lo + k, weights[k], minlength=int(first.max()) - lo + 4) for k in range(4))
+
+
+def _off_grid(u: np.ndarray, lo: int, values: np.ndarray, step: float) -> np.ndarray:
+    """Values at the utilities, between grid points from ``lo`` on."""
+    first, weights = _near(u, step)
+    first = np.clip(first - lo, 0, len(values) - 4)
+    return sum(weights[k] * values[first + k] for k in range(4))
+
+
+def minimise(value, gradient, w: np.ndarray, small: float, calls: int, memory: int = 12) -> np.ndarray:
+    """L-BFGS from ``w`` until the gradient is as ``small`` as this, or for so many ``calls`` of ``value`` and ``gradient``."""
+    here, grad, past = value(w), gradient(w), []
+    calls -= 2
+    while calls > 0 and float(grad @ grad) > small**2:
+        d, alphas = -grad, []
+        for ds, dg in reversed(past):
+            alphas.append(float(ds @ d) / float(ds @ dg))
+            d = d - alphas[-1] * dg
+        if past:
+            ds, dg = past[-1]
+            d = d * (float(ds @ dg) / float(dg @ dg))
+        for (ds, dg), a in zip(past, reversed(alphas), strict=True):
+            d = d + (a - float(dg @ d) / float(ds @ dg)) * ds
+        size, along = 1.0, float(grad @ d)
+        while calls > 0:
+            there, calls = value(w + size * d), calls - 1
+            if there <= here + 1e-4 * size * along + 1e-9 or size < 1e-6:
+                break
+            size /= 2
+        new, calls = gradient(w + size * d), calls - 1
+        if float(size * d @ (new - grad)) > 0:
+            past = [*past, (size * d, new - grad)][-memory:]
+        w, here, grad = w + size * d, there, new
+    return w
+
+
 class Ranker:
     """Weights over scaled features, the threshold and the slope; or a constant score."""
 
@@ -204,22 +261,8 @@ class Ranker:
         return u, np.where(u >= self.threshold, np.maximum(p, THRESHOLD), np.minimum(p, np.nextafter(THRESHOLD, 0)))  # whatever rounding does
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_sample: int = MAX_SAMPLE) -> Ranker:
-    """Learn from labelled documents for which ``learn`` (over doc_id) holds."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & learn)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(ids, "doc_id", "left_semi")
-    known = Scratch(docs.sparkSession, "labels").table(known)
-    count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows
-    if len(count) < 2:
-        return Ranker(np.zeros(DIMENSIONS + STYLES), 0.0, 1.0, float(next(iter(count), 0.5)))
-    quota = max(1, max_sample // 2)
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    rate = F.when(F.col("quality") == 1, (2.0 * quota + 50) / count[1]).otherwise((2.0 * quota + 50) / count[0])
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
-    chosen = known.withColumn("h", h).filter(F.col("h") < rate).withColumn("k", rank).filter(F.col("k") <= quota).select(F.col("doc_id").alias("i"), "quality")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most max_sample ids
+def _fit_task(texts: DataFrame, count: dict[int, int]) -> Ranker:
+    """From all rows (doc_id, quality, text), by one task; rows that repeat an id count once."""
 
     def features(batches):
         for b in batches:
@@ -232,11 +275,178 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_sample: int = MAX
         model = Ranker.train(x, table.column("quality").to_numpy(), {0: float(count[0]), 1: float(count[1])})
         return pa.table({"w": pa.array([model.weights.tobytes()], pa.binary()), "at": [model.threshold], "slope": [model.slope]})
 
-    sample = texts.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary")
+    sample = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(features, "doc_id long, quality int, x binary")
     got = sample.groupBy(F.lit("all")).applyInArrow(train, "w binary, at double, slope double").first()  # 33 KB
     return Ranker(np.frombuffer(got["w"], np.float64), got["at"], got["slope"])
 
 
+#: A labelled row: buckets that aren't empty, their features, and measures of style.
+ROWS = "quality int, bucket binary, share binary, style binary"
+
+
+def _sparse(batches):
+    for b in batches:
+        for row, x in _features(b.column("text")):
+            grams, at = x[:, :DIMENSIONS], [np.flatnonzero(v) for v in x[:, :DIMENSIONS]]
+            columns = [i.astype(np.uint16).tobytes() for i in at], [v[i].tobytes() for v, i in zip(grams, at, strict=True)], [v.tobytes() for v in x[:, DIMENSIONS:]]
+            yield pa.RecordBatch.from_arrays([b.column("quality").slice(row, len(x)), *(pa.array(c, pa.binary()) for c in columns)], names=["quality", "bucket", "share", "style"])
+
+
+def _batch(b: pa.RecordBatch):
+    """(labels, row, bucket and share of each filled bucket, styles) of a batch of ``ROWS``."""
+    bucket, share, style = (b.column(c).to_pylist() for c in ("bucket", "share", "style"))
+    row = np.repeat(np.arange(len(bucket)), [len(x) // 2 for x in bucket])
+    styles = np.frombuffer(b"".join(style), np.float32).reshape(len(style), STYLES).astype(np.float64)
+    return b.column("quality").to_numpy(), row, np.frombuffer(b"".join(bucket), np.uint16).astype(np.int64), np.frombuffer(b"".join(share), np.float32).astype(np.float64), styles
+
+
+def _utilities(w: np.ndarray, row: np.ndarray, bucket: np.ndarray, share: np.ndarray, styles: np.ndarray) -> np.ndarray:
+    return np.bincount(row, share * w[bucket], minlength=len(styles)) + styles @ w[DIMENSIONS:]
+
+
+def _fit_passes(scratch: Scratch, rows: DataFrame, count: dict[int, int], guess: Ranker) -> Ranker:
+    """From all ``rows``, starting at ``guess``; every pass gives the driver one row of bounded size a task."""
+    pairs, n = float(count[0]) * count[1], float(count[0] + count[1])
+
+    def of_tasks(task) -> list:
+        return rows.mapInArrow(task, "x binary, y binary, lo long").collect()
+
+    def row(x, y, lo=0):
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.array([lo], pa.int64())], names=["x", "y", "lo"])
+
+    def moments(batches):
+        total, square, span = np.zeros(STYLES), np.zeros(STYLES), np.array([np.inf, -np.inf])
+        for b in batches:
+            _, *x = _batch(b)
+            u = _utilities(guess.weights, *x)
+            total, square = total + x[-1].sum(axis=0), square + (x[-1] ** 2).sum(axis=0)
+            span = np.array([min(span[0], u.min(initial=np.inf)), max(span[1], u.max(initial=-np.inf))])
+        yield row(np.concatenate([total, square]), span)
+
+    got = of_tasks(moments)
+    total, square = np.sum([np.frombuffer(r["x"]) for r in got], axis=0).reshape(2, STYLES)
+    span = np.array([np.frombuffer(r["y"]) for r in got])
+    scale = np.ones(DIMENSIONS + STYLES)
+    scale[DIMENSIONS:] = 1 / np.maximum(4 * np.sqrt(np.maximum(square / n - (total / n) ** 2, 0)), 1e-6)
+    step = max(GRID, float(span[:, 1].max() - span[:, 0].min()) / POINTS)
+    grids: dict[bytes, tuple[int, np.ndarray, np.ndarray]] = {}
+
+    def grid(w) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first grid point, and the weights of label 0 and label 1 from it on."""
+        if w.tobytes() not in grids:
+            v = w * scale
+
+            def task(batches):
+                found = []
+                for b in batches:
+                    label, *x = _batch(b)
+                    u = _utilities(v, *x)
+                    found += [(k, *_on_grid(u[label == k], step)) for k in (0, 1) if (label == k).any()]
+                if found:
+                    lo = min(f[1] for f in found)
+                    out = np.zeros((2, max(f[1] + len(f[2]) for f in found) - lo))
+                    for k, first, weights in found:
+                        out[k, first - lo : first - lo + len(weights)] += weights
+                    yield row(out[0], out[1], lo)
+
+            got = of_tasks(task)
+            lo = min(r["lo"] for r in got)
+            out = np.zeros((2, max(r["lo"] + len(r["x"]) // 8 for r in got) - lo))
+            for r in got:
+                for k, c in enumerate("xy"):
+                    weights = np.frombuffer(r[c])
+                    out[k, r["lo"] - lo : r["lo"] - lo + len(weights)] += weights
+            grids.clear()
+            grids[w.tobytes()] = lo, out[0], out[1]
+        return grids[w.tobytes()]
+
+    def convolved(f, weights):
+        """f(t - s) at every grid point t, summed over grid points s by their weights."""
+        points = np.arange(len(weights)) * step
+        return np.concatenate([f(np.subtract.outer(points[i : i + 256], points)) @ weights for i in range(0, len(points), 256)])
+
+    def value(w):
+        _, worse, better = grid(w)
+        return float(better @ convolved(lambda gap: np.logaddexp(0, -gap), worse)) / pairs + RIDGE / 2 * float(w @ w)
+
+    def gradient(w):
+        lo, worse, better = grid(w)
+        sigmoid = lambda gap: 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
+        slopes = convolved(lambda gap: sigmoid(gap), better) / pairs, -convolved(lambda gap: sigmoid(-gap), worse) / pairs  # of label 0, of label 1
+        v = w * scale
+
+        def task(batches):
+            out = np.zeros(DIMENSIONS + STYLES)
+            for b in batches:
+                label, at, bucket, share, styles = _batch(b)
+                u = _utilities(v, at, bucket, share, styles)
+                m = np.where(label == 1, _off_grid(u, lo, slopes[1], step), _off_grid(u, lo, slopes[0], step))
+                out[:DIMENSIONS] += np.bincount(bucket, share * m[at], minlength=DIMENSIONS)
+                out[DIMENSIONS:] += m @ styles
+            yield row(out, np.zeros(0))
+
+        return np.sum([np.frombuffer(r["x"]) for r in of_tasks(task)], axis=0) * scale + RIDGE * w
+
+    # The loss is convex, and RIDGE more than flat: it is within |gradient| ** 2 / (2 * RIDGE) of the least.
+    weights = minimise(value, gradient, guess.weights / scale, float(np.sqrt(2 * RIDGE * EXCESS)), MAX_PASSES) * scale
+
+    def utilities(batches):
+        for b in batches:
+            label, *x = _batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(_utilities(weights, *x))], names=["quality", "u"])
+
+    u = scratch.table(rows.mapInArrow(utilities, "quality int, u double"), free=True)
+    threshold = (_smallest(u, count[0]) + _smallest(u, count[0] + 1)) / 2
+    distance, slope, shift = F.col("u") - threshold, 1.0, float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    for _ in range(30):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * distance + shift))))
+        g, h = u.agg(F.sum((F.col("quality") - p) * distance), F.sum(p * (1 - p) * distance**2)).first()
+        before, slope = slope, min(10.0, max(0.1, slope + (g - 1e-2 * slope) / (h + 1e-2)))
+        if abs(slope - before) < 1e-9:
+            break
+    return Ranker(weights, threshold, slope)
+
+
+def _smallest(u: DataFrame, k: int) -> float:
+    """The k-th smallest ``u`` (from 1), by counts in 1,024 ranges of the range that has it."""
+    lo, hi = u.agg(F.min("u"), F.max("u")).first()
+    below = 0  # rows less than lo
+    while hi > lo:
+        width = (hi - lo) / 1024
+        part = F.least(F.lit(1023), F.floor((F.col("u") - lo) / width)) if width > 0 else F.lit(0)
+        parts = u.filter(F.col("u").between(lo, hi)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).orderBy("part").collect()
+        for r in parts:
+            if below + r["n"] >= k:
+                break
+            below += r["n"]
+        lo, hi = r["lo"], r["hi"]
+    return float(lo)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_sample: int = MAX_SAMPLE) -> Ranker:
+    """Learn from labelled documents for which ``learn`` (over doc_id) holds."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & learn)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(ids, "doc_id", "left_semi")
+    scratch = Scratch(docs.sparkSession, "labels")
+    known = scratch.table(known)
+    count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows
+    if len(count) < 2:
+        return Ranker(np.zeros(DIMENSIONS + STYLES), 0.0, 1.0, float(next(iter(count), 0.5)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if sum(count.values()) <= max_sample:
+        return _fit_task(texts.join(F.broadcast(known), "doc_id"), count)
+    quota = max(1, max_sample // 2)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    rate = F.when(F.col("quality") == 1, (2.0 * quota + 50) / count[1]).otherwise((2.0 * quota + 50) / count[0])
+    rank = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
+    chosen = known.withColumn("h", h).filter(F.col("h") < rate).withColumn("k", rank).filter(F.col("k") <= quota).select(F.col("doc_id").alias("i"), "quality")
+    guess = _fit_task(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("i")), count)  # at most max_sample ids
+    texts = texts.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = scratch.table(texts.select("doc_id", "quality", "text").mapInArrow(_sparse, ROWS), free=True)
+    return _fit_passes(scratch, rows, count, guess)
+
+
 def rank_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """``docs`` with utility and score; at ``THRESHOLD`` and above a document is as good as those labelled 1."""
     Scratch(docs.sparkSession, "quality")
