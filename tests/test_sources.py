@@ -118,3 +118,15 @@ def test_stored_recordings_come_back(spark, tmp_path):
     assert recordings.store(df, top) == 3 and recordings.store(df, top) == 3 and recordings.store(df.limit(0), top) == 0
     got = sorted(map(tuple, recordings.scan(spark, top).collect()))
     assert got == [("a", "x.1", True, [[1.0, 2.0]], [[True], [False]], "{}"), ("b", "x.1", False, [[4.0]], [[True]], None)]
+
+
+def test_manifest_of_tables_in_parts(spark, tmp_path):
+    """A table is one file or a folder of parts: a row each, with the rows and columns of all parts."""
+    from tremolo.plans import io
+
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/parts.parquet")
+    spark.range(5).selectExpr("id", "id AS k").repartition(3).write.parquet(f"{tmp_path}/more.parquet")
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/held")
+    next((tmp_path / "held").glob("part-*.parquet")).rename(tmp_path / "single.parquet")
+    got = {r.component: r.version for r in io.src_env(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k.endswith(".parquet")} == {"parts.parquet": "7 x 1", "more.parquet": "5 x 2", "single.parquet": "4 x 1"}

@@ -201,9 +201,10 @@ def src_recpruned(spark, sf):
 def src_env(spark, sf):
     """The manifest of a run: versions of what runs, and rows and columns of each table that it reads."""
     out = files.environment(spark)
-    for path in files.listing(spark, sf, "*.parquet").select("name").orderBy("name").collect():  # one row a table
-        t = spark.read.parquet(f"{sf}/{path['name']}")
-        out = out.unionByName(t.agg(F.concat_ws(" x ", F.count(F.lit(1)), F.lit(len(t.columns))).alias("version")).select(F.lit(path["name"]).alias("component"), "version"))
+    table = F.regexp_extract("path", r"/([^/]+\.parquet)(/|$)", 1)  # a file, or a folder of parts
+    for r in files.listing(spark, sf).select(table.alias("table")).filter("table <> ''").distinct().orderBy("table").collect():  # one row a table
+        t = spark.read.parquet(f"{sf}/{r['table']}")
+        out = out.unionByName(t.agg(F.concat_ws(" x ", F.count(F.lit(1)), F.lit(len(t.columns))).alias("version")).select(F.lit(r["table"]).alias("component"), "version"))
     return out
 
 
