@@ -115,3 +115,31 @@ def test_rfe_takes_any_labels(spark):
     r = np.random.default_rng(2)
     df = spark.createDataFrame([(i, "ab"[i % 2], [float(r.normal() + 4 * (i % 2)), float(r.normal())]) for i in range(80)], "id long, y string, features array<double>")
     assert scores(selection.rfe(df)).tolist() == [-1.0, -2.0]
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_no_pair_of_blocks_is_shuffled(table, spark, monkeypatch, within):
+    """Blocks are dealt out once and meet in tasks that read them from there: a join by block shuffled each as often as it met another."""
+    *_, df = table
+    monkeypatch.setattr(balancing, "BLOCK", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = balancing.neighbours(df, df, 3, within_class=within)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("place", [0.0, 1e7, 1e20])
+def test_neighbours_far_from_zero(spark, monkeypatch, metric, place):
+    """Rough distances only rule out rows: far from zero, where they say little, the exact ones decide."""
+    monkeypatch.setattr(balancing, "BLOCK", 16)
+    x = place + np.random.default_rng(2).integers(0, 4, (60, 3)) * (1.0 if place < 1e10 else 1e16)  # ties, and equal rows
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id long, y int, features array<double>").repartition(3)
+    got = {r.id: [n.id for n in r.near] for r in balancing.neighbours(df, df, 5, metric=metric).collect()}
+    for i in range(len(x)):
+        gap = x - x[i]
+        far = (gap**2 if metric == "euclidean" else np.abs(gap)).sum(axis=1)
+        assert got[i] == [int(j) for j in np.lexsort((np.arange(60), far)) if j != i][:5]
