@@ -96,3 +96,34 @@ def test_three_inputs_tell_planted_tones_apart(spark, kind):
     df = spark.createDataFrame(rows, "id long, y string, features array<double>").cache()
     got = cnn.fit_predict(df.filter("id < 120"), df.filter("id >= 120"), cnn.TOMASOV_CNN, shape, epochs=6, rate=3e-4, partitions=2).collect()
     assert len(got) == 40 and np.mean([x.y_true == x.y_pred for x in got]) > 0.8
+
+
+def test_images_are_made_a_mini_batch_at_a_time(spark, tmp_path):
+    """The same weights and predictions as from images that are rows, of windows that are; no more than a mini-batch of images is made at once."""
+    from pyspark.sql import functions as F
+
+    def make(x):
+        assert len(x) <= 8
+        return np.hstack([x, -x, x * x])
+
+    r = np.random.default_rng(4)
+    windows = [(i, f"c{i % 2}", (r.normal(size=6) + (i % 2)).tolist()) for i in range(90)]
+    small = spark.createDataFrame(windows, "id long, y string, features array<double>").cache()
+    large = small.withColumn("features", F.concat("features", F.transform("features", lambda v: -v), F.transform("features", lambda v: v * v)))
+    layers, got = (("conv", 3, (3, 1), (1, 1), 0), ("leaky", 0.01), ("dense", 4), ("sigmoid",)), []
+    for df, more in ((small, {"make": make}), (large, {})):
+        top = f"file://{tmp_path}/{len(got)}"
+        found = cnn.fit_predict(df, df, layers, (1, 18, 1), epochs=2, batch=8, partitions=2, state=top, **more)
+        got.append((sorted(map(tuple, found.collect())), [x["w"] for x in spark.read.parquet(f"{top}/2").orderBy("chunk").collect()]))
+    assert got[0] == got[1]
+
+
+def test_updates_in_pieces(monkeypatch):
+    """Adam by pieces of the weights, the last one short, ends with the same numbers."""
+    def trained(piece):
+        monkeypatch.setattr(cnn, "PIECE", piece)
+        r, net = np.random.default_rng(0), cnn.Network((("conv", 3, (3, 1), (1, 1), 0), ("leaky", 0.01), ("dense", 5), ("sigmoid",)), (1, 9, 1), 2)
+        net.train([(r.normal(size=(4, 1, 9, 1)).astype(np.float32), np.array([0, 1, 1, 0])) for _ in range(3)], 0.01, r)
+        return [w.tobytes() for w in net.weights]
+
+    assert trained(7) == trained(1 << 20)
